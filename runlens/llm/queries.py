@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, warc
+from . import ann, chat, decontaminate, langid, licenses, neardup, sptok, tokencount, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -91,5 +91,65 @@ SELECT page_id, n::BIGINT AS payload_bytes, d AS payload_digest, CASE WHEN first
   CASE WHEN first <> page_id THEN first END AS refers_to FROM f
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_chat": op1_chat, "op3_decontaminate": op3_decontaminate, "op5_warc": op5_warc}
+def _remainder(n: int):
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % n, F.lit(-1))
+
+
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as files of a source tree: every 50th is a licence file of its directory, the rest stand one deeper."""
+    docs = _read(spark, sf_dir, "documents")
+    top = F.concat_ws("/", "source", F.expr("CAST(pmod(doc_id div 50, 10) AS string)"))
+    path = F.when(F.expr("pmod(doc_id, 50) = 0"), F.concat_ws("/", top, F.concat(F.lit("LICENSE-"), F.col("doc_id").cast("string")))).otherwise(F.concat_ws("/", top, F.expr("CAST(pmod(doc_id, 7) AS string)"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))))
+    found = licenses.inherit(licenses.scan(docs.select(F.col("doc_id").alias("file_id"), path.alias("path"), "text")))
+    return found.select(F.col("file_id").alias("doc_id"), "own", F.round("score", 6).alias("score"), "license", "inherited_from")
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents tokenised into flat files, and the tokens of each counted by scanning these for separators."""
+    placed = tokencount.write_token_files(_read(spark, sf_dir, "documents"))
+    return placed.join(tokencount.count_tokens(placed), ["path", "ordinal"]).select("doc_id", "n_tokens")
+
+
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class of every document."""
+    return neardup.near_duplicates(_read(spark, sf_dir, "documents"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = _read(spark, sf_dir, "labels").where(_remainder(5) > 0).select("doc_id", F.col("toxic").alias("label"))
+    scored = toxicity.predict(docs, toxicity.train(docs, labels))
+    return scored.select("doc_id", (_remainder(5) == 0).alias("held_out"), "score", "predicted")
+
+
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sampled segmentation of every document, decoded again."""
+    return sptok.round_trip(_read(spark, sf_dir, "documents")).drop("pieces")
+
+
+def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors found for every 20th vector."""
+    return ann.nearest(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document."""
+    docs = _read(spark, sf_dir, "documents")
+    langs, log_p = langid.train(docs.where((_remainder(3) != 1) & (_remainder(3) >= 0)))
+    return langid.predict(docs.select("doc_id", "text"), langs, log_p).select("doc_id", (_remainder(3) == 1).alias("held_out"), "lang_pred", "score")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_chat": op1_chat,
+    "op2_licenses": op2_licenses,
+    "op3_decontaminate": op3_decontaminate,
+    "op4_token_counts": op4_token_counts,
+    "op5_warc": op5_warc,
+    "op6_near_duplicates": op6_near_duplicates,
+    "op7_toxicity": op7_toxicity,
+    "op8_sentencepiece": op8_sentencepiece,
+    "op9_neighbours": op9_neighbours,
+    "op10_language": op10_language,
+}
 ORACLES: dict[str, str] = {"op1_chat": OP1_SQL, "op3_decontaminate": OP3_SQL, "op5_warc": OP5_SQL}
