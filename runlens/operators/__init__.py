@@ -1 +1 @@
-
+"""DataFrame operators over point, run, text and media tables."""

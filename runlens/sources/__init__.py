@@ -1 +1 @@
-
+"""Readers, adapters, importers and writers."""
