@@ -10,10 +10,11 @@
    ln a = ln c - r (floor(ln w / r + beta) - beta) - r, where r and c are Gamma(2, 1) and beta uniform, all by
    hash of the shingle. That least value itself serves as the sample's fingerprint.
 4. Texts of equal word sequences are one node (the smallest doc_id). Nodes that share a band's samples meet in a bucket.
-   A bucket tests its nodes against hubs, never all pairs: first its smallest and largest node; then, as long as a
-   bucket holds a component none of whose nodes was a hub there, the smallest such node against all nodes of other
-   components. A bucket that still has over ``wide`` such components is cut by a second band first. Tests are weighted
-   Jaccard on the whole texts, streamed hub by hub, hot hubs salted.
+   A bucket tests its nodes against hubs, never all pairs: first its smallest and largest node; then, if the bucket still
+   holds components none of whose nodes was a hub there, the smallest node of each of these against all nodes of other
+   components. A bucket with over ``wide`` such components is cut by one more band instead, and again until it is not,
+   so each node meets a bounded number of hubs a bucket. Tests are weighted Jaccard on the whole texts, streamed hub by
+   hub, hot hubs salted.
 5. Components of the verified links are the classes. All counts, links and labels stay in tables.
 
 Edge cases: a text that is null, empty or without words is similar to nothing and a class by itself; a text of fewer
@@ -53,7 +54,10 @@ class Options:
 _SLICE = 4 << 20
 _BLOCK = 4096
 _R = np.random.default_rng(5)
-_GAMMA_R, _LN_C, _BETA = _R.gamma(2, 1, 1 << 16), np.log(_R.gamma(2, 1, 1 << 16)), _R.random(1 << 16)
+#: Tables of the distributions, small enough for a core's cache: 12 bits of a hash pick r, 12 c and 12 beta.
+_GAMMA_R, _LN_C, _BETA = _R.gamma(2, 1, 1 << 12), np.log(_R.gamma(2, 1, 1 << 12)), _R.random(1 << 12)
+_INVERSE_R = 1.0 / _GAMMA_R
+_CHUNK = 1 << 15
 _MULTIPLIERS = _R.integers(0, 1 << 63, 1024, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -104,24 +108,43 @@ def weights(h: np.ndarray, tf: np.ndarray, idf: np.ndarray, o: Options) -> np.nd
 
 def samples(who: np.ndarray, h: np.ndarray, w: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
     """Texts that have shingles, and for each the least ln a of each of ``count`` hash functions."""
+    h = mix64(h)
     head = np.flatnonzero(np.diff(who, prepend=-1))
     out = np.empty((len(head), count))
-    ln_w = np.log(w)
-    low = np.uint64(0xFFFF)
-    with np.errstate(over="ignore"):
-        for k in range(count):
-            x = h * _MULTIPLIERS[k]
-            r = _GAMMA_R[x >> np.uint64(48)]
-            beta = _BETA[(x >> np.uint64(16)) & low]
-            t = np.floor(ln_w / r + beta)
-            t -= beta
-            t += 1.0
-            t *= r
-            np.subtract(_LN_C[(x >> np.uint64(32)) & low], t, out=t)
-            out[:, k] = np.minimum.reduceat(t, head)
+    ends = np.append(head[1:], len(who))
+    first = 0
+    while first < len(head):  # texts of about _CHUNK shingles at a time, so that what is worked on stays in cache
+        last = max(first + 1, int(np.searchsorted(ends, head[first] + _CHUNK, "right")))
+        _least(h[head[first] : ends[last - 1]], np.log(w[head[first] : ends[last - 1]]), head[first:last] - head[first], out[first:last])
+        first = last
     return who[head], out
 
 
+def _least(h: np.ndarray, ln_w: np.ndarray, head: np.ndarray, out: np.ndarray) -> None:
+    low = np.uint64(0xFFF)
+    x, i = np.empty_like(h), np.empty_like(h)
+    r, t, u = np.empty(len(h)), np.empty(len(h)), np.empty(len(h))
+    for k in range(out.shape[1]):
+        np.multiply(h, _MULTIPLIERS[k], out=x)
+        np.right_shift(x, np.uint64(52), out=i)
+        _GAMMA_R.take(i.view(np.int64), out=r, mode="clip")
+        _INVERSE_R.take(i.view(np.int64), out=t, mode="clip")
+        np.multiply(t, ln_w, out=t)
+        np.right_shift(x, np.uint64(28), out=i)
+        np.bitwise_and(i, low, out=i)
+        _BETA.take(i.view(np.int64), out=u, mode="clip")
+        np.add(t, u, out=t)
+        np.floor(t, out=t)
+        np.subtract(t, u, out=t)
+        np.add(t, 1.0, out=t)
+        np.multiply(t, r, out=t)
+        np.right_shift(x, np.uint64(40), out=i)
+        np.bitwise_and(i, low, out=i)
+        _LN_C.take(i.view(np.int64), out=u, mode="clip")
+        np.subtract(u, t, out=t)
+        out[:, k] = np.minimum.reduceat(t, head)
+
+
 def _signer(idf: np.ndarray, o: Options):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", _SLICE):
@@ -218,31 +241,25 @@ def _links(nodes: DataFrame, rows: DataFrame, idf: np.ndarray, o: Options) -> Da
     ends = members.select(F.col("low").alias("hub"), "node").unionAll(members.where("n > 2").select(F.col("high").alias("hub"), "node"))
     pairs = stored(_unordered(ends.where("hub <> node")), "pairs")
     links = stored(verified(pairs, texts, idf, o).select("a", "b"), "links")
-    hubs = members.where("n > 3").select("key", F.col("low").alias("hub")).distinct().unionAll(members.where("n > 3").select("key", F.col("high").alias("hub")).distinct())
-    members, hubs = stored(members.where("n > 3").select("key", "node"), "members"), stored(hubs, "hubs")
-    tested, cut = pairs, False
+    hubs = members.where("n > 3").select("key", F.explode(F.array("low", "high")).alias("hub")).distinct()
+    members, hubs = members.where("n > 3").select("key", "node"), stored(hubs, "hubs")
     while True:
         comps = components(links)
         labelled = _label(members, "node", comps)
-        seen = _label(hubs, "hub", comps).select("key", "comp").distinct()
-        open_ = labelled.join(seen, ["key", "comp"], "left_anti")
-        if not cut:
-            cut = True
-            wide = open_.groupBy("key").agg(F.countDistinct("comp").alias("n")).where(F.col("n") > o.wide).select("key")
-            wide = stored(wide, "wide")
-            if not wide.isEmpty():
-                members, hubs = _refined(members, hubs, wide, nodes)
-                continue
-        hub = stored(open_.groupBy("key").agg(F.min("node").alias("hub")), "hub")
-        if hub.isEmpty():
+        open_ = labelled.join(_label(hubs, "hub", comps).select("key", "comp").distinct(), ["key", "comp"], "left_anti")
+        open_ = stored(open_.groupBy("key", "comp").agg(F.min("node").alias("hub")), "open")
+        if open_.isEmpty():
             return links
-        to = _label(hub, "hub", comps).select("key", "hub", F.col("comp").alias("hub_comp"))
-        fresh = _unordered(labelled.join(to, "key").where("comp <> hub_comp").select("hub", "node"))
-        fresh = stored(fresh.join(tested, ["hub", "node"], "left_anti"), "pairs")
-        hubs = hubs.unionAll(hub.select("key", "hub"))
+        wide = stored(open_.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > o.wide).select("key"), "wide")
+        narrow = open_.join(wide, "key", "left_anti").select("key", "hub", F.col("comp").alias("hub_comp"))
+        fresh = _unordered(labelled.join(narrow, "key").where("comp <> hub_comp").select("hub", "node"))
+        fresh = stored(fresh.join(pairs, ["hub", "node"], "left_anti"), "pairs")
         if not fresh.isEmpty():
-            tested = tested.unionAll(fresh)
             links = links.unionAll(stored(verified(fresh, texts, idf, o).select("a", "b"), "links"))
+        if wide.isEmpty():
+            return links
+        members = stored(_refined(members.join(wide, "key", "left_semi"), nodes), "members")
+        hubs = hubs.limit(0)
 
 
 def _unordered(pairs: DataFrame) -> DataFrame:
@@ -254,14 +271,14 @@ def _label(rows: DataFrame, column: str, comps: DataFrame) -> DataFrame:
     return rows.join(named, column, "left").withColumn("comp", F.coalesce("comp", column))
 
 
-def _refined(members: DataFrame, hubs: DataFrame, wide: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Cuts wide buckets by every second band of their nodes; a cut bucket begins without hubs."""
-    inside = members.join(wide, "key", "left_semi")
-    both = inside.join(nodes.select("node", "keys"), "node").select("key", "node", F.explode("keys").alias("other")).where("key <> other")
-    cut = both.select(F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("key"), "node").distinct()
+def _refined(inside: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Cuts buckets by one more band of their nodes. ``key`` stays a hash of the bands that make the bucket, in order, so
+    that a set of bands makes one bucket: bands are added in ascending order of their samples' hash."""
+    last = F.col("last") if "last" in inside.columns else F.col("key")
+    both = inside.withColumn("_last", last).join(nodes.select("node", "keys"), "node").select("key", "node", "_last", F.explode("keys").alias("other")).where("other > _last")
+    cut = both.select(F.xxhash64("key", "other").alias("key"), "node", F.col("other").alias("last"))
     shared = cut.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    kept = members.join(wide, "key", "left_anti").unionAll(cut.join(shared, "key", "left_semi"))
-    return stored(kept, "members"), stored(hubs.join(wide, "key", "left_anti"), "hubs")
+    return cut.join(shared, "key", "left_semi")
 
 
 def deduplicated(docs: DataFrame, options: Options = Options()) -> DataFrame:

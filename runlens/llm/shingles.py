@@ -62,7 +62,8 @@ def sequence_digest(doc: np.ndarray, word: np.ndarray, n: int) -> tuple[np.ndarr
 
 
 def shingles(doc: np.ndarray, word: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Text index, hash and count of each text's distinct shingles, sorted; a shorter text is one shingle of all its words."""
+    """Text index, hash (its upper 44 bits count) and count of each text's distinct shingles, sorted; a shorter text is one
+    shingle of all its words."""
     if not len(doc):
         return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64)
     head = np.flatnonzero(np.diff(doc, prepend=-1))
@@ -75,8 +76,12 @@ def shingles(doc: np.ndarray, word: np.ndarray, width: int) -> tuple[np.ndarray,
             there = left[start] > k
             h = h * np.uint64(0x9E3779B97F4A7C15) + np.where(there, word[np.minimum(start + k, len(word) - 1)], np.uint64(0))
         h = mix64(h)
+    # 44 bits of a hash behind 20 of the text's index make one integer to sort; texts beyond come a part at a time
+    parts = []
     who = doc[start]
-    order = np.lexsort((h, who))
-    who, h = who[order], h[order]
-    new = np.flatnonzero((np.diff(who, prepend=-1) != 0) | np.append(True, h[1:] != h[:-1]))
-    return who[new], h[new], np.diff(np.append(new, len(h)))
+    for lo in range(0, int(who[-1]) + 1, 1 << 20):
+        a, b = np.searchsorted(who, (lo, lo + (1 << 20)))
+        both = np.sort(((who[a:b] - lo).astype(np.uint64) << np.uint64(44)) | (h[a:b] >> np.uint64(20)))
+        new = np.flatnonzero(np.append(True, both[1:] != both[:-1])) if len(both) else np.empty(0, np.int64)
+        parts.append(((both[new] >> np.uint64(44)).astype(np.int64) + lo, both[new] << np.uint64(20), np.diff(np.append(new, len(both)))))
+    return parts[0] if len(parts) == 1 else tuple(np.concatenate(x) for x in zip(*parts, strict=True))
