@@ -6,7 +6,7 @@ words, a word said n times weighing 1 + ln n, and a linear softmax over two clas
 are trained together by Adam with weight decay; n-grams of fewer than ``min_docs`` texts keep the zero vector.
 
 Training takes a bounded sample of labelled rows: up to ``sample`` of each class, by a hash of doc_id. Their words and
-counts are gathered on the driver; a longer text comes in chunks of ``chunk`` words that share its weight.
+counts are gathered and fitted in one task; a longer text comes in chunks of ``chunk`` words that share its weight.
 Scoring takes all rows and whole texts; only a bounded word cache is kept in a task.
 
 Edge cases: a text that is null, empty or without words scores by the prior of class 1; with labels of one class only
@@ -87,20 +87,34 @@ class Model:
         return np.add.reduceat(self.word_score[at], np.cumsum(count) - count) / count if len(words) else np.empty(0)
 
 
+def word_hashes(words: list[str]) -> np.ndarray:
+    """64-bit hashes of non-empty words."""
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    chars = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    start = np.cumsum(size) - size
+    with np.errstate(over="ignore"):
+        place = (np.arange(len(chars)) - np.repeat(start, size)).astype(np.uint64)
+        return mix64(np.add.reduceat(mix64(chars + np.uint64(0x51ED2701) + place * np.uint64(0x9E3779B97F4A7C15)), start) + size.astype(np.uint64)) if len(words) else np.empty(0, np.uint64)
+
+
 def _gather(batches: Iterator[pa.RecordBatch], chunk: int) -> Iterator[pa.RecordBatch]:
+    """label, weight, word hashes and counts of each chunk of a text; words new to the task come along once, with a null label."""
+    known: set[str] = set()
     for batch in slices(batches, "text", 4 << 20):
-        out: list[tuple[int, float, list[str], list[int]]] = []
+        out: list[tuple] = []
         for label, text in zip(batch.column("label").to_pylist(), batch.column("text").to_pylist(), strict=True):
             words = words_of(text)
             for i in range(0, len(words), chunk):
                 part: dict[str, int] = {}
                 for w in words[i : i + chunk]:
                     part[w] = part.get(w, 0) + 1
-                out.append((label, min(1.0, chunk / len(words)), list(part), list(part.values())))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([r[0] for r in out], pa.int32()), pa.array([r[1] for r in out], pa.float64()), pa.array([r[2] for r in out], pa.list_(pa.string())), pa.array([r[3] for r in out], pa.list_(pa.int32()))],
-            ["label", "weight", "words", "counts"],
-        )
+                new = [w for w in part if w not in known]
+                known.update(new)
+                out.append((label, min(1.0, chunk / len(words)), word_hashes([*part]).tobytes(), np.fromiter(part.values(), np.int32, len(part)).tobytes(), "\n".join(new)))
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), _GATHERED, strict=True)] if out else [pa.array([], t) for t in _GATHERED], ["label", "weight", "hashes", "counts", "words"])
+
+
+_GATHERED = (pa.int32(), pa.float64(), pa.binary(), pa.binary(), pa.string())
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = 3000, epochs: int = 8, shape: Shape = Shape(), seed: int = 7, chunk: int = 4096) -> Model:
@@ -109,29 +123,52 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 3000, epochs: int =
     known = labels.select("doc_id", F.col("label").cast("int").alias("label")).where("label IN (0, 1) AND doc_id IS NOT NULL")
     drawn = [known.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for k in (0, 1)]
     picked = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(drawn[0].unionAll(drawn[1])), "doc_id")
-    table = picked.repartition(12).mapInArrow(lambda b: _gather(b, chunk), "label int, weight double, words array<string>, counts array<int>").toPandas()
-    return fit_table(list(zip(table["label"], table["weight"], table["words"], table["counts"], strict=True)), epochs, shape, seed)
+    gathered = picked.mapInArrow(lambda b: _gather(b, chunk), "label int, weight double, hashes binary, counts binary, words string")
+    found = gathered.repartition(1).mapInArrow(_fitter(epochs, shape, seed), "scores binary, bias double").first()
+    return Model(shape, np.frombuffer(found.scores, np.float32), found.bias)
+
+
+def _fitter(epochs: int, shape: Shape, seed: int):
+    """Fits the bounded sample in one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, vocabulary = [], set()
+        for batch in batches:
+            vocabulary.update(w for ws in batch.column("words").to_pylist() for w in ws.split("\n") if w)
+            for label, weight, h, c in zip(*(batch.column(c).to_pylist() for c in ("label", "weight", "hashes", "counts")), strict=True):
+                rows.append((label, weight, np.frombuffer(h, np.uint64), np.frombuffer(c, np.int32)))
+        m = fit_table(rows, sorted(vocabulary), epochs, shape, seed)
+        yield pa.RecordBatch.from_arrays([pa.array([m.word_score.astype(np.float32).tobytes()], pa.binary()), pa.array([float(m.bias)])], ["scores", "bias"])
+
+    return run
 
 
-def fit_table(rows: list[tuple], epochs: int = 8, shape: Shape = Shape(), seed: int = 7, min_docs: int = 10, rate: float = 0.02, decay: float = 1.5, eps: float = 1e-8) -> Model:
-    """``rows``: label, weight, distinct words, their counts. The order of rows has no effect."""
-    rows = sorted(rows, key=lambda r: (int(r[0]), len(r[2]), tuple(r[2][:8]), tuple(r[3][:8])))
+def fit_table(rows: list[tuple], vocabulary: list[str], epochs: int = 8, shape: Shape = Shape(), seed: int = 7, min_docs: int = 10, rate: float = 0.02, decay: float = 1.5, eps: float = 1e-8, steps: int = 150) -> Model:
+    """``rows``: label, weight, hashes of the distinct words, their counts. The order of rows has no effect. Few rows are
+    gone through more often than ``epochs``, for ``steps`` updates in all."""
+    rows = sorted(rows, key=lambda r: (int(r[0]), len(r[2]), r[2].tobytes()))
     y, weight = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.float32)
     if not len(y) or y.min() == y.max():
         share = float(y[0]) if len(y) else 0.5
         return Model(shape, np.zeros(shape.buckets), float(np.clip(np.log((share + 1e-3) / (1 - share + 1e-3)), -7, 7)))
-    vocabulary = {w: i for i, w in enumerate(sorted({w for r in rows for w in r[2]}))}
-    buckets, count = subwords([*vocabulary], shape)
+    epochs = max(epochs, -(-steps * 128 // len(y)))
+    parts = [subwords(vocabulary[i : i + 20_000], shape) for i in range(0, len(vocabulary), 20_000)]
+    buckets, count = np.concatenate([p[0].astype(np.int32) for p in parts]), np.concatenate([p[1] for p in parts])
+    del parts
     starts = np.cumsum(count) - count
-    held, at = np.unique(buckets, return_inverse=True)  # only rows of the table that the sample touches are trained
-    docs = [(np.array([vocabulary[w] for w in r[2]], np.int64), 1 + np.log(np.array(r[3], np.float32))) for r in rows]
+    held = np.unique(buckets)  # only rows of the table that the sample touches are trained
+    at = np.searchsorted(held, buckets).astype(np.int32)
+    del buckets
+    hashes = word_hashes(vocabulary)
+    order = np.argsort(hashes)
+    docs = [(order[np.searchsorted(hashes, r[2], sorter=order)], 1 + np.log(r[3].astype(np.float32))) for r in rows]
     frequent = np.zeros(len(held), np.int64)
     for words, _ in docs:
         lens = count[words]
         frequent += np.bincount(np.unique(at[np.repeat(starts[words], lens) + np.arange(lens.sum()) - np.repeat(np.cumsum(lens) - lens, lens)]), minlength=len(held)) > 0
     # n-grams of too few texts keep a zero vector; the others move up to stand together
     used = frequent >= min_docs
-    row = np.where(used, np.cumsum(used) - 1, used.sum())
+    row = np.where(used, np.cumsum(used) - 1, used.sum()).astype(np.int32)
     values, bias = _fit(docs, y, weight, row[at], count, starts, int(used.sum()), shape, epochs, seed, rate, decay, eps)
     table = np.zeros(shape.buckets)
     table[held[used]] = values
