@@ -13,6 +13,9 @@ import re
 import numpy as np
 
 MARK = "▁"
+NONE = -2
+_SLOT_BITS = 20
+_TOP, _MID, _LOW = np.uint64(64 - _SLOT_BITS), np.uint64(20), np.uint64((1 << _SLOT_BITS) - 1)
 
 
 class Vocabulary:
@@ -43,6 +46,7 @@ class Vocabulary:
         for p in [*self.table]:
             for n in range(1, len(p)):
                 self.table.setdefault(p[:n], -1)
+        self._index()
         rank = np.argsort(np.argsort(-self.scores, kind="stable"), kind="stable")
         #: Log probabilities by Zipf's law on the rank of the vocabulary's own scores.
         normal = np.isfinite(self.scores)
@@ -51,6 +55,38 @@ class Vocabulary:
         with np.errstate(divide="ignore"):
             self.log_p = np.log(weight / weight.sum())
 
+    def _index(self) -> None:
+        """``table`` by hash: two direct-address tables, the second for what the first has no room for."""
+        texts = [*self.table]
+        ids = np.fromiter(self.table.values(), np.int64, len(texts))
+        for seed in range(1, 100):
+            self.seed = np.uint64(2 * seed + 1) * np.uint64(0x9E3779B97F4A7C15 % (1 << 63)) | np.uint64(1)
+            keys = np.array([self._hash(t) for t in texts], np.uint64)
+            self.first, self.second = np.zeros(1 << _SLOT_BITS, np.int32), np.zeros(1 << _SLOT_BITS, np.int32)
+            rows = np.arange(1, len(texts) + 1, dtype=np.int32)  # row 0 is no entry
+            self.first[keys >> _TOP] = rows
+            left = np.flatnonzero(self.first[keys >> _TOP] != rows)
+            self.second[(keys[left] >> _MID) & _LOW] = rows[left]
+            if (self.second[(keys[left] >> _MID) & _LOW] == rows[left]).all() and len(np.unique(keys)) == len(keys):
+                self.keys, self.ids = np.concatenate([np.zeros(1, np.uint64), keys]), np.concatenate([[NONE], ids])
+                return
+        raise ValueError("no seed parts the pieces' hashes")
+
+    def _hash(self, text: str) -> int:
+        h = 0
+        for c in text:
+            h = ((h + ord(c) + 1) * int(self.seed)) & 0xFFFFFFFFFFFFFFFF
+            h ^= h >> 29
+        return h
+
+    def look_up(self, h: np.ndarray) -> np.ndarray:
+        """Piece ids of hashes: -1 for what only starts a piece, ``NONE`` for what doesn't."""
+        row = self.first[(h >> _TOP).view(np.int64)]
+        miss = np.flatnonzero(self.keys[row] != h)
+        other = self.second[((h[miss] >> _MID) & _LOW).view(np.int64)]
+        row[miss] = np.where(self.keys[other] == h[miss], other, 0)
+        return self.ids[row]
+
     def cut(self, text: str) -> list[str]:
         """Units of a text behind one leading space (the dummy prefix); none for an empty text."""
         return self.units.findall(" " + text) if text else []
@@ -68,35 +104,38 @@ class Edges:
     """
 
     def __init__(self, v: Vocabulary, units: list[str]):
-        source, target, piece, level = [], [], [], []
-        table, longest, bytes_of = v.table, v.longest, v.byte_ids
-        base = 0
-        first = np.zeros(len(units), np.int64)
-        for k, u in enumerate(units):
-            first[k], n = base, len(u)
-            for i in range(n):
-                at = base + i - 1 if i else -1
-                found = table.get(u[i])
-                if found is None or found < 0:
-                    c = ord(u[i])
-                    source.append(at), target.append(base + i), piece.append(bytes_of[c] if c < 128 else -1 - c), level.append(i)
-                    if found is None:
-                        continue
-                else:
-                    source.append(at), target.append(base + i), piece.append(found), level.append(i)
-                for j in range(i + 2, min(n, i + longest) + 1):
-                    found = table.get(u[i:j])
-                    if found is None:
-                        break
-                    if found >= 0:
-                        source.append(at), target.append(base + j - 1), piece.append(found), level.append(j - 1)
-            base += n
-        self.nodes, self.first = base, first
-        self.last = first + np.fromiter(map(len, units), np.int64, len(units)) - 1
-        target, level = np.array(target, np.int64), np.array(level, np.int64)
-        order = np.lexsort((target, level))
-        self.source, self.target = np.array(source, np.int64)[order], target[order]
-        self.piece, self.level = np.array(piece, np.int64)[order], level[order]
+        size = np.fromiter(map(len, units), np.int64, len(units))
+        codes = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32).astype(np.uint64) + np.uint64(1)
+        self.nodes, self.first = len(codes), np.cumsum(size) - size
+        self.last = self.first + size - 1
+        start = np.repeat(self.first, size)
+        stop = start + np.repeat(size, size)
+        at, h = np.arange(self.nodes), np.zeros(self.nodes, np.uint64)  # substrings that still start a piece
+        froms, ends, pieces = [], [], []
+        for n in range(1, v.longest + 1):
+            with np.errstate(over="ignore"):
+                h = (h + codes[at + n - 1]) * v.seed
+            h ^= h >> np.uint64(29)
+            found = v.look_up(h)
+            if n == 1:
+                c = codes.astype(np.int64) - 1
+                alone = np.where(c < 128, np.array(v.byte_ids)[np.minimum(c, 127)], -1 - c)
+                froms.append(at), ends.append(at), pieces.append(np.where(found >= 0, found, alone))
+            else:
+                hit = np.flatnonzero(found >= 0)
+                froms.append(at[hit]), ends.append(at[hit] + n - 1), pieces.append(found[hit])
+            go = np.flatnonzero((found != NONE) & (at + n < stop[at]))
+            at, h = at[go], h[go]
+            if not len(at):
+                break
+        begin, target = np.concatenate(froms), np.concatenate(ends)
+        order = np.argsort(target, kind="stable")
+        level = target[order] - start[begin[order]]
+        narrow = level.astype(np.int16) if len(level) and level.max() < 32_000 else level  # 16 bits sort by radix
+        order = order[np.argsort(narrow, kind="stable")]
+        begin, self.target, self.piece = begin[order], target[order], np.concatenate(pieces)[order]
+        self.level = self.target - start[begin]
+        self.source = np.where(begin == start[begin], -1, begin - 1)
 
     def log_weights(self, log_p: np.ndarray, log_byte: np.ndarray) -> np.ndarray:
         """Row of ``log_p`` (pieces x measures) for each edge; a byte fallback counts ``log_byte`` for each UTF-8 byte."""

@@ -24,7 +24,7 @@ from .common import TOKENIZERS, mix64, read_bytes, slices
 from .pieces import Edges, Vocabulary
 
 MODEL = f"{TOKENIZERS}/piece_bpe_32k.model"
-_CACHE_UNITS, _CACHE_CHARS = 150_000, 32
+_CACHE_UNITS, _CACHE_CHARS, _SLICE = 100_000, 32, 2 << 20
 
 
 class Sampler:
@@ -126,7 +126,7 @@ def _sampler(model: bytes, alpha: float) -> Sampler:
 def _encoder(model: bytes, alpha: float, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = _sampler(model, alpha)
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text", _SLICE):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             keys = np.array([k or 0 for k in batch.column("doc_id").to_pylist()], np.int64)
             ids, count = s.encode(texts, keys, seed)
@@ -138,14 +138,31 @@ def _encoder(model: bytes, alpha: float, seed: int):
 
 def _decoder(model: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = _sampler(model, 1.0).v
+        v = Vocabulary(model)
+        flat = np.frombuffer(b"".join(v.bytes), np.uint8)
+        length = np.fromiter(map(len, v.bytes), np.int64, v.size)
+        start = np.cumsum(length) - length
         for batch in batches:
-            texts = [v.decode(p or ()) for p in batch.column("pieces").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
+            for lo in range(0, batch.num_rows, 500):
+                part = batch.slice(lo, 500)
+                yield pa.RecordBatch.from_arrays([*part.columns, _texts(part.column("pieces"), flat, start, length)], [*part.schema.names, "decoded"])
 
     return run
 
 
+def _texts(pieces: pa.ListArray, flat: np.ndarray, start: np.ndarray, length: np.ndarray) -> pa.Array:
+    """Texts of piece rows: the pieces' bytes in order, without the space in front; a null row is an empty text."""
+    count = np.nan_to_num(pa.compute.list_value_length(pieces).to_numpy(zero_copy_only=False).astype(np.float64)).astype(np.int64)
+    ids = pieces.flatten().to_numpy(zero_copy_only=False)
+    at, n = start[ids], length[ids]
+    heads = (np.cumsum(count) - count)[count > 0]
+    at[heads] += 1
+    n[heads] -= 1
+    data = flat[np.repeat(at - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+    ends = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(count)])]
+    return pa.Array.from_buffers(pa.large_string(), len(count), [None, pa.py_buffer(ends.astype(np.int64).tobytes()), pa.py_buffer(data.tobytes())]).cast(pa.string())
+
+
 def encode(docs: DataFrame, model_path: str = MODEL, alpha: float = 0.5, seed: int = 17) -> DataFrame:
     """doc_id, text, pieces: a sampled segmentation of each whole text."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
