@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import points
+from . import logs, points, runs
 
-MODULES = (points,)
+MODULES = (points, runs, logs)
 
 QUERIES = {k: f for m in MODULES for k, (f, _) in m.ALL.items()}
 ORACLES = {k: sql for m in MODULES for k, (_, sql) in m.ALL.items() if sql}

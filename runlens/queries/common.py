@@ -24,8 +24,8 @@ RUNS = """runs AS (SELECT 'nation' || c_nationkey AS project_id, 'r' || o_orderk
   epoch_ms(o_orderdate) + o_orderkey % 1000 + (o_orderkey % 700) * 1000 AS ingested,
   CASE WHEN o_orderstatus = 'F' THEN CASE WHEN o_orderkey % 5 = 0 THEN 1 ELSE 0 END END AS exit_code,
   CASE WHEN o_orderstatus = 'F' THEN epoch_ms(o_orderdate) + o_orderkey % 1000 + (o_orderkey % 600) * 1000 END AS terminated,
-  CASE WHEN o_orderkey % 11 = 0 THEN epoch_ms(o_orderdate) + o_orderkey % 1000 + (o_orderkey % 20) * 86400000 END AS deleted,
-  CASE WHEN o_orderkey % 121 = 0 THEN epoch_ms(o_orderdate) + o_orderkey % 1000 + 40 * 86400000 END AS purging
+  CASE WHEN o_orderkey % 11 = 0 THEN epoch_ms(o_orderdate) + o_orderkey % 1000 + (o_orderkey % 20) * 86400000::BIGINT END AS deleted,
+  CASE WHEN o_orderkey % 121 = 0 THEN epoch_ms(o_orderdate) + o_orderkey % 1000 + 40 * 86400000::BIGINT END AS purging
   FROM orders JOIN customer ON o_custkey = c_custkey)"""
 TEXTS = r"""texts AS (SELECT 'docs' AS project_id, source AS run_id, 'logs/' || lang AS metric_name, '' AS tag, doc_id AS step, doc_id * 1000 AS timestamp_ms,
   text || CASE doc_id % 3 WHEN 0 THEN chr(13) || chr(10) WHEN 1 THEN chr(10) ELSE '' END AS text_data FROM documents)"""
