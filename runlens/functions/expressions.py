@@ -19,7 +19,7 @@ def marker_kind(v: Column) -> Column:
 
 def presented(v: Column) -> Column:
     """A chart's y: clamped to the 32-bit float range and rounded to it."""
-    return F.greatest(F.least(v, F.lit(FLOAT_MAX)), F.lit(-FLOAT_MAX)).cast("float")
+    return F.when(v.isNotNull(), F.greatest(F.least(v, F.lit(FLOAT_MAX)), F.lit(-FLOAT_MAX))).cast("float")
 
 
 def natural_key(name: Column) -> Column:

@@ -1 +1 @@
-
+"""Composite queries: charts, smoothers, change sets."""

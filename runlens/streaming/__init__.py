@@ -1 +1 @@
-
+"""Structured Streaming: ingest, rollups, late rows, liveness, smoother state."""
