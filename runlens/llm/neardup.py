@@ -10,11 +10,11 @@
    ln a = ln c - r (floor(ln w / r + beta) - beta) - r, where r and c are Gamma(2, 1) and beta uniform, all by
    hash of the shingle. That least value itself serves as the sample's fingerprint.
 4. Texts of equal word sequences are one node (the smallest doc_id). Nodes that share a band's samples meet in a bucket.
-   A bucket tests its nodes against hubs, never all pairs: first its smallest and largest node; then, if the bucket still
-   holds components none of whose nodes was a hub there, the smallest node of each of these against all nodes of other
-   components. A bucket with over ``wide`` such components is cut by one more band instead, and again until it is not,
-   so each node meets a bounded number of hubs a bucket. Tests are weighted Jaccard on the whole texts, streamed hub by
-   hub, hot hubs salted.
+   Nodes are tested against hubs, never all pairs: first each against the smallest node of all its buckets, which joins
+   most of a group at once; then, in buckets that still hold several components, the smallest node of each component
+   against all nodes of the others. A bucket with over ``wide`` components is cut by one more band instead, and again
+   until it is not, so a node meets a bounded number of hubs a bucket. Tests are weighted Jaccard on the whole texts,
+   streamed hub by hub, hot hubs salted.
 5. Components of the verified links are the classes. All counts, links and labels stay in tables.
 
 Edge cases: a text that is null, empty or without words is similar to nothing and a class by itself; a text of fewer
@@ -232,34 +232,31 @@ def near_duplicates(docs: DataFrame, options: Options = Options()) -> DataFrame:
 def _links(nodes: DataFrame, rows: DataFrame, idf: np.ndarray, o: Options) -> DataFrame | None:
     """Verified links (a, b) that connect the classes; None if no two nodes meet."""
     met = nodes.select("node", F.explode("keys").alias("key"))
-    buckets = met.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("low"), F.max("node").alias("high")).where("n > 1")
-    members = stored(met.join(buckets, "key").select("key", "node", "n", "low", "high"), "members")
-    if members.isEmpty():
+    buckets = met.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("low")).where("n > 1").select("key", "low")
+    members = stored(met.join(buckets, "key"), "members")
+    candidates = members.groupBy(F.col("node").alias("doc_id")).agg(F.min("low").alias("low"))
+    candidates = stored(candidates, "candidates")
+    if candidates.isEmpty():
         return None
-    candidates = members.select(F.col("node").alias("doc_id")).distinct()
-    texts = stored(rows.join(candidates.hint("shuffle_hash"), "doc_id", "left_semi"), "texts")
-    ends = members.select(F.col("low").alias("hub"), "node").unionAll(members.where("n > 2").select(F.col("high").alias("hub"), "node"))
-    pairs = stored(_unordered(ends.where("hub <> node")), "pairs")
+    texts = stored(rows.join(candidates.select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi"), "texts")
+    pairs = candidates.where("low <> doc_id").select(F.col("low").alias("hub"), F.col("doc_id").alias("node"))
     links = stored(verified(pairs, texts, idf, o).select("a", "b"), "links")
-    hubs = members.where("n > 3").select("key", F.explode(F.array("low", "high")).alias("hub")).distinct()
-    members, hubs = members.where("n > 3").select("key", "node"), stored(hubs, "hubs")
+    members = members.select("key", "node")
     while True:
-        comps = components(links)
-        labelled = _label(members, "node", comps)
-        open_ = labelled.join(_label(hubs, "hub", comps).select("key", "comp").distinct(), ["key", "comp"], "left_anti")
-        open_ = stored(open_.groupBy("key", "comp").agg(F.min("node").alias("hub")), "open")
-        if open_.isEmpty():
-            return links
-        wide = stored(open_.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > o.wide).select("key"), "wide")
-        narrow = open_.join(wide, "key", "left_anti").select("key", "hub", F.col("comp").alias("hub_comp"))
+        labelled = _label(members, "node", components(links))
+        firsts = labelled.groupBy("key", "comp").agg(F.min("node").alias("hub"))
+        counts = firsts.groupBy("key").agg(F.count(F.lit(1)).alias("comps")).where("comps > 1")
+        open_ = stored(firsts.join(counts, "key"), "open")
+        narrow = open_.where(F.col("comps") <= o.wide).select("key", "hub", F.col("comp").alias("hub_comp"))
         fresh = _unordered(labelled.join(narrow, "key").where("comp <> hub_comp").select("hub", "node"))
         fresh = stored(fresh.join(pairs, ["hub", "node"], "left_anti"), "pairs")
         if not fresh.isEmpty():
             links = links.unionAll(stored(verified(fresh, texts, idf, o).select("a", "b"), "links"))
+            pairs = pairs.unionAll(fresh)
+        wide = open_.where(F.col("comps") > o.wide).select("key").distinct()
         if wide.isEmpty():
             return links
         members = stored(_refined(members.join(wide, "key", "left_semi"), nodes), "members")
-        hubs = hubs.limit(0)
 
 
 def _unordered(pairs: DataFrame) -> DataFrame:
