@@ -117,7 +117,7 @@ def _gather(batches: Iterator[pa.RecordBatch], chunk: int) -> Iterator[pa.Record
 _GATHERED = (pa.int32(), pa.float64(), pa.binary(), pa.binary(), pa.string())
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 3000, epochs: int = 8, shape: Shape = Shape(), seed: int = 7, chunk: int = 4096) -> Model:
+def train(docs: DataFrame, labels: DataFrame, sample: int = 5000, epochs: int = 8, shape: Shape = Shape(), seed: int = 7, chunk: int = 4096) -> Model:
     """``docs``: doc_id, text. ``labels``: doc_id, label (0 or 1). Takes at most ``sample`` labels of each class, those of the
     smallest hashes of doc_id; these few rows are broadcast to the texts."""
     known = labels.select("doc_id", F.col("label").cast("int").alias("label")).where("label IN (0, 1) AND doc_id IS NOT NULL")
@@ -143,7 +143,7 @@ def _fitter(epochs: int, shape: Shape, seed: int):
     return run
 
 
-def fit_table(rows: list[tuple], vocabulary: list[str], epochs: int = 8, shape: Shape = Shape(), seed: int = 7, min_docs: int = 10, rate: float = 0.02, decay: float = 1.5, eps: float = 1e-8, steps: int = 150) -> Model:
+def fit_table(rows: list[tuple], vocabulary: list[str], epochs: int = 8, shape: Shape = Shape(), seed: int = 7, min_docs: int = 10, rate: float = 0.02, decay: float = 1.5, eps: float = 1e-8, steps: int = 150, balance: float = 0.5) -> Model:
     """``rows``: label, weight, hashes of the distinct words, their counts. The order of rows has no effect. Few rows are
     gone through more often than ``epochs``, for ``steps`` updates in all."""
     rows = sorted(rows, key=lambda r: (int(r[0]), len(r[2]), r[2].tobytes()))
@@ -152,6 +152,8 @@ def fit_table(rows: list[tuple], vocabulary: list[str], epochs: int = 8, shape:
         share = float(y[0]) if len(y) else 0.5
         return Model(shape, np.zeros(shape.buckets), float(np.clip(np.log((share + 1e-3) / (1 - share + 1e-3)), -7, 7)))
     epochs = max(epochs, -(-steps * 128 // len(y)))
+    rare = y == int(y.mean() < 0.5)
+    weight[rare] *= ((~rare).sum() / rare.sum()) ** balance
     parts = [subwords(vocabulary[i : i + 20_000], shape) for i in range(0, len(vocabulary), 20_000)]
     buckets, count = np.concatenate([p[0].astype(np.int32) for p in parts]), np.concatenate([p[1] for p in parts])
     del parts
