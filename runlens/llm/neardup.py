@@ -11,10 +11,13 @@
    hash of the shingle. That least value itself serves as the sample's fingerprint.
 4. Texts of equal word sequences are one node (the smallest doc_id). Nodes that share a band's samples meet in a bucket.
    Nodes are tested against hubs, never all pairs: first each against the smallest node of all its buckets, which joins
-   most of a group at once; then, in buckets that still hold several components, the smallest node of each component
-   against all nodes of the others. A bucket with over ``wide`` components is cut by one more band instead, and again
-   until it is not, so a node meets a bounded number of hubs a bucket. Tests are weighted Jaccard on the whole texts,
-   streamed hub by hub, hot hubs salted.
+   most of a group at once; then against the smallest and largest node of each of its buckets that is of another
+   component. What is left are nodes outside the component of their bucket's smallest node. In buckets of up to ``wide``
+   nodes the smallest node of each component is tested against all nodes of the others; in larger ones so are the nodes
+   left, among themselves. Where these are of over ``wide`` components, their bucket is cut by one more band, and again
+   until it is not, so a node meets a bounded number of hubs. Tests are weighted Jaccard on the whole texts, streamed hub
+   by hub, hot hubs salted. A text that is similar only to inner members of a large class, and not to its hubs in any of
+   the up to ``bands`` buckets they share, stays apart: telling it would take all pairs.
 5. Components of the verified links are the classes. All counts, links and labels stay in tables.
 
 Edge cases: a text that is null, empty or without words is similar to nothing and a class by itself; a text of fewer
@@ -46,7 +49,7 @@ class Options:
     rows: int = 4
     bits: int = 18
     idf_share: float = 0.25
-    wide: int = 8
+    wide: int = 16
     #: Nodes tested against one copy of a hub's text in a task.
     salted: int = 500
 
@@ -232,31 +235,57 @@ def near_duplicates(docs: DataFrame, options: Options = Options()) -> DataFrame:
 def _links(nodes: DataFrame, rows: DataFrame, idf: np.ndarray, o: Options) -> DataFrame | None:
     """Verified links (a, b) that connect the classes; None if no two nodes meet."""
     met = nodes.select("node", F.explode("keys").alias("key"))
-    buckets = met.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("low")).where("n > 1").select("key", "low")
-    members = stored(met.join(buckets, "key"), "members")
-    candidates = members.groupBy(F.col("node").alias("doc_id")).agg(F.min("low").alias("low"))
-    candidates = stored(candidates, "candidates")
+    buckets = met.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("low"), F.max("node").alias("high")).where("n > 1")
+    # one row a node again right behind the join: its buckets (at most ``bands``) with their size and hubs
+    held = F.when(F.col("n").isNotNull(), F.struct("key", "n", "low", "high"))
+    nodes_in = met.join(buckets, "key", "left").groupBy("node").agg(F.min("low").alias("low"), F.collect_list(held).alias("buckets"))
+    candidates = stored(nodes_in.where("low IS NOT NULL"), "candidates")
     if candidates.isEmpty():
         return None
-    texts = stored(rows.join(candidates.select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi"), "texts")
-    pairs = candidates.where("low <> doc_id").select(F.col("low").alias("hub"), F.col("doc_id").alias("node"))
-    links = stored(verified(pairs, texts, idf, o).select("a", "b"), "links")
-    members = members.select("key", "node")
+    ids = candidates.select(F.col("node").alias("doc_id"))
+    texts = stored(rows.join(ids.hint("shuffle_hash"), "doc_id", "left_semi"), "texts")
+
+    def test(pairs: DataFrame) -> DataFrame:
+        return stored(verified(pairs, texts, idf, o).select("a", "b"), "links")
+
+    tested = candidates.where("low <> node").select(F.col("low").alias("hub"), "node")
+    links = test(tested)
+    labelled = _label(candidates, "node", comps := components(links))
+    hubs = F.explode(F.array_distinct(F.concat(F.transform("buckets", lambda x: x.low), F.transform("buckets", lambda x: x.high))))
+    other = _label(labelled.select("node", F.col("comp").alias("own"), hubs.alias("hub")), "hub", comps).where("own <> comp").select("hub", "node")
+    fresh = stored(_unordered(other).join(tested, ["hub", "node"], "left_anti"), "pairs")
+    if fresh.isEmpty():
+        return links
+    tested = tested.unionAll(fresh)
+    links = links.unionAll(test(fresh))
+
+    # what is left are buckets that hold nodes outside their lowest node's component
+    labelled = _label(candidates, "node", comps := components(links))
+    lows = labelled.select("node", F.col("comp").alias("own"), F.explode(F.array_distinct(F.transform("buckets", lambda x: x.low))).alias("low"))
+    apart = _label(lows, "low", comps).where("own <> comp").select("node", "low")
+    minors = labelled.join(apart.groupBy("node").agg(F.collect_set("low").alias("lows")), "node")
+    minors = minors.select("node", "comp", F.explode("buckets").alias("b"), "lows").where(F.array_contains("lows", F.col("b.low"))).select("node", "comp", "b.key", "b.n")
+    minors = stored(minors, "minors")
+    if minors.isEmpty():
+        return links
+    small = minors.where(F.col("n") <= o.wide).select("key").distinct()
+    whole = _label(met.join(small, "key", "left_semi"), "node", comps).select("key", "node", "comp")
+    group = whole.unionAll(minors.where(F.col("n") > o.wide).select("key", "node", "comp"))
     while True:
-        labelled = _label(members, "node", components(links))
-        firsts = labelled.groupBy("key", "comp").agg(F.min("node").alias("hub"))
+        group = stored(group, "group")
+        firsts = group.groupBy("key", "comp").agg(F.min("node").alias("hub"))
         counts = firsts.groupBy("key").agg(F.count(F.lit(1)).alias("comps")).where("comps > 1")
         open_ = stored(firsts.join(counts, "key"), "open")
         narrow = open_.where(F.col("comps") <= o.wide).select("key", "hub", F.col("comp").alias("hub_comp"))
-        fresh = _unordered(labelled.join(narrow, "key").where("comp <> hub_comp").select("hub", "node"))
-        fresh = stored(fresh.join(pairs, ["hub", "node"], "left_anti"), "pairs")
+        fresh = _unordered(group.join(narrow, "key").where("comp <> hub_comp").select("hub", "node"))
+        fresh = stored(fresh.join(tested, ["hub", "node"], "left_anti"), "pairs")
         if not fresh.isEmpty():
-            links = links.unionAll(stored(verified(fresh, texts, idf, o).select("a", "b"), "links"))
-            pairs = pairs.unionAll(fresh)
+            tested = tested.unionAll(fresh)
+            links = links.unionAll(test(fresh))
         wide = open_.where(F.col("comps") > o.wide).select("key").distinct()
         if wide.isEmpty():
             return links
-        members = stored(_refined(members.join(wide, "key", "left_semi"), nodes), "members")
+        group = _refined(group.join(wide, "key", "left_semi"), nodes)
 
 
 def _unordered(pairs: DataFrame) -> DataFrame:
@@ -272,8 +301,8 @@ def _refined(inside: DataFrame, nodes: DataFrame) -> DataFrame:
     """Cuts buckets by one more band of their nodes. ``key`` stays a hash of the bands that make the bucket, in order, so
     that a set of bands makes one bucket: bands are added in ascending order of their samples' hash."""
     last = F.col("last") if "last" in inside.columns else F.col("key")
-    both = inside.withColumn("_last", last).join(nodes.select("node", "keys"), "node").select("key", "node", "_last", F.explode("keys").alias("other")).where("other > _last")
-    cut = both.select(F.xxhash64("key", "other").alias("key"), "node", F.col("other").alias("last"))
+    both = inside.withColumn("_last", last).join(nodes.select("node", "keys"), "node").select("key", "node", "comp", "_last", F.explode("keys").alias("other")).where("other > _last")
+    cut = both.select(F.xxhash64("key", "other").alias("key"), "node", "comp", F.col("other").alias("last"))
     shared = cut.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     return cut.join(shared, "key", "left_semi")
 
