@@ -167,3 +167,32 @@ def fan_out(records: DataFrame, value: str = "record") -> DataFrame:
 def write_points(df: DataFrame, path: str, mode: str = "append") -> None:
     """Partitioned by project, each file sorted by key, so that row-group statistics prune runs and metrics."""
     df.repartition("project_id", "run_id").sortWithinPartitions("project_id", *KEY[1:]).write.mode(mode).partitionBy("project_id").parquet(path)
+
+
+def asof(left: DataFrame, right: DataFrame, by: list[str], on: str, values: list[str]) -> DataFrame:
+    """Each left row with the values of the last right row at or before it (null without one): a union and one window for each
+    key, no range join. Right rows with equal ``on`` are taken by their values."""
+    a = left.select(*by, F.col(on).alias("_on"), F.struct(*left.columns).alias("_l"), F.lit(None).cast(right.select(F.struct(*values)).schema[0].dataType).alias("_r"))
+    b = right.select(*by, F.col(on).alias("_on"), F.lit(None).cast(a.schema["_l"].dataType).alias("_l"), F.struct(*values).alias("_r"))
+    # at equal places right rows come first, in order of their values
+    w = Window.partitionBy(*by).orderBy("_on", F.col("_l").isNotNull(), "_r").rowsBetween(Window.unboundedPreceding, 0)
+    found = a.unionAll(b).withColumn("_v", F.last("_r", True).over(w)).where("_l IS NOT NULL")
+    return found.select("_l.*", *[F.col(f"_v.{v}").alias(v) for v in values])
+
+
+def range_join(left: DataFrame, right: DataFrame, by: list[str], on: str, reach: float) -> DataFrame:
+    """Pairs with abs(left.on - right.on) <= reach, by cells of that width: a left row meets its own cell and the two next to it."""
+    cell = F.floor(F.col(on) / reach)
+    a = left.withColumn("_cell", F.explode(F.array(cell - 1, cell, cell + 1)))
+    b = right.select(*by, cell.alias("_cell"), *[F.col(c).alias(f"r_{c}") for c in right.columns if c not in by])
+    return a.join(b, [*by, "_cell"]).where(F.abs(F.col(on) - F.col(f"r_{on}")) <= reach).drop("_cell")
+
+
+def read_points(spark, path: str, project: str) -> DataFrame:
+    """A project's points: other projects' folders are never listed."""
+    return spark.read.parquet(path).where(F.col("project_id") == project)
+
+
+def log_domain(df: DataFrame, x: str, custom: bool) -> DataFrame:
+    """``plottable`` on a log axis: a step or time from 0, another metric's value above 0."""
+    return df.withColumn("plottable", F.col(x) > 0 if custom else F.col(x) >= 0)

@@ -11,6 +11,6 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written once to ``spark.checkpoint.dir`` (a temporary folder only where none is set), for plans that read it
     several times and must not be recomputed differently."""
     spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="runlens-"))
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="runlens-"))
     return df.checkpoint()

@@ -168,9 +168,21 @@ def custom_smoothed(spark, sf_dir):
     return C.custom_smoothed(_folded(spark, sf_dir), Request(("click",), axis="metric", x_metric="view", target=60, versioned=False, smoothing=Smoothing("ema", 0, tau=5)))
 
 
-@query("CH_9_ladder_smoothed")
+_CELL_LOG = "(floor(log2(x + 1)) * pow(2, m) + floor((x + 1 - pow(2, floor(log2(x + 1)))) / pow(2, floor(log2(x + 1)) - m)))::BIGINT"
+_FOLDS = "(least({x}, kn) / 10 + CASE WHEN {x} > kn THEN ln(({x} + 1) / (kn + 1)) / gr ELSE 0 END)"
+
+
+@query(
+    "CH_9_11_ladder_smoothed",
+    (
+        _chart_sql(POINTS, "step", 30, "floor(cell / pow(2, m)) >= m + 2", "metric_name = 'error'", _CELL_LOG, _LADDER)
+        + _fit_sql(f"exp({_FOLDS.format(x='s.x')} - {_FOLDS.format(x='xq')})", "(s.x - xq) / 1000", "0", "s.x <= xq", ", gg AS (SELECT 1.25 / pow(2, m) AS gr, 10 / (1.25 / pow(2, m)) - 1 AS kn FROM g)")
+    )
+    .replace("FROM need JOIN s ON", "FROM need CROSS JOIN gg JOIN s ON")
+    .replace("need AS (SELECT a.run_id, a.metric_name, a.tag, a.slot, slots.x AS xq FROM a JOIN slots USING (slot) WHERE n > 0 AND (NOT env OR marker_kind IS NULL))", _SHOWS),
+)
 def ladder_smoothed(spark, sf_dir):
-    return chart(A.points(spark, sf_dir), Request(("error",), target=30, log_x=True, smoothing=Smoothing("ema", 1, tau=10)))
+    return _smooth_out(chart(A.points(spark, sf_dir), Request(("error",), target=30, log_x=True, smoothing=Smoothing("ema", 1, tau=10))))
 
 
 _BASE = _chart_sql(POINTS, "step", 40, "w >= 4") + ", r AS (" + _SELECT + ")"
@@ -214,7 +226,11 @@ def unplottable(spark, sf_dir):
     return anchors.groupBy("run_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("WN_5_CH_8_anchors")
+@query(
+    "WN_5_CH_8_anchors",
+    _chart_sql(POINTS, "step - 500", 40, "floor(cell / pow(2, m)) >= m + 2", "metric_name = 'click' AND step >= 500", _CELL_LOG.replace("x + 1", "x + sh"), _LADDER.replace("<= 30", "<= 40").replace("lo + 1", "lo + sh").replace("hi + 1", "hi + sh").replace("max(x) AS hi FROM s)", "max(x) AS hi, CASE WHEN min(x) = 0 THEN 1 ELSE 0 END AS sh FROM s)").replace("g AS (SELECT max(m) AS m FROM ms", "g AS (SELECT max(m) AS m, any_value(sh) AS sh FROM ms, g0"))
+    + ", f AS (SELECT run_id, arg_min(slot, x) AS slot FROM p GROUP BY run_id) SELECT f.run_id, f.slot, slots.x, 4 AS marker_kind FROM f JOIN slots USING (slot) LEFT JOIN a ON a.run_id = f.run_id AND a.slot = f.slot WHERE a.marker_kind IS NULL",
+)
 def anchors(spark, sf_dir):
     p = A.points(spark, sf_dir).withColumn("step", F.col("step") - 500)
     return chart(p, Request(("click",), log_x=True, target=40)).where("marker_kind = 4").select("run_id", "slot", "x", "marker_kind")

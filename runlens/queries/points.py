@@ -390,3 +390,41 @@ def rates(spark, sf_dir):
 @query("SL_12_history", f"WITH {LATEST} SELECT run_id, tag, step, value::DOUBLE AS value FROM latest WHERE metric_name = 'flag/R' AND value IS NOT NULL")
 def history(spark, sf_dir):
     return P.history(A.dense_points(spark, sf_dir), "flag/R").select("run_id", "tag", "step", F.col("value").cast("double").alias("value"))
+
+
+@query("SRC_6_point_sink", f"WITH {DENSE} SELECT run_id, count(*) AS n FROM dense WHERE project_id = 'p1' GROUP BY ALL")
+def sink(spark, sf_dir):
+    """Written partitioned and sorted, and one project read back."""
+    from .streams import _root
+
+    path = _root(spark)
+    P.write_points(A.dense_points(spark, sf_dir), path, "overwrite")
+    return P.read_points(spark, path, "p1").groupBy("run_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("PF_7_log_domain", f"WITH {POINTS} SELECT step - 100 >= 0 AS plottable, count(*) AS n FROM points GROUP BY ALL")
+def log_domain(spark, sf_dir):
+    p = A.points(spark, sf_dir).withColumn("step", F.col("step") - 100)
+    return P.log_domain(p, "step", False).groupBy("plottable").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "JN_4_asof",
+    f"""WITH {POINTS}, a AS (SELECT run_id, step FROM points WHERE metric_name = 'click'), b AS (SELECT run_id, step, timestamp_ms FROM points WHERE metric_name = 'view')
+  SELECT a.run_id, a.step, b.timestamp_ms AS view_ms FROM a ASOF LEFT JOIN b ON a.run_id = b.run_id AND a.step >= b.step""",
+)
+def asof(spark, sf_dir):
+    p = A.points(spark, sf_dir)
+    a = p.where("metric_name = 'click'").select("run_id", "step")
+    b = p.where("metric_name = 'view'").select("run_id", "step", F.col("timestamp_ms").alias("view_ms"))
+    return P.asof(a, b, ["run_id"], "step", ["view_ms"])
+
+
+@query(
+    "JN_3_range_join",
+    f"""WITH {POINTS}, a AS (SELECT run_id, step FROM points WHERE metric_name = 'click'), b AS (SELECT run_id, step FROM points WHERE metric_name = 'view')
+  SELECT a.run_id, a.step, b.step AS r_step FROM a JOIN b ON a.run_id = b.run_id AND abs(a.step - b.step) <= 25""",
+)
+def range_join(spark, sf_dir):
+    p = A.points(spark, sf_dir)
+    return P.range_join(p.where("metric_name = 'click'").select("run_id", "step"), p.where("metric_name = 'view'").select("run_id", "step"), ["run_id"], "step", 25)
