@@ -29,7 +29,7 @@ from .pieces import Edges, Vocabulary
 
 MODEL = f"{TOKENIZERS}/piece_bpe_32k.model"
 _LETTERS = re.compile(r"[^\W\d_]+")
-_CACHE_WORDS = 200_000
+_CACHE_WORDS, _LEARN = 150_000, 8_000
 
 
 def _counter(model: bytes):
@@ -87,10 +87,12 @@ class Scorer:
             new = set(flat)
         if new:
             words = sorted(new)
-            e = Edges(self.v, [" " + w for w in words])
-            a = e.forward(e.log_weights(self.log_p, self.log_byte))
+            parts = [self.rows]
+            for i in range(0, len(words), _LEARN):  # bounds the lattices in memory
+                e = Edges(self.v, [" " + w for w in words[i : i + _LEARN]])
+                parts.append(e.forward(e.log_weights(self.log_p, self.log_byte))[e.last])
             self.known.update(zip(words, range(len(self.known), len(self.known) + len(words)), strict=True))
-            self.rows = np.concatenate([self.rows, a[e.last]])
+            self.rows = np.concatenate(parts)
         at = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
         out = np.zeros((len(texts), self.rows.shape[1]))
         full = np.flatnonzero(count)

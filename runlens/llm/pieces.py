@@ -18,6 +18,15 @@ _SLOT_BITS = 20
 _TOP, _MID, _LOW = np.uint64(64 - _SLOT_BITS), np.uint64(20), np.uint64((1 << _SLOT_BITS) - 1)
 
 
+def piece_bytes(model: bytes) -> list[bytes]:
+    """What each piece decodes to; empty for control pieces."""
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_proto=model)
+    plain = lambda i: not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))
+    return [bytes([int(sp.id_to_piece(i)[3:5], 16)]) if sp.is_byte(i) else sp.id_to_piece(i).replace(MARK, " ").encode() if plain(i) else b"" for i in range(sp.vocab_size())]
+
+
 class Vocabulary:
     def __init__(self, model: bytes):
         import sentencepiece
@@ -25,18 +34,16 @@ class Vocabulary:
         sp = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.size = sp.vocab_size()
         self.byte_ids = [0] * 256
-        self.bytes: list[bytes] = [b""] * self.size
         #: Text of a piece -> id; -1 for what only starts a longer piece.
         self.table: dict[str, int] = {}
         self.scores = np.full(self.size, -np.inf)
         for i in range(self.size):
             piece = sp.id_to_piece(i)
             if sp.is_byte(i):
-                value = int(piece[3:5], 16)
-                self.byte_ids[value], self.bytes[i] = i, bytes([value])
+                self.byte_ids[int(piece[3:5], 16)] = i
             elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
                 text = piece.replace(MARK, " ")
-                self.table[text], self.bytes[i], self.scores[i] = i, text.encode(), sp.get_score(i)
+                self.table[text], self.scores[i] = i, sp.get_score(i)
         crossing = [p for p in self.table if " " in p[1:] and p.strip(" ")]
         if crossing:
             raise ValueError(f"pieces cross word starts: {crossing[:3]}")
@@ -91,10 +98,6 @@ class Vocabulary:
         """Units of a text behind one leading space (the dummy prefix); none for an empty text."""
         return self.units.findall(" " + text) if text else []
 
-    def decode(self, ids) -> str:
-        """The text of a whole piece sequence of ``cut``'s units, without the dummy prefix."""
-        return b"".join(map(self.bytes.__getitem__, ids))[1:].decode("utf-8")
-
 
 class Edges:
     """Edges of the lattices of some units, sorted by level (code points before the edge's end) and end node.

@@ -21,10 +21,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import TOKENIZERS, mix64, read_bytes, slices
-from .pieces import Edges, Vocabulary
+from .pieces import Edges, Vocabulary, piece_bytes
 
 MODEL = f"{TOKENIZERS}/piece_bpe_32k.model"
-_CACHE_UNITS, _CACHE_CHARS, _SLICE = 100_000, 32, 2 << 20
+_CACHE_UNITS, _CACHE_CHARS, _SLICE, _LEARN = 100_000, 32, 2 << 20, 16_000
 
 
 class Sampler:
@@ -67,8 +67,9 @@ class Sampler:
         if new and len(self.known) + len(new) > _CACHE_UNITS:
             self.reset()
             new = set(flat)
-        if new:
-            self.learn(sorted(new))
+        order = sorted(new)
+        for i in range(0, len(order), _LEARN):  # bounds the lattices in memory
+            self.learn(order[i : i + _LEARN])
         count = np.fromiter(map(len, cut), np.int64, len(cut))
         owner = np.repeat(np.arange(len(cut)), count)
         place = np.arange(len(flat)) - np.repeat(np.cumsum(count) - count, count)
@@ -138,9 +139,9 @@ def _encoder(model: bytes, alpha: float, seed: int):
 
 def _decoder(model: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = Vocabulary(model)
-        flat = np.frombuffer(b"".join(v.bytes), np.uint8)
-        length = np.fromiter(map(len, v.bytes), np.int64, v.size)
+        held = piece_bytes(model)
+        flat = np.frombuffer(b"".join(held), np.uint8)
+        length = np.fromiter(map(len, held), np.int64, len(held))
         start = np.cumsum(length) - length
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):

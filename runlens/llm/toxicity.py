@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from .common import mix64, slices
 
 _WORD = re.compile(r"[^\W\d_]+")
-_CACHE_WORDS = 300_000
+_CACHE_WORDS = 150_000
 _SCALE = 32.0
 #: Weight of the zero words that each text is averaged with, so that a few words alone can't decide.
 _ZERO_WORDS = 8.0
@@ -100,7 +100,7 @@ def word_hashes(words: list[str]) -> np.ndarray:
 def _gather(batches: Iterator[pa.RecordBatch], chunk: int) -> Iterator[pa.RecordBatch]:
     """label, weight, word hashes and counts of each chunk of a text; words new to the task come along once, with a null label."""
     known: set[str] = set()
-    for batch in slices(batches, "text", 4 << 20):
+    for batch in slices(batches, "text", 2 << 20):
         out: list[tuple] = []
         for label, text in zip(batch.column("label").to_pylist(), batch.column("text").to_pylist(), strict=True):
             words = words_of(text)
@@ -237,7 +237,8 @@ class Scorer:
         if new:
             words = sorted(new)
             self.known.update(zip(words, range(len(self.known), len(self.known) + len(words)), strict=True))
-            self.values = np.concatenate([self.values, self.model.logits(words)])
+            parts = [self.model.logits(words[i : i + 20_000]) for i in range(0, len(words), 20_000)]  # bounds the n-grams in memory
+            self.values = np.concatenate([self.values, *parts])
         z = np.full(len(texts), self.model.bias)
         if flat:
             at = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
@@ -250,7 +251,7 @@ class Scorer:
 def _predictor(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = Scorer(model)
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text", 2 << 20):
             score = s.scores(batch.column("text").to_pylist())
             keep = [n for n in batch.schema.names if n not in ("score", "predicted")]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in keep), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], [*keep, "score", "predicted"])
