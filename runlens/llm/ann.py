@@ -6,8 +6,7 @@ row of flat arrays: vectors, neighbours of each level, entry point. Largest inne
 problem by one more component, sqrt(max norm^2 - norm^2), which a query has as 0.
 
 Searching: query blocks meet every shard (a stated query set against all rows, in blocks). Each of ``lanes`` copies of
-a shard's index is sent once and streams its share of the blocks; all queries of a block walk the graph in lockstep. The
-broadcast list of shards has one small row for each ``shard_rows`` vectors. The found classes are expanded to their members, scored exactly in double precision on the
+a shard's index is sent once and streams its share of the blocks; all queries of a block walk the graph in lockstep. The found classes are expanded to their members, scored exactly in double precision on the
 original vectors, and the best k of each query are kept, ties to the smaller id. Of a class the k + 1 smallest ids
 suffice for that: its members tie, and one of them may be the query itself.
 
@@ -214,6 +213,8 @@ def _searcher(k: int, ef: int):
                 if row["block"] is None:
                     index = row
                     continue
+                if (index.get("dim"), index.get("shard")) != (row["dim"], row["shard"]):
+                    continue  # a shard that holds no vector of this length
                 q = np.frombuffer(row["block"], np.float64).reshape(-1, row["dim"])
                 found = _search_graph(index, q, k, ef)
                 owner = np.repeat(np.frombuffer(row["queries"], np.int64), found.shape[1])
@@ -266,8 +267,8 @@ def search(index: DataFrame, found: DataFrame, points: DataFrame, queries: Colum
     asked = points.where(queries).dropDuplicates(["vec_id", "vector"])
     blocks = asked.select("vec_id", "vector", "dim").repartition("vec_id").mapInArrow(_packer(block), "dim int, queries binary, block binary")
     lanes = F.lit(lanes).cast("int")
-    shards = index.select("dim", "shard").distinct()
-    sent = blocks.withColumn("lane", F.pmod(F.xxhash64("queries"), lanes).cast("int")).join(F.broadcast(shards), "dim")
+    last = index.agg(F.max("shard")).first()[0] or 0
+    sent = blocks.withColumn("lane", F.pmod(F.xxhash64("queries"), lanes).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(last))))
     whole = index.withColumn("lane", F.explode(F.sequence(F.lit(0), lanes - 1)))
     met = whole.unionByName(sent, allowMissingColumns=True).repartition("dim", "shard", "lane")
     hits = met.sortWithinPartitions("dim", "shard", "lane", F.col("block").isNotNull()).mapInArrow(_searcher(k + 1, ef), "query_id long, class_id long")
