@@ -263,7 +263,9 @@ def _marked(rows: DataFrame, anchors: DataFrame, axis: DataFrame, cells: DataFra
     with_x = _placed(named.where("x IS NOT NULL").select(*SERIES, "x"), axis, cells, grid).select(*SERIES, "slot")
     four = with_x.unionAll(named.where("x IS NULL").select(*SERIES, F.lit(0).cast("long"))).distinct().withColumn("four", F.lit(4))
     joined = rows.join(four, [*SERIES, "slot"], "full")
-    out = joined.withColumn("marker_kind", F.coalesce("marker_kind", "four")).join(F.broadcast(axis.select("slot", "x", "xr_min", "xr_max")), "slot")
+    out = joined.withColumn("marker_kind", F.coalesce("marker_kind", "four"))
+    slots = axis.select("slot", "x", "xr_min", "xr_max")
+    out = out.join(F.broadcast(slots) if grid else slots, "slot")  # the target bounds a grid's slots; all distinct x have no bound
     return out.select(*SERIES, "slot", "x", "xr_min", "xr_max", "value", "raw_value", "y_min", "y_max", "marker_kind")
 
 
