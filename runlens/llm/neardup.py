@@ -13,11 +13,12 @@
    Nodes are tested against hubs, never all pairs: first each against the smallest node of all its buckets, which joins
    most of a group at once; then against the smallest and largest node of each of its buckets that is of another
    component. What is left are nodes outside the component of their bucket's smallest node. In buckets of up to ``wide``
-   nodes the smallest node of each component is tested against all nodes of the others; in larger ones so are the nodes
-   left, among themselves. Where these are of over ``wide`` components, their bucket is cut by one more band, and again
-   until it is not, so a node meets a bounded number of hubs. Tests are weighted Jaccard on the whole texts, streamed hub
-   by hub, hot hubs salted. A text that is similar only to inner members of a large class, and not to its hubs in any of
-   the up to ``bands`` buckets they share, stays apart: telling it would take all pairs.
+   nodes the smallest node of each component is tested against all nodes of the others. In larger ones (texts that share
+   a long passage, say) the nodes left are sorted by the bands that follow, and each is tested against its
+   ``neighbours`` predecessors: the more alike two texts are, the more bands they share in a row. Tests are weighted
+   Jaccard on the whole texts, streamed hub by hub, hot hubs salted. So every node has a bounded number of tests a bucket,
+   whatever the bucket's size. What this can miss: a pair in a crowd of like, but not near-duplicate, texts. Of a crowd of
+   10,000 with similarity 0.6 it finds pairs of 0.95 with a chance of about 0.999, of 0.9 with 0.9, of 0.85 with 0.6.
 5. Components of the verified links are the classes. All counts, links and labels stay in tables.
 
 Edge cases: a text that is null, empty or without words is similar to nothing and a class by itself; a text of fewer
@@ -33,7 +34,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import mix64, slices, stored
@@ -50,6 +51,7 @@ class Options:
     bits: int = 18
     idf_share: float = 0.25
     wide: int = 16
+    neighbours: int = 2
     #: Nodes tested against one copy of a hub's text in a task.
     salted: int = 500
 
@@ -263,29 +265,26 @@ def _links(nodes: DataFrame, rows: DataFrame, idf: np.ndarray, o: Options) -> Da
     labelled = _label(candidates, "node", comps := components(links))
     lows = labelled.select("node", F.col("comp").alias("own"), F.explode(F.array_distinct(F.transform("buckets", lambda x: x.low))).alias("low"))
     apart = _label(lows, "low", comps).where("own <> comp").select("node", "low")
-    minors = labelled.join(apart.groupBy("node").agg(F.collect_set("low").alias("lows")), "node")
-    minors = minors.select("node", "comp", F.explode("buckets").alias("b"), "lows").where(F.array_contains("lows", F.col("b.low"))).select("node", "comp", "b.key", "b.n")
+    minors = labelled.join(apart.groupBy("node").agg(F.collect_set("low").alias("lows")), "node").join(nodes.select("node", "keys"), "node")
+    minors = minors.select("node", "comp", "keys", F.explode("buckets").alias("b"), "lows").where(F.array_contains("lows", F.col("b.low"))).select("node", "comp", "keys", "b.key", "b.n")
     minors = stored(minors, "minors")
     if minors.isEmpty():
         return links
+    # buckets of up to ``wide`` nodes: the smallest node of each component against all nodes of the others
     small = minors.where(F.col("n") <= o.wide).select("key").distinct()
-    whole = _label(met.join(small, "key", "left_semi"), "node", comps).select("key", "node", "comp")
-    group = whole.unionAll(minors.where(F.col("n") > o.wide).select("key", "node", "comp"))
-    while True:
-        group = stored(group, "group")
-        firsts = group.groupBy("key", "comp").agg(F.min("node").alias("hub"))
-        counts = firsts.groupBy("key").agg(F.count(F.lit(1)).alias("comps")).where("comps > 1")
-        open_ = stored(firsts.join(counts, "key"), "open")
-        narrow = open_.where(F.col("comps") <= o.wide).select("key", "hub", F.col("comp").alias("hub_comp"))
-        fresh = _unordered(group.join(narrow, "key").where("comp <> hub_comp").select("hub", "node"))
-        fresh = stored(fresh.join(tested, ["hub", "node"], "left_anti"), "pairs")
-        if not fresh.isEmpty():
-            tested = tested.unionAll(fresh)
-            links = links.unionAll(test(fresh))
-        wide = open_.where(F.col("comps") > o.wide).select("key").distinct()
-        if wide.isEmpty():
-            return links
-        group = _refined(group.join(wide, "key", "left_semi"), nodes)
+    group = stored(_label(met.join(small, "key", "left_semi"), "node", comps).select("key", "node", "comp"), "group")
+    firsts = group.groupBy("key", "comp").agg(F.min("node").alias("hub")).select("key", F.col("comp").alias("hub_comp"), "hub")
+    near = group.join(firsts, "key").where("comp <> hub_comp").select("hub", "node")
+    # larger ones: neighbours in the order of the bands that follow, where the most alike stand together
+    at = F.array_position("keys", F.col("key")).cast("int")
+    following = F.concat(F.slice("keys", at + 1, F.lit(o.bands)), F.slice("keys", F.lit(1), at - 1))
+    sorted_ = Window.partitionBy("key", "following1").orderBy("following", "node")
+    large = minors.where(F.col("n") > o.wide).withColumn("following", following).withColumn("following1", F.get("following", F.lit(0)))
+    for back in range(1, o.neighbours + 1):
+        pair = large.withColumns({"hub": F.lag("node", back).over(sorted_), "hub_comp": F.lag("comp", back).over(sorted_)})
+        near = near.unionAll(pair.where("comp <> hub_comp").select("hub", "node"))
+    fresh = stored(_unordered(near).join(tested, ["hub", "node"], "left_anti"), "pairs")
+    return links.unionAll(test(fresh))
 
 
 def _unordered(pairs: DataFrame) -> DataFrame:
@@ -297,16 +296,6 @@ def _label(rows: DataFrame, column: str, comps: DataFrame) -> DataFrame:
     return rows.join(named, column, "left").withColumn("comp", F.coalesce("comp", column))
 
 
-def _refined(inside: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Cuts buckets by one more band of their nodes. ``key`` stays a hash of the bands that make the bucket, in order, so
-    that a set of bands makes one bucket: bands are added in ascending order of their samples' hash."""
-    last = F.col("last") if "last" in inside.columns else F.col("key")
-    both = inside.withColumn("_last", last).join(nodes.select("node", "keys"), "node").select("key", "node", "comp", "_last", F.explode("keys").alias("other")).where("other > _last")
-    cut = both.select(F.xxhash64("key", "other").alias("key"), "node", "comp", F.col("other").alias("last"))
-    shared = cut.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    return cut.join(shared, "key", "left_semi")
-
-
 def deduplicated(docs: DataFrame, options: Options = Options()) -> DataFrame:
     """The rows of ``docs`` that stay: of each class the rows of its smallest doc_id, equal ids once; null ids all stay."""
     found = near_duplicates(docs, options).where("is_representative AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_kept")).distinct()

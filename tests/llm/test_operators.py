@@ -249,7 +249,7 @@ def test_near_duplicates_are_brute_force(spark):
 
 
 def test_near_duplicates_wide_buckets(spark):
-    """Many texts that share a long passage and are no copies: buckets are cut, classes stay apart but for true copies."""
+    """Many texts that share a long passage and are no copies: classes stay apart but for true copies."""
     shared = words(150, 7)
     texts = [" ".join(shared + words(60, 900 + i)) for i in range(120)]
     texts += [t + " end" for t in texts[:10]]
