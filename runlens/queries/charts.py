@@ -163,9 +163,20 @@ def savgol(spark, sf_dir):
     return _smooth_out(_events(spark, sf_dir, metrics=("click",), target=40, smoothing=Smoothing("savgol", 1, window=11)))
 
 
-@query("CH_13_custom_smoothed")
+@query(
+    "CH_13_custom_smoothed",
+    _chart_sql("@", "0", 60, "n >= 4").replace("@, " + _sample("0"), _CUSTOM)
+    + """, sm AS (SELECT a.run_id, a.q, sum(exp(-(a.q - b.q) / 5.0) * b.y) / sum(exp(-(a.q - b.q) / 5.0)) AS sv FROM yv a JOIN yv b ON a.run_id = b.run_id AND b.q <= a.q WHERE a.y IS NOT NULL AND b.y IS NOT NULL GROUP BY ALL),
+  pt AS (SELECT s.run_id, s.step, s.x, sv FROM s JOIN sm ON s.run_id = sm.run_id AND s.step = sm.q), one AS (SELECT run_id, x, max(sv) AS sv FROM pt GROUP BY ALL),
+  seg AS (SELECT run_id, x AS x0, sv AS y0, coalesce(lead(x) OVER w, lag(x) OVER w) AS x1, CASE WHEN lead(x) OVER w IS NOT NULL THEN lead(sv) OVER w ELSE lag(sv) OVER w END AS y1, row_number() OVER w AS i FROM one WINDOW w AS (PARTITION BY run_id ORDER BY x)),
+  q AS (SELECT a.run_id, a.slot, slots.x AS xq FROM a JOIN slots USING (slot) WHERE env AND n > 0),
+  f AS (SELECT q.run_id, q.slot, xq, coalesce(s1.x0, s2.x0) AS x0, coalesce(s1.y0, s2.y0) AS y0, coalesce(s1.x1, s2.x1) AS x1, coalesce(s1.y1, s2.y1) AS y1
+    FROM q ASOF LEFT JOIN seg s1 ON q.run_id = s1.run_id AND q.xq >= s1.x0 LEFT JOIN seg s2 ON s2.run_id = q.run_id AND s2.i = 1)
+  SELECT run_id, slot, round(CASE WHEN x1 IS NULL THEN y0 ELSE y0 + (y1 - y0) / (x1 - x0) * (xq - x0) END, 4) AS value FROM f
+  UNION ALL SELECT p.run_id, slot, round(arg_max(sv, p.step), 4) FROM p JOIN pt ON pt.run_id = p.run_id AND pt.step = p.step WHERE NOT env GROUP BY p.run_id, slot""",
+)
 def custom_smoothed(spark, sf_dir):
-    return C.custom_smoothed(_folded(spark, sf_dir), Request(("click",), axis="metric", x_metric="view", target=60, versioned=False, smoothing=Smoothing("ema", 0, tau=5)))
+    return _smooth_out(C.custom_smoothed(_folded(spark, sf_dir), Request(("click",), axis="metric", x_metric="view", target=60, versioned=False, smoothing=Smoothing("ema", 0, tau=5))))
 
 
 _CELL_LOG = "(floor(log2(x + 1)) * pow(2, m) + floor((x + 1 - pow(2, floor(log2(x + 1)))) / pow(2, floor(log2(x + 1)) - m)))::BIGINT"
