@@ -24,7 +24,7 @@ from .common import TOKENIZERS, mix64, read_bytes, slices
 from .pieces import Edges, Vocabulary, piece_bytes
 
 MODEL = f"{TOKENIZERS}/piece_bpe_32k.model"
-_CACHE_UNITS, _CACHE_CHARS, _SLICE, _LEARN = 100_000, 32, 2 << 20, 16_000
+_CACHE_UNITS, _CACHE_CHARS, _SLICE, _LEARN = 60_000, 32, 1 << 20, 8_000
 
 
 class Sampler:
@@ -38,7 +38,7 @@ class Sampler:
 
     def reset(self) -> None:
         self.known: dict[str, int] = {}  # unit -> its last node
-        self.cdf, self.source, self.piece = np.empty(0), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.cdf, self.source, self.piece = np.empty(0), np.empty(0, np.int32), np.empty(0, np.int32)
         self.nodes = 0
 
     def learn(self, units: list[str]) -> None:
@@ -54,8 +54,8 @@ class Sampler:
         cdf = np.minimum(run - before, 1.0)
         cdf[np.append(heads[1:], len(p)) - 1] = 1.0  # the last edge of a node takes what rounding leaves
         self.cdf = np.concatenate([self.cdf, self.nodes + target + cdf])
-        self.source = np.concatenate([self.source, np.where(e.source[order] < 0, -1, e.source[order] + self.nodes)])
-        self.piece = np.concatenate([self.piece, e.piece[order]])
+        self.source = np.concatenate([self.source, np.where(e.source[order] < 0, -1, e.source[order] + self.nodes).astype(np.int32)])
+        self.piece = np.concatenate([self.piece, e.piece[order].astype(np.int32)])
         self.known.update(zip(units, (e.last + self.nodes).tolist(), strict=True))
         self.nodes += e.nodes
 
@@ -177,14 +177,34 @@ def decode(rows: DataFrame, model_path: str = MODEL) -> DataFrame:
     return rows.mapInArrow(_decoder(read_bytes(model_path)), StructType([*rows.schema.fields, StructField("decoded", StringType())]))
 
 
-def round_trip(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, pieces, n_pieces, pieces_sha256, decoded_sha256, lossless for each document."""
-    both = decode(encode(docs, **options))
-    return both.select(
-        "doc_id",
-        "pieces",
-        F.size("pieces").cast("long").alias("n_pieces"),
-        F.sha2(F.array_join("pieces", ","), 256).alias("pieces_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("lossless"),
-    )
+def _round_tripper(model: bytes, alpha: float, seed: int):
+    """Encodes and decodes in one worker, so that neither texts nor decoded texts travel back."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s = _sampler(model, alpha)
+        held = piece_bytes(model)
+        flat = np.frombuffer(b"".join(held), np.uint8)
+        length = np.fromiter(map(len, held), np.int64, len(held))
+        start = np.cumsum(length) - length
+        for batch in slices(batches, "text", _SLICE):
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            keys = np.array([k or 0 for k in batch.column("doc_id").to_pylist()], np.int64)
+            ids, count = s.encode(texts, keys, seed)
+            pieces = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), pa.array(ids.astype(np.int32)))
+            back = _texts(pieces, flat, start, length).to_pylist()
+            columns = {
+                "doc_id": batch.column("doc_id"),
+                "pieces": pieces,
+                "decoded_sha256": pa.array([hashlib.sha256(b.encode()).hexdigest() for b in back], pa.string()),
+                "lossless": pa.array([a == b for a, b in zip(texts, back, strict=True)]),
+            }
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+    return run
+
+
+def round_trip(docs: DataFrame, model_path: str = MODEL, alpha: float = 0.5, seed: int = 17) -> DataFrame:
+    """doc_id, pieces, n_pieces, pieces_sha256, decoded_sha256, lossless for each document: encoded, and decoded from the pieces."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    both = rows.mapInArrow(_round_tripper(read_bytes(model_path), alpha, seed), "doc_id long, pieces array<int>, decoded_sha256 string, lossless boolean")
+    return both.select("doc_id", "pieces", F.size("pieces").cast("long").alias("n_pieces"), F.sha2(F.array_join("pieces", ","), 256).alias("pieces_sha256"), "decoded_sha256", "lossless")
