@@ -47,7 +47,7 @@ def read_bytes(path: str) -> bytes:
         return f.read()
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts batches so that ``column`` holds about ``limit`` bytes in each; one larger text makes a batch by itself."""
     for batch in batches:
         if not batch.num_rows:

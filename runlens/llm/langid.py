@@ -38,7 +38,7 @@ def _counter(model: bytes):
 
         sp = sentencepiece.SentencePieceProcessor(model_proto=model)
         sums: dict[str, np.ndarray] = {}
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text", 1 << 20):
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 ids = sp.encode(" ".join(_LETTERS.findall(text.lower())))
                 if lang not in sums:
@@ -104,7 +104,7 @@ class Scorer:
 def _predictor(model: bytes, langs: list[str], log_p: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = Scorer(model, log_p) if langs else None
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text", 1 << 20):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             if s is None:
                 best, top = ["und"] * len(texts), np.zeros(len(texts))

@@ -56,7 +56,7 @@ class Options:
     salted: int = 500
 
 
-_SLICE = 4 << 20
+_SLICE = 2 << 20
 _BLOCK = 4096
 _R = np.random.default_rng(5)
 #: Tables of the distributions, small enough for a core's cache: 12 bits of a hash pick r, 12 c and 12 beta.
