@@ -42,13 +42,14 @@ def normalize_numeric(df: DataFrame, column: str, importing: bool = False) -> Da
 
 
 def latest(df: DataFrame, version: str = "inserted_at") -> DataFrame:
-    """The newest version of each key: one hash-partitioned aggregate with a partial step, no per-key sort.
+    """The newest version of each key, by one shuffle on the key: rows that can't be a task's newest of their key are dropped
+    before it (Spark limits the ranked groups on both sides), so many versions of a key cost a row a task.
 
     Ties of the version go to the larger payload, so that the answer doesn't depend on the order of rows. Filters on the
     payload belong above this: a newer payload of another kind replaces the older."""
     rest = [c for c in ("value", "cdn_key", "text_data", "timestamp_ms") if c in df.columns]
-    newest = F.max(F.struct(version, *rest)).alias("_n")
-    return df.groupBy(*KEY).agg(newest).select(*KEY, *[F.col(f"_n.{c}").alias(c) for c in (version, *rest)])
+    newest = Window.partitionBy(*KEY).orderBy(*[F.desc(c) for c in (version, *rest)])
+    return df.select(*KEY, version, *rest).withColumn("_n", F.row_number().over(newest)).where("_n = 1").drop("_n")
 
 
 def version_conflicts(df: DataFrame, version: str = "inserted_at") -> DataFrame:
