@@ -24,7 +24,7 @@ from .common import TOKENIZERS, mix64, read_bytes, slices
 from .pieces import Edges, Vocabulary, piece_bytes
 
 MODEL = f"{TOKENIZERS}/piece_bpe_32k.model"
-_CACHE_UNITS, _CACHE_CHARS, _SLICE, _LEARN = 60_000, 32, 1 << 20, 8_000
+_CACHE_UNITS, _CACHE_NODES, _SLICE, _LEARN = 100_000, 1_200_000, 1 << 20, 8_000
 
 
 class Sampler:
@@ -95,8 +95,8 @@ class Sampler:
         for k, (u, i) in enumerate(zip(occurrence, ids, strict=True)):
             out[end[u] - 1 - k] = i
         per_unit = np.repeat(owner, steps)
-        if len(self.known) > _CACHE_UNITS or any(len(u) > _CACHE_CHARS for u in new):
-            self.reset()  # units that don't recur are not worth their memory
+        if len(self.known) > _CACHE_UNITS or self.nodes > _CACHE_NODES:
+            self.reset()
         return self._bytes(out, per_unit, len(texts))
 
     def _bytes(self, ids: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
