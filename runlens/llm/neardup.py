@@ -10,15 +10,15 @@
    ln a = ln c - r (floor(ln w / r + beta) - beta) - r, where r and c are Gamma(2, 1) and beta uniform, all by
    hash of the shingle. That least value itself serves as the sample's fingerprint.
 4. Texts of equal word sequences are one node (the smallest doc_id). Nodes that share a band's samples meet in a bucket.
-   Nodes are tested against hubs, never all pairs: first each against the smallest node of all its buckets, which joins
-   most of a group at once; then against the smallest and largest node of each of its buckets that is of another
-   component. What is left are nodes outside the component of their bucket's smallest node. In buckets of up to ``wide``
-   nodes the smallest node of each component is tested against all nodes of the others. In larger ones (texts that share
-   a long passage, say) the nodes left are sorted by the bands that follow, and each is tested against its
-   ``neighbours`` predecessors: the more alike two texts are, the more bands they share in a row. Tests are weighted
-   Jaccard on the whole texts, streamed hub by hub, hot hubs salted. So every node has a bounded number of tests a bucket,
-   whatever the bucket's size. What this can miss: a pair in a crowd of like, but not near-duplicate, texts. Of a crowd of
-   10,000 with similarity 0.6 it finds pairs of 0.95 with a chance of about 0.999, of 0.9 with 0.9, of 0.85 with 0.6.
+   Nodes are tested against hubs first: each against the smallest node of all its buckets, which joins most of a group at
+   once; then against the smallest and largest node of each of its buckets that is of another component. What is left are
+   buckets that hold several components, and there every pair of nodes of different components is settled exactly. In
+   buckets of up to ``wide`` nodes the pairs are listed and tested. Larger ones are dealt into blocks of about ``block``
+   shingles, and each two blocks (but two of the bucket's largest component alone) meet in a group: there pairs without a
+   common shingle among the rarest ones, which weigh 1 - threshold of a text, can't reach the threshold and are passed
+   over, as are pairs joined meanwhile or met in the group of an earlier band. Tests are weighted Jaccard on the whole
+   texts. No pair of a bucket is left out at any size; the price is that a crowd of n blocks of like texts in a bucket that
+   are no near duplicates is read n times.
 5. Components of the verified links are the classes. All counts, links and labels stay in tables.
 
 Edge cases: a text that is null, empty or without words is similar to nothing and a class by itself; a text of fewer
@@ -34,7 +34,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import mix64, slices, stored
@@ -51,7 +51,8 @@ class Options:
     bits: int = 18
     idf_share: float = 0.25
     wide: int = 16
-    neighbours: int = 2
+    #: Shingles of a block's texts; a task holds two blocks at a time.
+    block: int = 1 << 18
     #: Nodes tested against one copy of a hub's text in a task.
     salted: int = 500
 
@@ -169,7 +170,8 @@ def _signer(idf: np.ndarray, o: Options):
                 keys[owner], has[owner] = key, True
             flat = pa.array(keys[has].view(np.int64).ravel())
             offsets = np.concatenate([[0], np.cumsum(has * o.bands)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), flat)], ["doc_id", "d1", "d2", "keys"])
+            size = pa.array(np.bincount(who, minlength=n).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), flat), size], ["doc_id", "d1", "d2", "keys", "size"])
 
     return run
 
@@ -210,14 +212,110 @@ def verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, o: Options) ->
     return dealt.mapInArrow(_tester(idf, o), "a long, b long, similarity double")
 
 
+def _crossing(who: np.ndarray, h: np.ndarray, w: np.ndarray, comp: np.ndarray, side: np.ndarray, earlier: np.ndarray, o: Options) -> list[tuple[int, int, float]]:
+    """Links (x, y, similarity) between texts of different components and, if there are two sides, of different sides. Every
+    such pair is tested but those that can't reach the threshold, share an ``earlier`` key or are joined by then."""
+    n = len(comp)
+    _, root = np.unique(comp, return_inverse=True)
+    terms, v = np.unique(h, return_inverse=True)
+    df = np.bincount(v, minlength=len(terms))
+    ends = np.searchsorted(who, np.arange(n + 1))
+    total = np.bincount(who, w, minlength=n)
+    # rarest shingles first; behind a text's prefix less than the threshold's share of its weight is left
+    order = np.lexsort((v, df[v], who))
+    before = np.cumsum(w[order]) - w[order]
+    filled = ends[:-1] < ends[1:]
+    before -= np.repeat(before[ends[:-1][filled]], np.diff(ends)[filled])
+    at = order[(before <= (1 - o.threshold) * total[who] + 1e-6) & (df[v[order]] > 1)]
+    mine = np.searchsorted(who[at], np.arange(n + 1))
+    prefix = v[at]
+    by_term = np.argsort(prefix, kind="stable")
+    first = np.searchsorted(prefix[by_term], np.arange(len(terms) + 1))
+    holder = who[at][by_term]
+    mark, out, split = np.zeros(len(terms)), [], side.min() != side.max()
+    for x in range(1, n):
+        t = prefix[mine[x] : mine[x + 1]]
+        if not len(t):
+            continue
+        hit = np.zeros(x, bool)
+        for k in t:
+            some = holder[first[k] : first[k + 1]]
+            hit[some[: np.searchsorted(some, x)]] = True
+        hit &= (root[:x] != root[x]) & (np.minimum(total[:x], total[x]) >= (o.threshold - 1e-6) * np.maximum(total[:x], total[x]))
+        if split:
+            hit &= side[:x] != side[x]
+        ys = np.flatnonzero(hit)
+        if len(ys):
+            ys = ys[~(earlier[ys] == earlier[x]).any(axis=1)]
+        mark[v[ends[x] : ends[x + 1]]] = w[ends[x] : ends[x + 1]]
+        for y in ys:
+            if root[y] != root[x]:
+                shared = np.minimum(mark[v[ends[y] : ends[y + 1]]], w[ends[y] : ends[y + 1]]).sum()
+                j = shared / (total[x] + total[y] - shared)
+                if j >= o.threshold - 1e-9:
+                    out.append((int(y), x, float(j)))
+                    root[root == root[y]] = root[x]
+        mark[v[ends[x] : ends[x + 1]]] = 0
+    return out
+
+
+def _group_tester(idf: np.ndarray, o: Options):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held = None, []
+
+        def links() -> pa.RecordBatch:
+            node, comp, side, keys = (np.concatenate([x[k] for x in held]) for k in range(4))
+            starts = np.cumsum([0] + [len(x[0]) for x in held])
+            who = np.concatenate([x[4] + s for x, s in zip(held, starts, strict=False)])
+            h, w = (np.concatenate([x[k] for x in held]) for k in (5, 6))
+            band = int(np.flatnonzero(keys[0] == group[0])[0])
+            found = _crossing(who, h, w, comp, side, keys[:, :band], o) if len(who) else []
+            return pa.RecordBatch.from_arrays([pa.array([int(node[f[0]]) for f in found], pa.int64()), pa.array([int(node[f[1]]) for f in found], pa.int64()), pa.array([f[2] for f in found], pa.float64())], ["a", "b", "similarity"])
+
+        for batch in slices(batches, "text", _SLICE):
+            key, number = (batch.column(c).to_numpy() for c in ("key", "group"))
+            cuts = np.flatnonzero((np.diff(key) != 0) | (np.diff(number) != 0)) + 1
+            for a, b in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+                if group != (key[a], number[a]):
+                    if held:
+                        yield links()
+                    group, held = (key[a], number[a]), []
+                part = batch.slice(a, b - a)
+                who, h, tf = shingles(*words(part.column("text")), o.width)
+                keys = part.column("keys").flatten().to_numpy().reshape(len(part), -1)
+                held.append((*(part.column(c).to_numpy() for c in ("doc_id", "comp", "side")), keys, who, h, weights(h, tf, idf, o)))
+        if held:
+            yield links()
+
+    return run
+
+
+def _crossing_links(members: DataFrame, texts: DataFrame, idf: np.ndarray, o: Options) -> DataFrame:
+    """Links between the components of large buckets. ``members``: key, node, comp, size, keys."""
+    parts = members.groupBy("key", "comp").agg(F.sum("size").alias("size"))
+    of = parts.groupBy("key").agg(F.max(F.struct("size", "comp")).alias("main"), F.sum("size").alias("all"))
+    blocks = lambda size: F.ceil(size / o.block).cast("int")
+    # the bucket's largest component is dealt into blocks of its own, as its nodes needn't meet
+    of = of.select("key", F.col("main.comp").alias("main"), F.when(F.col("all") > o.block, blocks(F.col("main.size"))).otherwise(0).alias("mains"), F.when(F.col("all") > o.block, blocks(F.col("all") - F.col("main.size"))).otherwise(1).alias("others"))
+    dealt = members.join(of, "key").withColumn("is_main", (F.col("comp") == F.col("main")) & (F.col("mains") > 0))
+    dealt = dealt.withColumn("side", F.pmod(F.xxhash64("node"), F.when(F.col("is_main"), F.col("mains")).otherwise(F.col("others"))).cast("int"))
+    dealt = dealt.withColumn("side", F.when(F.col("is_main"), F.col("side") + F.col("others")).otherwise(F.col("side")))
+    every = F.sequence(F.lit(0), F.when(F.col("is_main"), F.col("others")).otherwise(F.col("others") + F.col("mains")) - 1)
+    groups = F.transform(every, lambda k: F.least(k, F.col("side")).cast("long") * (F.col("others") + F.col("mains")) + F.greatest(k, F.col("side")))
+    roles = dealt.select("key", F.explode(groups).alias("group"), "side", "comp", "keys", F.col("node").alias("doc_id"))
+    rows = texts.join(roles.hint("shuffle_hash"), "doc_id").select("key", "group", "side", "comp", "keys", "doc_id", "text")
+    met = rows.repartition("key", "group").sortWithinPartitions("key", "group")
+    return met.mapInArrow(_group_tester(idf, o), "a long, b long, similarity double")
+
+
 def near_duplicates(docs: DataFrame, options: Options = Options()) -> DataFrame:
     """doc_id, class_id (the smallest doc_id of the class), class_size, is_representative: one row for each document."""
     o = options
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     cells, n = document_frequencies(rows, o)
     idf = idf_table(cells, max(n, 1), o)
-    signed = stored(rows.mapInArrow(_signer(idf, o), "doc_id long, d1 long, d2 long, keys array<long>"), "signed")
-    nodes = stored(signed.where("doc_id IS NOT NULL AND size(keys) > 0").groupBy("d1", "d2", "keys").agg(F.min("doc_id").alias("node")), "nodes")
+    signed = stored(rows.mapInArrow(_signer(idf, o), "doc_id long, d1 long, d2 long, keys array<long>, size long"), "signed")
+    nodes = stored(signed.where("doc_id IS NOT NULL AND size(keys) > 0").groupBy("d1", "d2", "keys").agg(F.min("doc_id").alias("node"), F.max("size").alias("size")), "nodes")
     links = _links(nodes, rows, idf, o)
     comps = components(links) if links is not None else None
     label = nodes.select("d1", "d2", "node")
@@ -261,30 +359,23 @@ def _links(nodes: DataFrame, rows: DataFrame, idf: np.ndarray, o: Options) -> Da
     tested = tested.unionAll(fresh)
     links = links.unionAll(test(fresh))
 
-    # what is left are buckets that hold nodes outside their lowest node's component
+    # what is left are buckets that hold several components
     labelled = _label(candidates, "node", comps := components(links))
-    lows = labelled.select("node", F.col("comp").alias("own"), F.explode(F.array_distinct(F.transform("buckets", lambda x: x.low))).alias("low"))
-    apart = _label(lows, "low", comps).where("own <> comp").select("node", "low")
-    minors = labelled.join(apart.groupBy("node").agg(F.collect_set("low").alias("lows")), "node").join(nodes.select("node", "keys"), "node")
-    minors = minors.select("node", "comp", "keys", F.explode("buckets").alias("b"), "lows").where(F.array_contains("lows", F.col("b.low"))).select("node", "comp", "keys", "b.key", "b.n")
-    minors = stored(minors, "minors")
-    if minors.isEmpty():
+    members = labelled.select("node", "comp", F.explode("buckets").alias("b")).select("node", "comp", "b.key", "b.n")
+    mixed = members.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least <> most").select("key")
+    members = stored(members.join(mixed, "key"), "members")
+    if members.isEmpty():
+        return links
+    small = members.where(F.col("n") <= o.wide)
+    others = small.select("key", F.col("node").alias("hub"), F.col("comp").alias("hub_comp"))
+    near = small.join(others, "key").where("hub < node AND comp <> hub_comp").select("hub", "node").distinct()
+    fresh = stored(near.join(tested, ["hub", "node"], "left_anti"), "pairs")
+    if not fresh.isEmpty():
+        links = links.unionAll(test(fresh))
+    large = stored(members.where(F.col("n") > o.wide).join(nodes.select("node", "keys", "size"), "node"), "large")
+    if large.isEmpty():
         return links
-    # buckets of up to ``wide`` nodes: the smallest node of each component against all nodes of the others
-    small = minors.where(F.col("n") <= o.wide).select("key").distinct()
-    group = stored(_label(met.join(small, "key", "left_semi"), "node", comps).select("key", "node", "comp"), "group")
-    firsts = group.groupBy("key", "comp").agg(F.min("node").alias("hub")).select("key", F.col("comp").alias("hub_comp"), "hub")
-    near = group.join(firsts, "key").where("comp <> hub_comp").select("hub", "node")
-    # larger ones: neighbours in the order of the bands that follow, where the most alike stand together
-    at = F.array_position("keys", F.col("key")).cast("int")
-    following = F.concat(F.slice("keys", at + 1, F.lit(o.bands)), F.slice("keys", F.lit(1), at - 1))
-    sorted_ = Window.partitionBy("key", "following1").orderBy("following", "node")
-    large = minors.where(F.col("n") > o.wide).withColumn("following", following).withColumn("following1", F.get("following", F.lit(0)))
-    for back in range(1, o.neighbours + 1):
-        pair = large.withColumns({"hub": F.lag("node", back).over(sorted_), "hub_comp": F.lag("comp", back).over(sorted_)})
-        near = near.unionAll(pair.where("comp <> hub_comp").select("hub", "node"))
-    fresh = stored(_unordered(near).join(tested, ["hub", "node"], "left_anti"), "pairs")
-    return links.unionAll(test(fresh))
+    return links.unionAll(stored(_crossing_links(large, texts, idf, o).select("a", "b"), "links"))
 
 
 def _unordered(pairs: DataFrame) -> DataFrame:

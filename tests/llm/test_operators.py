@@ -258,6 +258,31 @@ def test_near_duplicates_wide_buckets(spark):
     assert [got[120 + i] for i in range(10)] == list(range(10)) and all(got[i] == i for i in range(120))
 
 
+@pytest.mark.parametrize("block", [neardup.Options().block, 20_000])
+def test_near_duplicates_star(spark, block):
+    """Hundreds of copies of one source that are near it alone, and a pair in a crowd that shares a long passage; in one and in many blocks."""
+    rng = np.random.default_rng(3)
+    base = words(400, 11)
+    texts = []
+    for i in range(400):
+        copy = list(base)
+        if i != 200:
+            for at in rng.choice(400, 7, replace=False):
+                copy[at] = f"edit{i}x{at}"
+        texts.append(" ".join(copy))
+    shared = words(150, 7)
+    texts += [" ".join(shared + words(50, 900 + i)) for i in range(300)]
+    texts += [" ".join([*texts[400 + i].split()[:-12], *words(12, 5000 + i)]) for i in range(100, 110)]
+    o = neardup.Options(block=block)
+    df = docs(spark, texts)
+    cells, n = neardup.document_frequencies(df, o)
+    want = jaccard_classes(texts, neardup.idf_table(cells, n, o), o)
+    assert want[:400] == [0] * 400 and want[400:700] == list(range(400, 700)) and want[700:] == list(range(500, 510))
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicates(df, o).collect()}
+    lost = [i for i in range(len(texts)) if got[i] != want[i]]
+    assert len(lost) <= 1, lost  # a pair at the threshold may share no band
+
+
 def test_near_duplicates_edges(spark):
     assert neardup.near_duplicates(docs(spark, [])).count() == 0
     assert neardup.deduplicated(docs(spark, [])).count() == 0
