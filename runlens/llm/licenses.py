@@ -1,7 +1,7 @@
 """License scans: sparse TF-IDF cosine of notices to templates, then inheritance from the nearest ancestor directory.
 
 Units compared with the templates are the lines of a text, its paragraphs, and for licence files (by name) the whole
-text. Document frequencies of all words are counted over all files in a hashed table of fixed size. Units without any
+text, whose answer goes before those of its parts. Document frequencies of all words are counted over all files in a hashed table of fixed size. Units without any
 *cue* are skipped without loss: a template's cues are its heaviest words, as many as needed for the others to stay below the
 threshold even if a unit held all of them (Cauchy-Schwarz).
 
@@ -61,13 +61,27 @@ TEXTS = {
     "BSD-2-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
     "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
 }
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+_BSD_CLAUSE = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_BSD_END = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
+_GNU = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {} General Public License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+#: Whole texts, clauses and headers that tell apart licences which share passages.
+MORE = {
+    "BSD-2-Clause": (_BSD + _BSD_END, _BSD),
+    "BSD-3-Clause": (_BSD + "3. " + _BSD_CLAUSE + " " + _BSD_END, _BSD + "3. " + _BSD_CLAUSE, _BSD_CLAUSE),
+    "AGPL-3.0": (_GNU.format("Affero", "3"),),
+    "LGPL-3.0": (_GNU.format("Lesser", "3"), "This version of the GNU Lesser General Public License incorporates the terms and conditions of version 3 of the GNU General Public License, supplemented by the additional permissions listed below."),
+    "LGPL-2.1": (_GNU.format("Lesser", "2.1"),),
+}
+#: A licence whose text holds all of another's: where both are found in a file, it is the file's.
+WIDER = {"BSD-2-Clause": "BSD-3-Clause"}
 _LICENCE_FILE = r"(?i)(^|/)(licen[cs]e|copying|unlicense)[^/]*$"
 _OPTIONS = Options(width=1)
 
 
 def templates() -> list[tuple[str, str]]:
     out = [(k, f.format(k if "SPDX" in f else n)) for k, names in NAMES.items() for n in names for f in FRAMES]
-    return sorted({*out, *TEXTS.items()})
+    return sorted({*out, *TEXTS.items(), *((k, t) for k, texts in MORE.items() for t in texts)})
 
 
 class Matcher:
@@ -118,27 +132,38 @@ class Matcher:
         return [(self.names[k], float(scores[i, k])) for i, k in enumerate(top)]
 
 
+def _answer(found: dict[str, tuple[bool, float]]) -> tuple[str | None, float]:
+    """The licence of the whole file, else of the best unit; ties to the one that sorts first."""
+    if not found:
+        return None, 0.0
+    name = min(found, key=lambda k: (found[k][0], -round(found[k][1], 9), k))
+    if WIDER.get(name) in found:
+        name = WIDER[name]
+    return name, found[name][1]
+
+
 def _scanner(cells: np.ndarray, n: int, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Matcher(cells, n, threshold)
         for batch in slices(batches, "text", 2 << 20):
-            found: list[tuple[str | None, float]] = [(None, 0.0)] * batch.num_rows
+            # of each file and licence the best unit: whether it isn't the whole file, and the score
+            found: list[dict[str, tuple[bool, float]]] = [{} for _ in range(batch.num_rows)]
             owner, units = [], []
 
             def flush() -> None:
-                for i, (name, score) in zip(owner, m.best(units), strict=True) if units else ():
-                    old, top = found[i]
-                    if score >= threshold and (old is None or (-round(score, 9), name) < (-round(top, 9), old)):
-                        found[i] = (name, score)
+                for (i, part), (name, score) in zip(owner, m.best(units), strict=True) if units else ():
+                    if score >= threshold and (name not in found[i] or (part, -score) < (found[i][name][0], -found[i][name][1])):
+                        found[i][name] = (part, score)
                 owner.clear(), units.clear()
 
             for i, (text, whole) in enumerate(zip(batch.column("text").to_pylist(), batch.column("is_licence").to_pylist(), strict=True)):
                 mine = m.units(text, bool(whole)) if text else []
-                owner += [i] * len(mine)
+                owner += [(i, not (whole and k == len(mine) - 1)) for k in range(len(mine))]
                 units += mine
                 if len(units) > 2000:
                     flush()
             flush()
+            found = [_answer(f) for f in found]
             yield pa.RecordBatch.from_arrays([batch.column("file_id"), batch.column("path"), batch.column("is_licence"), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], ["file_id", "path", "is_licence", "own", "score"])
 
     return run

@@ -471,6 +471,18 @@ def test_licenses(spark):
     assert licenses.inherit(licenses.scan(df.limit(0))).count() == 0
 
 
+def test_licenses_that_share_passages(spark):
+    """BSD-2 and BSD-3 in paragraphs, AGPL and LGPL headers: none is taken for the licence it shares a passage with."""
+    bsd2, bsd3 = licenses.MORE["BSD-2-Clause"][0], licenses.MORE["BSD-3-Clause"][0]
+    cut = lambda t: "Copyright (c) 2001, A. N. Author\n\n" + re.sub(r" (?=[123]\. |THIS SOFTWARE IS)", "\n\n", t).replace(", ", ",\n")
+    header = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU {}General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version."
+    files = [(0, "a/LICENSE", cut(bsd3)), (1, "b/LICENSE", cut(bsd2)), (2, "c/COPYING", header.format("Affero ")), (3, "d/COPYING", header.format("Lesser ")), (4, "e/COPYING", header.format(""))]
+    files += [(5, "f/x.py", cut(bsd3) + "\n\n" + " ".join(words(60, 1))), (6, "a/y.py", "none")] + [(100 + i, f"n/{i}.txt", " ".join(words(60, i))) for i in range(30)]
+    df = spark.createDataFrame(files, "file_id long, path string, text string")
+    got = {r.file_id: r.license for r in licenses.inherit(licenses.scan(df)).collect()}
+    assert [got[i] for i in range(7)] == ["BSD-3-Clause", "BSD-2-Clause", "AGPL-3.0", "LGPL-3.0", "GPL-3.0", "BSD-3-Clause", "BSD-3-Clause"]
+
+
 def test_license_cues_lose_nothing():
     cells = np.random.default_rng(0).integers(0, 50, 1 << 18)
     m = licenses.Matcher(cells, 1000, 0.75)
