@@ -59,9 +59,9 @@ def fold_classes(classes: DataFrame, by: str) -> DataFrame:
 
 
 def gallery(items: DataFrame, layout: str) -> DataFrame:
-    """Items of several runs (run_order, run_id, items) in order: ``run`` keeps a run's items together, ``index`` and
+    """Items of several runs (run_order, run_id, items; or flat, run_order, run_id, i, item) in order: ``run`` keeps a run's items together, ``index`` and
     ``interleaved`` take every run's first, then every run's second, and so on; ``index`` begins a row with each."""
-    flat = items.select("run_order", "run_id", F.posexplode("items").alias("i", "item"))
+    flat = items.select("run_order", "run_id", *(["i", "item"] if "item" in items.columns else [F.posexplode("items").alias("i", "item")]))
     order = ["run_order", "i"] if layout == "run" else ["i", "run_order"]
     # places come from counts for each leading key, so that no window holds all items
     per = flat.groupBy(order[0]).agg(F.count(F.lit(1)).alias("n"))

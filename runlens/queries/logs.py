@@ -126,8 +126,7 @@ def manifests(spark, sf_dir):
 def galleries(spark, sf_dir):
     m = A.media(spark, sf_dir)
     k = F.col("page_id")
-    g = m.groupBy((k % 5).alias("run_order")).agg(F.sort_array(F.collect_list(F.struct((k - k % 5) / 5, "key"))).alias("s"))
-    rows = g.select("run_order", F.col("run_order").cast("string").alias("run_id"), F.transform("s", lambda x: x["key"]).alias("items"))
+    rows = m.select((k % 5).alias("run_order"), (k % 5).cast("string").alias("run_id"), F.expr("page_id div 5").alias("i"), F.col("key").alias("item"))
     return M.gallery(rows, "interleaved").select(F.concat("item", F.lit("/"), F.col("i").cast("string")).alias("item"), F.col("place").cast("long").alias("place"))
 
 

@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 from runlens import queries
+from runlens.operators import media
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -46,3 +47,13 @@ def test_query(spark, duck, name):
         columns = [c[0] for c in cur.description]
         assert sorted(columns) == sorted(df.columns)
         assert rows(df.columns, got) == rows(columns, cur.fetchall())
+
+
+def test_gallery_of_flat_rows(spark):
+    """Flat rows need no array of a run's items, and give the places that arrays give."""
+    runs = [(0, "a", ["x0", "x1", "x2"]), (1, "b", ["y0"]), (2, "c", ["z0", "z1"])]
+    nested = spark.createDataFrame(runs, "run_order long, run_id string, items array<string>")
+    flat = spark.createDataFrame([(o, r, i, x) for o, r, items in runs for i, x in enumerate(items)], "run_order long, run_id string, i int, item string")
+    for layout in ("run", "index", "interleaved"):
+        assert sorted(media.gallery(flat, layout).collect()) == sorted(media.gallery(nested, layout).collect())
+    assert [r.item for r in media.gallery(flat, "interleaved").orderBy("place").collect()] == ["x0", "y0", "z0", "x1", "z1", "x2"]
