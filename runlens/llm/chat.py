@@ -64,8 +64,8 @@ def _list(name: str, field: str, roles: tuple[tuple[str, str], ...] = (), option
 
 
 MAPPINGS = (
-    _list("messages", "messages"),
-    _list("turn rows", "turns"),
+    _list("messages", "messages", optional=("system",)),
+    _list("turn rows", "turns", optional=("system",)),
     _list("from/value", "conversations", (("human", "user"), ("gpt", "assistant"), ("bot", "assistant")), ("system",)),
     _list("dialog", "dialog", (("human", "user"), ("bot", "assistant"), ("agent", "assistant")), ("system",)),
     Mapping("instruction/output", ("instruction", "output"), ("input", "system"), (Turn("system", ("system",)), Turn("user", ("instruction", "input")), Turn("assistant", ("output",)))),

@@ -73,6 +73,14 @@ def test_chat_layouts(spark, doc, layout, turns):
     assert (r.turns and [(t.role, t.text) for t in r.turns]) == turns
 
 
+@pytest.mark.parametrize(("field", "layout", "parts"), [("messages", "messages", ("role", "content")), ("turns", "turn rows", ("role", "text"))])
+def test_chat_system_beside_turns(spark, field, layout, parts):
+    a, b = parts
+    df = spark.createDataFrame([(f'{{"{field}":[{{"{a}":"user","{b}":"q"}}],"system":"s"}}',)], "json string")
+    (r,) = chat.canonical(chat.from_json_records(df, "json"), "record").collect()
+    assert r.layout == layout and [(t.role, t.text) for t in r.turns] == [("system", "s"), ("user", "q")]
+
+
 def test_chat_empty_and_ties(spark):
     schema = "conv_id long, turn long, role string, text string"
     assert formatted(chat.turn_rows(spark.createDataFrame([], schema))).count() == 0
