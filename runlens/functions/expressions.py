@@ -23,14 +23,11 @@ def presented(v: Column) -> Column:
 
 
 def natural_key(name: Column) -> Column:
-    """Sorts digit runs by number: case-folded text with every digit run behind the length of its significant digits."""
-    parts = F.regexp_extract_all(F.lower(name), F.lit(r"(\d+|\D+)"), F.lit(1))
+    """Sorts runs of ASCII digits by their length, then as text, and all else by bytes: ``b2`` before ``b10`` before ``b007``.
 
-    def key(p: Column) -> Column:
-        digits = F.regexp_replace(p, "^0+(?=.)", "")
-        return F.when(p.rlike(r"^\d"), F.concat(F.lit("0"), F.lpad(F.length(digits).cast("string"), 4, "0"), digits)).otherwise(p)
-
-    return F.array_join(F.transform(parts, key), "")
+    A run stands behind its length and a zero, which compares with other bytes as any digit does."""
+    parts = F.regexp_extract_all(name, F.lit(r"(\d+|\D+)"), F.lit(1))
+    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), F.concat(F.lit("0"), F.lpad(F.length(p).cast("string"), 10, "0"), p)).otherwise(p)), "")
 
 
 def section(metric: Column) -> Column:

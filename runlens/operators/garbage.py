@@ -52,10 +52,10 @@ def dangling(inventory: DataFrame, ref: DataFrame, sample: int) -> DataFrame:
     return ref.select("key").distinct().join(inventory.select("key"), "key", "left_anti").orderBy("key").limit(sample)
 
 
-def gate(rep: DataFrame, open_roots: DataFrame, log_covers_grace: bool, share: float = 0.1) -> DataFrame:
+def gate(rep: DataFrame, open_roots: DataFrame, log_covers_grace: bool, share: float = 0.1, base: int = BASE_ALLOWANCE) -> DataFrame:
     """Why nothing may be deleted, or ``open``."""
     n = open_roots.agg(F.count(F.lit(1)).alias("unparsed"))
-    many = F.col("candidates") > BASE_ALLOWANCE + share * F.col("referenced")
+    many = F.col("candidates") > base + share * F.col("referenced")
     reason = F.when(~F.lit(log_covers_grace), "the ack log doesn't cover the grace period").when(F.col("unparsed") > 0, "unparsed roots").when(many, "too many candidates").otherwise("open")
     return rep.crossJoin(n).select(reason.alias("gate"))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.scratch import checkpointed
 from .registry import is_media_key
 
 KEY = ["run_id", "metric_name", "tag", "step"]
@@ -52,10 +53,13 @@ def children(manifest: Column) -> Column:
     return F.coalesce(F.array_sort(F.array_distinct(keys)), F.array().cast("array<string>"))
 
 
-def fold_classes(classes: DataFrame, by: str) -> DataFrame:
-    """Class of a set of manifests: their common one, else mixed."""
-    g = classes.groupBy(by).agg(F.array_sort(F.collect_set("class")).alias("c"))
-    return g.select(by, F.when(F.size("c") == 1, F.get("c", F.lit(0))).when(F.size("c") == 0, "none").otherwise("mixed").alias("class"))
+def fold_classes(manifests: DataFrame, by: str) -> DataFrame:
+    """What a set of manifests (class, named: whether an item has a file name) is shown as: metadata or image_gallery if all
+    are, file_list if galleries and file lists meet, mixed if metadata meets anything else. Rows without a class don't count."""
+    meta = F.col("class") == "metadata"
+    images = (F.col("class") == "image_gallery") & ~F.coalesce("named", F.lit(False))
+    g = manifests.groupBy(by).agg(F.bool_or(meta).alias("some"), F.bool_and(meta).alias("all"), F.bool_and(images).alias("images"))
+    return g.select(by, F.when(F.col("some").isNull(), "none").when(F.col("all"), "metadata").when(F.col("some"), "mixed").when(F.col("images"), "image_gallery").otherwise("file_list").alias("class"))
 
 
 def gallery(items: DataFrame, layout: str) -> DataFrame:
@@ -75,22 +79,25 @@ def content_id(raw: Column, extension: Column) -> Column:
     return F.concat(F.sha2(raw, 256), F.lit("."), extension)
 
 
-def flatten(docs: DataFrame, depth: int = 8) -> DataFrame:
-    """Leaves of JSON objects: JSON Pointer path (``~`` and ``/`` escaped) and JSON text. Arrays and empty objects are leaves."""
-    from pyspark.sql import SparkSession
+def flatten(docs: DataFrame) -> DataFrame:
+    """Leaves of JSON objects: JSON Pointer path (``~`` and ``/`` escaped) and JSON text.
 
-    level = docs.select("run_id", F.lit("").alias("path"), F.try_parse_json("doc").alias("v")).where("v IS NOT NULL")
-    parts = []
-    for _ in range(depth):
-        tvf = SparkSession.active().tvf.variant_explode(F.col("v").outer()).select("key", "value")
-        each = level.lateralJoin(tvf).select("run_id", F.concat("path", F.lit("/"), F.replace(F.replace(F.col("key"), F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1"))).alias("path"), F.col("value").alias("v"))
-        branch = F.schema_of_variant("v").startswith("OBJECT<") & (F.schema_of_variant("v") != "OBJECT<>")
-        parts.append(each.where(~branch).select("run_id", "path", F.to_json("v").alias("leaf")))
-        level = each.where(branch)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionAll(p)
-    return out.unionAll(level.select("run_id", "path", F.to_json("v").alias("leaf")))
+    A path is a branch if its values are objects in all documents that have it and one of these holds a key; all else, such
+    as arrays, empty objects and what is an object in some documents only, is a leaf. A round for each level of nesting."""
+    level = docs.select("run_id", F.lit("").alias("path"), F.try_parse_json("doc").alias("v")).where("schema_of_variant(v) LIKE 'OBJECT<%'")
+    out = None
+    while True:
+        each = level.lateralJoin(docs.sparkSession.tvf.variant_explode(F.col("v").outer()).select("key", "value")).where("key IS NOT NULL")
+        key = F.replace(F.replace(F.col("key"), F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1"))
+        each = each.select("run_id", F.concat("path", F.lit("/"), key).alias("path"), F.col("value").alias("v"), F.schema_of_variant("value").alias("shape"))
+        each = checkpointed(each)
+        of = each.groupBy("path").agg((F.bool_and(F.col("shape").startswith("OBJECT<")) & F.bool_or(F.col("shape").startswith("OBJECT<") & (F.col("shape") != "OBJECT<>"))).alias("branch"))
+        told = each.join(of, "path")
+        leaves = told.where("NOT branch").select("run_id", "path", F.to_json("v").alias("leaf"))
+        out = leaves if out is None else out.unionAll(leaves)
+        level = told.where("branch").select("run_id", "path", "v")
+        if level.isEmpty():
+            return out
 
 
 def differing(leaves: DataFrame, n_runs: int) -> DataFrame:
@@ -108,19 +115,34 @@ def tinted(leaves: DataFrame) -> DataFrame:
     return c.join(counts, "path").where((F.col("n") < F.col("top")) | (F.col("ties") > 1)).select("run_id", "path", "leaf")
 
 
-def with_timing(docs: DataFrame, runs: DataFrame) -> DataFrame:
-    """Run info with ``meta.server_time``: created, ended, last ingested and the wall span as compact text."""
-    span = F.coalesce("ended_ms", "last_ms") - F.col("created_ms")
-    t = runs.select("run_id", F.to_json(F.struct("created_ms", "ended_ms", "last_ms", compact_span(span).alias("span"))).alias("t"))
-    return docs.join(t, "run_id", "left").select("run_id", F.when(F.col("t").isNull(), F.col("doc")).otherwise(F.concat(F.lit('{"meta":{"server_time":'), "t", F.lit('},"info":'), "doc", F.lit("}"))).alias("doc"))
+def with_timing(docs: DataFrame, runs: DataFrame, time_format: str = "yyyy-MM-dd HH:mm:ss") -> DataFrame:
+    """Run information (run_id, doc) with the server's times added inside ``meta.server_time``: creation; the last ingest of a
+    run that is over; its end and wall span. Keys that stand there under other names stay, and a document whose root, ``meta``
+    or ``meta.server_time`` is no object is left as it is. ``runs``: run_id, created_ms, ended_ms, last_ms, over (a terminal state)."""
+    at = lambda ms: F.date_format(F.timestamp_millis(ms), time_format)
+    over = F.col("ended_ms").isNotNull() | F.coalesce("over", F.lit(False))
+    given = F.struct(
+        at(F.col("created_ms")).alias("run_created"), F.when(over, at(F.col("last_ms"))).alias("last_ingested"), at(F.col("ended_ms")).alias("end"), compact_span(F.col("ended_ms") - F.col("created_ms")).alias("wall_span")
+    )
+    t = runs.select("run_id", F.from_json(F.to_json(given), "map<string,variant>").alias("_times"))
+    fields = lambda v: F.try_variant_get(v, "$", "map<string,variant>")
+    is_object = lambda v: v.isNull() | F.schema_of_variant(v).startswith("OBJECT")
+    empty = F.create_map().cast("map<string,variant>")
+    rows = docs.join(t, "run_id", "left").withColumn("_v", F.try_parse_json("doc"))
+    meta, held = F.try_variant_get("_v", "$.meta", "variant"), F.try_variant_get("_v", "$.meta.server_time", "variant")
+    fits = F.col("_times").isNotNull() & F.col("_v").isNotNull() & is_object(F.col("_v")) & is_object(meta) & is_object(held)
+    times = F.map_concat(F.map_filter(F.coalesce(fields(held), empty), lambda k, _: ~F.map_contains_key("_times", k)), "_times")
+    put = lambda base, name, value: F.to_variant_object(F.map_concat(F.map_filter(F.coalesce(base, empty), lambda k, _: k != name), F.create_map(F.lit(name), value)))
+    whole = put(fields(F.col("_v")), "meta", put(fields(meta), "server_time", F.to_variant_object(times)))
+    return rows.select("run_id", F.when(fits, F.to_json(whole)).otherwise(F.col("doc")).alias("doc"))
 
 
 def compact_span(ms: Column) -> Column:
-    """Two leading units of a duration: 1d 3h, 2h 5m, 4m 10s, 12s."""
-    s = F.floor(ms / 1000)
+    """Two leading units of a duration, the second only where it isn't 0: 1d 3h, 2h, 4m 10s, 12s, <1s."""
+    s = F.greatest(F.floor(ms / 1000), F.lit(0))
     d, h, m = F.floor(s / 86400), F.floor(s / 3600) % 24, F.floor(s / 60) % 60
-    two = lambda a, u, b, v: F.concat(a.cast("string"), F.lit(u + " "), b.cast("string"), F.lit(v))
-    return F.when(d > 0, two(d, "d", h, "h")).when(h > 0, two(h, "h", m, "m")).when(m > 0, two(m, "m", s % 60, "s")).otherwise(F.concat((s % 60).cast("string"), F.lit("s")))
+    two = lambda a, u, b, v: F.concat(a.cast("string"), F.lit(u), F.when(b == 0, "").otherwise(F.concat(F.lit(" "), b.cast("string"), F.lit(v))))
+    return F.when(ms.isNull(), None).when(d > 0, two(d, "d", h, "h")).when(h > 0, two(h, "h", m, "m")).when(m > 0, two(m, "m", s % 60, "s")).when(s > 0, F.concat(s.cast("string"), F.lit("s"))).otherwise("<1s")
 
 
 def merge_config(updates: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,11 +83,14 @@ def tag_groups(df: DataFrame, tags: list[str] | None = None) -> DataFrame:
 
 
 def series_labels(series: DataFrame) -> DataFrame:
-    """Run if all series share the metric, metric if they share the run, else both; with the tag where there is one."""
-    one = Window.partitionBy()
-    n_runs, n_metrics = F.size(F.collect_set("run_id").over(one)), F.size(F.collect_set("metric_name").over(one))
-    base = F.when(n_metrics == 1, F.col("run_id")).when(n_runs == 1, F.col("metric_name")).otherwise(F.concat_ws("/", "run_id", "metric_name"))
-    return series.withColumn("label", F.when(F.col("tag") == "", base).otherwise(F.concat(base, F.lit(" ["), F.col("tag"), F.lit("]"))))
+    """What tells the series apart: run if all share the metric, metric if all share the run, else ``run/metric``. With a tag:
+    the tag alone if they share both, ``run/tag``, ``metric_tag`` or ``run/metric_tag``."""
+    same = series.agg((F.min("run_id") == F.max("run_id")).alias("_run"), (F.min("metric_name") == F.max("metric_name")).alias("_metric"))
+    run, metric, tag = F.col("run_id"), F.col("metric_name"), F.col("tag")
+    scalar = F.when(F.col("_metric"), run).when(F.col("_run"), metric).otherwise(F.concat_ws("/", run, metric))
+    named = F.concat_ws("_", metric, tag)
+    tagged = F.when(F.col("_metric"), F.when(F.col("_run"), tag).otherwise(F.concat_ws("/", run, tag))).otherwise(F.when(F.col("_run"), named).otherwise(F.concat_ws("/", run, named)))
+    return series.crossJoin(F.broadcast(same)).withColumn("label", F.when(tag == "", scalar).otherwise(tagged)).drop("_run", "_metric")
 
 
 def incremental(df: DataFrame, watermark, read_start) -> DataFrame:
@@ -93,36 +98,57 @@ def incremental(df: DataFrame, watermark, read_start) -> DataFrame:
     return df.where((F.col("inserted_at") > F.lit(watermark) - F.expr("INTERVAL 1 SECOND")) & (F.col("inserted_at") <= F.lit(read_start)))
 
 
+def watermark_of(newest: Column, read_start: Column) -> Column:
+    return F.least(newest, read_start - F.expr("INTERVAL 15 SECONDS"))
+
+
 def next_watermark(df: DataFrame, read_start) -> DataFrame:
-    return df.agg(F.least(F.max("inserted_at"), F.lit(read_start) - F.expr("INTERVAL 15 SECONDS")).alias("watermark"))
+    return df.agg(watermark_of(F.max("inserted_at"), F.lit(read_start)).alias("watermark"))
 
 
-def smoothing_margin(algorithm: str, steps: tuple[int, int], tau: float = 10.0, window: int = 1, floor: float = 0.0) -> tuple[int | None, int | None]:
-    """Step range to read so that slots of ``steps`` have their smoother's samples; None is unbounded."""
+def smoothing_margin(algorithm: str, steps: tuple[int, int], tau: float = 10.0, window: int = 1, reach: tuple[float, float] = (0.0, 0.0)) -> tuple[int | None, int | None]:
+    """Step range to read so that slots of ``steps`` have their smoother's samples; None is unbounded. ``reach``: what a chart's
+    floor widens the smoother to, in x, at the first and the last step."""
     lo, hi = steps
     if algorithm == "ema":
-        reach = int(max(min(max(8 * tau, 1), 1_000_000), 8 * floor))
-        return lo - reach, hi
+        return lo - max(min(max(math.ceil(8 * tau), 1), 1_000_000), math.ceil(8 * reach[0])), hi
     if algorithm == "triangular":
         return None, hi
     if algorithm == "savgol":
-        reach = int(max(4 * window, 4 * floor))
-        return lo - reach, hi + reach
+        own = 4 * max(window, 3)
+        return lo - max(own, math.ceil(max(reach[0], reach[1] - (hi - lo)))), hi + max(own, math.ceil(reach[1]))
     return lo, hi
 
 
 def relative_time(df: DataFrame) -> DataFrame:
-    return df.withColumn("x", F.col("timestamp_ms") - F.min("timestamp_ms").over(Window.partitionBy(*SERIES)))
+    """``x``: milliseconds since the series' first timestamp, which comes from a pre-combined aggregate, not a window."""
+    first = df.groupBy(*SERIES).agg(F.min("timestamp_ms").alias("_first"))
+    return df.join(first, SERIES).withColumn("x", F.col("timestamp_ms") - F.col("_first")).drop("_first")
+
+
+def positive_gaps(df: DataFrame, x: str, by: list[str], block_rows: int = 1_000_000) -> DataFrame:
+    """by.., gap: positive differences of consecutive x of each series.
+
+    A series is cut into blocks of x, so that no task sorts it whole; a block's first x meets the last one before it in a
+    window over a row for each block."""
+    lo, hi, n = df.agg(F.min(x).cast("double"), F.max(x).cast("double"), F.count(F.lit(1))).first()
+    width = (hi - lo) / math.ceil(n / block_rows) if n and hi > lo else 1.0
+    keyed = df.select(*by, F.col(x).alias("_x"), F.floor(F.col(x) / width).alias("_block"))
+    inside = keyed.withColumn("gap", F.col("_x") - F.lag("_x").over(Window.partitionBy(*by, "_block").orderBy("_x")))
+    edges = keyed.groupBy(*by, "_block").agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
+    between = edges.withColumn("gap", F.col("_lo") - F.lag("_hi").over(Window.partitionBy(*by).orderBy("_block")))
+    return inside.select(*by, "gap").unionAll(between.select(*by, "gap")).where("gap > 0")
 
 
 def median_gap(df: DataFrame, x: str, by: list[str]) -> DataFrame:
-    """Upper median of the positive gaps between consecutive x of each series (1 without any), and its rank counts."""
-    gaps = df.withColumn("gap", F.col(x) - F.lag(x).over(Window.partitionBy(*by).orderBy(x))).where("gap > 0").select(*by, "gap")
-    ranked = gaps.withColumn("i", F.row_number().over(Window.partitionBy(*by).orderBy("gap")) - 1).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*by)))
-    mid = ranked.where("i = n div 2").select(*by, F.col("gap").alias("median"), F.col("n").alias("total"))
-    counts = gaps.join(mid, by).groupBy(*by, "median", "total").agg(F.count_if(F.col("gap") < F.col("median")).alias("below"), F.count_if(F.col("gap") == F.col("median")).alias("equal"))
+    """Upper median of the positive gaps between consecutive x of each series (1 without any), and its rank counts: the gap
+    at which a prefix sum over the counts of distinct gaps passes half."""
+    counts = positive_gaps(df, x, by).groupBy(*by, "gap").agg(F.count(F.lit(1)).alias("equal"))
+    whole = Window.partitionBy(*by).orderBy("gap")
+    summed = counts.withColumns({"upto": F.sum("equal").over(whole), "total": F.sum("equal").over(whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
+    found = summed.where("upto > total div 2 AND upto - equal <= total div 2").select(*by, F.col("gap").alias("median"), (F.col("upto") - F.col("equal")).alias("below"), "equal", "total")
     none = F.lit(0).cast("long")
-    return df.select(*by).distinct().join(counts, by, "left").select(*by, F.coalesce(F.col("median").cast("double"), F.lit(1.0)).alias("median"), *[F.coalesce(c, none).alias(c) for c in ("below", "equal", "total")])
+    return df.select(*by).distinct().join(found, by, "left").select(*by, F.coalesce(F.col("median").cast("double"), F.lit(1.0)).alias("median"), *[F.coalesce(c, none).alias(c) for c in ("below", "equal", "total")])
 
 
 def counter_rates(df: DataFrame) -> DataFrame:
@@ -138,9 +164,15 @@ def history(df: DataFrame, metric: str) -> DataFrame:
     return latest(df.where(F.col("metric_name") == metric)).where("value IS NOT NULL").orderBy("run_id", "tag", "step")
 
 
+def row_hash(columns: list[str]) -> Column:
+    """60 bits of the MD5 of the columns' texts, null told from empty: any engine can audit it."""
+    text = F.concat_ws("\x1f", *[F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")) for c in columns])
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+
+
 def fingerprint(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
     """Order-free content fingerprint of row sets: the sum of row hashes modulo 2^64."""
-    total = F.sum(F.xxhash64(*columns).cast("decimal(38,0)"))
+    total = F.sum(row_hash(columns).cast("decimal(38,0)"))
     return df.groupBy(*by).agg((F.pmod(total, F.lit("18446744073709551616").cast("decimal(38,0)"))).cast("decimal(20,0)").alias("fingerprint"), F.count(F.lit(1)).alias("n"))
 
 
@@ -166,8 +198,16 @@ def fan_out(records: DataFrame, value: str = "record") -> DataFrame:
 
 
 def write_points(df: DataFrame, path: str, mode: str = "append") -> None:
-    """Partitioned by project, each file sorted by key, so that row-group statistics prune runs and metrics."""
-    df.repartition("project_id", "run_id").sortWithinPartitions("project_id", *KEY[1:]).write.mode(mode).partitionBy("project_id").parquet(path)
+    """Partitioned by project; tasks hold ranges of the key, so that a hot run is many files, and files are sorted by key, so
+    that row-group statistics prune runs, metrics and steps."""
+    df.repartitionByRange(*KEY).sortWithinPartitions(*KEY).write.mode(mode).partitionBy("project_id").parquet(path)
+
+
+def replay(batches: DataFrame) -> DataFrame:
+    """Point batches that came late, twice or out of order, as if they had come in causal order: by the time they were made,
+    the phase (worker, salvage, other) and the place in the batch. ``batches``: points with created_ns, phase, position."""
+    ranked = batches.withColumn("_cause", F.struct("created_ns", F.when(F.col("phase") == "worker", 0).when(F.col("phase") == "salvage", 1).otherwise(2).alias("phase"), "position"))
+    return latest(ranked, "_cause").drop("_cause")
 
 
 def asof(left: DataFrame, right: DataFrame, by: list[str], on: str, values: list[str]) -> DataFrame:

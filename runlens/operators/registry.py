@@ -61,7 +61,7 @@ def filter_panels(panels: DataFrame, text: str) -> DataFrame:
 
 
 def is_media_key(key: Column, extensions: tuple[str, ...] = ("png", "html", "json", "jpg", "txt", "webp", "mp4")) -> Column:
-    return F.coalesce(key.rlike(rf"^[0-9A-Fa-f]{{4,}}\.({'|'.join(extensions)})$"), F.lit(False))
+    return F.coalesce(key.rlike(rf"^[0-9A-Fa-f]{{4,}}\.({'|'.join(extensions)})\z"), F.lit(False))
 
 
 def readable_key(key: Column) -> Column:

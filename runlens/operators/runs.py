@@ -46,18 +46,21 @@ def classify(keys: DataFrame, runs: DataFrame, tombstones: DataFrame, now_ms: in
 
 
 def trash_outcomes(classified: DataFrame) -> DataFrame:
-    """Of a request list: a run's first active position is trashed; its repeats and trashed runs are already trashed."""
-    nth = F.row_number().over(Window.partitionBy("project_id", "run_id").orderBy("position"))
-    c = F.col("lifecycle")
-    out = F.when((c == "active") & (nth == 1), "trashed").when(c.isin("active", "trashed"), "already trashed").when(c.isin("expired", "purging"), "purging").when(c == "purged", "purged").otherwise("not found")
-    return classified.withColumn("outcome", out)
+    """Of a request list: a run's first active position is trashed; its repeats and trashed runs are already_trashed; runs
+    past retention, being purged or purged are expired; the rest is not_found."""
+    return _outcomes(classified, "active", "trashed", "already_trashed")
 
 
 def restore_outcomes(classified: DataFrame) -> DataFrame:
-    nth = F.row_number().over(Window.partitionBy("project_id", "run_id").orderBy("position"))
+    """Of a request list: a run's first trashed position is restored; its repeats and active runs are already_active; runs past
+    retention, being purged or purged are expired; the rest is not_found."""
+    return _outcomes(classified, "trashed", "restored", "already_active")
+
+
+def _outcomes(classified: DataFrame, moves: str, done: str, already: str) -> DataFrame:
+    first = F.row_number().over(Window.partitionBy("project_id", "run_id").orderBy("position")) == 1
     c = F.col("lifecycle")
-    out = F.when((c == "trashed") & (nth == 1), "restored").when(c.isin("active", "trashed"), "already active").when(c.isin("expired", "purging"), "purging").when(c == "purged", "purged").otherwise("not found")
-    return classified.withColumn("outcome", out)
+    return classified.withColumn("outcome", F.when((c == moves) & first, done).when(c.isin("active", "trashed"), already).when(c.isin("expired", "purging", "purged"), "expired").otherwise("not_found"))
 
 
 def purge_due(runs: DataFrame, now_ms: int) -> DataFrame:
@@ -190,11 +193,11 @@ def resolve_bindings(bindings: DataFrame, selected: DataFrame, runs: DataFrame,
     """Panel bindings (position, metric_name, mode, ids) to the first ``max_runs`` distinct runs in order of first sight.
 
     Modes: selected (the selected runs in their order), all (every run by ordinal), specific (the listed ids)."""
-    s = bindings.where("mode = 'selected'").crossJoin(F.broadcast(selected.select("run_id", F.col("position").alias("k"))))
+    s = bindings.where("mode = 'selected'").crossJoin(selected.select("run_id", F.col("position").alias("k")))
     a = bindings.where("mode = 'all'").crossJoin(runs.select("run_id", F.col("ordinal").alias("k")))
     x = bindings.where("mode = 'specific'").select("*", F.posexplode("ids").alias("k", "run_id"))
     cols = ["position", "metric_name", "k", "run_id"]
     every = s.select(*cols).unionAll(a.select(*cols)).unionAll(x.select(*cols))
     once = every.groupBy("metric_name", "run_id").agg(F.min(F.struct("position", "k")).alias("at"))
     first = once.groupBy("run_id").agg(F.min("at").alias("first")).orderBy("first", "run_id").limit(max_runs)
-    return once.join(F.broadcast(first), "run_id").select("metric_name", "run_id", F.col("at.position").alias("position"))
+    return once.join(first, "run_id").select("metric_name", "run_id", F.col("at.position").alias("position"))

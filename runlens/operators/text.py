@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 STREAM = ["project_id", "run_id"]
 ORDER = ["step", "metric_name", "tag"]
 MAX_LINES = 2000
+MAX_SEARCH_BYTES = 512
 
 
 def normalized(text: Column) -> Column:
@@ -40,14 +41,17 @@ def totals(index: DataFrame) -> DataFrame:
     return agg.select(*STREAM, (F.col("n") + tail).alias("total_lines"), "first_step")
 
 
+def _pieces(chunks: DataFrame, where: DataFrame) -> DataFrame:
+    """Pieces between newlines of the chunks in ``where`` (index rows with lines_before and newlines), with the number of the line
+    they belong to; a chunk's end behind its last newline counts only if there is any."""
+    extra = [c for c in where.columns if c not in (*STREAM, *ORDER, "lines_before", "newlines")]
+    slim = chunks.select(*STREAM, *ORDER, normalized(F.col("text_data")).alias("_t"))
+    parts = slim.join(where, [*STREAM, *ORDER]).select(*STREAM, *ORDER, *extra, "lines_before", "newlines", F.posexplode(F.split("_t", "\n", -1)).alias("i", "part"))
+    return parts.where("i < newlines OR part <> ''").select(*STREAM, *ORDER, *extra, (F.col("lines_before") + F.col("i")).alias("line_index"), "part")
+
+
 def _fragments(chunks: DataFrame) -> DataFrame:
-    """Pieces between newlines of each chunk, with the number of the line they belong to."""
-    keys = ["_" + c for c in ORDER]
-    slim = placed(chunk_index(chunks)).select(*STREAM, *[F.col(c).alias(k) for c, k in zip(ORDER, keys, strict=True)], "lines_before", "newlines")
-    c = chunks.select(*STREAM, *[F.col(c).alias(k) for c, k in zip(ORDER, keys, strict=True)], normalized(F.col("text_data")).alias("_t"))
-    joined = c.join(slim, [*STREAM, *keys])
-    parts = joined.select(*STREAM, *keys, "lines_before", "newlines", F.posexplode(F.split("_t", "\n", -1)).alias("i", "part"))
-    return parts.select(*STREAM, *[F.col(k).alias(c) for c, k in zip(ORDER, keys, strict=True)], (F.col("lines_before") + F.col("i")).alias("line_index"), (F.col("i") < F.col("newlines")).alias("ends"), "part").where("ends OR part <> ''")
+    return _pieces(chunks, placed(chunk_index(chunks)).select(*STREAM, *ORDER, "lines_before", "newlines"))
 
 
 def lines(chunks: DataFrame) -> DataFrame:
@@ -64,25 +68,25 @@ def _joined(fragments: DataFrame) -> DataFrame:
 
 
 def window(chunks: DataFrame, offset: int, limit: int) -> DataFrame:
-    """Lines offset .. offset + limit of each stream: the index finds the chunks, and only their text is split."""
-    limit = min(limit, MAX_LINES)
-    where = placed(chunk_index(chunks)).where((F.col("lines_before") <= offset + limit) & (F.col("lines_before") + F.col("newlines") >= offset)).select(*STREAM, *ORDER, "lines_before", "newlines")
-    near = chunks.join(where, [*STREAM, *ORDER])
-    parts = near.select(*STREAM, *ORDER, "lines_before", "newlines", F.posexplode(F.split(normalized(F.col("text_data")), "\n", -1)).alias("i", "part"))
-    f = parts.withColumn("line_index", F.col("lines_before") + F.col("i")).where(F.col("line_index").between(offset, offset + limit - 1)).where("i < newlines OR part <> ''")
-    return _joined(f).orderBy(*STREAM, "line_index")
+    """Lines offset .. offset + limit of each stream, 2000 at most: the index finds the chunks, and only their text is split."""
+    limit = min(max(limit, 1), MAX_LINES)
+    where = placed(chunk_index(chunks)).where((F.col("lines_before") < offset + limit) & (F.col("lines_before") + F.col("newlines") >= offset)).select(*STREAM, *ORDER, "lines_before", "newlines")
+    return _joined(_pieces(chunks, where).where(F.col("line_index").between(offset, offset + limit - 1))).orderBy(*STREAM, "line_index")
 
 
 def tail(chunks: DataFrame, n: int) -> DataFrame:
-    """The last n lines of each stream."""
-    t = totals(chunk_index(chunks)).select(*STREAM, "total_lines")
-    found = lines(chunks).join(t, STREAM).where(F.col("line_index") >= F.col("total_lines") - n)
-    return found.drop("total_lines").orderBy(*STREAM, "line_index")
+    """The last n lines of each stream: the index finds the chunks that hold them, and only their text is split."""
+    index = chunk_index(chunks)
+    wanted = totals(index).select(*STREAM, (F.col("total_lines") - n).alias("_from"))
+    where = placed(index).join(wanted, STREAM).where(F.col("lines_before") + F.col("newlines") >= F.col("_from"))
+    return _joined(_pieces(chunks, where.select(*STREAM, *ORDER, "lines_before", "newlines", "_from")).where(F.col("line_index") >= F.col("_from"))).orderBy(*STREAM, "line_index")
 
 
 def search(chunks: DataFrame, text: str) -> DataFrame:
-    """Matching whole lines, case-insensitively; ``match_index`` counts matches in stream order. Ranks come from counts of
+    """Matching whole lines, case-insensitively (a text of at most 512 bytes); ``match_index`` counts matches in stream order. Ranks come from counts of
     matches for each hundredth of a stream's lines, then within, not from one window over all lines."""
+    if len(text.encode()) > MAX_SEARCH_BYTES:
+        raise ValueError(f"a search is limited to {MAX_SEARCH_BYTES} bytes")
     hits = lines(chunks).where(F.contains(F.lower("line"), F.lit(text.lower()))).withColumn("_b", F.expr("line_index div 1000"))
     per = hits.groupBy(*STREAM, "_b").agg(F.count(F.lit(1)).alias("n"))
     before = F.sum("n").over(Window.partitionBy(*STREAM).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
@@ -95,7 +99,7 @@ def pack_lines(rows: DataFrame, by: list[str], order: list[str], cap: int = 64_0
     """Console lines -> chunks: a new chunk where the stream changes or ``cap`` characters are full (by the running length in
     the stretch, so a chunk may pass the cap by a line); a line without a time takes its chunk's first."""
     w = Window.partitionBy(*by).orderBy(*order)
-    line = F.regexp_replace("line", r"(\r\n|\n|\r)$", "")
+    line = F.regexp_replace("line", r"(\r\n|\n)\z", "")
     r = rows.withColumn("_line", line).withColumn("_new", F.when(F.lag("stream").over(w).eqNullSafe(F.col("stream")), 0).otherwise(1))
     r = r.withColumn("_island", F.sum("_new").over(w))
     inside = Window.partitionBy(*by, "_island").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
@@ -105,10 +109,22 @@ def pack_lines(rows: DataFrame, by: list[str], order: list[str], cap: int = 64_0
     return packed.select(*by, F.col("_island").alias("island"), F.col("_part").alias("part"), "stream", "timestamp_ms", "n_lines", text.alias("text_data"))
 
 
+def cap_lines(rows: DataFrame, by: list[str], order: list[str], limit: int, note: str = "[first {} console lines omitted]") -> DataFrame:
+    """Console lines whose characters, terminators included, pass ``limit``: the oldest go (the last line stays), and a line that
+    tells how many stands in front, with the first kept line's time."""
+    line = F.regexp_replace("line", r"(\r\n|\n)\z", "")
+    later = Window.partitionBy(*by).orderBy(*[F.desc(c) for c in order])
+    told = rows.withColumn("line", line).withColumns({"_after": F.sum(F.length("line") + 1).over(later.rowsBetween(Window.unboundedPreceding, 0)), "_nth": F.row_number().over(later)})
+    told = told.withColumn("_keep", (F.col("_after") <= limit) | (F.col("_nth") == 1))
+    dropped = told.groupBy(*by).agg(F.count_if(~F.col("_keep")).alias("_n"), F.min_by(F.struct(*rows.columns), F.when(F.col("_keep"), F.struct(*order))).alias("_first")).where("_n > 0")
+    before, after = (F.lit(x) for x in note.split("{}"))
+    first = dropped.select("_n", *[F.col(f"_first.{c}").alias(c) for c in rows.columns]).withColumn("line", F.concat(before, F.col("_n").cast("string"), after))
+    kept = told.where("_keep").select(*rows.columns, F.lit(1).alias("part"))
+    return first.withColumn("stream", F.lit("info")).select(*rows.columns, F.lit(0).alias("part")).unionAll(kept)
+
+
 def cut_file(files: DataFrame, cap: int = 64_000) -> DataFrame:
-    """Whole log texts -> chunks of whole lines of about ``cap`` characters."""
-    l = files.select("path", F.posexplode(F.split(normalized(F.col("text")), "(?<=\n)")).alias("i", "line")).where("line <> ''")
-    before = Window.partitionBy("path").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    part = F.floor(F.coalesce(F.sum(F.length("line")).over(before), F.lit(0)) / cap)
-    g = l.withColumn("part", part).groupBy("path", "part").agg(F.sort_array(F.collect_list(F.struct("i", "line"))).alias("l"))
-    return g.select("path", "part", F.array_join(F.transform("l", lambda x: x["line"]), "").alias("text_data"))
+    """Whole log texts (path, text) -> chunks of at most ``cap`` characters (path, part, text_data), each cut behind its last
+    newline that isn't its first character, else at the cap; what is left within the cap is the last chunk, uncut."""
+    pattern = rf"(?s)(?:.{{1,{cap}}}\z|.{{1,{cap - 1}}}\n|.{{1,{cap}}})"
+    return files.select("path", F.posexplode(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).alias("part", "text_data"))

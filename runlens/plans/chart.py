@@ -2,21 +2,22 @@
 
 ``chart`` returns the long form: a row for each series and slot that holds something. A small job finds the axis' bounds
 and how many distinct x there are; the grid is fixed from these on the driver; then one plan makes the rows. Slots are at
-most about twice the target (all distinct x where nothing is downsampled), points are only ever grouped by key.
+most about twice the target (all distinct x where nothing is downsampled), points are only ever grouped by key. A step range,
+widened by what the smoother reads beyond it, filters rows before the newest versions are picked, so it reaches the scan.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import is_finite, marker_kind
-from ..operators.points import latest, median_gap, tag_groups
-from .scratch import checkpointed
-from .smooth import Floor, Smoothing, smooth
+from ..operators.points import latest, median_gap, smoothing_margin, tag_groups
+from .scratch import checkpointed, numbered
+from .smooth import EMA_FLOOR, SAVGOL_FLOOR, Floor, Smoothing, smooth
 
 SERIES = ["run_id", "metric_name", "tag"]
 ENVELOPE_POINTS = 4
@@ -40,6 +41,8 @@ class Request:
     def __post_init__(self) -> None:
         if self.axis not in ("step", "time", "relative", "metric"):
             raise ValueError(f"unknown axis {self.axis}")
+        if self.axis in ("time", "relative"):
+            object.__setattr__(self, "x_metric", "")  # a time axis wins over another metric's
         if (self.axis == "metric") != bool(self.x_metric):
             raise ValueError("an x metric and axis 'metric' come together")
         if self.target < 0:
@@ -63,19 +66,20 @@ class Grid:
     def cell(self, x: Column) -> Column:
         if self.width:
             return F.floor(x / self.width)
-        xe = x + 1.0 if self.shift else x
-        k = F.floor(F.log2(xe))
-        k = k - F.when(F.pow(F.lit(2.0), k) > xe, 1).otherwise(0) + F.when(F.pow(F.lit(2.0), k + 1) <= xe, 1).otherwise(0)  # log2 may round over a power
-        k = F.greatest(k, F.lit(_OCTAVE_MIN))
-        j = F.greatest(F.floor((xe - F.pow(F.lit(2.0), k)) / F.pow(F.lit(2.0), k - self.m)), F.lit(0))
-        return (k * (1 << self.m) + j).cast("long")
+        v = x + 1.0 if self.shift else x
+        octave = F.floor(F.log2(v))
+        low = F.pow(F.lit(2.0), octave)
+        octave = octave - F.when(low > v, 1).otherwise(0) + F.when(low * 2 <= v, 1).otherwise(0)  # log2 may round over a power
+        octave = F.greatest(octave, F.lit(_OCTAVE_MIN))
+        step = F.floor((v / F.pow(F.lit(2.0), octave) - 1) * float(1 << self.m))
+        return (octave * (1 << self.m) + F.greatest(step, F.lit(0))).cast("long")
 
     def cell_of(self, x: float) -> int:
         if self.width:
             return math.floor(x / self.width)
-        xe = x + 1.0 if self.shift else x
-        k = max(math.frexp(xe)[1] - 1, _OCTAVE_MIN)
-        return k * (1 << self.m) + max(int((xe - 2.0**k) / 2.0 ** (k - self.m)), 0)
+        v = x + 1.0 if self.shift else x
+        octave = max(math.frexp(v)[1] - 1, _OCTAVE_MIN)
+        return octave * (1 << self.m) + max(math.floor((v / 2.0**octave - 1) * (1 << self.m)), 0)
 
     def wide(self, cell: Column) -> Column:
         """Whether a cell of an integer axis expects enough points for an envelope."""
@@ -106,45 +110,67 @@ def plan_grid(lo: float, hi: float, distinct: int, req: Request) -> Grid | None:
         return None
     if not req.log_x:
         return Grid(width=width)
-    shift = req.axis != "metric" and lo == 0.0
-    m = 0
-    while m < 40:
-        g = Grid(m=m + 1, shift=shift)
-        if g.cell_of(hi) - g.cell_of(lo) + 1 > req.target:
+    return _ladder(lo, hi, req)
+
+
+def _ladder(lo: float, hi: float, req: Request) -> Grid:
+    """The finest ladder with at most ``target`` cells from lo to hi, the coarsest if all have more."""
+    grid = Grid(shift=req.axis != "metric" and lo == 0.0)
+    while grid.m < 40:
+        finer = Grid(m=grid.m + 1, shift=grid.shift)
+        if finer.cell_of(hi) - finer.cell_of(lo) + 1 > req.target:
             break
-        m += 1
-    return Grid(m=m, shift=shift)
+        grid = finer
+    return grid
+
+
+def zoom_floor(req: Request) -> Floor:
+    """The widest floor that a step chart of the requested range can have: a narrower span only refines its grid."""
+    if req.axis != "step" or not req.target or not req.steps:
+        return Floor()
+    lo, hi = (max(float(x), 0.0) if req.log_x else float(x) for x in req.steps)
+    if hi < lo:
+        return Floor()
+    return _ladder(lo, hi, req).floor if req.log_x else Floor(width=linear_width(lo, hi, req.target))
+
+
+def read_range(req: Request) -> tuple[int | None, int | None] | None:
+    """The steps to read for the requested ones: a smoother needs samples beyond them."""
+    if not req.steps or not req.smoothing:
+        return req.steps
+    s, floor = req.smoothing, zoom_floor(req)
+    share = (EMA_FLOOR if s.kind == "ema" else SAVGOL_FLOOR)[s.degree]
+    reach = tuple(share * max(floor.width, floor.growth * (x + floor.shift)) for x in req.steps)
+    return smoothing_margin(s.kind, req.steps, s.tau, s.window, reach)
 
 
 def prepare(points: DataFrame, req: Request) -> tuple[DataFrame, DataFrame]:
-    """Samples (series, step, x, y, kind, shown) in the order dedup, kind, tags, axis; and anchors of samples whose x can't be
-    drawn (series, anchor x or null for the axis' left end). ``shown`` is false for the margin that smoothing reads."""
+    """Samples (series, step, x, y, kind, shown) in the order range, dedup, kind, tags, axis; and anchors of samples whose x can't
+    be drawn (series, anchor x or null for the axis' left end). ``shown`` is false for the margin that smoothing reads. Tag groups
+    are chosen by the rows in range."""
     mine = points.where(F.col("metric_name").isin(list({*req.metrics, req.x_metric} - {""})))
     if req.runs:
         mine = mine.where(F.col("run_id").isin(list(req.runs)))
+    for bound, inside in zip(read_range(req) or (), (F.col("step").__ge__, F.col("step").__le__), strict=False):
+        mine = mine if bound is None else mine.where(inside(bound))
     newest = latest(mine) if req.versioned else mine
     numeric = newest.where("value IS NOT NULL").withColumn("y", F.col("value").cast("double"))
     y = tag_groups(numeric.where(F.col("metric_name").isin(list(req.metrics))), list(req.tags) or None)
-    shown = F.col("step").between(*req.steps) if req.steps else F.lit(True)
-    y = y.withColumn("shown", shown)
-    if not req.smoothing:
-        y = y.where("shown")
+    y = y.withColumn("shown", F.col("step").between(*req.steps) if req.steps else F.lit(True))
     if req.axis == "metric":
         xs = numeric.where((F.col("metric_name") == req.x_metric) & (F.col("tag") == "")).select("run_id", "step", F.col("y").alias("x"))
         y = y.join(xs, ["run_id", "step"])
         bad = ~is_finite(F.col("x")) | (F.lit(req.log_x) & (F.col("x") <= 0))
     else:
-        if req.axis == "step":
-            x = F.col("step").cast("double")
-        elif req.axis == "time":
-            x = F.col("timestamp_ms").cast("double")
-        else:
-            x = (F.col("timestamp_ms") - F.min("timestamp_ms").over(Window.partitionBy(*SERIES))).cast("double")
-        y = y.withColumn("x", x)
+        if req.axis == "relative":
+            y = y.join(y.groupBy(*SERIES).agg(F.min("timestamp_ms").alias("_start")), SERIES)
+        x = {"step": "step", "time": "timestamp_ms", "relative": "timestamp_ms - _start"}[req.axis]
+        y = y.withColumn("x", F.expr(x).cast("double"))
         bad = F.lit(req.log_x) & (F.col("x") < 0)
     y = y.select(*SERIES, "step", "x", "y", marker_kind(F.col("y")).alias("kind"), "shown", bad.alias("bad"))
     good = y.where("NOT bad")
     if req.axis == "metric":
+        # bad points look back for the last x drawn before them: one series' steps in order
         w = Window.partitionBy(*SERIES).orderBy("step")
         plotted = F.when(~F.col("bad") & F.col("shown"), F.col("x"))
         at = y.withColumn("_prev", F.last(plotted, True).over(w)).withColumn("_first", F.first(plotted, True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
@@ -157,22 +183,42 @@ def prepare(points: DataFrame, req: Request) -> tuple[DataFrame, DataFrame]:
 
 def chart(points: DataFrame, req: Request) -> DataFrame:
     """run_id, metric_name, tag, slot, x, xr_min, xr_max, value, raw_value, y_min, y_max, marker_kind."""
+    return chart_and_grid(points, req)[0]
+
+
+def chart_and_grid(points: DataFrame, req: Request) -> tuple[DataFrame, Grid | None]:
+    """A chart, and the grid it is drawn on (None: every distinct x has a slot)."""
+    if req.smoothing and req.axis == "metric":
+        return custom_smoothed(points, req)
     samples, anchors = prepare(points, req)
     samples = checkpointed(samples)
-    seen = samples.where("shown").agg(F.min("x"), F.max("x"), F.countDistinct("x")).first()
-    if seen[0] is None:
-        return _empty(samples, req)
-    grid = plan_grid(seen[0], seen[1], seen[2], req)
+    planned = plan_axis(samples, req)
+    if planned is None:
+        return _empty(samples, req), None
+    grid, axis, cells = planned
+    rows = _values(samples.where("shown"), axis, cells, grid, bool(req.smoothing))
+    if req.smoothing:
+        rows = _smoothed(rows, samples, axis, grid, req)
+    return _marked(rows, anchors, axis, cells, grid), grid
+
+
+def plan_axis(samples: DataFrame, req: Request) -> tuple[Grid | None, DataFrame, DataFrame | None] | None:
+    """Grid (None: every distinct x has a slot), slots and cells of a chart; None if nothing can be drawn. A grid on which no
+    cell is an envelope is none. More than ``MAX_TAGS`` tag groups of a run's metric are an error."""
+    tags = samples.where("tag <> ''").select(*SERIES).distinct().groupBy("run_id", "metric_name").agg(F.count(F.lit(1)).alias("n"))
+    wide = tags.where(F.col("n") > MAX_TAGS).orderBy("run_id", "metric_name").first()
+    if wide:
+        raise ValueError(f"{wide.run_id}/{wide.metric_name} has {wide.n} tags, {MAX_TAGS} at most make a chart")
     shown = samples.where("shown")
+    lo, hi, distinct = shown.agg(F.min("x"), F.max("x"), F.countDistinct("x")).first()
+    if lo is None:
+        return None
+    grid = plan_grid(lo, hi, distinct, req)
     axis, cells = _axis(shown, grid, req)
     if cells is not None and cells.where("envelope").isEmpty():
-        grid, cells = None, None
-        axis, _ = _axis(shown, None, req)
-    axis = checkpointed(axis)
-    rows = _values(shown, axis, cells, grid, bool(req.smoothing))
-    if req.smoothing:
-        rows = _smoothed(rows, samples, axis, grid, req)
-    return _marked(rows, anchors, axis, cells, grid)
+        grid = None
+        axis, cells = _axis(shown, None, req)
+    return grid, checkpointed(axis), cells
 
 
 def _empty(samples: DataFrame, req: Request) -> DataFrame:
@@ -197,8 +243,7 @@ def _axis(shown: DataFrame, grid: Grid | None, req: Request) -> tuple[DataFrame,
         env = cells.where("envelope").select(((F.col("lo") + F.col("hi")) * 0.5).alias("x"), F.when(spread, F.col("lo")).alias("xr_min"), F.when(spread, F.col("hi")).alias("xr_max"), "cell")
         raw = keyed.join(F.broadcast(cells.where("NOT envelope").select("cell")), "cell").select("x").distinct()
         slots = env.unionAll(raw.select("x", none, none, F.lit(None).cast("long")))
-    # a window over slots, which the target bounds; without downsampling they are the distinct x that the caller asked for
-    return slots.withColumn("slot", (F.row_number().over(Window.orderBy("x")) - 1).cast("long")), cells
+    return numbered(slots, ["x"], "slot"), cells
 
 
 def _placed(rows: DataFrame, axis: DataFrame, cells: DataFrame | None, grid: Grid | None) -> DataFrame:
@@ -248,8 +293,6 @@ def _smoothed(rows: DataFrame, samples: DataFrame, axis: DataFrame, grid: Grid |
     if s.kind != "savgol":
         need = need.where("NOT env OR first_x <= x")
     key = "step" if req.axis == "step" else "x"
-    if req.axis == "metric":
-        raise ValueError("smoothing on a metric's axis goes through chart_custom_smoothed")
     units = None
     if s.kind == "savgol" or req.axis != "step":
         units = median_gap(samples.select(*SERIES, F.col(key).cast("double").alias("g")), "g", SERIES).select(*SERIES, F.col("median").alias("unit"))
@@ -288,9 +331,9 @@ def subset(rows: DataFrame, runs: list[str]) -> DataFrame:
     """A chart of some of the runs: slots nobody of them occupies go, the others are numbered anew."""
     kept = rows.where(F.col("run_id").isin(runs))
     held = kept.where("value IS NOT NULL OR y_min IS NOT NULL OR marker_kind IN (1, 2, 3)").select("slot").distinct()
-    new = held.withColumn("new_slot", (F.row_number().over(Window.orderBy("slot")) - 1).cast("long"))
-    on = kept.join(F.broadcast(new), "slot").drop("slot").withColumnRenamed("new_slot", "slot")
-    lost = kept.join(F.broadcast(held), "slot", "left_anti").where("marker_kind = 4")
+    new = numbered(held, ["slot"], "new_slot")
+    on = kept.join(new, "slot").drop("slot").withColumnRenamed("new_slot", "slot")
+    lost = kept.join(new, "slot", "left_anti").where("marker_kind = 4")
     # an anchor's marker whose slot is gone lands on the first slot left
     free = on.where("slot = 0").select(*SERIES, F.lit(True).alias("taken"))
     again = lost.select(*SERIES).distinct().join(free, SERIES, "left").where("taken IS NULL")
@@ -307,31 +350,27 @@ def hover(rows: DataFrame, slot: int) -> DataFrame:
     return near.select(*SERIES, F.col("n.slot").alias("slot"), F.col("n.x").alias("x"), F.col("n.value").alias("value"))
 
 
-def custom_smoothed(points: DataFrame, req: Request) -> DataFrame:
+def custom_smoothed(points: DataFrame, req: Request) -> tuple[DataFrame, Grid | None]:
     """A metric's axis: samples are smoothed in step order at their own steps, then placed at their x; envelope slots
     interpolate between a series' neighbouring points and extrapolate at its ends."""
-    plain = Request(**{**{k: getattr(req, k) for k in req.__dataclass_fields__}, "smoothing": None})
-    samples, anchors = prepare(points, plain)
-    by_step = Request(req.metrics, req.runs, tags=req.tags, steps=req.steps, versioned=req.versioned)
-    steps, _ = prepare(points, by_step)
+    samples, anchors = prepare(points, req)
+    steps, _ = prepare(points, replace(req, axis="step", x_metric="", log_x=False, target=0))
     steps = checkpointed(steps.where("kind = 0"))
     s = req.smoothing
     units = median_gap(steps, "step", SERIES).select(*SERIES, F.col("median").alias("unit")) if s.kind == "savgol" else None
-    at = steps.select(*SERIES, F.col("step").alias("slot"), "x")
+    at = steps.where("shown").select(*SERIES, F.col("step").alias("slot"), "x")
     fitted = smooth(steps.select(*SERIES, "x", "y"), at, SERIES, s, units).select(*SERIES, F.col("slot").alias("step"), F.col("value").alias("smoothed"))
-    samples = checkpointed(samples.join(fitted, [*SERIES, "step"], "left"))
-    seen = samples.agg(F.min("x"), F.max("x"), F.countDistinct("x")).first()
-    if seen[0] is None:
-        return _empty(samples, req)
-    grid = plan_grid(seen[0], seen[1], seen[2], req)
-    axis, cells = _axis(samples, grid, req)
-    axis = checkpointed(axis)
+    samples = checkpointed(samples.where("shown").join(fitted, [*SERIES, "step"], "left"))
+    planned = plan_axis(samples, req)
+    if planned is None:
+        return _empty(samples, req), None
+    grid, axis, cells = planned
     rows = _values(samples, axis, cells, grid, True)
     exact = _placed(samples.where("kind = 0"), axis, cells, grid).where("NOT env").groupBy(*SERIES, "slot").agg(F.max(F.struct("step", "smoothed")).getField("smoothed").alias("at"))
     want = rows.where("env AND n > 0 AND marker_kind IS NULL").join(axis.select("slot", F.col("x").alias("xq")), "slot").select(*SERIES, "slot", "xq")
     lines = _interpolated(samples.where("kind = 0 AND smoothed IS NOT NULL").select(*SERIES, "x", F.col("smoothed").alias("y")), want)
     rows = rows.drop("value").join(exact, [*SERIES, "slot"], "left").join(lines, [*SERIES, "slot"], "left").withColumn("value", F.coalesce("at", "line")).drop("at", "line")
-    return _marked(rows, anchors, axis, cells, grid)
+    return _marked(rows, anchors, axis, cells, grid), grid
 
 
 def _interpolated(points: DataFrame, slots: DataFrame) -> DataFrame:

@@ -1,16 +1,40 @@
-"""Materialising intermediate tables on storage that executors share."""
+"""Materialising intermediate tables on storage that executors share, and numbering of their rows."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written once to ``spark.checkpoint.dir`` (a temporary folder only where none is set), for plans that read it
-    several times and must not be recomputed differently."""
+    """``df`` written once to ``spark.checkpoint.dir``, for plans that read it several times and must not be recomputed
+    differently. Without that setting a temporary folder serves in local mode; elsewhere it is an error."""
     spark = df.sparkSession
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="runlens-"))
+        spark.sparkContext.setCheckpointDir(shared_root(spark))
     return df.checkpoint()
+
+
+def shared_root(spark) -> str:
+    """The folder that driver and executors share."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    found = "file://" + tempfile.mkdtemp(prefix="runlens-")
+    spark.conf.set("spark.checkpoint.dir", found)
+    return found
+
+
+def numbered(df: DataFrame, by: list[str], name: str) -> DataFrame:
+    """Adds ``name``, the place (from 0) of each row in the order of ``by``: ranges are sorted in their own tasks, and only a
+    count of each range goes through a window."""
+    dealt = checkpointed(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id()))
+    dealt = dealt.withColumns({"_range": F.shiftright("_at", 33), "_in": F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))})
+    counts = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select("_range", F.coalesce(before, F.lit(0)).alias("_start"))
+    return dealt.join(F.broadcast(starts), "_range").withColumn(name, F.col("_start") + F.col("_in")).drop("_range", "_in", "_at", "_start")

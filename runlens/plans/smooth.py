@@ -1,11 +1,12 @@
 """Smoothers read at chart slots: exponential, triangular and Savitzky-Golay local polynomial fits, without a fold.
 
-No series is handled by one task: sums run within blocks of a series, block totals are summed over the (few) blocks, and
-both meet in a join on (series, block). Samples are (series.., x, y) with finite y; slots are (series.., slot, x).
+Sums run within blocks of a series, block totals are summed over a row for each block, and both meet in a join on
+(series, block). Samples are (series.., x, y) with finite y; slots are (series.., slot, x).
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -15,6 +16,7 @@ from ..functions.fit import fit, moments, translated
 
 SAVGOL_FLOOR = (5 / 7, 5 / 7, 805 / 572)
 EMA_FLOOR = (0.5, 1.25, 33 / 16)
+_BLOCK_ROWS = 200_000
 _FOLDS = 20.0  # a block of an EMA, in e-folds; two blocks back the weights are below e^-20 of the newest
 
 
@@ -28,8 +30,8 @@ class Smoothing:
     def __post_init__(self) -> None:
         if self.kind not in ("ema", "triangular", "savgol"):
             raise ValueError(f"unknown smoother {self.kind}")
-        if self.kind == "ema" and not 1 <= self.tau <= 1_000_000:
-            raise ValueError("tau must lie between 1 and 1e6")
+        if self.kind == "ema" and not (math.isfinite(self.tau) and self.tau > 0):
+            raise ValueError("tau must be finite and positive")
         object.__setattr__(self, "degree", min(max(self.degree, 0), 2))
         object.__setattr__(self, "window", min(max(self.window, 3), 4096))
 
@@ -65,14 +67,14 @@ def _sums(cols: list[Column], w) -> list[Column]:
 def _triangular(samples, slots, series, s: Smoothing, units) -> DataFrame:
     """Weight 1 + (x - first x) / unit: it never decays, so moments are prefix sums, taken in two levels."""
     d = s.degree
-    span = samples.groupBy(*series).agg(F.min("x").alias("x0"), F.max("x").alias("x1"))
+    span = samples.groupBy(*series).agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.ceil(F.count(F.lit(1)) / _BLOCK_ROWS).alias("blocks"))
     e = _events(samples, slots, series).join(span.join(units, series), series).where("slot IS NULL OR x >= x0")
     scale = F.greatest(F.col("x1") - F.col("x0"), F.lit(1.0))
     u = (F.col("x") - F.col("x0")) / scale
     w = F.when(F.col("y").isNotNull(), 1 + (F.col("x") - F.col("x0")) / F.col("unit"))
     mw, sw = moments(w, u, F.col("y"), d)
     names = [f"m{i}" for i in range(len(mw) + len(sw))]
-    e = e.withColumns({"u": u, "block": F.least(F.floor(u * 64), F.lit(80))} | dict(zip(names, mw + sw, strict=True)))
+    e = e.withColumns({"u": u, "block": F.least(F.floor(u * F.col("blocks")), F.col("blocks"))} | dict(zip(names, mw + sw, strict=True)))
     # at equal x samples come before the slot, which reads all at or before it
     inside = Window.partitionBy(*series, "block").orderBy("x", F.col("slot").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
     at = e.select(*series, "block", "slot", "u", *[x.alias(n) for n, x in zip(names, _sums([F.col(n) for n in names], inside), strict=True)]).where("slot IS NOT NULL")
@@ -104,24 +106,23 @@ def _ema(samples, slots, series, s: Smoothing, units, floor: Floor) -> DataFrame
         return F.least(x, knee) / base + F.when(x > knee, F.log((x + floor.shift) / (knee + floor.shift)) / growth).otherwise(0.0)
 
     e = _events(samples, slots, series).join(units, series).withColumn("e", folds(F.col("x"))).withColumn("block", F.floor(F.col("e") / _FOLDS))
-    centre = e.where("y IS NOT NULL").groupBy(*series, "block").agg(F.max("x").alias("ref"), F.max("unit").alias("unit"))
-    centre = centre.withColumn("ref_e", folds(F.col("ref"))).withColumn("ref_tau", tau(F.col("ref"))).drop("unit")
-    e = e.join(centre, [*series, "block"], "left")
+    block = Window.partitionBy(*series, "block")
+    e = e.withColumn("ref", F.max(F.when(F.col("y").isNotNull(), F.col("x"))).over(block))
+    e = e.withColumns({"ref_e": folds(F.col("ref")), "ref_tau": tau(F.col("ref"))})
     u = (F.col("x") - F.col("ref")) / F.col("ref_tau")
     w = F.when(F.col("y").isNotNull(), F.exp(F.col("e") - F.col("ref_e")))
     mw, sw = moments(w, u, F.col("y"), d)
     names = [f"m{i}" for i in range(len(mw) + len(sw))]
     e = e.withColumns(dict(zip(names, mw + sw, strict=True)))
-    inside = Window.partitionBy(*series, "block").orderBy("x", F.col("slot").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    inside = block.orderBy("x", F.col("slot").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
     at = e.select(*series, "block", "slot", "x", "ref", "ref_e", "ref_tau", *[x.alias(k) for k, x in zip(names, _sums([F.col(k) for k in names], inside), strict=True)]).where("slot IS NOT NULL")
-    totals = e.where("y IS NOT NULL").groupBy(*series, "block", "ref", "ref_e", "ref_tau").agg(*[F.sum(k).alias(k) for k in names])
-    own = F.struct("block", "ref", "ref_e", "ref_tau", *names)
-    order = Window.partitionBy(*series).orderBy("block")
-    paired = totals.select(*series, "block", own.alias("p1")).withColumn("p2", F.lag("p1").over(order))
-    grid = e.select(*series, "block").distinct().join(paired, [*series, "block"], "left")
-    back = order.rowsBetween(Window.unboundedPreceding, -1)
-    grid = grid.select(*series, "block", F.last(F.when(F.col("p1").isNotNull(), F.struct("p1", "p2")), True).over(back).alias("p"))
-    j = at.join(grid, [*series, "block"])
+    # a row for each block; p1 and p2 are the last two blocks before it that hold samples
+    own = F.when(F.col("ref").isNotNull(), F.struct("block", "ref", "ref_e", "ref_tau", *names))
+    totals = e.groupBy(*series, "block").agg(F.max("ref").alias("ref"), F.max("ref_e").alias("ref_e"), F.max("ref_tau").alias("ref_tau"), *[F.sum(k).alias(k) for k in names])
+    back = Window.partitionBy(*series).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    chained = totals.select(*series, "block", own.alias("own")).withColumn("p1", F.last("own", True).over(back))
+    chained = chained.withColumn("p2", F.last(F.when(F.col("own").isNotNull(), F.struct("p1")), True).over(back).getField("p1"))
+    j = at.join(chained.select(*series, "block", F.struct("p1", "p2").alias("p")), [*series, "block"])
     here = F.col("m0") > 0
     ref, ref_e, ref_tau = (F.when(here, F.col(c)).otherwise(F.col(f"p.p1.{c}")) for c in ("ref", "ref_e", "ref_tau"))
     j = j.withColumns({"_r": ref, "_e": ref_e, "_t": ref_tau}).where("_r IS NOT NULL")

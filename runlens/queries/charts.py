@@ -8,6 +8,7 @@ from ..functions.expressions import presented
 from ..plans import changes as D
 from ..plans import chart as C
 from ..plans.chart import Request, chart
+from ..plans.scratch import checkpointed
 from ..plans.smooth import Smoothing
 from ..sources import adapters as A
 from .common import LATEST, POINTS, registry
@@ -105,21 +106,41 @@ def custom_axis(spark, sf_dir):
     return _rounded(chart(_folded(spark, sf_dir), Request(("click",), axis="metric", x_metric="view", target=0, versioned=False)))
 
 
-@query("AG_7_8_axis_decision", f"WITH {POINTS}, {_sample('step')} SELECT min(x) AS lo, max(x) AS hi, count(DISTINCT x) AS n_x, count(DISTINCT x) > 100 AS downsample FROM s")
+@query("AG_7_8_axis_decision", f"""WITH {POINTS}, {_sample('step')}, b AS (SELECT t, min(x) AS lo, max(x) AS hi, count(DISTINCT x) AS n_x FROM s, (VALUES (0), (40), (300), (100000)) v(t) GROUP BY t)
+  SELECT t AS target, CASE WHEN t > 0 AND n_x > t AND pow(2, ceil(log2((hi - lo) / t))) >= 4 THEN pow(2, ceil(log2((hi - lo) / t))) END AS width, CASE WHEN t > 0 AND n_x > t AND pow(2, ceil(log2((hi - lo) / t))) >= 4 THEN NULL ELSE n_x END AS slots FROM b""")
 def decision(spark, sf_dir):
-    s, _ = C.prepare(A.points(spark, sf_dir), Request(("click",)))
-    return s.agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.countDistinct("x").alias("n_x")).withColumn("downsample", F.col("n_x") > 100)
+    """Which charts downsample, and into cells how wide; how many slots the others have."""
+    out = None
+    for target in (0, 40, 300, 100_000):
+        req = Request(("click",), target=target)
+        samples = checkpointed(C.prepare(A.points(spark, sf_dir), req)[0])
+        grid, axis, _ = C.plan_axis(samples, req)
+        row = axis.agg(F.lit(target).alias("target"), F.lit(grid.width if grid else None).cast("double").alias("width"), (F.lit(None).cast("long") if grid else F.count(F.lit(1))).alias("slots"))
+        out = row if out is None else out.unionAll(row)
+    return out
 
 
-_FIT = """f AS (SELECT *, sw0 / mw0 AS mean, mw1 / mw0 AS mu, mw2 - mw1 / mw0 * mw1 AS d1, sw1 - mw1 / mw0 * sw0 AS t1 FROM m WHERE mw0 > 0)"""
+@query("AG_9_CH_4_cells", f"""WITH {POINTS}, {_sample('timestamp_ms', "metric_name = 'view'")}, g AS (SELECT pow(2, ceil(log2((max(x) - min(x)) / 50))) AS w FROM s)
+  SELECT floor(x / w)::BIGINT AS cell, min(x) AS lo, max(x) AS hi, count(DISTINCT x) >= 4 AS envelope FROM s, g GROUP BY ALL""")
+def cell_classes(spark, sf_dir):
+    """Cells of a time axis, and which are envelopes: those with four distinct times or more."""
+    req = Request(("view",), axis="time", target=50)
+    return C.plan_axis(checkpointed(C.prepare(A.points(spark, sf_dir), req)[0]), req)[2].select("cell", "lo", "hi", "envelope")
+
+
+@query("PF_14_canonical_request", _chart_sql(POINTS, "timestamp_ms", 50, "n >= 4") + _SELECT)
+def canonical(spark, sf_dir):
+    """A time axis drops another metric's x."""
+    return _rounded(_events(spark, sf_dir, metrics=("click",), axis="time", x_metric="view", target=50))
 
 
 def _fit_sql(weight: str, u: str, at: str, condition: str, units: str = "") -> str:
     """A brute-force order-1 fit at each slot that shows one: sums over all of a series' samples."""
     return f""", need AS (SELECT a.run_id, a.metric_name, a.tag, a.slot, slots.x AS xq FROM a JOIN slots USING (slot) WHERE n > 0 AND (NOT env OR marker_kind IS NULL)){units},
   j AS (SELECT need.*, s.x, s.y, {weight} AS w, {u} AS u FROM need JOIN s ON s.run_id = need.run_id AND s.metric_name = need.metric_name AND s.tag = need.tag AND s.kind = 0 AND {condition}),
-  m AS (SELECT run_id, slot, {at} AS at_u, sum(w) AS mw0, sum(w * u) AS mw1, sum(w * u * u) AS mw2, sum(w * y) AS sw0, sum(w * u * y) AS sw1 FROM j GROUP BY run_id, slot, xq), {_FIT}
-  SELECT run_id, slot, round(CASE WHEN d1 > 1e-15 * mw2 THEN mean + (at_u - mu) * t1 / d1 ELSE mean END, 4) AS value FROM f"""
+  avgs AS (SELECT run_id, slot, sum(w) AS weight, sum(w * u) / sum(w) AS u0, sum(w * y) / sum(w) AS y0 FROM j GROUP BY run_id, slot),
+  lines AS (SELECT j.run_id, j.slot, any_value(u0) AS u0, any_value(y0) AS y0, sum(w * (u - u0) * (y - y0)) AS suy, sum(w * (u - u0) * (u - u0)) AS suu, sum(w * u * u) AS size FROM j JOIN avgs ON avgs.run_id = j.run_id AND avgs.slot = j.slot WHERE weight > 0 GROUP BY j.run_id, j.slot)
+  SELECT run_id, slot, round(CASE WHEN suu > 1e-14 * size THEN y0 + ({at} - u0) * suy / suu ELSE y0 END, 4) AS value FROM lines"""
 
 
 def _smooth_out(df):
@@ -176,7 +197,7 @@ def savgol(spark, sf_dir):
   UNION ALL SELECT p.run_id, slot, round(arg_max(sv, p.step), 4) FROM p JOIN pt ON pt.run_id = p.run_id AND pt.step = p.step WHERE NOT env GROUP BY p.run_id, slot""",
 )
 def custom_smoothed(spark, sf_dir):
-    return _smooth_out(C.custom_smoothed(_folded(spark, sf_dir), Request(("click",), axis="metric", x_metric="view", target=60, versioned=False, smoothing=Smoothing("ema", 0, tau=5))))
+    return _smooth_out(chart(_folded(spark, sf_dir), Request(("click",), axis="metric", x_metric="view", target=60, versioned=False, smoothing=Smoothing("ema", 0, tau=5))))
 
 
 _CELL_LOG = "(floor(log2(x + 1)) * pow(2, m) + floor((x + 1 - pow(2, floor(log2(x + 1)))) / pow(2, floor(log2(x + 1)) - m)))::BIGINT"
@@ -224,9 +245,11 @@ def hover(spark, sf_dir):
     return C.hover(envelope(spark, sf_dir), 10).select("run_id", "slot", "value")
 
 
-@query("ST_3_distinct_x", f"WITH {POINTS} SELECT DISTINCT step AS x FROM points WHERE metric_name = 'click'")
+@query("ST_3_distinct_x", f"WITH {POINTS} SELECT x, row_number() OVER (ORDER BY x) - 1 AS slot FROM (SELECT DISTINCT step::DOUBLE AS x FROM points WHERE metric_name IN ('click', 'view'))")
 def distinct_x(spark, sf_dir):
-    return A.points(spark, sf_dir).where("metric_name = 'click'").select(F.col("step").alias("x")).distinct()
+    """The axis of a chart without a target: the united x of all series, numbered in their order."""
+    req = Request(("click", "view"), target=0)
+    return C.plan_axis(checkpointed(C.prepare(A.points(spark, sf_dir), req)[0]), req)[1].select("x", "slot")
 
 
 @query("AG_13_unplottable", "WITH n AS (SELECT run_id, count(*) AS n FROM (SELECT 'run' || (user_id % 8) AS run_id, event_id - 500 AS x FROM events WHERE event_type = 'click') WHERE x < 0 GROUP BY run_id) SELECT run_id, n FROM n")
@@ -247,23 +270,67 @@ def anchors(spark, sf_dir):
     return chart(p, Request(("click",), log_x=True, target=40)).where("marker_kind = 4").select("run_id", "slot", "x", "marker_kind")
 
 
-@query(
-    "CH_17_change_set",
-    _BASE.replace("WITH ", "WITH ", 1)
-    + ", b AS (SELECT * FROM r WHERE slot < 30), d AS (SELECT r.slot FROM r LEFT JOIN b USING (run_id, slot) WHERE b.run_id IS NULL) SELECT CASE WHEN count(*) = 0 THEN 'unchanged' WHEN min(slot) = 0 THEN 'full' ELSE 'delta' END AS kind, min(slot) AS first_slot, count(*) AS cells FROM d",
-)
+_BEFORE = "step <= (SELECT max(event_id) - max(event_id) // {} FROM events)"
+
+
+def _cut_sql(share: int, target: int = 40) -> str:
+    """The chart of the points without the newest ``share``-th."""
+    return _chart_sql(POINTS, "step", target, "w >= 4", f"metric_name = 'click' AND {_BEFORE.format(share)}") + _SELECT
+
+
+_CHANGES = "SELECT coalesce(b.slot, n.slot) AS slot FROM ({was}) b FULL JOIN ({now}) n ON b.run_id = n.run_id AND b.slot = n.slot WHERE (b.x, b.xr_min, b.xr_max, b.value, b.y_min, b.y_max, b.marker_kind) IS DISTINCT FROM (n.x, n.xr_min, n.xr_max, n.value, n.y_min, n.y_max, n.marker_kind)"
+
+
+def _change_sql(name: str, share: int) -> str:
+    width = lambda where: f"(SELECT pow(2, ceil(log2((max(step) - min(step)) / 40))) FROM points WHERE metric_name = 'click' AND {where})"
+    was, now = _cut_sql(share), _chart_sql(POINTS, "step", 40, "w >= 4") + _SELECT
+    return f"""SELECT '{name}' AS change, CASE WHEN {width(_BEFORE.format(share))} <> {width('true')} THEN 'full' WHEN count(*) = 0 THEN 'unchanged' WHEN min(slot) = 0 THEN 'full' ELSE 'delta' END AS kind,
+  CASE WHEN {width(_BEFORE.format(share))} <> {width('true')} THEN 0 ELSE min(slot) END AS first_slot FROM ({_CHANGES.format(was=was, now=now)})"""
+
+
+@query("CH_17_change_set", f"WITH {POINTS} " + " UNION ALL ".join([_change_sql("append", 50), _change_sql("tier", 2), "SELECT 'none', 'unchanged', NULL"]))
 def change_set(spark, sf_dir):
-    now = chart(A.points(spark, sf_dir), Request(("click",), target=40))
-    return D.change_set(now.where("slot < 30"), now)
+    """A chart against itself with the newest fiftieth appended, with the newest half (other cells), and with nothing."""
+    p = A.points(spark, sf_dir)
+    req = Request(("click",), target=40)
+    now, grid = C.chart_and_grid(p, req)
+    now = checkpointed(_rounded(now))
+    parts = []
+    for name, share in (("append", 50), ("tier", 2), ("none", None)):
+        was, held = C.chart_and_grid(_older(p, share), req) if share else (now, grid)
+        parts.append(D.change_set(was if share is None else _rounded(was), now, held, grid).select(F.lit(name).alias("change"), "kind", "first_slot"))
+    return parts[0].unionAll(parts[1]).unionAll(parts[2])
+
+
+def _older(p, share: int):
+    """Points without the newest ``share``-th of steps."""
+    top = p.agg(F.max("step")).first()[0]
+    return p.where(F.col("step") <= top - top // share)
 
 
-@query("CH_18_splice", _BASE + " SELECT 0::BIGINT AS cells FROM r LIMIT 1")
+@query("CH_18_splice", _chart_sql(POINTS, "step", 40, "w >= 4") + _SELECT)
 def splice(spark, sf_dir):
-    """The chart before an append, spliced with the tail of the chart behind it, differs from that in no cell."""
+    """The chart before an append, spliced with the tail of the chart behind it: the chart behind it."""
     p = A.points(spark, sf_dir)
-    top = p.agg(F.max("step")).first()[0]
-    now = chart(p, Request(("click",), target=40))
-    was = chart(p.where(F.col("step") <= top - top // 50), Request(("click",), target=40))
-    first = D.change_set(was, now).first().first_slot or 0
-    whole = D.splice(was, D.tail(now, first), first)
-    return D.changed(whole, now).agg(F.count(F.lit(1)).alias("cells"))
+    req = Request(("click",), target=40)
+    (now, grid), (was, held) = C.chart_and_grid(p, req), C.chart_and_grid(_older(p, 50), req)
+    now, was = checkpointed(_rounded(now)), checkpointed(_rounded(was))
+    first = D.change_set(was, now, held, grid).first().first_slot
+    return D.splice(was, D.tail(now, first), first) if first is not None else was
+
+
+@query("CH_15_zoomed", f"WITH {LATEST}, s AS (SELECT run_id, metric_name, tag, step, step::DOUBLE AS x, value::DOUBLE AS y, 0 AS kind FROM latest WHERE metric_name = 'flag/A' AND value IS NOT NULL AND step BETWEEN 200 AND 203 AND run_id IN ('s1', 's2'))" + _PASS.replace("FROM s GROUP BY ALL", "FROM s z WHERE tag <> '' OR NOT EXISTS (SELECT 1 FROM s t WHERE t.run_id = z.run_id AND t.tag <> '') GROUP BY ALL").replace("(SELECT DISTINCT x FROM s)", "(SELECT DISTINCT x FROM s z WHERE tag <> '' OR NOT EXISTS (SELECT 1 FROM s t WHERE t.run_id = z.run_id AND t.tag <> ''))"))
+def zoomed(spark, sf_dir):
+    """Two runs over four steps: tagged rows outside the range hide no scalar rows inside it."""
+    return _rounded(chart(A.dense_points(spark, sf_dir), Request(("flag/A",), runs=("s1", "s2"), target=500, steps=(200, 203))))
+
+
+@query(
+    "PF_3_5_in_range",
+    f"""WITH {POINTS}, s AS (SELECT run_id, step, value::DOUBLE AS y FROM points WHERE metric_name = 'click' AND isfinite(value)), q AS (SELECT DISTINCT step AS xq FROM points WHERE metric_name = 'click' AND step BETWEEN 300 AND 420)
+  SELECT a.run_id, dense_rank() OVER (ORDER BY xq) - 1 AS slot, round((SELECT sum(exp(-(xq - b.step) / 10.0) * b.y) / sum(exp(-(xq - b.step) / 10.0)) FROM s b WHERE b.run_id = a.run_id AND b.step BETWEEN 300 - 80 AND xq), 4) AS value FROM s a JOIN q ON a.step = xq""",
+)
+def margin_zoom(spark, sf_dir):
+    """A zoomed smoothed chart reads eight time constants in front of its range, and no more."""
+    zoom = _events(spark, sf_dir, metrics=("click",), target=1000, steps=(300, 420), smoothing=Smoothing("ema", 0, tau=10))
+    return _smooth_out(zoom)

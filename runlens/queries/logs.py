@@ -65,12 +65,31 @@ def console(spark, sf_dir):
     return T.pack_lines(rows, ["conv_id"], ["turn"], 200).select("conv_id", F.col("island").cast("long").alias("island"), F.col("part").cast("long").alias("part"), "stream", "timestamp_ms", "n_lines", "text_data")
 
 
-@query("SRC_17_file_chunks", "SELECT doc_id::VARCHAR AS path, replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS text FROM documents WHERE length(text) > 0")
+@query(
+    "SRC_16_console_cap",
+    """WITH r AS (SELECT conv_id, turn, replace(coalesce(text, ''), chr(10), ' ') AS line, sum(length(coalesce(text, '')) + 1) OVER (PARTITION BY conv_id ORDER BY turn DESC) AS after, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS nth FROM conversations),
+  k AS (SELECT *, after <= 400 OR nth = 1 AS keep FROM r), n AS (SELECT conv_id, count(*) FILTER (NOT keep) AS dropped, min(turn) FILTER (keep) AS turn FROM k GROUP BY conv_id)
+  SELECT conv_id, turn, 1 AS part, line FROM k WHERE keep UNION ALL SELECT conv_id, turn, 0, '[first ' || dropped || ' console lines omitted]' FROM n WHERE dropped > 0""",
+)
+def console_cap(spark, sf_dir):
+    """The newest lines within 400 characters of each stream, behind a note of what went."""
+    c = A.table(spark, sf_dir, "conversations")
+    rows = c.select("conv_id", "turn", F.col("role").alias("stream"), F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(" ")).alias("line"))
+    return T.cap_lines(rows, ["conv_id"], ["turn"], 400).select("conv_id", "turn", "part", "line")
+
+
+@query(
+    "SRC_17_file_chunks",
+    """WITH RECURSIVE d AS (SELECT doc_id, replace(text, '. ', chr(10)) AS text FROM documents WHERE length(text) > 0),
+  c AS (SELECT doc_id, text, 0 AS part, 0 AS since, 0 AS until FROM d UNION ALL SELECT doc_id, text, part + 1, until,
+    CASE WHEN length(text) - until <= 2000 THEN length(text) ELSE until + CASE WHEN 2000 - strpos(reverse(substr(text, until + 1, 2000)), chr(10)) > 0 AND strpos(reverse(substr(text, until + 1, 2000)), chr(10)) > 0 THEN 2001 - strpos(reverse(substr(text, until + 1, 2000)), chr(10)) ELSE 2000 END END
+    FROM c WHERE until < length(text))
+  SELECT doc_id::VARCHAR AS path, part - 1 AS part, md5(substr(text, since + 1, until - since)) AS digest, until - since AS n_chars FROM c WHERE part > 0""",
+)
 def file_chunks(spark, sf_dir):
-    """All documents as log files; the chunks of each, put together again, are the file."""
-    files = A.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), "text")
-    g = T.cut_file(files, 2000).groupBy("path").agg(F.sort_array(F.collect_list(F.struct("part", "text_data"))).alias("c"))
-    return g.select("path", F.array_join(F.transform("c", lambda x: x.text_data), "").alias("text"))
+    """All documents as log files, a sentence a line: where each is cut."""
+    files = A.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), F.replace("text", F.lit(". "), F.lit("\n")).alias("text"))
+    return T.cut_file(files, 2000).select("path", "part", F.md5("text_data").alias("digest"), F.length("text_data").alias("n_chars"))
 
 
 _HEADS = f"""{DENSE}, a AS (SELECT run_id, metric_name, tag, step, cdn_key, 0 AS v, 0::HUGEINT AS version, inserted_ms FROM dense WHERE cdn_key IS NOT NULL),
@@ -130,16 +149,21 @@ def galleries(spark, sf_dir):
     return M.gallery(rows, "interleaved").select(F.concat("item", F.lit("/"), F.col("i").cast("string")).alias("item"), F.col("place").cast("long").alias("place"))
 
 
-_LEAVES = """l AS (SELECT c_custkey % 20 AS run_id, path, leaf, c_custkey FROM (
-  SELECT c_custkey, '/opt/lr' AS path, (c_custkey % 3)::VARCHAR AS leaf FROM customer WHERE c_custkey < 20 UNION ALL SELECT c_custkey, '/opt/a~1b', '"' || c_mktsegment || '"' FROM customer WHERE c_custkey < 20
-  UNION ALL SELECT c_custkey, '/seed', '7' FROM customer WHERE c_custkey < 20 UNION ALL SELECT c_custkey, '/tags', '[1,2]' FROM customer WHERE c_custkey < 20 UNION ALL SELECT c_custkey, '/odd', '1' FROM customer WHERE c_custkey < 20 AND c_custkey % 2 = 0))"""
+_LEAVES = """l AS (SELECT * FROM (
+  SELECT c_custkey AS run_id, '/opt/lr' AS path, (c_custkey % 3)::VARCHAR AS leaf FROM customer UNION ALL SELECT c_custkey, '/opt/a~1b', '"' || c_mktsegment || '"' FROM customer
+  UNION ALL SELECT c_custkey, '/seed', '7' FROM customer UNION ALL SELECT c_custkey, '/tags', '[1,2]' FROM customer UNION ALL SELECT c_custkey, '/odd', '1' FROM customer WHERE c_custkey % 2 = 0
+  UNION ALL SELECT c_custkey, '/part', CASE WHEN c_custkey % 5 = 0 THEN '3' ELSE '{"x":1}' END FROM customer UNION ALL SELECT c_custkey, '/deep/' || repeat('d/', 9) || 'end', '0' FROM customer WHERE c_custkey % 4 = 0
+  UNION ALL SELECT c_custkey, '/void', '{}' FROM customer))"""
 
 
 def _leaves(spark, sf_dir):
+    """Documents with nested, missing and empty objects, one deep path, and one that is an object in some documents only."""
     k = F.col("c_custkey")
     opt = F.struct((k % 3).alias("lr"), F.col("c_mktsegment").alias("a/b"))
-    doc = F.to_json(F.struct(opt.alias("opt"), F.lit(7).alias("seed"), F.array(F.lit(1), F.lit(2)).alias("tags"), F.when(k % 2 == 0, 1).alias("odd")))
-    return M.flatten(A.table(spark, sf_dir, "customer").where("c_custkey < 20").select(k.alias("run_id"), doc.alias("doc")), 3)
+    whole = F.to_json(F.struct(opt.alias("opt"), F.lit(7).alias("seed"), F.array(F.lit(1), F.lit(2)).alias("tags"), F.when(k % 2 == 0, 1).alias("odd")))
+    more = F.concat(F.lit(',"void":{},"part":'), F.when(k % 5 == 0, "3").otherwise('{"x":1}'), F.when(k % 4 == 0, ',"deep":' + '{"d":' * 9 + '{"end":0}' + "}" * 9).otherwise(""), F.lit("}"))
+    doc = F.concat(F.regexp_replace(whole, r"\}$", ""), more)
+    return M.flatten(A.table(spark, sf_dir, "customer").select(k.alias("run_id"), doc.alias("doc")))
 
 
 @query("MD_5_flatten", f"WITH {_LEAVES} SELECT run_id, path, leaf FROM l")
@@ -147,9 +171,9 @@ def flatten(spark, sf_dir):
     return _leaves(spark, sf_dir)
 
 
-@query("MD_6_diff", f"WITH {_LEAVES} SELECT path, count(DISTINCT leaf) AS texts, count(*) AS held FROM l GROUP BY path HAVING count(DISTINCT leaf) > 1 OR count(*) < 20")
+@query("MD_6_diff", f"WITH {_LEAVES}, n AS (SELECT count(*) AS runs FROM customer) SELECT path, count(DISTINCT leaf) AS texts, count(*) AS held FROM l, n GROUP BY path, runs HAVING count(DISTINCT leaf) > 1 OR count(*) < runs")
 def diff(spark, sf_dir):
-    return M.differing(_leaves(spark, sf_dir), 20)
+    return M.differing(_leaves(spark, sf_dir), A.table(spark, sf_dir, "customer").count())
 
 
 @query(
@@ -161,24 +185,49 @@ def tint(spark, sf_dir):
     return M.tinted(_leaves(spark, sf_dir))
 
 
-@query("AG_20_class_fold", "SELECT p_brand, CASE WHEN count(DISTINCT p_type) = 1 THEN min(p_type) ELSE 'mixed' END AS class FROM part GROUP BY p_brand")
+@query(
+    "AG_20_class_fold",
+    """WITH m AS (SELECT p_brand, p_size, CASE WHEN p_size % 7 = 0 THEN NULL WHEN p_size < 10 THEN 'metadata' WHEN p_size < 20 THEN 'image_gallery' WHEN p_size < 30 THEN CASE WHEN p_partkey % 2 = 0 THEN 'image_gallery' ELSE 'file_list' END
+    WHEN p_size < 40 THEN CASE WHEN p_partkey % 3 = 0 THEN 'metadata' ELSE 'image_gallery' END ELSE 'image_gallery' END AS class, p_size >= 40 AND p_partkey % 2 = 0 AS named FROM part),
+  k AS (SELECT p_brand || '/' || p_size AS panel, CASE WHEN class = 'metadata' THEN 'M' WHEN class = 'image_gallery' AND NOT named THEN 'G' WHEN class IS NOT NULL THEN 'F' END AS c FROM m),
+  s AS (SELECT panel, coalesce(string_agg(DISTINCT c, '' ORDER BY c), '') AS c FROM k GROUP BY panel)
+  SELECT panel, CASE c WHEN '' THEN 'none' WHEN 'M' THEN 'metadata' WHEN 'G' THEN 'image_gallery' WHEN 'F' THEN 'file_list' WHEN 'FG' THEN 'file_list' ELSE 'mixed' END AS class FROM s""",
+)
 def classes(spark, sf_dir):
-    return M.fold_classes(A.table(spark, sf_dir, "part").select("p_brand", F.col("p_type").alias("class")), "p_brand")
+    """Panels of metadata, of galleries, of galleries among file lists, and of metadata among galleries."""
+    size, k = F.col("p_size"), F.col("p_partkey")
+    of = (
+        F.when(size % 7 == 0, None).when(size < 10, "metadata").when(size < 20, "image_gallery").when(size < 30, F.when(k % 2 == 0, "image_gallery").otherwise("file_list"))
+        .when(size < 40, F.when(k % 3 == 0, "metadata").otherwise("image_gallery")).otherwise("image_gallery")
+    )
+    part = A.table(spark, sf_dir, "part").select(F.concat_ws("/", "p_brand", size.cast("string")).alias("panel"), of.alias("class"), ((size >= 40) & (k % 2 == 0)).alias("named"))
+    return M.fold_classes(part, "panel")
 
 
 @query(
     "MD_8_JN_11_timing",
-    """SELECT o_orderkey, CASE WHEN s >= 86400 THEN (s // 86400) || 'd ' || (s // 3600 % 24) || 'h' WHEN s >= 3600 THEN (s // 3600) || 'h ' || (s // 60 % 60) || 'm' WHEN s >= 60 THEN (s // 60) || 'm ' || (s % 60) || 's' ELSE s || 's' END AS span FROM (SELECT o_orderkey, (o_orderkey * 37) % 200000 AS s FROM orders)""",
+    """WITH s AS (SELECT o_orderkey, (o_orderkey * 3607) % 200000 AS s FROM orders)
+  SELECT o_orderkey, CASE WHEN s >= 86400 THEN (s // 86400) || 'd' || CASE WHEN s // 3600 % 24 > 0 THEN ' ' || (s // 3600 % 24) || 'h' ELSE '' END WHEN s >= 3600 THEN (s // 3600) || 'h' || CASE WHEN s // 60 % 60 > 0 THEN ' ' || (s // 60 % 60) || 'm' ELSE '' END
+    WHEN s >= 60 THEN (s // 60) || 'm' || CASE WHEN s % 60 > 0 THEN ' ' || (s % 60) || 's' ELSE '' END WHEN s > 0 THEN s || 's' ELSE '<1s' END AS span FROM s""",
 )
 def timing(spark, sf_dir):
-    return A.table(spark, sf_dir, "orders").select("o_orderkey", M.compact_span((F.col("o_orderkey") * 37) % 200_000 * 1000).alias("span"))
+    return A.table(spark, sf_dir, "orders").select("o_orderkey", M.compact_span((F.col("o_orderkey") * 3607) % 200_000 * 1000).alias("span"))
 
 
-@query("JN_11_run_info", """SELECT c_custkey AS run_id, '{"meta":{"server_time":{"created_ms":' || c_custkey || ',"ended_ms":' || (c_custkey + 5000) || ',"last_ms":' || (c_custkey + 9000) || ',"span":"5s"}},"info":{"a":1}}' AS doc FROM customer""")
+@query(
+    "JN_11_run_info",
+    """WITH c AS (SELECT c_custkey AS k, c_custkey % 5 AS f, strftime(make_timestamp(c_custkey * 1000000), '%Y-%m-%d %H:%M:%S') AS made, strftime(make_timestamp((c_custkey + 65) * 1000000), '%Y-%m-%d %H:%M:%S') AS ended, strftime(make_timestamp((c_custkey + 9) * 1000000), '%Y-%m-%d %H:%M:%S') AS last FROM customer)
+  SELECT k AS run_id, CASE f WHEN 0 THEN '{"a":1,"meta":{"server_time":{"end":"' || ended || '","last_ingested":"' || last || '","run_created":"' || made || '","wall_span":"1m 5s"}}}'
+    WHEN 1 THEN '{"meta":{"server_time":{"last_ingested":"' || last || '","own":2,"run_created":"' || made || '"},"time":{"start":"x"}}}' WHEN 2 THEN '{"meta":{"server_time":{"run_created":"' || made || '"}}}' WHEN 3 THEN '{"meta":[1]}' ELSE '[1]' END AS doc FROM c""",
+)
 def run_info(spark, sf_dir):
+    """Runs that ended, that are over without an end, and that go on; documents whose ``meta`` or root is no object."""
     k = F.col("c_custkey")
+    f = k % 5
     c = A.table(spark, sf_dir, "customer")
-    return M.with_timing(c.select(k.alias("run_id"), F.lit('{"a":1}').alias("doc")), c.select(k.alias("run_id"), k.alias("created_ms"), (k + 5000).alias("ended_ms"), (k + 9000).alias("last_ms")))
+    doc = F.when(f == 0, '{"a":1}').when(f == 1, '{"meta":{"time":{"start":"x"},"server_time":{"own":2}}}').when(f == 2, "{}").when(f == 3, '{"meta":[1]}').otherwise("[1]")
+    runs = c.select(k.alias("run_id"), (k * 1000).alias("created_ms"), F.when(f == 0, (k + 65) * 1000).alias("ended_ms"), ((k + 9) * 1000).alias("last_ms"), (f == 1).alias("over"))
+    return M.with_timing(c.select(k.alias("run_id"), doc.alias("doc")), runs)
 
 
 @query("MD_9_content_ids", "SELECT page_id, sha256(coalesce(html, '')) || '.html' AS id FROM pages")

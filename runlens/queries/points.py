@@ -36,11 +36,11 @@ def validate(spark, sf_dir):
     return P.validate_points(p).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SRC_2_repair_text")
+@query("SRC_2_repair_text", "SELECT doc_id, length(text) + 1 AS n_chars FROM documents")
 def repair(spark, sf_dir):
     """Texts with a broken byte put in front: it reads as one replacement character."""
     d = A.table(spark, sf_dir, "documents")
-    return d.select("doc_id", F.length(P.repair_text(F.concat(F.lit(bytearray(b"\xff")), F.col("text").cast("binary")))).alias("n_chars"))
+    return d.select("doc_id", F.length(P.repair_text(F.concat(F.lit(bytearray(b"\xff")), F.col("text").cast("binary")))).cast("long").alias("n_chars"))
 
 
 @query(
@@ -77,31 +77,45 @@ def series_read(spark, sf_dir):
 
 @query(
     "SRC_8_incremental_read",
-    f"""WITH {POINTS} SELECT run_id, count(*) AS n, max(step) AS last_step FROM points WHERE inserted_at > TIMESTAMP '2024-01-20 00:00:00' - INTERVAL 1 SECOND AND inserted_at <= TIMESTAMP '2024-01-25 00:00:00' GROUP BY run_id""",
+    f"""WITH {POINTS}, r AS (SELECT * FROM points WHERE inserted_at > TIMESTAMP '2024-01-20 00:00:00' - INTERVAL 1 SECOND AND inserted_at <= TIMESTAMP '2024-01-25 00:00:00')
+  SELECT run_id, count(*) AS n, max(step) AS last_step, (SELECT epoch_us(least(max(inserted_at), TIMESTAMP '2024-01-25 00:00:00' - INTERVAL 15 SECOND)) // 1000 FROM r) AS watermark_ms FROM r GROUP BY run_id""",
 )
 def incremental(spark, sf_dir):
+    """Rows since a watermark, and the next one."""
     ts = lambda t: F.to_timestamp(F.lit(t))
-    p = A.points(spark, sf_dir).where((F.col("inserted_at") > ts("2024-01-20 00:00:00") - F.expr("INTERVAL 1 SECOND")) & (F.col("inserted_at") <= ts("2024-01-25 00:00:00")))
-    return p.groupBy("run_id").agg(F.count(F.lit(1)).alias("n"), F.max("step").alias("last_step"))
+    start = ts("2024-01-25 00:00:00")
+    fresh = P.incremental(A.points(spark, sf_dir), ts("2024-01-20 00:00:00"), start)
+    mark = P.next_watermark(fresh, start).select(F.unix_millis("watermark").alias("watermark_ms"))
+    return fresh.groupBy("run_id").agg(F.count(F.lit(1)).alias("n"), F.max("step").alias("last_step")).crossJoin(F.broadcast(mark))
 
 
-_WIDE_SQL = """SELECT run_id, metric_name, step, value FROM (SELECT 'c' || (o_custkey % 20) AS run_id, o_orderkey AS step, o_totalprice AS total, (o_custkey % 9)::DOUBLE AS grp FROM orders)
-  UNPIVOT (value FOR metric_name IN (total, grp))"""
-
-
-@query("SRC_9_unpivot_history", f"SELECT run_id, metric_name, step, value::FLOAT::DOUBLE AS value FROM ({_WIDE_SQL})")
+@query(
+    "SRC_9_unpivot_history",
+    """WITH w AS (SELECT 'c' || (o_custkey % 20) AS run_id, o_orderkey AS k, o_orderkey AS step, epoch_ms(o_orderdate) AS moment, o_totalprice AS total, (o_custkey % 9)::DOUBLE AS grp, CASE WHEN o_orderkey % 5 > 0 THEN o_orderstatus ELSE '' END AS note FROM orders),
+  t AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY k) AS n FROM w WHERE note <> '')
+  SELECT run_id, metric_name, step, timestamp_ms, value::FLOAT::DOUBLE AS value, NULL::VARCHAR AS text_data FROM (SELECT run_id, step, moment AS timestamp_ms, total, grp FROM w) UNPIVOT (value FOR metric_name IN (total, grp))
+  UNION ALL SELECT run_id, 'note', (n + max(moment - n) OVER (PARTITION BY run_id ORDER BY k))::BIGINT, moment, NULL, note || chr(10) FROM t""",
+)
 def unpivot(spark, sf_dir):
     o = A.table(spark, sf_dir, "orders")
-    wide = o.select(F.concat(F.lit("c"), (F.col("o_custkey") % 20).cast("string")).alias("run_id"), F.col("o_orderkey").alias("_step"), F.col("o_totalprice").alias("total"), (F.col("o_custkey") % 9).cast("double").alias("grp"))
-    return I.unpivot_history(wide).select("run_id", "metric_name", "step", F.col("value").cast("double").alias("value"))
+    k = F.col("o_orderkey")
+    wide = o.select(
+        F.concat(F.lit("c"), (F.col("o_custkey") % 20).cast("string")).alias("run_id"), k.alias("k"), k.alias("_step"), (A.epoch_ms("o_orderdate") / 1000).alias("_timestamp"), F.col("o_totalprice").alias("total"),
+        (F.col("o_custkey") % 9).cast("double").alias("grp"), F.when(k % 5 > 0, F.col("o_orderstatus")).otherwise("").alias("note"),
+    )
+    return I.unpivot_history(wide, 0, ["k"]).select("run_id", "metric_name", "step", "timestamp_ms", F.col("value").cast("double").alias("value"), "text_data")
 
 
-@query("SRC_10_column_kinds", "SELECT * FROM (VALUES ('o_orderkey', 'numeric'), ('o_custkey', 'numeric'), ('o_orderstatus', 'text'), ('o_totalprice', 'numeric'), ('o_orderdate', 'unsupported'), ('o_orderpriority', 'text'), ('note', 'struct')) v(\"column\", kind) WHERE EXISTS (SELECT 1 FROM orders)")
+@query("SRC_10_column_kinds", """SELECT * FROM (SELECT 'o_orderkey' AS "column", 'numeric' AS kind, count(o_orderkey) AS cells FROM orders UNION ALL SELECT 'o_custkey', 'numeric', count(o_custkey) FROM orders
+  UNION ALL SELECT 'o_orderstatus', 'text', count(o_orderstatus) FROM orders UNION ALL SELECT 'o_totalprice', 'numeric', count(o_totalprice) FROM orders UNION ALL SELECT 'o_orderdate', 'unsupported', count(o_orderdate) FROM orders
+  UNION ALL SELECT 'o_orderpriority', 'text', count(o_orderpriority) FROM orders UNION ALL SELECT 'note', 'struct', count(*) FROM orders UNION ALL SELECT '_odd', 'skipped', count(*) FILTER (o_orderkey % 3 = 0) FROM orders)""")
 def kinds(spark, sf_dir):
-    o = A.table(spark, sf_dir, "orders").withColumn("note", F.struct("o_orderkey"))
+    """Each column's kind, and how many of its cells hold something."""
+    o = A.table(spark, sf_dir, "orders").withColumn("note", F.struct("o_orderkey")).withColumn("_odd", F.when(F.col("o_orderkey") % 3 == 0, 1))
     found = I.column_kinds(o.schema)
-    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.lit(k).alias("kind")) for c, k in found.items()])).alias("p")
-    return o.limit(1).select(pairs).select("p.*")
+    cells = o.agg(*[F.count(c).alias(c) for c in found])
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.lit(k).alias("kind"), F.col(c).alias("cells")) for c, k in found.items()])).alias("p")
+    return cells.select(pairs).select("p.*")
 
 
 @query(
@@ -126,36 +140,66 @@ def jsonl(spark, sf_dir):
 
 @query(
     "SRC_13_struct_cells",
-    """SELECT metric_name, count(*) AS n, round(sum(value), 2) AS total FROM (SELECT 'price/Min' AS metric_name, l_discount AS value FROM lineitem UNION ALL SELECT 'price/Max', l_tax FROM lineitem
-  UNION ALL SELECT 'mixed', l_quantity FROM lineitem WHERE l_linenumber % 2 = 0 UNION ALL SELECT 'mixed', l_linenumber FROM lineitem WHERE l_linenumber % 2 = 1) GROUP BY metric_name""",
+    """SELECT metric_name, count(*) AS n, round(sum(value), 2) AS total FROM (SELECT 'price/min' AS metric_name, l_discount AS value FROM lineitem UNION ALL SELECT 'price/neg_inf', l_tax FROM lineitem
+  UNION ALL SELECT 'mixed', l_quantity FROM lineitem WHERE l_linenumber % 3 = 0 UNION ALL SELECT 'mixed', l_linenumber FROM lineitem WHERE l_linenumber % 3 = 1) GROUP BY metric_name
+  UNION ALL SELECT 'texts_skipped', count(*), 0 FROM lineitem WHERE l_linenumber % 3 = 2 UNION ALL SELECT 'histograms_skipped', count(*), 0 FROM lineitem WHERE l_linenumber % 2 = 0 UNION ALL SELECT 'stats_expanded', count(*), 0 FROM lineitem""",
 )
 def struct_cells(spark, sf_dir):
+    n = F.col("l_linenumber")
     li = A.table(spark, sf_dir, "lineitem").select(
-        F.struct(F.col("l_discount").alias("Min"), F.col("l_tax").alias("Max")).alias("price"),
-        F.struct(F.when(F.col("l_linenumber") % 2 == 1, F.col("l_linenumber")).alias("member0"), F.when(F.col("l_linenumber") % 2 == 0, F.col("l_quantity")).alias("member1")).alias("mixed"),
+        F.struct(F.col("l_discount").alias("Min"), F.col("l_tax").alias("-Inf")).alias("price"),
+        F.struct(F.when(n % 3 == 1, n).alias("_type_int64"), F.when(n % 3 == 0, F.col("l_quantity").cast("string")).when(n % 3 == 2, "n/a").alias("_type_utf8")).alias("mixed"),
+        F.struct(F.when(n % 2 == 0, "histogram").otherwise("image-file").alias("_type"), F.array(F.lit(1)).alias("bins")).alias("media"),
     )
-    return I.struct_points(li).groupBy("metric_name").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"))
+    counts = I.struct_counts(li)
+    told = F.explode(F.array(*[F.struct(F.lit(c).alias("metric_name"), F.col(c).alias("n"), F.lit(0.0).alias("total")) for c in counts.columns])).alias("c")
+    return I.struct_points(li).groupBy("metric_name").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total")).unionAll(counts.select(told).select("c.*"))
 
 
-@query("SRC_14_media_items", "SELECT page_id, i, 'files/' || page_id || '_' || i || '.png' AS filename, 'shot ' || i AS caption FROM pages, (VALUES (0), (1)) v(i)")
+@query(
+    "SRC_14_media_items",
+    """WITH p AS (SELECT page_id, page_id::VARCHAR AS k, page_id % 5 AS kind FROM pages)
+  SELECT page_id, i, 'files/' || k || '_' || i || '.png' AS filename, CASE i WHEN 0 THEN 'shot' WHEN 1 THEN 'True' ELSE '' END AS caption, 'png' AS extension FROM p, (VALUES (0), (1), (2)) v(i) WHERE kind = 0
+  UNION ALL SELECT page_id, 0, 'files/' || k || '.mp4', 'a b', 'mp4' FROM p WHERE kind = 1
+  UNION ALL SELECT page_id, i, 'files/' || k || '/' || i || '.html', '', 'bin' FROM p, (VALUES (0), (1)) v(i) WHERE kind = 2
+  UNION ALL SELECT page_id, i, 'media/images/loss_' || k || '_' || i || '.jpg', CASE i WHEN 0 THEN 'first' ELSE '' END, 'jpg' FROM p, (VALUES (0), (1)) v(i) WHERE kind = 3""",
+)
 def media_items(spark, sf_dir):
+    """Cells of four kinds: listed files, one file, a list of cells, a count; and files outside the run's folder."""
     p = A.table(spark, sf_dir, "pages")
     k = F.col("page_id").cast("string")
-    cell = F.struct(F.array(*[F.concat(F.lit("files/"), k, F.lit(f"_{i}.png")) for i in (0, 1)]).alias("filenames"), F.array(F.lit("shot 0"), F.lit("shot 1")).alias("captions"))
-    return I.media_items(p.select("page_id", cell.alias("cell")), "cell").select("page_id", "i", "filename", "caption")
+    kind = F.col("page_id") % 5
+    cell = (
+        F.when(kind == 0, F.concat(F.lit('{"_type": "images/separated", "filenames": ['), *[F.concat(F.lit(f'{"," if i else ""}"files/'), k, F.lit(f'_{i}.png"')) for i in range(3)], F.lit('], "captions": ["shot", true]}')))
+        .when(kind == 1, F.concat(F.lit('{"_type": "video-file", "path": "files/'), k, F.lit('.mp4", "caption": ["a", null, "b"]}')))
+        .when(kind == 2, F.concat(F.lit('{"_type": "html", "count": 2, "html": [{"path": "files/'), k, F.lit('/0.html"}, {"path": "files/'), k, F.lit('/1.html"}]}')))
+        .when(kind == 3, F.lit('{"_type": "images", "count": 2, "format": "JPG", "captions": ["first"]}'))
+        .otherwise(F.lit('{"_type": "image-file", "path": "../outside.png"}'))
+    )
+    found = I.media_items(p.select("page_id", cell.alias("cell"), F.lit("loss").alias("metric"), F.col("page_id").alias("step")), ["page_id"], "cell", "metric", "step")
+    return found.select("page_id", F.col("i").cast("int").alias("i"), "filename", "caption", "extension")
+
+
+_SYSTEM = (
+    ("system.gpu.3.temp", "system/gpu_temp_c", "3"), ("system.gpu.0.memoryAllocated", "system/gpu_mem_used_pct", "0"), ("system.gpu.1.oddThing", "system/gpu_odd_thing", "1"), ("system.gpu.process.2.memory", "system/gpu_proc_mem_util_pct", "2"),
+    ("system.gpu.process.2.newKey", "system/gpu_proc_new_key", "2"), ("system.cpu.11.cpu_percent", "system/cpu_core_pct", "11"), ("system.cpu.2.clockSpeed", "system/cpu_core_clock_speed", "2"), ("system.disk.sda.in", "system/disk_in_mb", "sda"),
+    ("system.disk./a.b.out", "system/disk_out_mb", "/a.b"), ("system.disk./.usagePercent", "system/disk_used_pct", "/"), ("system.disk./.usageGB", "system/disk_used_gb", "/"), ("system.cpu", "system/proc_cpu_pct", ""),
+    ("system.memory", "system/sys_mem_pct", ""), ("system.proc.memory.rssMB", "system/proc_mem_used_mb", ""), ("system.network.sent", "system/net_sent_bytes", ""), ("system.odd.someName", "system/odd_some_name", ""), ("loss", None, None),
+)
+
+
+def _case(key: str, values) -> str:
+    text = lambda v: "NULL" if v is None else f"'{v}'"
+    return f"CASE {key} " + " ".join(f"WHEN {i} THEN {text(v)}" for i, v in enumerate(values)) + " END"
 
 
 @query(
     "SRC_15_system_columns",
-    """SELECT name, metric_name, tag, count(*) AS n FROM (SELECT CASE l_linenumber % 6 WHEN 0 THEN 'system.gpu.' || (l_suppkey % 4) || '.temp' WHEN 1 THEN 'system.cpu.' || (l_suppkey % 4) || '.cpu_percent'
-  WHEN 2 THEN 'system.disk.sda.in' WHEN 3 THEN 'system.proc.memory.rssMB' WHEN 4 THEN 'system.memory' ELSE 'system.odd.someName' END AS name,
-  CASE l_linenumber % 6 WHEN 0 THEN 'system/gpu_temp_c' WHEN 1 THEN 'system/cpu_core_pct' WHEN 2 THEN 'system/disk_in' WHEN 3 THEN 'system/proc_memory_rss_mb' WHEN 4 THEN 'system/ram_pct' ELSE 'system/odd_some_name' END AS metric_name,
-  CASE l_linenumber % 6 WHEN 0 THEN (l_suppkey % 4)::VARCHAR WHEN 1 THEN (l_suppkey % 4)::VARCHAR WHEN 2 THEN 'sda' ELSE '' END AS tag FROM lineitem) GROUP BY ALL""",
+    f"""WITH k AS (SELECT l_partkey % {len(_SYSTEM)} AS k FROM lineitem) SELECT {_case("k", [r[0] for r in _SYSTEM])} AS name, {_case("k", [r[1] for r in _SYSTEM])} AS metric_name, {_case("k", [r[2] for r in _SYSTEM])} AS tag, count(*) AS n FROM k GROUP BY k""",
 )
 def system_columns(spark, sf_dir):
-    n, s = F.col("l_linenumber") % 6, (F.col("l_suppkey") % 4).cast("string")
-    name = F.when(n == 0, F.concat(F.lit("system.gpu."), s, F.lit(".temp"))).when(n == 1, F.concat(F.lit("system.cpu."), s, F.lit(".cpu_percent"))).when(n == 2, "system.disk.sda.in").when(n == 3, "system.proc.memory.rssMB").when(n == 4, "system.memory").otherwise("system.odd.someName")
-    return I.system_columns(A.table(spark, sf_dir, "lineitem").select(name.alias("name"))).groupBy("name", "metric_name", "tag").agg(F.count(F.lit(1)).alias("n"))
+    names = F.get(F.array(*[F.lit(r[0]) for r in _SYSTEM]), (F.col("l_partkey") % len(_SYSTEM)).cast("int"))
+    return I.system_columns(A.table(spark, sf_dir, "lineitem").select(names.alias("name"))).groupBy("name", "metric_name", "tag").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
@@ -171,15 +215,20 @@ def monotone(spark, sf_dir):
 
 @query(
     "SRC_19_run_identity",
-    """SELECT 'wandb_' || lower(replace(c_mktsegment, ' ', '-')) || '_' || c_custkey AS run_id, CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE 1704067200000 + c_custkey % 4 * 1000 END AS created_ms,
-  CASE c_custkey % 4 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 137 END AS exit_code FROM customer""",
+    """WITH c AS (SELECT *, c_custkey % 7 AS k FROM customer)
+  SELECT 'wandb_' || lower(replace(c_mktsegment, ' ', '-')) || '_' || c_custkey AS run_id, CASE k WHEN 0 THEN c_custkey::VARCHAR WHEN 1 THEN c_custkey::VARCHAR WHEN 2 THEN repeat('é', 1024) ELSE c_name END AS run_name,
+  CASE WHEN k IN (0, 1, 2) THEN 1704067201000 + k * 1000 + CASE k WHEN 1 THEN 250 ELSE 0 END ELSE 5000 END AS created_ms, CASE k WHEN 0 THEN 1704070800000 WHEN 1 THEN 1704067202250 WHEN 2 THEN 1704067203000 ELSE 5000 END AS ended_ms,
+  CASE k WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 255 WHEN 3 THEN 137 WHEN 4 THEN 143 END AS exit_code FROM c""",
 )
 def run_identity(spark, sf_dir):
-    k = F.col("c_custkey")
-    created = F.when(k % 4 == 1, "2024-01-01T00:00:01Z").when(k % 4 == 2, "2024-01-01T00:00:02.000000").when(k % 4 == 3, "2024-01-01 00:00:03").otherwise("soon")
-    state = F.when(k % 4 == 0, "finished").when(k % 4 == 1, "failed").when(k % 4 == 2, "killed").otherwise("running")
-    c = A.table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("project"), k.cast("string").alias("id"), created.alias("created"), state.alias("state"))
-    return I.run_identity(c).select("run_id", "created_ms", "exit_code")
+    """Names that are blank, padded or too long; times in three shapes and others; all states."""
+    c = F.col("c_custkey")
+    k = c % 7
+    created = F.when(k == 0, "2024-01-01T00:00:01Z").when(k == 1, "2024-01-01T00:00:02.250000Z").when(k == 2, "2024-01-01T02:00:03+0200").when(k == 3, "2024-01-01 00:00:03").when(k == 4, "2024-01-01T00:00:03").when(k == 5, "soon")
+    name = F.when(k == 0, "").when(k == 1, "  ").when(k == 2, F.repeat(F.lit("é"), 1100)).otherwise(F.concat(F.lit(" "), "c_name", F.lit("\n")))
+    states = F.array(*[F.lit(x) for x in ("finished", "failed", "crashed", "killed", "preempted", "running", "odd")])
+    rows = A.table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("project"), c.cast("string").alias("id"), name.alias("name"), created.alias("created"), F.when(k == 0, "2024-01-01T01:00:00Z").alias("heartbeat"), F.get(states, k.cast("int")).alias("state"))
+    return I.run_identity(rows, 5000).select("run_id", "run_name", "created_ms", "ended_ms", "exit_code")
 
 
 @query(
@@ -204,10 +253,20 @@ def reexport(spark, sf_dir):
     return I.reexport_needed(prev, cur).select("run", (~F.col("needed")).alias("same"), "needed")
 
 
-@query("SRC_22_run_info")
+@query(
+    "SRC_22_run_info",
+    """SELECT c_custkey AS run, '{"meta":{"time":{"start":"' || strftime(make_timestamp(c_custkey * 1000000), '%B %d, %Y %I:%M:%S %p') || '","start_unix":' || c_custkey || '},"system":'
+  || CASE WHEN c_custkey % 2 = 0 THEN '{"hostname":"node' || (c_custkey % 7) || '","cpu_count":8,"command":"train.py --name ' || chr(39) || 'a b' || chr(39) || '"},"git":{"remote":"https://git.example.org/' || c_name || '","commit":"c' || c_custkey || '"},"slurm":{"job_id":"7"}' ELSE '{}' END
+  || ',"wandb_import":{"url":null,"entity":"team","project":null,"run_id":"r' || c_custkey || '","state":"finished","tags":' || CASE WHEN c_custkey % 3 = 0 THEN '["x"]' ELSE '[]' END || ',"notes":null,"group":null,"job_type":null,"sweep":null,"user":null,"email":null,"created_at":null,"heartbeat_at":null,"history_line_count":5,"imported_at":"2024-01-01T00:00:00Z","summary":{"loss":1},"artifacts":null}}'
+  || CASE WHEN c_custkey % 5 = 0 THEN ',"config":{"lr":3}' ELSE '' END || '}' AS info FROM customer""",
+)
 def run_info(spark, sf_dir):
-    c = A.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("run"), F.concat(F.lit("https://user:secret@git.example.org/"), "c_name").alias("remote"), F.lit("host1").alias("host"))
-    return I.run_info(c).select("run", "info")
+    k, t = F.col("c_custkey"), F.col("c_custkey").cast("string")
+    cat = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    run = cat('{"id":"r', t, '","entity":"team","state":"finished","history_line_count":5', F.when(k % 3 == 0, ',"tags":["x"]').otherwise(""), F.when(k % 5 == 0, ',"config":{"lr":3}').otherwise(""), "}")
+    machine = cat('{"host":"node', (k % 7).cast("string"), '","cpu_count":8,"gpu":null,"program":"train.py","args":["--name","a b"],"git":{"remote":"https://user:se@cret@git.example.org/', F.col("c_name"), '","commit":"c', t, '"},"slurm":{"job_id":"7","jwt":"secret"}}')
+    rows = A.table(spark, sf_dir, "customer").select(k.alias("run_no"), (k * 1000).alias("created_ms"), run.alias("run"), F.when(k % 2 == 0, machine).alias("machine"), F.lit('{"loss":1}').alias("summary"), F.lit(None).cast("string").alias("artifacts"))
+    return I.run_info(rows, "2024-01-01T00:00:00Z").select(F.col("run_no").alias("run"), "info")
 
 
 @query(
@@ -220,12 +279,16 @@ def dry_run(spark, sf_dir):
 
 @query(
     "SRC_24_replay_merge",
-    f"WITH {LATEST} SELECT project_id, run_id, metric_name, count(*) AS n, round(sum(value), 2) AS total FROM latest GROUP BY ALL",
+    f"""WITH {DENSE}, b AS (SELECT *, inserted_ms AS created, 0 AS phase FROM dense UNION ALL SELECT * REPLACE (CASE WHEN value IS NOT NULL THEN value + 1 END AS value), inserted_ms, 1 FROM dense WHERE step % 3 = 0),
+  n AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY project_id, run_id, metric_name, tag, step ORDER BY created DESC, phase DESC, timestamp_ms DESC, value DESC NULLS LAST, cdn_key DESC NULLS LAST, text_data DESC NULLS LAST) = 1)
+  SELECT project_id, run_id, metric_name, count(*) AS n, round(sum(value), 2) AS total FROM n GROUP BY ALL""",
 )
 def replay(spark, sf_dir):
-    """The same points come twice, the second time in another order: the merged table is the same."""
-    p = A.dense_points(spark, sf_dir)
-    return P.latest(p.unionByName(p.where("step % 3 = 0"))).groupBy("project_id", "run_id", "metric_name").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("value").cast("double")), 2).alias("total"))
+    """Batches come twice and out of order, the second time with salvaged values: what was made last counts, salvage behind work."""
+    p = A.dense_points(spark, sf_dir).withColumns({"created_ns": F.unix_millis("inserted_at"), "phase": F.lit("worker"), "position": F.col("timestamp_ms")})
+    again = p.where("step % 3 = 0").withColumns({"phase": F.lit("salvage"), "value": F.col("value") + 1})
+    merged = P.replay(again.unionByName(p).unionByName(again))
+    return merged.groupBy("project_id", "run_id", "metric_name").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("value").cast("double")), 2).alias("total"))
 
 
 @query(
@@ -255,20 +318,27 @@ def payload(spark, sf_dir):
 
 @query(
     "PF_5_tag_groups",
-    f"""WITH {LATEST}, n AS (SELECT * FROM latest WHERE value IS NOT NULL AND step < 20) SELECT run_id, metric_name, tag, count(*) AS n FROM n
+    f"""WITH {LATEST}, n AS (SELECT * FROM latest WHERE value IS NOT NULL) SELECT run_id, metric_name, tag, count(*) AS n FROM n
   WHERE tag <> '' OR NOT EXISTS (SELECT 1 FROM n m WHERE m.run_id = n.run_id AND m.metric_name = n.metric_name AND m.tag <> '') GROUP BY ALL""",
 )
 def tags(spark, sf_dir):
-    n = P.latest(A.dense_points(spark, sf_dir).where("step < 20")).where("value IS NOT NULL")
+    n = P.latest(A.dense_points(spark, sf_dir)).where("value IS NOT NULL")
     return P.tag_groups(n).groupBy("run_id", "metric_name", "tag").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
     "PF_6_series_labels",
-    f"WITH {DENSE} SELECT run_id, metric_name, tag, run_id || '/' || metric_name || CASE WHEN tag = '' THEN '' ELSE ' [' || tag || ']' END AS label FROM (SELECT DISTINCT run_id, metric_name, tag FROM dense)",
+    f"""WITH {DENSE}, d AS (SELECT DISTINCT run_id, metric_name, tag FROM dense), g AS (
+  SELECT 'all' AS asked, * FROM d UNION ALL SELECT 'metric', * FROM d WHERE metric_name = 'flag/A' UNION ALL SELECT 'run', * FROM d WHERE run_id = 's1' UNION ALL SELECT 'one', * FROM d WHERE run_id = 's1' AND metric_name = 'flag/A')
+  SELECT asked, run_id, metric_name, tag, CASE asked WHEN 'all' THEN run_id || '/' || metric_name || CASE tag WHEN '' THEN '' ELSE '_' || tag END WHEN 'metric' THEN run_id || CASE tag WHEN '' THEN '' ELSE '/' || tag END
+    WHEN 'run' THEN metric_name || CASE tag WHEN '' THEN '' ELSE '_' || tag END ELSE CASE tag WHEN '' THEN run_id ELSE tag END END AS label FROM g""",
 )
 def labels(spark, sf_dir):
-    return P.series_labels(A.dense_points(spark, sf_dir).select("run_id", "metric_name", "tag").distinct()).select("run_id", "metric_name", "tag", "label")
+    """Labels of all series, of one metric's, of one run's and of one metric's of one run."""
+    d = A.dense_points(spark, sf_dir).select("run_id", "metric_name", "tag").distinct()
+    asked = {"all": "true", "metric": "metric_name = 'flag/A'", "run": "run_id = 's1'", "one": "run_id = 's1' AND metric_name = 'flag/A'"}
+    parts = [P.series_labels(d.where(c)).select(F.lit(k).alias("asked"), "run_id", "metric_name", "tag", "label") for k, c in asked.items()]
+    return parts[0].unionAll(parts[1]).unionAll(parts[2]).unionAll(parts[3])
 
 
 @query("PF_8_run_filter", "SELECT o_orderkey AS ordinal, 'Run ' || (o_orderkey % 700) AS run_name FROM orders WHERE lower('Run ' || (o_orderkey % 700)) LIKE '%n 12%' OR 'r' || o_orderkey LIKE '%n 12%'")
@@ -346,14 +416,21 @@ def conflicts(spark, sf_dir):
     return R.id_conflicts(o)
 
 
-@query("AG_21_fingerprint", f"WITH {POINTS} SELECT run_id, metric_name, count(*) AS n, true AS order_free FROM points GROUP BY ALL")
+_HASH = "('0x' || substr(md5(concat_ws(chr(31), '=' || step, '=' || timestamp_ms, coalesce('=' || q, '-'))), 1, 15))::BIGINT"
+
+
+@query(
+    "AG_21_fingerprint",
+    f"WITH {POINTS}, p AS (SELECT *, CASE WHEN isfinite(value) THEN round(value::DOUBLE * 1000)::BIGINT END AS q FROM points) SELECT run_id, metric_name, count(*) AS n, (sum({_HASH}::HUGEINT) % 18446744073709551616::HUGEINT)::VARCHAR AS fingerprint, true AS order_free FROM p GROUP BY ALL",
+)
 def content_fingerprint(spark, sf_dir):
-    """Fingerprints of two orders of the same rows agree; the hash itself is Spark's own."""
-    p = A.points(spark, sf_dir)
-    cols = ["step", "timestamp_ms", "value"]
+    """Fingerprints of two orders of the same rows agree."""
+    q = F.when(X.is_finite(F.col("value")), F.round(F.col("value").cast("double") * 1000).cast("long"))
+    p = A.points(spark, sf_dir).withColumn("q", q)
+    cols = ["step", "timestamp_ms", "q"]
     a = P.fingerprint(p, ["run_id", "metric_name"], cols)
     b = P.fingerprint(p.repartition(7, "step"), ["run_id", "metric_name"], cols).select("run_id", "metric_name", F.col("fingerprint").alias("other"))
-    return a.join(b, ["run_id", "metric_name"]).select("run_id", "metric_name", "n", (F.col("fingerprint") == F.col("other")).alias("order_free"))
+    return a.join(b, ["run_id", "metric_name"]).select("run_id", "metric_name", "n", F.col("fingerprint").cast("string").alias("fingerprint"), (F.col("fingerprint") == F.col("other")).alias("order_free"))
 
 
 @query("WN_1_gaps", f"WITH {POINTS} SELECT run_id, metric_name, step, step - lag(step) OVER (PARTITION BY run_id, metric_name ORDER BY step) AS gap FROM points")

@@ -8,6 +8,7 @@ from ..functions import expressions as X
 from ..operators import garbage as G
 from ..operators import registry as R
 from ..operators import runs as U
+from ..plans.scratch import numbered
 from ..sources import adapters as A
 from .common import DENSE, MEDIA, RUNS, registry
 
@@ -78,7 +79,7 @@ _NTH = "row_number() OVER (PARTITION BY project_id, run_id ORDER BY position)"
 
 @query(
     "RN_4_trash_outcomes",
-    f"WITH {_CLASSED} SELECT position, CASE WHEN lifecycle = 'active' AND {_NTH} = 1 THEN 'trashed' WHEN lifecycle IN ('active', 'trashed') THEN 'already trashed' WHEN lifecycle IN ('expired', 'purging') THEN 'purging' WHEN lifecycle = 'purged' THEN 'purged' ELSE 'not found' END AS outcome FROM c",
+    f"WITH {_CLASSED} SELECT position, CASE WHEN lifecycle = 'active' AND {_NTH} = 1 THEN 'trashed' WHEN lifecycle IN ('active', 'trashed') THEN 'already_trashed' WHEN lifecycle IN ('expired', 'purging', 'purged') THEN 'expired' ELSE 'not_found' END AS outcome FROM c",
 )
 def trash(spark, sf_dir):
     return U.trash_outcomes(_classified(spark, sf_dir)).select("position", "outcome")
@@ -86,7 +87,7 @@ def trash(spark, sf_dir):
 
 @query(
     "RN_5_restore_outcomes",
-    f"WITH {_CLASSED} SELECT position, CASE WHEN lifecycle = 'trashed' AND {_NTH} = 1 THEN 'restored' WHEN lifecycle IN ('active', 'trashed') THEN 'already active' WHEN lifecycle IN ('expired', 'purging') THEN 'purging' WHEN lifecycle = 'purged' THEN 'purged' ELSE 'not found' END AS outcome FROM c",
+    f"WITH {_CLASSED} SELECT position, CASE WHEN lifecycle = 'trashed' AND {_NTH} = 1 THEN 'restored' WHEN lifecycle IN ('active', 'trashed') THEN 'already_active' WHEN lifecycle IN ('expired', 'purging', 'purged') THEN 'expired' ELSE 'not_found' END AS outcome FROM c",
 )
 def restore(spark, sf_dir):
     return U.restore_outcomes(_classified(spark, sf_dir)).select("position", "outcome")
@@ -163,10 +164,10 @@ def union(spark, sf_dir):
 _STATUS = "CASE WHEN exit_code = 0 THEN 'finished' WHEN exit_code IS NOT NULL THEN 'crashed' WHEN {n} - main_at < 10000 THEN 'running' WHEN {n} - ingested < 10000 THEN 'stuck' WHEN {n} - ingested < 600000 THEN 'unresponsive' ELSE 'presumed dead' END"
 
 
-@query("RN_1_status", f"WITH {RUNS} SELECT run_id, {_STATUS.format(n='(created + 400000)')} AS status FROM runs WHERE k % 2 = 0")
+@query("RN_1_status", f"WITH {RUNS} SELECT run_id, {_STATUS.format(n='(created + 400000)')} AS status FROM runs")
 def status(spark, sf_dir):
     """Each run's times are taken against a moment 400 s behind its creation."""
-    r = _runs(spark, sf_dir).where("ordinal % 2 = 0")
+    r = _runs(spark, sf_dir)
     base = _ms("created_at") + 400_000
     return r.select("run_id", U.status(0, F.col("exit_code"), _ms("last_main_metric_at") - base, _ms("last_ingested_at") - base).alias("status"))
 
@@ -176,11 +177,19 @@ def candidates(spark, sf_dir):
     return U.status_candidates(_runs(spark, sf_dir), 902_016_000_000).select("run_id")
 
 
-@query("RN_6_purge", f"WITH {DENSE} SELECT run_id, count(*) AS n FROM dense WHERE run_id NOT IN ('s2', 's5') GROUP BY ALL")
+@query(
+    "RN_6_purge",
+    f"""WITH {DENSE}, r AS (SELECT DISTINCT project_id, run_id, substr(run_id, 2)::INTEGER AS k FROM dense), due AS (SELECT project_id, run_id FROM r WHERE k % 3 = 2 OR k % 4 = 1)
+  SELECT project_id, run_id, count(*) AS n, false AS tombstone FROM dense WHERE (project_id, run_id) NOT IN (SELECT (project_id, run_id) FROM due) GROUP BY ALL UNION ALL SELECT project_id, run_id, 0, true FROM due""",
+)
 def purge(spark, sf_dir):
+    """Runs past retention and runs claimed before: their points go, and each leaves a tombstone."""
     d = A.dense_points(spark, sf_dir)
-    due = d.where(F.col("run_id").isin("s2", "s5")).select("project_id", "run_id")
-    return U.purge_points(d, due)[0].groupBy("run_id").agg(F.count(F.lit(1)).alias("n"))
+    k = F.substring("run_id", 2, 9).cast("int")
+    week = F.timestamp_millis(F.lit(NOW - U.RETENTION_MS))
+    runs = d.select("project_id", "run_id").distinct().withColumns({"deleted_at": F.when(k % 3 == 2, week).when(k % 3 == 1, week + F.expr("INTERVAL 1 MILLISECOND")), "purging_at": F.when(k % 4 == 1, week)})
+    left, gone = U.purge_points(d, U.purge_due(runs, NOW))
+    return left.groupBy("project_id", "run_id").agg(F.count(F.lit(1)).alias("n"), F.lit(False).alias("tombstone")).unionByName(gone.select("project_id", "run_id", F.lit(0).cast("long").alias("n"), F.lit(True).alias("tombstone")))
 
 
 @query("RN_7_versions", f"WITH {DENSE} SELECT run_id, count(DISTINCT step // 10) AS version FROM dense GROUP BY ALL")
@@ -245,12 +254,19 @@ def run_labels(spark, sf_dir):
     return U.labels(_runs(spark, sf_dir)).select("run_id", "label")
 
 
-@query("SL_8_natural_order", "SELECT name, row_number() OVER (ORDER BY n, name) AS place FROM (SELECT DISTINCT 'run ' || (o_orderkey % 700) AS name, o_orderkey % 700 AS n FROM orders)")
+@query(
+    "SL_8_natural_order",
+    """WITH n AS (SELECT DISTINCT o_orderkey % 700 AS n, o_orderkey % 3 AS k, o_custkey % 12 AS h FROM orders),
+  t AS (SELECT DISTINCT CASE k WHEN 2 THEN 'Run ' ELSE 'run ' END AS head, CASE k WHEN 0 THEN n::VARCHAR ELSE lpad(n::VARCHAR, 3, '0') END AS a, h::VARCHAR AS b FROM n)
+  SELECT head || a || '/h' || b AS name, row_number() OVER (ORDER BY head, length(a), a, length(b), b) - 1 AS place FROM t""",
+)
 def natural(spark, sf_dir):
-    from pyspark.sql import Window
-
-    names = A.table(spark, sf_dir, "orders").select(F.concat(F.lit("run "), (F.col("o_orderkey") % 700).cast("string")).alias("name")).distinct()
-    return names.withColumn("place", F.row_number().over(Window.orderBy(X.natural_key(F.col("name")), "name")).cast("long"))
+    """Names with two numbers, some padded, some in upper case."""
+    n, k = F.col("o_orderkey") % 700, F.col("o_orderkey") % 3
+    number = F.when(k == 0, n.cast("string")).otherwise(F.lpad(n.cast("string"), 3, "0"))
+    name = F.concat(F.when(k == 2, "Run ").otherwise("run "), number, F.lit("/h"), (F.col("o_custkey") % 12).cast("string"))
+    keyed = A.table(spark, sf_dir, "orders").select(name.alias("name")).distinct().withColumn("sort_key", X.natural_key(F.col("name")))
+    return numbered(keyed, ["sort_key", "name"], "place").select("name", "place")
 
 
 @query("SL_9_CH_19_auto_dashboard", f"WITH {DENSE} SELECT metric_name, regexp_extract(metric_name, '^(.*)/[^/]*$', 1) AS section, 0 AS priority, 'step' AS axis FROM dense GROUP BY metric_name UNION ALL SELECT m, s, p, 'relative' FROM (VALUES ('system/cpu', 'system', -100), ('logs/out', 'logs', -100)) v(m, s, p)")
@@ -310,10 +326,21 @@ def dangling(spark, sf_dir):
     return G.dangling(inv, ref, 10)
 
 
-@query("GC_5_gate", f"WITH {_GC} SELECT CASE WHEN (SELECT count(*) FROM refs WHERE key NOT IN (SELECT parent FROM parsed)) > 0 THEN 'unparsed roots' ELSE 'open' END AS gate")
+@query(
+    "GC_5_gate",
+    f"""WITH {_GC}, c AS (SELECT count(*) AS n, (SELECT count(*) FROM inv WHERE key IN (SELECT key FROM referenced)) AS held FROM inv WHERE created_ms < 300000000 AND key NOT IN (SELECT key FROM referenced) AND key NOT IN (SELECT key FROM acked)),
+  o AS (SELECT count(*) AS n FROM refs WHERE key NOT IN (SELECT parent FROM parsed))
+  SELECT 'short log' AS setting, 'the ack log doesn''t cover the grace period' AS gate UNION ALL SELECT 'open roots', CASE WHEN o.n > 0 THEN 'unparsed roots' WHEN c.n > 10000 + 0.1 * held THEN 'too many candidates' ELSE 'open' END FROM c, o
+  UNION ALL SELECT 'parsed', CASE WHEN c.n > 10000 + 0.1 * held THEN 'too many candidates' ELSE 'open' END FROM c UNION ALL SELECT 'no allowance', CASE WHEN c.n > 0 THEN 'too many candidates' ELSE 'open' END FROM c""",
+)
 def gate(spark, sf_dir):
+    """The answer where the log is too short, where roots are unparsed, where all is well, and where no candidate is allowed."""
     inv, r, parsed, ref, acked = _garbage(spark, sf_dir)
-    return G.gate(G.report(inv, ref, acked, 300_000_000), G.unparsed(r, parsed), log_covers_grace=True)
+    rep, roots_left = G.report(inv, ref, acked, 300_000_000), G.unparsed(r, parsed)
+    none = roots_left.limit(0)
+    asked = {"short log": G.gate(rep, none, False), "open roots": G.gate(rep, roots_left, True), "parsed": G.gate(rep, none, True), "no allowance": G.gate(rep, none, True, share=0.0, base=0)}
+    parts = [g.select(F.lit(k).alias("setting"), "gate") for k, g in asked.items()]
+    return parts[0].unionAll(parts[1]).unionAll(parts[2]).unionAll(parts[3])
 
 
 @query("GC_6_approved_subset", f"WITH {_GC}, c AS (SELECT key FROM inv WHERE created_ms < 300000000 AND key NOT IN (SELECT key FROM referenced) AND key NOT IN (SELECT key FROM acked)) SELECT key FROM c WHERE substr(key, 1, 1) < '4'")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import points as P
+from ..plans.scratch import shared_root
 from ..sources import adapters as A
 from ..streaming import ingest as N
 from ..streaming import state as S
@@ -16,14 +18,12 @@ ALL, query = registry()
 
 
 def _root(spark) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="runlens-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{shared_root(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def _events(spark, sf_dir):
     """The events table as a stream of files."""
-    static = A.table(spark, sf_dir, "events")
-    return spark.readStream.schema(static.schema).parquet(f"{sf_dir}/events.parquet*")
+    return N.source(spark, A.table(spark, sf_dir, "events").schema, f"{sf_dir}/events.parquet*")
 
 
 def _points(e):
@@ -63,9 +63,17 @@ def stream_heartbeats(spark, sf_dir):
     return N.read_heartbeats(spark, _ingested(spark, sf_dir)).select("run_id", "last_main_ms")
 
 
-@query("SM_8_change_feed", f"WITH {POINTS} SELECT DISTINCT run_id FROM points")
+@query("SM_8_change_feed", """WITH t AS (SELECT 'run' || (user_id % 8) AS run_id, event_id % 4 AS batch, max(epoch_us(ts) // 1000) AS at_ms FROM events GROUP BY ALL),
+  v AS (SELECT run_id, count(*) OVER (PARTITION BY run_id ORDER BY batch) AS version, at_ms FROM t) SELECT run_id, at_ms // 1000 AS frame, max(version) AS version FROM v GROUP BY ALL""")
 def feed(spark, sf_dir):
-    return N.versions(spark, _ingested(spark, sf_dir)).where("version >= 1").select("run_id")
+    """The events come in four micro-batches; each is a version of the runs it touches, and a listener gets a frame a second at most."""
+    root = _root(spark)
+    A.table(spark, sf_dir, "events").withColumn("part", F.col("event_id") % 4).repartition("part").write.partitionBy("part").parquet(f"{root}/in")
+    for k in range(4):
+        N.write_batch(root)(_points(spark.read.parquet(f"{root}/in/part={k}")), k)
+    touched = N.read(spark, root, "feed")
+    nth = F.row_number().over(Window.partitionBy("run_id").orderBy("batch"))
+    return N.frames(touched.select("run_id", nth.alias("version"), F.col("last_ms").alias("at_ms"))).select("run_id", "frame", F.col("version").cast("long").alias("version"))
 
 
 @query(
@@ -87,17 +95,32 @@ def recompute(spark, sf_dir):
     return N.recompute(d, d.where("step % 97 = 5")).select("run_id", "metric_name", "tag", "cell", "n", "y_max")
 
 
-@query("SM_5_smoother_state")
+@query("SM_5_smoother_state", f"""WITH {POINTS}, s AS (SELECT run_id, metric_name, step, value::DOUBLE AS y FROM points WHERE isfinite(value))
+  SELECT a.run_id, a.metric_name, a.step, round(sum(exp(-(a.step - b.step) / 50.0) * b.y) / sum(exp(-(a.step - b.step) / 50.0)), 6) AS smoothed FROM s a JOIN s b ON a.run_id = b.run_id AND a.metric_name = b.metric_name AND b.step <= a.step GROUP BY ALL""")
 def smoother(spark, sf_dir):
     root = _root(spark)
     p = _points(_events(spark, sf_dir)).select("run_id", "metric_name", "step", F.col("value").cast("double").alias("value"))
     S.ema(p, 50.0).writeStream.format("parquet").option("path", f"{root}/ema").option("checkpointLocation", f"{root}/c").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{root}/ema")
+    return spark.read.parquet(f"{root}/ema").withColumn("smoothed", F.round("smoothed", 6))
 
 
-@query("SM_2_6_liveness")
+@query("SM_2_6_liveness", f"""WITH {POINTS}, t AS (SELECT run_id, timestamp_ms AS moment, lag(timestamp_ms) OVER (PARTITION BY run_id ORDER BY timestamp_ms) AS was FROM points),
+  e AS (SELECT run_id, max(moment) AS last, (SELECT max(moment) - 5000 FROM t) AS mark FROM t GROUP BY run_id)
+  SELECT run_id, was + 10000 AS at_ms, 'unresponsive' AS status FROM t WHERE moment - was >= 10000 UNION ALL SELECT run_id, was + 600000, 'presumed dead' FROM t WHERE moment - was >= 600000
+  UNION ALL SELECT run_id, moment, 'running' FROM t WHERE was IS NULL OR moment - was >= 10000 UNION ALL SELECT run_id, last + 10000, 'unresponsive' FROM e WHERE last + 10000 <= mark""")
 def live(spark, sf_dir):
+    """Until the watermark, five seconds behind the newest event, has passed."""
     root = _root(spark)
     p = _points(_events(spark, sf_dir)).select("run_id", F.col("inserted_at").alias("event_time"))
     S.liveness(p).writeStream.format("parquet").option("path", f"{root}/live").option("checkpointLocation", f"{root}/c").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{root}/live")
+
+
+@query("SM_2_watermark", f"""WITH {POINTS}, d AS (SELECT TIMESTAMP '2024-01-01' + INTERVAL 1 DAY * i AS start FROM generate_series(1, 31) t(i))
+  SELECT epoch_ms(start) AS start_ms, epoch_us(least((SELECT max(inserted_at) FROM points WHERE inserted_at <= start), start - INTERVAL 15 SECOND)) // 1000 AS watermark_ms FROM d WHERE EXISTS (SELECT 1 FROM points WHERE inserted_at <= start)""")
+def watermarks(spark, sf_dir):
+    """The next watermark of a read that starts at each of the days."""
+    days = spark.sql("SELECT explode(sequence(timestamp'2024-01-02', timestamp'2024-02-01', INTERVAL 1 DAY)) AS start")
+    per_day = A.points(spark, sf_dir).groupBy(F.date_trunc("day", F.col("inserted_at") - F.expr("INTERVAL 1 MICROSECOND")).alias("day")).agg(F.max("inserted_at").alias("newest"))
+    seen = days.join(F.broadcast(per_day), F.col("day") < F.col("start")).groupBy("start").agg(F.max("newest").alias("newest"))
+    return seen.select(F.unix_millis("start").alias("start_ms"), F.unix_millis(P.watermark_of(F.col("newest"), F.col("start"))).alias("watermark_ms"))

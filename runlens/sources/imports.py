@@ -6,7 +6,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.expressions import FLOAT_MAX, is_finite
+from ..functions.expressions import FLOAT_MAX, is_finite, truncate_bytes
+from ..operators.points import monotone_steps
+from ..plans.scratch import checkpointed
+
+#: Characters of a text chunk, its terminator included.
+TEXT_CHARS = 64_000
+#: Fields of summary statistics and the metrics they become.
+STATS = {"-Inf": "neg_inf", "Inf": "inf", "Nan": "nan", "Count": "count", "Max": "max", "Min": "min", "Sum": "sum"}
+#: Extensions under which files are stored.
+EXTENSIONS = ("png", "jpg", "jpeg", "gif", "webp", "bmp", "svg", "ico", "tiff", "json", "txt", "csv", "wav", "mp3", "mp4", "webm", "ogg", "pdf", "gz", "bin")
 
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType, T.BooleanType)
 
@@ -16,7 +25,7 @@ def column_kinds(schema: T.StructType) -> dict[str, str]:
     out = {}
     for f in schema.fields:
         t = f.dataType
-        out[f.name] = "skipped" if f.name.startswith("_") else "numeric" if isinstance(t, _NUMERIC) else "text" if isinstance(t, T.StringType) else "struct" if isinstance(t, T.StructType) else "unsupported"
+        out[f.name] = "skipped" if f.name.startswith("_") else "numeric" if isinstance(t, _NUMERIC) else "text" if isinstance(t, (T.StringType, T.BinaryType)) else "struct" if isinstance(t, T.StructType) else "unsupported"
     return out
 
 
@@ -26,29 +35,40 @@ def _imported(v: Column) -> Column:
     return F.when(is_finite(d) & (F.abs(d) > FLOAT_MAX), F.lit(float("nan"))).otherwise(d).cast("float")
 
 
-def unpivot_history(df: DataFrame) -> DataFrame:
-    """Each non-``_`` column of a history row -> points (run_id, step, metric_name, value or text_data)."""
-    kinds = column_kinds(df.drop("run_id").schema)
+def text_line(text: Column) -> Column:
+    """A text cell as a terminated line of at most ``TEXT_CHARS`` characters."""
+    cut = F.substring(text, 1, TEXT_CHARS - 1)
+    return F.when(cut.endswith("\n"), cut).otherwise(F.concat(cut, F.lit("\n")))
+
+
+def unpivot_history(df: DataFrame, created_ms: int, order: list[str]) -> DataFrame:
+    """Each non-``_`` column of history rows (run_id, ..) -> points (run_id, step, timestamp_ms, metric_name, value or text_data).
+
+    Numbers stand at their row's step. A text cell becomes a line at its row's time, later where the metric has one there
+    already. ``order``: what rows of a run go by; empty texts and nulls give no point."""
+    kinds = column_kinds(df.drop("run_id", *order).schema)
     numbers = [c for c, k in kinds.items() if k == "numeric"]
     texts = [c for c, k in kinds.items() if k == "text"]
-    ids = ["run_id", F.col("_step").alias("step")]
-    parts = []
+    for axis in ("_step", "_timestamp"):
+        df = df if axis in df.columns else df.withColumn(axis, F.lit(None).cast("double"))
+    rows = row_axes(df, ["run_id"], order, created_ms)
+    ids = ["run_id", "step", "timestamp_ms"]
+    out = None
     if numbers:
-        wide = df.select(*ids, *[_imported(F.col(c)).alias(c) for c in numbers])
-        parts.append(wide.unpivot(["run_id", "step"], numbers, "metric_name", "value").where("value IS NOT NULL").withColumn("text_data", F.lit(None).cast("string")))
+        wide = rows.select(*ids, *[_imported(F.col(c)).alias(c) for c in numbers])
+        out = wide.unpivot(ids, numbers, "metric_name", "value").where("value IS NOT NULL").withColumn("text_data", F.lit(None).cast("string"))
     if texts:
-        long = df.select(*ids, *texts).unpivot(["run_id", "step"], texts, "metric_name", "text_data").where("text_data IS NOT NULL")
-        parts.append(long.withColumn("value", F.lit(None).cast("float")).select("run_id", "step", "metric_name", "value", "text_data"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+        long = rows.select(*ids, F.struct(*order).alias("_at"), *[F.make_valid_utf8(F.col(c).cast("string")).alias(c) for c in texts]).unpivot([*ids, "_at"], texts, "metric_name", "text_data").where("text_data <> ''")
+        stepped = monotone_steps(long.drop("step"), ["run_id", "metric_name"], ["_at"], "timestamp_ms")
+        lines = stepped.select(*ids, "metric_name", F.lit(None).cast("float").alias("value"), text_line(F.col("text_data")).alias("text_data"))
+        out = lines if out is None else out.unionByName(lines)
     return out
 
 
 def row_axes(df: DataFrame, run: list[str], order: list[str], created_ms: int) -> DataFrame:
     """step: ``_step``, else the row's place in its run; timestamp_ms: ``_timestamp`` in seconds, else the run's creation."""
     place = F.row_number().over(Window.partitionBy(*run).orderBy(*order)) - 1
-    return df.withColumn("step", F.coalesce(F.col("_step").cast("long"), place.cast("long"))).withColumn("timestamp_ms", F.coalesce(F.round(F.col("_timestamp") * 1000).cast("long"), F.lit(created_ms).cast("long")))
+    return df.withColumn("step", F.coalesce(F.col("_step").cast("long"), place.cast("long"))).withColumn("timestamp_ms", F.coalesce((F.col("_timestamp") * 1000).cast("long"), F.lit(created_ms).cast("long")))
 
 
 def jsonl_points(lines: DataFrame, column: str = "line") -> DataFrame:
@@ -68,76 +88,178 @@ def _exploded() -> DataFrame:
     return SparkSession.active().tvf.variant_explode(F.col("v").outer()).select("key", "value")
 
 
-def struct_points(df: DataFrame) -> DataFrame:
-    """Struct cells: a union struct (member0, member1, ..) gives its one scalar; other numeric fields become metric/field."""
-    parts = []
+def _shape(t: T.StructType) -> str:
+    """What a struct cell is, by its fields: a scalar whose type varied, summary statistics, or media."""
+    names = t.fieldNames()
+    if names and all(n.startswith("_type_") for n in names):
+        return "union"
+    return "stats" if names and set(names) <= STATS.keys() else "media"
+
+
+def _scalar(cell: str, t: T.StructType) -> Column:
+    """The first number or text among a union's members, as text."""
+    members = [f.name for f in t.fields if isinstance(f.dataType, (*_NUMERIC, T.StringType))]
+    return F.coalesce(*[F.when(F.col(f"{cell}.`{n}`").isNotNull(), F.col(f"{cell}.`{n}`").cast("double").cast("string") if isinstance(t[n].dataType, _NUMERIC) else F.col(f"{cell}.`{n}`")) for n in members], F.lit(None))
+
+
+def struct_points(df: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Points (keys.., metric_name, value) of struct cells: a union's scalar (a text counts if it is a number), and each
+    field of summary statistics as metric/field. Media cells and histograms give none."""
+    cells = []
     for f in df.schema.fields:
         if not isinstance(f.dataType, T.StructType):
             continue
-        names = f.dataType.fieldNames()
-        if all(n.startswith("member") for n in names):
-            parts.append(df.select(F.lit(f.name).alias("metric_name"), F.coalesce(*[F.col(f"{f.name}.{n}").cast("double") for n in names]).alias("value")))
-        elif "bins" not in names:  # histograms are counted as skipped, not imported
-            fields = [n for n in names if isinstance(f.dataType[n].dataType, _NUMERIC)]
-            cells = F.array(*[F.struct(F.lit(f"{f.name}/{n}").alias("metric_name"), F.col(f"{f.name}.{n}").cast("double").alias("value")) for n in fields])
-            parts.append(df.select(F.explode(cells).alias("c")).select("c.*"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionAll(p)
-    return out.where("value IS NOT NULL")
-
-
-def media_items(df: DataFrame, cell: str) -> DataFrame:
-    """Gallery items of a media cell with filenames and captions: one row an item, with its place."""
-    pairs = F.arrays_zip(F.col(f"{cell}.filenames").alias("filename"), F.col(f"{cell}.captions").alias("caption"))
-    return df.select("*", F.posexplode(pairs).alias("i", "item")).select(*df.columns, "i", "item.filename", "item.caption")
+        kind = _shape(f.dataType)
+        if kind == "union":
+            cells.append(F.struct(F.lit(f.name).alias("metric_name"), _scalar(f"`{f.name}`", f.dataType).alias("c")))
+        elif kind == "stats":
+            cells += [F.struct(F.lit(f"{f.name}/{STATS[n]}").alias("metric_name"), F.col(f"`{f.name}`.`{n}`").cast("double").cast("string").alias("c")) for n in f.dataType.fieldNames() if isinstance(f.dataType[n].dataType, _NUMERIC)]
+    found = F.expr("try_cast(c AS double)")
+    return df.select(*keys, F.explode(F.array(*cells)).alias("p")).select(*keys, "p.*").where("c IS NOT NULL").select(*keys, "metric_name", _imported(found).cast("double").alias("value")).where("value IS NOT NULL")
+
+
+def struct_counts(df: DataFrame) -> DataFrame:
+    """One row: how many struct cells are statistics that expand, histograms or texts under a union that are no number."""
+    stats, histograms, texts = [], [], []
+    for f in df.schema.fields:
+        if isinstance(f.dataType, T.StructType):
+            kind, cell = _shape(f.dataType), F.col(f"`{f.name}`")
+            if kind == "stats":
+                stats.append(F.coalesce(*[F.col(f"`{f.name}`.`{n}`").isNotNull().cast("long") for n in f.dataType.fieldNames()], F.lit(0)) if len(f.dataType) == 1 else F.greatest(*[F.col(f"`{f.name}`.`{n}`").isNotNull().cast("long") for n in f.dataType.fieldNames()]))
+            elif kind == "union":
+                text = _scalar(f"`{f.name}`", f.dataType)
+                texts.append((text.isNotNull() & text.try_cast("double").isNull()).cast("long"))
+            elif "_type" in f.dataType.fieldNames():
+                histograms.append((cell["_type"] == "histogram").cast("long"))
+    total = lambda cs: F.coalesce(sum((F.sum(c) for c in cs[1:]), F.sum(cs[0])), F.lit(0)) if cs else F.lit(0).cast("long")
+    return df.agg(total(stats).alias("stats_expanded"), total(histograms).alias("histograms_skipped"), total(texts).alias("texts_skipped"))
+
+
+def _caption(v: Column) -> Column:
+    """A caption's text: of a union its text or flag, of a list the parts that say something."""
+
+    def plain(c: Column) -> Column:
+        kind = F.schema_of_variant(c)
+        return F.when(c.isNull() | (kind == "VOID"), "").when(kind == "BOOLEAN", F.initcap(F.try_variant_get(c, "$", "string"))).when(kind.startswith("OBJECT"), F.coalesce(F.try_variant_get(c, "$._type_utf8", "string"), F.initcap(F.try_variant_get(c, "$._type_bool", "string")), F.lit(""))).otherwise(F.try_variant_get(c, "$", "string"))
+
+    parts = F.filter(F.transform(F.try_variant_get(v, "$", "array<variant>"), plain), lambda t: t != "")
+    return F.coalesce(F.when(F.coalesce(F.schema_of_variant(v).startswith("ARRAY"), F.lit(False)), F.trim(F.array_join(parts, " "))).otherwise(plain(v)), F.lit(""))
+
+
+def media_items(df: DataFrame, keys: list[str], cell: str, metric: str | None = None, step: str | None = None) -> DataFrame:
+    """Gallery items (keys.., i, filename, caption, extension) of media cells in JSON; ``keys`` tell the cells apart.
+
+    A cell lists ``filenames`` with ``captions``, or has one ``path``, or holds such cells in a list, however deep (the first
+    list in order of names that has any), or, written before files were named, only a count, from which names are made with
+    the metric's name and step (columns ``metric`` and ``step``). Paths that are absolute or lead upwards are dropped."""
+    extra = [c for c in (metric, step) if c and c not in keys]
+    cells = df.select(*keys, *extra, F.array().cast("array<int>").alias("_at"), F.try_parse_json(cell).alias("_v"))
+    names = F.try_variant_get("_v", "$.filenames", "array<variant>")
+    captions = F.try_variant_get("_v", "$.captions", "array<variant>")
+    listed = F.transform(names, lambda n, i: F.struct(F.when(F.schema_of_variant(n) == "STRING", F.try_variant_get(n, "$", "string")).alias("filename"), _caption(F.get(captions, i)).alias("caption")))
+    path = F.when(F.schema_of_variant(F.try_variant_get("_v", "$.path", "variant")) == "STRING", F.try_variant_get("_v", "$.path", "string"))
+    one = F.array(F.struct(path.alias("filename"), _caption(F.try_variant_get("_v", "$.caption", "variant")).alias("caption")))
+    done, level = None, cells
+    while True:  # a level of nesting each time; cells that list their own files leave
+        level = checkpointed(level.withColumn("_items", F.when(names.isNotNull(), listed).when(path != "", one)))
+        found = level.where("_items IS NOT NULL").select(*keys, "_at", "_items")
+        done = found if done is None else done.unionAll(found)
+        inner = level.where("_items IS NULL AND schema_of_variant(_v) LIKE 'OBJECT%'")
+        fields = inner.lateralJoin(df.sparkSession.tvf.variant_explode(F.col("_v").outer()).select("pos", "value")).where("schema_of_variant(value) LIKE 'ARRAY<OBJECT%'")
+        nested = fields.select(*keys, *extra, F.col("_at").alias("_was"), F.col("pos").alias("_field"), F.posexplode(F.try_variant_get("value", "$", "array<variant>")).alias("_j", "_v"))
+        level = nested.select(*keys, *extra, F.concat("_was", F.array("_field", "_j")).alias("_at"), "_v")
+        if level.isEmpty():
+            break
+    flat = done.select(*keys, "_at", F.posexplode("_items").alias("_k", "_item")).where("_item.filename <> ''").withColumn("_list", F.coalesce(F.get("_at", F.lit(0)), F.lit(-1)))
+    cell_of = Window.partitionBy(*keys)
+    flat = flat.withColumn("_first", F.min("_list").over(cell_of)).where("_list = _first")
+    place = (F.row_number().over(cell_of.orderBy("_at", "_k")) - 1).alias("i")
+    out = flat.select(*keys, place, F.col("_item.filename").alias("filename"), F.col("_item.caption").alias("caption"))
+    if metric and step:
+        count, form = F.try_variant_get("_v", "$.count", "int"), F.lower(F.coalesce(F.try_variant_get("_v", "$.format", "string"), F.lit("png")))
+        bare = cells.join(out.select(*keys).distinct(), keys, "left_anti").where((count > 0) & F.try_variant_get("_v", "$._type", "string").startswith("images"))
+        made = bare.select(*keys, *extra, F.explode(F.sequence(F.lit(0), count - 1)).alias("i"), form.alias("_form"), captions.alias("_captions"))
+        name = F.concat(F.lit("media/images/"), F.col(metric), F.lit("_"), F.col(step).cast("string"), F.lit("_"), F.col("i").cast("string"), F.lit("."), F.col("_form"))
+        out = out.unionAll(made.select(*keys, "i", name, _caption(F.get("_captions", F.col("i")))))
+    safe = ~F.col("filename").startswith("/") & ~F.col("filename").rlike(r"(^|/)\.\.(/|$)")
+    return out.where(safe).withColumn("extension", form_of(F.col("filename")))
+
+
+def form_of(filename: Column) -> Column:
+    """A file's extension in lower case; ``bin`` for one that is not stored as such."""
+    ext = F.lower(F.regexp_extract(filename, r"[^/.][^/]*\.([^./]+)$", 1))
+    return F.when(ext.isin(*EXTENSIONS), ext).otherwise("bin")
 
 
 def snake(name: Column) -> Column:
-    parted = F.regexp_replace(F.regexp_replace(name, r"([a-z0-9])([A-Z])", "$1_$2"), r"[^A-Za-z0-9]+", "_")
-    return F.lower(F.regexp_replace(parted, "^_+|_+$", ""))
+    return F.lower(F.regexp_replace(name, r"(?<=[a-z0-9])([A-Z])", "_$1"))
 
 
-#: Patterns of exported system columns, the metric each becomes, and which group is the tag.
-SYSTEM = (
-    (r"^system\.gpu\.(\d+)\.temp$", "system/gpu_temp_c"),
-    (r"^system\.gpu\.(\d+)\.gpu$", "system/gpu_util_pct"),
-    (r"^system\.gpu\.(\d+)\.memoryAllocated$", "system/gpu_mem_pct"),
-    (r"^system\.gpu\.(\d+)\.powerWatts$", "system/gpu_power_w"),
-    (r"^system\.cpu\.(\d+)\.cpu_percent$", "system/cpu_core_pct"),
-    (r"^system\.disk\.([^.]+)\.in$", "system/disk_in"),
-    (r"^system\.disk\.([^.]+)\.out$", "system/disk_out"),
-    (r"^system\.cpu()$", "system/cpu_pct"),
-    (r"^system\.memory()$", "system/ram_pct"),
-)
+#: Metrics of exported accelerator columns.
+ACCELERATOR = {
+    "gpu": "gpu_util_pct", "memory": "gpu_mem_util_pct", "memoryAllocated": "gpu_mem_used_pct", "memoryAllocatedBytes": "gpu_mem_used_bytes", "temp": "gpu_temp_c", "powerWatts": "gpu_power_w",
+    "powerPercent": "gpu_power_pct", "enforcedPowerLimitWatts": "gpu_power_limit_w", "smClock": "gpu_sm_clock_mhz", "memoryClock": "gpu_mem_clock_mhz", "correctedMemoryErrors": "gpu_ecc_corrected", "uncorrectedMemoryErrors": "gpu_ecc_uncorrected",
+}
+#: Metrics of exported columns that stand alone.
+ALONE = {
+    "cpu": "proc_cpu_pct", "memory": "sys_mem_pct", "proc.memory.rssMB": "proc_mem_used_mb", "proc.memory.percent": "proc_mem_pct", "proc.memory.availableMB": "sys_mem_avail_mb", "proc.cpu.threads": "proc_threads",
+    "network.sent": "net_sent_bytes", "network.recv": "net_recv_bytes",
+}
 
 
 def system_columns(names: DataFrame, column: str = "name") -> DataFrame:
-    """Adds metric_name and tag to exported system column names; others become snake case under ``system/``."""
-    c = F.col(column)
-    metric, tag = F.concat(F.lit("system/"), snake(F.regexp_replace(c, r"^system\.", ""))), F.lit("")
-    for pattern, to in reversed(SYSTEM):
-        hit = c.rlike(pattern)
-        metric = F.when(hit, to).otherwise(metric)
-        tag = F.when(hit, F.regexp_extract(c, pattern, 1)).otherwise(tag)
-    return names.withColumn("metric_name", metric).withColumn("tag", tag)
+    """Adds metric_name and tag to exported system column names: device columns by device, the rest in snake case; null for
+    columns that are no system columns."""
+    rest = F.regexp_extract(column, r"(?s)^system\.(.*)$", 1)
+    table = lambda d: F.create_map(*[F.lit(x) for pair in d.items() for x in pair])
+    part = lambda pattern, group: F.regexp_extract(rest, pattern, group)
+    process, card, core, disk, usage = r"^gpu\.process\.(\d+)\.(.+)$", r"^gpu\.(\d+)\.(.+)$", r"^cpu\.(\d+)\.(.+)$", r"^disk\.(.+)\.(in|out)$", r"^disk\.(.+)\.(usagePercent|usageGB)$"
+    device = lambda pattern: F.coalesce(F.try_element_at(table(ACCELERATOR), part(pattern, 2)), F.concat(F.lit("gpu_"), snake(part(pattern, 2))))
+    alone = F.try_element_at(table(ALONE), rest)
+    rules = [
+        (rest.rlike(process), F.regexp_replace(device(process), "^gpu_", "gpu_proc_"), part(process, 1)),
+        (rest.rlike(card), device(card), part(card, 1)),
+        (rest.rlike(core), F.when(part(core, 2) == "cpu_percent", "cpu_core_pct").otherwise(F.concat(F.lit("cpu_core_"), snake(part(core, 2)))), part(core, 1)),
+        (alone.isNotNull(), alone, F.lit("")),
+        (rest.rlike(disk), F.concat(F.lit("disk_"), part(disk, 2), F.lit("_mb")), part(disk, 1)),
+        (rest.rlike(usage), F.when(part(usage, 2) == "usagePercent", "disk_used_pct").otherwise("disk_used_gb"), part(usage, 1)),
+    ]
+    metric, tag = F.replace(snake(rest), F.lit("."), F.lit("_")), F.lit("")
+    for hit, name, tagged in reversed(rules):
+        metric, tag = F.when(hit, name).otherwise(metric), F.when(hit, tagged).otherwise(tag)
+    system = F.col(column).startswith("system.")
+    return names.withColumn("metric_name", F.when(system, F.concat(F.lit("system/"), metric))).withColumn("tag", F.when(system, tag))
 
 
 def iso_ms(text: Column) -> Column:
-    """Milliseconds of an ISO time, with or without a zone or fraction; null if it is none."""
-    return F.unix_millis(F.try_to_timestamp(F.regexp_replace(text, " ", "T")))
+    """Milliseconds of an ISO time with seconds, perhaps a fraction, and a zone (``Z`` or an offset; a fraction goes with ``Z``);
+    null for any other text."""
+    good = text.rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(Z|\.\d{1,6}Z|[+-]\d\d:?\d\d)$")
+    return F.when(good, F.unix_millis(F.try_to_timestamp(F.regexp_replace(text, r"([+-]\d\d)(\d\d)$", "$1:$2"))))
+
+
+#: Exit codes of the states in which a run has ended.
+EXIT_CODES = {"finished": 0, "failed": 1, "crashed": 255, "killed": 137, "preempted": 143}
+
 
+def run_identity(df: DataFrame, now_ms: int) -> DataFrame:
+    """run_id, run_name, created_ms, ended_ms and exit_code of an exported run (project, id, name, created, heartbeat, state).
 
-def run_identity(df: DataFrame) -> DataFrame:
-    """run_id, created_ms and exit code of an exported run (project, id, created, state)."""
+    A blank name is the id; a name is cut to 2048 bytes; an unreadable creation time is now, an unreadable heartbeat the
+    creation; a state that isn't final has no exit code."""
     slug = F.regexp_replace(F.lower("project"), r"[^a-z0-9]+", "-")
-    exit_code = F.when(F.col("state") == "finished", 0).when(F.col("state").isin("failed", "crashed"), 1).when(F.col("state") == "killed", 137)
-    return df.withColumn("run_id", F.concat(F.lit("wandb_"), slug, F.lit("_"), "id")).withColumn("created_ms", iso_ms(F.col("created"))).withColumn("exit_code", exit_code)
+    strip = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    given = F.when(F.coalesce("name", F.lit("")) != "", F.col("name")).otherwise(F.col("id"))
+    name = F.when(strip(given) != "", strip(given)).otherwise(F.col("id"))
+    exit_code = F.try_element_at(F.create_map(*[F.lit(x) for pair in EXIT_CODES.items() for x in pair]), F.col("state"))
+    out = df.withColumn("run_id", F.concat(F.lit("wandb_"), slug, F.lit("_"), "id")).withColumn("run_name", truncate_bytes(name, 2048))
+    out = out.withColumn("created_ms", F.coalesce(iso_ms(F.col("created")), F.lit(now_ms).cast("long")))
+    return out.withColumn("ended_ms", F.coalesce(iso_ms(F.col("heartbeat")), F.col("created_ms"))).withColumn("exit_code", exit_code)
 
 
 def unsettled(df: DataFrame) -> DataFrame:
     """First reason why a run's import isn't final; null if it is."""
-    reason = F.when(~F.col("exported"), "no_export").when(~F.col("complete"), "export_incomplete").when(F.col("errors") > 0, "export_errors").when(F.col("skipped") > 0, "export_skipped").when(~F.col("state").isin("finished", "failed", "crashed", "killed"), "run_not_finished")
+    reason = F.when(~F.col("exported"), "no_export").when(~F.col("complete"), "export_incomplete").when(F.col("errors") > 0, "export_errors").when(F.col("skipped") > 0, "export_skipped").when(~F.col("state").isin(*EXIT_CODES), "run_not_finished")
     return df.withColumn("unsettled", reason)
 
 
@@ -147,10 +269,50 @@ def reexport_needed(previous: DataFrame, current: DataFrame) -> DataFrame:
     return current.join(p, "run", "left").withColumn("needed", ~F.col("was").eqNullSafe(F.struct("state", "heartbeat", "lines"))).drop("was")
 
 
-def run_info(df: DataFrame) -> DataFrame:
-    """A run's information document; user names and passwords are cut out of the remote."""
-    clean = F.regexp_replace("remote", r"^([a-z+]+://)[^/@]*@", "$1")
-    return df.withColumn("info", F.to_json(F.struct(F.struct("host").alias("system"), F.struct(clean.alias("remote")).alias("git"), F.struct(F.lit("import").alias("source")).alias("provenance"))))
+#: What each of a machine's exported properties is called in a run's information.
+MACHINE = {
+    "host": "hostname", "os": "os", "username": "username", "root": "cwd", "python": "python_version", "executable": "python_executable", "cpu_count": "cpu_count",
+    "cpu_count_logical": "logical_cpu_count", "gpu_count": "gpu_count", "gpu": "gpu_type", "cudaVersion": "cuda_version",
+}
+
+
+def run_info(df: DataFrame, imported_at: str) -> DataFrame:
+    """Adds ``info``, the JSON document of an imported run: when it began, its machine and command line, commit and remote
+    without credentials, the batch job without its token, where it comes from, and its configuration.
+
+    ``df``: created_ms and JSON texts ``run`` (the export's description), ``machine``, ``summary``, ``artifacts``. Properties that
+    are null or absent are left out, but for those of the export itself, which stand as null."""
+    rows = df.withColumns({f"_{c}": F.try_parse_json(c) for c in ("run", "machine", "summary", "artifacts")})
+
+    def get(column: str, path: str, form: str = "variant") -> Column:
+        v = F.try_variant_get(f"_{column}", f"$.{path}", "variant")
+        there = F.when(~F.is_variant_null(v), v)
+        return there if form == "variant" else F.try_variant_get(there, "$", form)
+
+    safe = lambda c: F.when(c.rlike("^[A-Za-z0-9@%+=:,./_-]+$"), c).otherwise(F.concat(F.lit("'"), F.replace(c, F.lit("'"), F.lit("'\"'\"'")), F.lit("'")))
+    program = get("machine", "program", "string")
+    command = F.when(program != "", F.array_join(F.transform(F.concat(F.array(program), F.coalesce(get("machine", "args", "array<string>"), F.array().cast("array<string>"))), safe), " "))
+    began = F.timestamp_millis("created_ms")
+    time = F.struct(F.date_format(began, "MMMM dd, yyyy hh:mm:ss a").alias("start"), F.floor(F.col("created_ms") / 1000).alias("start_unix"))
+    system = F.struct(*[get("machine", a).alias(b) for a, b in MACHINE.items()], command.alias("command"))
+    remote = F.regexp_replace(get("machine", "git.remote", "string"), r"^([A-Za-z][A-Za-z0-9+.-]*://)[^/?#]*@", "$1")
+    commit = F.coalesce(F.nullif(get("machine", "git.commit", "string"), F.lit("")), F.nullif(get("run", "commit", "string"), F.lit("")))
+    git = F.struct(F.nullif(remote, F.lit("")).alias("remote"), commit.alias("commit"))
+    slurm = F.map_filter(get("machine", "slurm", "map<string,variant>"), lambda k, _: k != "jwt")
+    own = {"url": "url", "entity": "entity", "project": "project", "run_id": "id", "state": "state", "tags": "tags", "notes": "notes", "group": "group", "job_type": "job_type", "sweep": "sweep", "user": "user"}
+    late = {"created_at": "created_at", "heartbeat_at": "heartbeat_at", "history_line_count": "history_line_count"}
+    source = [(F.coalesce(get("run", p), F.parse_json(F.lit("[]"))) if k == "tags" else get("run", p)).alias(k) for k, p in own.items()]
+    source += [get("machine", "email").alias("email"), *[get("run", p).alias(k) for k, p in late.items()], F.lit(imported_at).alias("imported_at")]
+    source += [F.coalesce(get("run", "summary"), F.col("_summary")).alias("summary"), F.col("_artifacts").alias("artifacts")]
+    part = lambda name, cond, c: F.when(cond, F.concat(F.lit(f',"{name}":'), c)).otherwise("")
+    meta = F.concat(
+        F.lit('{"meta":{"time":'), F.to_json(time), F.lit(',"system":'), F.to_json(system),
+        part("git", F.col("_git.remote").isNotNull() | F.col("_git.commit").isNotNull(), F.to_json("_git")),
+        part("slurm", F.size(get("machine", "slurm", "map<string,variant>")) > 0, F.to_json("_slurm")),
+        F.lit(',"wandb_import":'), F.to_json(F.struct(*source), {"ignoreNullFields": "false"}), F.lit("}"),
+        part("config", F.col("_config").isNotNull(), F.to_json("_config")), F.lit("}"),
+    )
+    return rows.withColumns({"_git": git, "_slurm": slurm, "_config": get("run", "config")}).select(*df.columns, meta.alias("info"))
 
 
 def dry_run(df: DataFrame) -> DataFrame:

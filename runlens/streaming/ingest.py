@@ -1,7 +1,7 @@
 """Streaming ingest: validated points appended by micro-batch, with a registry, heartbeats, a rollup and a change feed.
 
-A micro-batch is the durability unit. Every table is written under a folder of its batch id and overwritten when the batch
-is replayed, so retries leave no trace. Derived tables are partial aggregates of each batch; readers combine them, which
+A micro-batch is the durability unit: ``source`` bounds it by bytes and the trigger by time, and its files by rows. Every
+table is written under a folder of its batch id and overwritten when the batch is replayed, so retries leave no trace. Derived tables are partial aggregates of each batch; readers combine them, which
 costs a merge of small rows and needs no update in place.
 """
 
@@ -39,17 +39,31 @@ def merged(parts: DataFrame, factor: int = 1) -> DataFrame:
     )
 
 
-def write_batch(root: str):
-    """The ``foreachBatch`` function of the ingest."""
+#: Bounds of a cut: rows of a file, bytes of a micro-batch.
+CUT_ROWS, CUT_BYTES = 10_000, 8 << 20
+
+
+def source(spark: SparkSession, schema, path: str, cut_bytes: int = CUT_BYTES) -> DataFrame:
+    """A folder of Parquet files as a stream, at most ``cut_bytes`` (one file at least) in a micro-batch."""
+    return spark.readStream.schema(schema).option("maxBytesPerTrigger", str(cut_bytes)).parquet(path)
+
+
+def write_batch(root: str, cut_rows: int = CUT_ROWS):
+    """The ``foreachBatch`` function of the ingest. Points are written by project, each task a range of the key, so a hot run
+    is many files of at most ``cut_rows`` rows."""
 
     def put(df: DataFrame, name: str, batch: int) -> None:
         df.write.mode("overwrite").parquet(f"{root}/{name}/batch={batch}")
 
+    def put_points(df: DataFrame, batch: int) -> None:
+        dealt = df.repartitionByRange(*KEY).sortWithinPartitions(*KEY)
+        dealt.write.mode("overwrite").option("maxRecordsPerFile", cut_rows).partitionBy("project_id").parquet(f"{root}/points/batch={batch}")
+
     def run(df: DataFrame, batch: int) -> None:
         checked = validate_points(df).persist()
         try:
             good = checked.where("reason IS NULL").drop("reason")
-            put(good.sortWithinPartitions(*KEY), "points", batch)
+            put_points(good, batch)
             put(checked.where("reason IS NOT NULL").groupBy("reason").agg(F.count(F.lit(1)).alias("n")), "rejects", batch)
             put(registry(good), "registry", batch)
             put(heartbeats(good), "heartbeats", batch)
@@ -84,6 +98,13 @@ def versions(spark: SparkSession, root: str) -> DataFrame:
     return read(spark, root, "feed").groupBy("project_id", "run_id").agg(F.countDistinct("batch").alias("version"))
 
 
+def frames(changes: DataFrame, every_ms: int = 1000) -> DataFrame:
+    """What a listener is sent of changes (run_id, version, at_ms): at most one frame of a run in each ``every_ms``, the newest."""
+    beat = F.floor(F.col("at_ms") / every_ms)
+    newest = changes.groupBy("run_id", beat.alias("frame")).agg(F.max(F.struct("version", "at_ms")).alias("n"))
+    return newest.select("run_id", "frame", "n.version", "n.at_ms")
+
+
 def without_retries(points: DataFrame, within: str = "16 seconds") -> DataFrame:
     """Drops repeated sends of a row; state is bounded by the watermark on ingest time."""
     return points.withWatermark("inserted_at", within).dropDuplicatesWithinWatermark([*KEY, "inserted_at"])

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 SILENT_MS, DEAD_MS = 10_000, 600_000
+_FOLDS = 500.0
 
 
 def liveness(points: DataFrame, watermark: str = "5 seconds") -> DataFrame:
@@ -25,17 +26,19 @@ def liveness(points: DataFrame, watermark: str = "5 seconds") -> DataFrame:
             out.append((key[0], at, status))
         else:
             times = np.sort(np.concatenate([pd.to_datetime(r["event_time"]).astype("datetime64[ms]").astype("int64").to_numpy() for r in rows]))
-            for t in times[times >= last].tolist():
-                if status == "running" and t - last >= SILENT_MS:
-                    out.append((key[0], last + SILENT_MS, "unresponsive"))
-                    status = "unresponsive"
-                if status == "unresponsive" and t - last >= DEAD_MS:
-                    out.append((key[0], last + DEAD_MS, "presumed dead"))
-                    status = "presumed dead"
-                if status != "running":
-                    out.append((key[0], t, "running"))
-                    status = "running"
-                last = t
+            times = times[times >= last]
+            if len(times):
+                before = np.concatenate([[last], times[:-1]])
+                quiet = times - before
+                was = np.full(len(times), "running", object)
+                was[0] = status
+                # what happened before each point: silence, death, and the point that ends either
+                silent, dead = (was == "running") & (quiet >= SILENT_MS), (was != "") & (was != "presumed dead") & (quiet >= DEAD_MS)
+                back = (was != "running") | silent
+                events = [(before[silent] + SILENT_MS, "unresponsive"), (before[dead] + DEAD_MS, "presumed dead"), (times[back], "running")]
+                found = sorted((int(t), k, name) for k, (at, name) in enumerate(events) for t in at)
+                out += [(key[0], t, name) for t, _, name in found]
+                last, status = int(times[-1]), "running"
         state.update((last, status))
         wait = SILENT_MS if status == "running" else DEAD_MS
         if status != "presumed dead":
@@ -59,13 +62,19 @@ def ema(points: DataFrame, tau: float) -> DataFrame:
         last, w, s = state.get if state.exists else (-math.inf, 0.0, 0.0)
         pdf = pd.concat(list(rows)).sort_values("step")
         pdf = pdf[np.isfinite(pdf["value"]) & (pdf["step"] > last)].drop_duplicates("step", keep="last")
-        out = []
-        for x, y in zip(pdf["step"].tolist(), pdf["value"].tolist(), strict=True):
-            decay = math.exp(-(x - last) / tau) if w else 0.0
-            last, w, s = x, w * decay + 1.0, s * decay + y
-            out.append((*key, x, s / w))
+        x, y = pdf["step"].to_numpy(np.float64), pdf["value"].to_numpy(np.float64)
+        values = []
+        while len(x):
+            # weights relative to the stretch's start; _FOLDS time constants stay far from overflow
+            n = max(1, int(np.searchsorted(x, x[0] + _FOLDS * tau)))
+            grow = np.exp((x[:n] - x[0]) / tau)
+            carry = math.exp(-(x[0] - last) / tau) if w else 0.0
+            ws, ss = w * carry + np.cumsum(grow), s * carry + np.cumsum(grow * y[:n])
+            values.append(ss / ws)
+            last, w, s = float(x[n - 1]), float(ws[-1] / grow[-1]), float(ss[-1] / grow[-1])
+            x, y = x[n:], y[n:]
         state.update((float(last), w, s))
-        yield pd.DataFrame(out, columns=["run_id", "metric_name", "step", "smoothed"])
+        yield pd.DataFrame({"run_id": key[0], "metric_name": key[1], "step": pdf["step"].to_numpy(), "smoothed": np.concatenate(values) if values else np.empty(0)})
 
     return points.groupBy("run_id", "metric_name").applyInPandasWithState(
         step, "run_id string, metric_name string, step long, smoothed double", "last double, w double, s double", "append", GroupStateTimeout.NoTimeout
