@@ -16,9 +16,12 @@ TOKENIZERS = "/opt/tokenizers"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """Folder that driver and executors share: ``spark.checkpoint.dir``. A temporary one only in local mode without that
+    setting; elsewhere its absence is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="runlens-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -33,7 +36,24 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._folder = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Deletes stored tables that nothing reads any more."""
+    for t in tables:
+        if t is not None and (path := getattr(t, "_folder", None)):
+            jvm, conf = t.sparkSession._jvm, t.sparkSession._jsc.hadoopConfiguration()
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(conf).delete(where, True)
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Column names like ``names`` that ``df`` doesn't hold, whatever their case."""
+    taken = {c.lower() for c in df.columns}
+    return [next(n for i in range(len(taken) + 1) if (n := name + "_" * i).lower() not in taken) for name in names]
 
 
 def file_system(uri: str) -> tuple[fs.FileSystem, str]:

@@ -34,10 +34,11 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, slices, stored
+from .common import discard, free_names, mix64, slices, stored
 from .components import components
 from .shingles import sequence_digest, shingles, words
 
@@ -59,6 +60,8 @@ class Options:
 
 _SLICE = 2 << 20
 _BLOCK = 4096
+#: Tasks whose counts are added up in one group.
+_TASKS = 1000
 _R = np.random.default_rng(5)
 #: Tables of the distributions, small enough for a core's cache: 12 bits of a hash pick r, 12 c and 12 beta.
 _GAMMA_R, _LN_C, _BETA = _R.gamma(2, 1, 1 << 12), np.log(_R.gamma(2, 1, 1 << 12)), _R.random(1 << 12)
@@ -79,21 +82,26 @@ def _counter(o: Options):
             cells += np.bincount(cell[order][new], minlength=len(cells))
             n += batch.num_rows
         if n:
+            salt = TaskContext.get().partitionId() // _TASKS
             rows = [(k, cells[k * _BLOCK : (k + 1) * _BLOCK].astype("<i8").tobytes()) for k in range(len(cells) // _BLOCK)] + [(-1, np.array([n], "<i8").tobytes())]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["block", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([salt] * len(rows), pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["block", "salt", "counts"])
 
     return run
 
 
 def _add(pdf: pd.DataFrame) -> pd.DataFrame:
-    total = sum(np.frombuffer(c, "<i8") for c in pdf["counts"])
-    return pd.DataFrame({"block": [int(pdf["block"].iloc[0])], "counts": [total.astype("<i8").tobytes()]})
+    total = np.zeros(len(pdf["counts"].iloc[0]) // 8, "<i8")
+    for c in pdf["counts"]:
+        total += np.frombuffer(c, "<i8")
+    return pd.DataFrame({"block": [int(pdf["block"].iloc[0])], "counts": [total.tobytes()]})
 
 
 def document_frequencies(docs: DataFrame, o: Options) -> tuple[np.ndarray, int]:
     """Cells of the hashed table (2**bits longs) and the number of documents. Tasks add up what they read before the
-    shuffle, a block of cells is summed in one task, and the driver gets the table once."""
-    found = docs.mapInArrow(_counter(o), "block int, counts binary").groupBy("block").applyInPandas(_add, "block int, counts binary").collect()
+    shuffle; a block of cells is summed for ``_TASKS`` tasks at a time and then over these sums, so that no group holds
+    more than some tens of MB however many tasks there are; and the driver gets the table once."""
+    found = docs.mapInArrow(_counter(o), "block int, salt int, counts binary").groupBy("block", "salt").applyInPandas(_add, "block int, counts binary")
+    found = found.groupBy("block").applyInPandas(_add, "block int, counts binary").collect()
     cells, n = np.zeros(1 << o.bits, np.int64), 0
     for r in found:
         part = np.frombuffer(r.counts, "<i8")
@@ -171,14 +179,14 @@ def _signer(idf: np.ndarray, o: Options):
             flat = pa.array(keys[has].view(np.int64).ravel())
             offsets = np.concatenate([[0], np.cumsum(has * o.bands)]).astype(np.int32)
             size = pa.array(np.bincount(who, minlength=n).astype(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), flat), size], ["doc_id", "d1", "d2", "keys", "size"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("digest"), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), flat), size], ["doc_id", "digest", "d1", "d2", "keys", "size"])
 
     return run
 
 
 def _tester(idf: np.ndarray, o: Options):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hub, hub_h, hub_w = None, None, None
+        hub, held = None, []  # the hub's texts: several where its doc_id has several
         for batch in slices(batches, "text", _SLICE):
             doc, word = words(batch.column("text"))
             who, h, tf = shingles(doc, word, o.width)
@@ -187,9 +195,14 @@ def _tester(idf: np.ndarray, o: Options):
             out: list[tuple[int, int, float]] = []
             for i, (to, is_hub, node) in enumerate(zip(batch.column("hub").to_pylist(), batch.column("is_hub").to_pylist(), batch.column("doc_id").to_pylist(), strict=True)):
                 mine, my_w = h[ends[i] : ends[i + 1]], w[ends[i] : ends[i + 1]]
+                if hub != to:
+                    hub, held = to, []
                 if is_hub:
-                    hub, hub_h, hub_w = to, mine, my_w
-                elif hub == to and len(mine) and len(hub_h):
+                    held.append((mine, my_w))
+                    continue
+                for hub_h, hub_w in held:
+                    if not len(mine) or not len(hub_h):
+                        continue
                     at = np.minimum(np.searchsorted(hub_h, mine), len(hub_h) - 1)
                     same = hub_h[at] == mine
                     shared = np.minimum(my_w[same], hub_w[at[same]]).sum()
@@ -201,9 +214,11 @@ def _tester(idf: np.ndarray, o: Options):
     return run
 
 
-def verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, o: Options) -> DataFrame:
-    """a, b, similarity of the pairs (hub, node) that reach the threshold. A hub's text goes once to each salt."""
-    sizes = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / o.salted).cast("int").alias("salts"))
+def verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, o: Options, used: list[DataFrame]) -> DataFrame:
+    """a, b, similarity of the pairs (hub, node) that reach the threshold. A hub's text goes once to each salt. (Counts by hub
+    are a table of their own, so that Spark can split the join of a hub with very many nodes.) ``used`` gets what may go later."""
+    sizes = stored(pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / o.salted).cast("int").alias("salts")), "sizes")
+    used.append(sizes)
     salted = pairs.join(sizes, "hub").select("hub", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int").alias("salt"), F.lit(False).alias("is_hub"), F.col("node").alias("doc_id"))
     hubs = sizes.select("hub", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(True).alias("is_hub"), F.col("hub").alias("doc_id"))
     roles = salted.unionAll(hubs)
@@ -290,13 +305,14 @@ def _group_tester(idf: np.ndarray, o: Options):
     return run
 
 
-def _crossing_links(members: DataFrame, texts: DataFrame, idf: np.ndarray, o: Options) -> DataFrame:
+def _crossing_links(members: DataFrame, texts: DataFrame, idf: np.ndarray, o: Options, used: list[DataFrame]) -> DataFrame:
     """Links between the components of large buckets. ``members``: key, node, comp, size, keys."""
     parts = members.groupBy("key", "comp").agg(F.sum("size").alias("size"))
     of = parts.groupBy("key").agg(F.max(F.struct("size", "comp")).alias("main"), F.sum("size").alias("all"))
     blocks = lambda size: F.ceil(size / o.block).cast("int")
     # the bucket's largest component is dealt into blocks of its own, as its nodes needn't meet
-    of = of.select("key", F.col("main.comp").alias("main"), F.when(F.col("all") > o.block, blocks(F.col("main.size"))).otherwise(0).alias("mains"), F.when(F.col("all") > o.block, blocks(F.col("all") - F.col("main.size"))).otherwise(1).alias("others"))
+    of = stored(of.select("key", F.col("main.comp").alias("main"), F.when(F.col("all") > o.block, blocks(F.col("main.size"))).otherwise(0).alias("mains"), F.when(F.col("all") > o.block, blocks(F.col("all") - F.col("main.size"))).otherwise(1).alias("others")), "parts")
+    used.append(of)
     dealt = members.join(of, "key").withColumn("is_main", (F.col("comp") == F.col("main")) & (F.col("mains") > 0))
     dealt = dealt.withColumn("side", F.pmod(F.xxhash64("node"), F.when(F.col("is_main"), F.col("mains")).otherwise(F.col("others"))).cast("int"))
     dealt = dealt.withColumn("side", F.when(F.col("is_main"), F.col("side") + F.col("others")).otherwise(F.col("side")))
@@ -310,72 +326,99 @@ def _crossing_links(members: DataFrame, texts: DataFrame, idf: np.ndarray, o: Op
 
 def near_duplicates(docs: DataFrame, options: Options = Options()) -> DataFrame:
     """doc_id, class_id (the smallest doc_id of the class), class_size, is_representative: one row for each document."""
-    o = options
+    every = _classed(docs, options)
+    sizes = every.groupBy(F.col("class_id").alias("_class")).agg(F.count(F.lit(1)).alias("class_size"))
+    joined = every.join(sizes, F.col("class_id").eqNullSafe(F.col("_class")), "left")
+    return joined.select("doc_id", "class_id", "class_size", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)).alias("is_representative"))
+
+
+def _classed(docs: DataFrame, o: Options) -> DataFrame:
+    """doc_id, digest (of the text), class_id of each row, as a stored table."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     cells, n = document_frequencies(rows, o)
     idf = idf_table(cells, max(n, 1), o)
-    signed = stored(rows.mapInArrow(_signer(idf, o), "doc_id long, d1 long, d2 long, keys array<long>, size long"), "signed")
+    told = rows.withColumn("digest", F.xxhash64("text"))
+    signed = stored(told.mapInArrow(_signer(idf, o), "doc_id long, digest long, d1 long, d2 long, keys array<long>, size long"), "signed")
     nodes = stored(signed.where("doc_id IS NOT NULL AND size(keys) > 0").groupBy("d1", "d2", "keys").agg(F.min("doc_id").alias("node"), F.max("size").alias("size")), "nodes")
     links = _links(nodes, rows, idf, o)
-    comps = components(links) if links is not None else None
     label = nodes.select("d1", "d2", "node")
+    comps = components(links) if links is not None else None
     if comps is not None:
         label = label.join(comps, "node", "left").select("d1", "d2", F.coalesce("comp", "node").alias("class_id"))
     else:
         label = label.select("d1", "d2", F.col("node").alias("class_id"))
-    has = signed.select("doc_id", "d1", "d2", (F.size("keys") > 0).alias("has"))
-    classed = has.where("has AND doc_id IS NOT NULL").join(label, ["d1", "d2"], "left").select("doc_id", "class_id")
-    alone = has.where("NOT has OR doc_id IS NULL").select("doc_id", F.col("doc_id").alias("class_id"))
+    has = signed.select("doc_id", "digest", "d1", "d2", (F.size("keys") > 0).alias("has"))
+    classed = has.where("has AND doc_id IS NOT NULL").join(label, ["d1", "d2"], "left").select("doc_id", "digest", "class_id")
+    alone = has.where("NOT has OR doc_id IS NULL").select("doc_id", "digest", F.col("doc_id").alias("class_id"))
     every = stored(classed.unionAll(alone), "classed")
-    sizes = every.groupBy(F.col("class_id").alias("_class")).agg(F.count(F.lit(1)).alias("class_size"))
-    joined = every.join(sizes, F.col("class_id").eqNullSafe(F.col("_class")), "left")
-    return joined.select("doc_id", "class_id", "class_size", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)).alias("is_representative"))
+    discard(signed, nodes, links, comps)
+    return every
 
 
 def _links(nodes: DataFrame, rows: DataFrame, idf: np.ndarray, o: Options) -> DataFrame | None:
-    """Verified links (a, b) that connect the classes; None if no two nodes meet."""
+    """Verified links (a, b) that connect the classes, as a stored table; None if no two nodes meet."""
     met = nodes.select("node", F.explode("keys").alias("key"))
-    buckets = met.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("low"), F.max("node").alias("high")).where("n > 1")
-    # one row a node again right behind the join: its buckets (at most ``bands``) with their size and hubs
+    buckets = stored(met.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("low"), F.max("node").alias("high")).where("n > 1"), "buckets")
+    # one row a node again right behind the join: its buckets (at most ``bands`` for each text) with their size and hubs
     held = F.when(F.col("n").isNotNull(), F.struct("key", "n", "low", "high"))
     nodes_in = met.join(buckets, "key", "left").groupBy("node").agg(F.min("low").alias("low"), F.collect_list(held).alias("buckets"))
     candidates = stored(nodes_in.where("low IS NOT NULL"), "candidates")
+    discard(buckets)
     if candidates.isEmpty():
         return None
     ids = candidates.select(F.col("node").alias("doc_id"))
     texts = stored(rows.join(ids.hint("shuffle_hash"), "doc_id", "left_semi"), "texts")
+    parts: list[DataFrame] = []  # tables of links found so far
+    used = [candidates, texts]
+
+    def test(pairs: DataFrame) -> None:
+        parts.append(stored(verified(pairs, texts, idf, o, used).select("a", "b"), "links"))
+
+    def found() -> DataFrame:
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionAll(p)
+        return out
 
-    def test(pairs: DataFrame) -> DataFrame:
-        return stored(verified(pairs, texts, idf, o).select("a", "b"), "links")
+    def done() -> DataFrame:
+        out = stored(found(), "links")
+        discard(*parts, *used)
+        return out
 
     tested = candidates.where("low <> node").select(F.col("low").alias("hub"), "node")
-    links = test(tested)
-    labelled = _label(candidates, "node", comps := components(links))
+    test(tested)
+    used.append(comps := components(found()))
+    labelled = _label(candidates, "node", comps)
     hubs = F.explode(F.array_distinct(F.concat(F.transform("buckets", lambda x: x.low), F.transform("buckets", lambda x: x.high))))
     other = _label(labelled.select("node", F.col("comp").alias("own"), hubs.alias("hub")), "hub", comps).where("own <> comp").select("hub", "node")
     fresh = stored(_unordered(other).join(tested, ["hub", "node"], "left_anti"), "pairs")
+    used.append(fresh)
     if fresh.isEmpty():
-        return links
+        return done()
     tested = tested.unionAll(fresh)
-    links = links.unionAll(test(fresh))
+    test(fresh)
 
     # what is left are buckets that hold several components
-    labelled = _label(candidates, "node", comps := components(links))
+    used.append(comps := components(found()))
+    labelled = _label(candidates, "node", comps)
     members = labelled.select("node", "comp", F.explode("buckets").alias("b")).select("node", "comp", "b.key", "b.n")
-    mixed = members.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least <> most").select("key")
+    mixed = stored(members.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least <> most").select("key"), "mixed")
     members = stored(members.join(mixed, "key"), "members")
+    used += [mixed, members]
     if members.isEmpty():
-        return links
+        return done()
     small = members.where(F.col("n") <= o.wide)
     others = small.select("key", F.col("node").alias("hub"), F.col("comp").alias("hub_comp"))
     near = small.join(others, "key").where("hub < node AND comp <> hub_comp").select("hub", "node").distinct()
     fresh = stored(near.join(tested, ["hub", "node"], "left_anti"), "pairs")
+    used.append(fresh)
     if not fresh.isEmpty():
-        links = links.unionAll(test(fresh))
-    large = stored(members.where(F.col("n") > o.wide).join(nodes.select("node", "keys", "size"), "node"), "large")
-    if large.isEmpty():
-        return links
-    return links.unionAll(stored(_crossing_links(large, texts, idf, o).select("a", "b"), "links"))
+        test(fresh)
+    large = stored(members.where(F.col("n") > o.wide).join(nodes.select("node", "keys", "size"), "node").where("array_contains(keys, key)"), "large")
+    used.append(large)
+    if not large.isEmpty():
+        parts.append(stored(_crossing_links(large, texts, idf, o, used).select("a", "b"), "links"))
+    return done()
 
 
 def _unordered(pairs: DataFrame) -> DataFrame:
@@ -388,7 +431,12 @@ def _label(rows: DataFrame, column: str, comps: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, options: Options = Options()) -> DataFrame:
-    """The rows of ``docs`` that stay: of each class the rows of its smallest doc_id, equal ids once; null ids all stay."""
-    found = near_duplicates(docs, options).where("is_representative AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_kept")).distinct()
-    known = docs.where("doc_id IS NOT NULL").join(found, F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
+    """The rows of ``docs`` that stay: of each class the rows of its smallest doc_id, equal rows (doc_id and text) once; null ids
+    all stay. Columns of any name pass."""
+    kept, hashed = free_names(docs, "_kept", "_digest")
+    every = _classed(docs, options)
+    found = every.where("doc_id = class_id").select(F.col("doc_id").alias(kept), F.col("digest").alias(hashed)).distinct()
+    digest = F.xxhash64(F.col("text").cast("string"))
+    known = docs.where("doc_id IS NOT NULL").join(found, (F.col("doc_id").cast("long") == F.col(kept)) & (digest == F.col(hashed)), "left_semi")
+    known = known.withColumn(hashed, digest).dropDuplicates(["doc_id", hashed]).drop(hashed)
     return known.unionAll(docs.where("doc_id IS NULL"))

@@ -3,6 +3,7 @@
 import hashlib
 import io
 import math
+import os
 import re
 import zlib
 
@@ -291,6 +292,40 @@ def test_near_duplicates_star(spark, block):
     assert len(lost) <= 1, lost  # a pair at the threshold may share no band
 
 
+def two_groups(seed, core=404, own=33):
+    """Two groups of seven near copies each, of whose pairs across only those of the fourth ones can be near."""
+    base = words(core, 10 * seed)
+    texts = []
+    for g in range(2):
+        mine = words(15, 10 * seed + 1 + g)
+        texts += [" ".join(base + mine + words(27 if k == 3 else own, 1000 * seed + 10 * g + k)) for k in range(7)]
+    return texts
+
+
+def brute_classes(spark, texts, o=neardup.Options()):
+    cells, n = neardup.document_frequencies(docs(spark, texts), o)
+    return jaccard_classes(texts, neardup.idf_table(cells, n, o), o)
+
+
+def test_one_link_between_two_groups(spark):
+    """Fourteen texts, one pair of different groups just above the threshold, all in buckets that are not wide."""
+    texts = two_groups(7)
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicates(docs(spark, texts)).collect()}
+    assert [got[i] for i in range(14)] == brute_classes(spark, texts) == [0] * 14
+
+
+@pytest.mark.parametrize("wide", [16, 3])
+def test_groups_around_the_threshold(spark, wide):
+    """Many pairs of groups with cross pairs near the threshold, small buckets listed or searched in groups."""
+    rng = np.random.default_rng(wide)
+    texts = [t for seed in range(20, 32) for t in two_groups(seed, int(rng.integers(330, 420)), int(rng.integers(30, 34)))]
+    want = brute_classes(spark, texts)
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicates(docs(spark, texts), neardup.Options(wide=wide)).collect()}
+    assert 12 < len(set(want)) < 24
+    wrong = {i // 14 for i in range(len(texts)) if got[i] != want[i]}
+    assert len(wrong) <= 1, wrong  # a single link at the threshold shares no band with a chance of 0.002
+
+
 def test_near_duplicates_edges(spark):
     assert neardup.near_duplicates(docs(spark, [])).count() == 0
     assert neardup.deduplicated(docs(spark, [])).count() == 0
@@ -300,6 +335,18 @@ def test_near_duplicates_edges(spark):
     assert sorted((r.doc_id or -1) for r in neardup.deduplicated(docs(spark, [t, t, t, t], [5, 5, None, 2])).collect()) == [-1, 2]
 
 
+def test_rows_of_one_id_with_other_texts(spark):
+    """Each row has the class of its own text; an id that names two groups makes one class of them; no text is lost."""
+    a, b, c = (" ".join(words(60, k)) for k in (1, 2, 3))
+    df = docs(spark, [a, a, b, b + " end", c, c, a], [3, 1, 3, 2, 1, 9, 1]).withColumn("_kept", F.lit("mine")).withColumn("_DIGEST", F.lit(1))
+    got = sorted((r.doc_id, r.class_id) for r in neardup.near_duplicates(df).collect())
+    assert got == [(1, 1), (1, 1), (1, 1), (2, 2), (3, 1), (3, 2), (9, 1)]
+    kept = neardup.deduplicated(df)
+    assert kept.columns == df.columns
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == sorted([(1, a), (2, b + " end"), (1, c)])
+    assert {r["_kept"] for r in kept.collect()} == {"mine"}
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (3, 4), (9, 8), (8, 7), (20, 21), (5, 5)] + [(100 + i, 101 + i) for i in range(40)]
     got = {r.node: r.comp for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -308,6 +355,43 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_take_few_rounds(spark, monkeypatch):
+    """A chain in order of ids takes log2 of its length; tables that nothing reads are gone; random graphs agree with a search."""
+    from runlens.llm import components as C
+
+    tables = []
+    plain = C.stored
+    monkeypatch.setattr(C, "stored", lambda df, name: tables.append(plain(df, name)) or tables[-1])
+    n = 1000
+    got = components(spark.createDataFrame([(i, i + 1) for i in range(n)], "a long, b long"))
+    assert {r.comp for r in got.collect()} == {0} and got.count() == n + 1
+    assert len(tables) <= 16
+    assert [t._folder for t in tables if os.path.exists(t._folder.removeprefix("file://"))] == [got._folder]
+    rng = np.random.default_rng(4)
+    edges = rng.integers(0, 300, (220, 2)).tolist()
+    parent = list(range(300))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        x, y = sorted((find(a), find(b)))
+        parent[y] = x
+    got = {r.node: r.comp for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: find(x) for a, b in edges if a != b for x in (a, b)}
+
+
+def test_document_frequencies_in_levels(spark, monkeypatch):
+    texts = [" ".join(words(30, i % 7)) for i in range(40)]
+    o = neardup.Options(bits=12)
+    want, n = neardup.document_frequencies(docs(spark, texts), o)
+    monkeypatch.setattr(neardup, "_TASKS", 3)
+    cells, m = neardup.document_frequencies(docs(spark, texts).repartition(11), o)
+    assert n == m == 40 and (cells == want).all() and cells.sum() > 0
+
+
 # --- toxicity -----------------------------------------------------------------------------------------------------------
 
 
