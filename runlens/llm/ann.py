@@ -1,17 +1,21 @@
 """Approximate nearest neighbours by inner product: a navigable small-world graph for each shard, results merged.
 
 Vectors that are equal are one entry of the index (a class with its smallest members), so a very common vector costs a
-graph one node. Classes are dealt to shards by a hash; a shard holds about ``shard_rows`` of them and is one Parquet
-row of flat arrays: vectors, neighbours of each level, entry point. Largest inner product is made a nearest-neighbour
-problem by one more component, sqrt(max norm^2 - norm^2), which a query has as 0.
-
-Searching: query blocks meet every shard (a stated query set against all rows, in blocks). Each of ``lanes`` copies of
-a shard's index is sent once and streams its share of the blocks; all queries of a block walk the graph in lockstep. The found classes are expanded to their members, scored exactly in double precision on the
-original vectors, and the best k of each query are kept, ties to the smaller id. Of a class the k + 1 smallest ids
-suffice for that: its members tie, and one of them may be the query itself.
+graph one node. Classes are dealt to shards by a hash: at least ``least_shards``, of about ``shard_rows`` classes at most,
+which bounds a task's memory. A shard is one Parquet row of flat arrays: vectors, neighbours of each level, entry point.
+Largest inner product is made a nearest-neighbour problem by one more component, sqrt(max norm^2 - norm^2), which a query
+has as 0.
+
+Searching: query blocks meet every shard (a stated query set against all rows, in blocks). Copies of a shard's index, one
+for at most ``lane_blocks`` blocks, stream their share of the blocks; all queries of a block walk the graph in lockstep. The
+found classes are expanded to their members, scored exactly in double precision on the original vectors, and the best k of
+each query are kept, ties to the smaller id. Of a class the k + 1 smallest ids suffice for that: its members tie, and one of
+them may be the query itself. Up to ``least_shards * shard_rows`` vectors the work of a query grows with the logarithm of
+their number, beyond that in proportion to the number of shards.
 
 Edge cases: vectors that are null, empty, zero, or hold null or non-finite components take no part, as queries or as
-candidates; vectors of different lengths are never compared; null ids take no part; equal (id, vector) rows count once;
+candidates; vectors of different lengths are never compared; null ids take no part; equal (id, vector) rows count once; an id
+with several vectors is one candidate and one query, and two ids score the largest inner product of any of their vectors;
 fewer than k candidates are all returned; an empty table gives an empty result; extra columns are ignored.
 """
 
@@ -254,19 +258,20 @@ def classes(points: DataFrame, k: int) -> DataFrame:
     return both.select(F.get("members", F.lit(0)).alias("class_id"), "vector", "dim", "members")
 
 
-def build_index(found: DataFrame, shard_rows: int = 20_000, m: int = 16, ef: int = 96) -> DataFrame:
+def build_index(found: DataFrame, shard_rows: int = 25_000, least_shards: int = 4, m: int = 16, ef: int = 96) -> DataFrame:
     """One row of flat arrays for each (dim, shard); every class is in one of them."""
     n = found.count()
-    shards = max(1, -(-n // shard_rows))
+    shards = max(least_shards, -(-n // shard_rows))
     keyed = found.select("class_id", "vector", "dim", F.pmod(F.xxhash64("class_id"), F.lit(shards)).cast("int").alias("shard"))
     return stored(keyed.groupBy("dim", "shard").applyInPandas(_indexer(m, ef), _INDEX), "graph")
 
 
-def search(index: DataFrame, found: DataFrame, points: DataFrame, queries: Column, k: int = 20, ef: int = 192, block: int = 256, lanes: int = 4) -> DataFrame:
+def search(index: DataFrame, found: DataFrame, points: DataFrame, queries: Column, k: int = 20, ef: int = 192, block: int = 256, lane_blocks: int = 500) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of the points that ``queries`` selects, but themselves."""
     asked = points.where(queries).dropDuplicates(["vec_id", "vector"])
     blocks = asked.select("vec_id", "vector", "dim").repartition("vec_id").mapInArrow(_packer(block), "dim int, queries binary, block binary")
-    lanes = F.lit(lanes).cast("int")
+    blocks = stored(blocks, "blocks")
+    lanes = F.lit(max(4, -(-blocks.count() // lane_blocks))).cast("int")
     last = index.agg(F.max("shard")).first()[0] or 0
     sent = blocks.withColumn("lane", F.pmod(F.xxhash64("queries"), lanes).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(last))))
     whole = index.withColumn("lane", F.explode(F.sequence(F.lit(0), lanes - 1)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -10,7 +11,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 TOKENIZERS = "/opt/tokenizers"
 
@@ -56,6 +59,22 @@ def free_names(df: DataFrame, *names: str) -> list[str]:
     return [next(n for i in range(len(taken) + 1) if (n := name + "_" * i).lower() not in taken) for name in names]
 
 
+def with_results(df: DataFrame, maker, results: list[tuple[str, str]]) -> DataFrame:
+    """``df`` through the Arrow function ``maker(kept)`` makes, which yields the columns ``kept`` and then those of ``results``
+    (name and type). Columns named like a result, in any case, are replaced; others may have any name (names with dots, which
+    ``mapInArrow`` can't take, have others meanwhile)."""
+    taken = {n.lower() for n, _ in results}
+    safe = [c if re.fullmatch(r"\w+", c) else f"odd{i}_" for i, c in enumerate(df.columns)]
+    kept = [(c, s, f.dataType) for c, s, f in zip(df.columns, safe, df.schema.fields, strict=True) if c.lower() not in taken]
+    schema = T.StructType([T.StructField(s, t) for _, s, t in kept] + [T.StructField(n, T._parse_datatype_string(t)) for n, t in results])
+    return df.toDF(*safe).mapInArrow(maker([s for _, s, _ in kept]), schema).toDF(*[c for c, _, _ in kept], *[n for n, _ in results])
+
+
+def columns(df: DataFrame) -> list[Column]:
+    """All columns of ``df`` by name, whatever characters the names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 def file_system(uri: str) -> tuple[fs.FileSystem, str]:
     """The file system of a URI and the path in it, for Python code inside tasks."""
     return fs.FileSystem.from_uri(uri if "://" in uri else uri.replace("file:", "file://", 1) if uri.startswith("file:") else "file://" + uri)

@@ -6,12 +6,13 @@ the log of the summed probability of all segmentations of the word, by the forwa
 batches up to a bound. The predicted language has the largest total; ``score`` is its share after a softmax with equal
 priors. Texts are lower-cased and words are runs of letters.
 
-Training may take a bounded sample of labelled rows: about ``sample`` of each language, by a hash of doc_id; with fewer
-rows all are taken. Scoring takes all rows and whole texts.
+Training may take a bounded sample of labelled rows: about ``sample`` of each of the ``languages`` most frequent labels, by
+a hash of doc_id; with fewer rows all are taken, and labels beyond teach nothing, so what the driver holds is bounded by
+labels times pieces. Scoring takes all rows and whole texts.
 
 Edge cases: a text that is null or has no letter is ``und`` with score 0; with no labelled rows all are ``und``; ties go
-to the language that sorts first; labels that are null teach nothing; an empty table gives an empty result; extra columns are
-ignored.
+to the language that sorts first; labels that are null teach nothing; an empty table gives an empty result; other columns
+pass through, and one that is named like a result (in any case) is replaced, unless ``names`` gives the results other names.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TOKENIZERS, read_bytes, slices
-from .pieces import Edges, Vocabulary
+from .common import TOKENIZERS, read_bytes, slices, with_results
+from .pieces import Edges, vocabulary
 
 MODEL = f"{TOKENIZERS}/piece_bpe_32k.model"
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -51,19 +52,21 @@ def _counter(model: bytes):
     return run
 
 
-def train(labelled: DataFrame, model_path: str = MODEL, sample: int = 5000, smoothing: float = 0.5) -> tuple[list[str], np.ndarray]:
+def train(labelled: DataFrame, model_path: str = MODEL, sample: int = 5000, smoothing: float = 0.5, languages: int = 512) -> tuple[list[str], np.ndarray]:
     """Languages, and log probabilities (pieces x languages). ``labelled``: doc_id, text, lang. What reaches the driver
     is at most a count for each language and piece."""
     model = read_bytes(model_path)
     rows = labelled.select("doc_id", "text", "lang").where("text IS NOT NULL AND lang IS NOT NULL")
-    share = {r.lang: min(1.0, sample / r.n) for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    frequent = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(languages)
+    share = {r.lang: min(1.0, sample / r.n) for r in frequent.collect()}
     if not share:
         return [], np.zeros((0, 0))
     draw = (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))) < F.create_map(*[F.lit(x) for p in share.items() for x in p])[F.col("lang")]
     counts = rows.where(draw).mapInArrow(_counter(model), "lang string, piece int, n long").groupBy("lang", "piece").agg(F.sum("n").alias("n"))
     langs = sorted(share)
-    size = Vocabulary(model).size
-    table = np.full((size, len(langs)), smoothing)
+    import sentencepiece
+
+    table = np.full((sentencepiece.SentencePieceProcessor(model_proto=model).vocab_size(), len(langs)), smoothing)
     found = counts.toPandas()
     np.add.at(table, (found["piece"].to_numpy(), found["lang"].map(langs.index).to_numpy().astype(int)), found["n"].to_numpy())
     return langs, np.log(table / table.sum(axis=0))
@@ -71,7 +74,7 @@ def train(labelled: DataFrame, model_path: str = MODEL, sample: int = 5000, smoo
 
 class Scorer:
     def __init__(self, model: bytes, log_p: np.ndarray):
-        self.v, self.log_p = Vocabulary(model), log_p
+        self.v, self.log_p = vocabulary(model), log_p
         self.log_byte = log_p[self.v.byte_ids].mean(axis=0)
         self.known: dict[str, int] = {}
         self.rows = np.empty((0, log_p.shape[1]))
@@ -101,7 +104,7 @@ class Scorer:
         return out, count
 
 
-def _predictor(model: bytes, langs: list[str], log_p: np.ndarray):
+def _predictor(model: bytes, langs: list[str], log_p: np.ndarray, keep: list[str], names: tuple[str, str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = Scorer(model, log_p) if langs else None
         for batch in slices(batches, "text", 1 << 20):
@@ -113,16 +116,12 @@ def _predictor(model: bytes, langs: list[str], log_p: np.ndarray):
                 k = totals.argmax(axis=1)
                 top = np.where(count > 0, 1.0 / np.exp(totals - totals.max(axis=1, keepdims=True)).sum(axis=1), 0.0)
                 best = [langs[i] if n else "und" for i, n in zip(k.tolist(), count.tolist(), strict=True)]
-            keep = [n for n in batch.schema.names if n not in ("lang_pred", "score")]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in keep), pa.array(best, pa.string()), pa.array(top, pa.float64())], [*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in keep), pa.array(best, pa.string()), pa.array(top, pa.float64())], [*keep, *names])
 
     return run
 
 
-def predict(docs: DataFrame, languages: list[str], log_p: np.ndarray, model_path: str = MODEL) -> DataFrame:
-    """Adds ``lang_pred`` and ``score`` to rows with ``text`` (other columns stay; these two are replaced)."""
-    from pyspark.sql import types as T
-
-    fields = [f for f in docs.schema.fields if f.name not in ("lang_pred", "score")]
-    schema = T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return docs.mapInArrow(_predictor(read_bytes(model_path), languages, log_p), schema)
+def predict(docs: DataFrame, languages: list[str], log_p: np.ndarray, model_path: str = MODEL, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """Adds the predicted language and its score, called ``names``, to rows with ``text``."""
+    model = read_bytes(model_path)
+    return with_results(docs, lambda keep: _predictor(model, languages, log_p, keep, names), [(names[0], "string"), (names[1], "double")])

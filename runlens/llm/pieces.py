@@ -8,6 +8,7 @@ piece and falls back to bytes, as any other character without a piece, so decodi
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 import numpy as np
@@ -99,6 +100,17 @@ class Vocabulary:
         return self.units.findall(" " + text) if text else []
 
 
+_VOCABULARIES: dict[bytes, Vocabulary] = {}
+
+
+def vocabulary(model: bytes) -> Vocabulary:
+    """One for each worker process, as it takes half a second to build."""
+    key = hashlib.sha256(model).digest()
+    if key not in _VOCABULARIES:
+        _VOCABULARIES[key] = Vocabulary(model)
+    return _VOCABULARIES[key]
+
+
 class Edges:
     """Edges of the lattices of some units, sorted by level (code points before the edge's end) and end node.
 

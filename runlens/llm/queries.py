@@ -85,12 +85,12 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP5_SQL = """
-WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS d FROM pages),
-f AS (SELECT *, CASE WHEN n >= 100 THEN min(page_id) OVER (PARTITION BY d) ELSE page_id END AS first FROM p)
-SELECT page_id, n::BIGINT AS payload_bytes, d AS payload_digest, CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
-  CASE WHEN first <> page_id THEN first END AS refers_to FROM f
+WITH p AS (SELECT page_id, coalesce(url, 'about:blank') AS url, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS d FROM pages),
+f AS (SELECT *, n >= 100 AND row_number() OVER w > 1 AS again, first_value(page_id) OVER w AS first FROM p WINDOW w AS (PARTITION BY d ORDER BY page_id NULLS LAST, url))
+SELECT page_id, n::BIGINT AS payload_bytes, d AS payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN first END AS refers_to FROM f
 """
 
+
 def _remainder(n: int):
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % n, F.lit(-1))
 

@@ -7,7 +7,8 @@ segmentation depends on its key and text only, not on partitions, batches or los
 
 Edge cases: null and empty texts give no pieces and decode to the empty text; a null key counts as 0; repeated rows get
 equal segmentations; an empty table gives an empty result. Texts are taken whole; a unit without spaces of any length
-is one lattice. Extra columns are ignored.
+is one lattice, walked a piece a step: a million characters without a space take some seconds and some hundred MB. Extra
+columns are ignored, or pass where rows keep them.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TOKENIZERS, mix64, read_bytes, slices
-from .pieces import Edges, Vocabulary, piece_bytes
+from .common import TOKENIZERS, mix64, read_bytes, slices, with_results
+from .pieces import Edges, piece_bytes, vocabulary
 
 MODEL = f"{TOKENIZERS}/piece_bpe_32k.model"
 _CACHE_UNITS, _CACHE_NODES, _SLICE, _LEARN = 100_000, 1_200_000, 1 << 20, 8_000
@@ -31,7 +32,7 @@ class Sampler:
     """Lattices of units, kept between batches up to a bound and then begun anew."""
 
     def __init__(self, model: bytes, alpha: float):
-        self.v, self.alpha = Vocabulary(model), alpha
+        self.v, self.alpha = vocabulary(model), alpha
         self.log_p = (self.v.log_p * alpha)[:, None]
         self.log_byte = self.log_p[self.v.byte_ids[0]]
         self.reset()
@@ -124,29 +125,42 @@ def _sampler(model: bytes, alpha: float) -> Sampler:
     return _SAMPLERS[key]
 
 
-def _encoder(model: bytes, alpha: float, seed: int):
+class Decoder:
+    """Bytes of all pieces one after the other."""
+
+    def __init__(self, model: bytes):
+        held = piece_bytes(model)
+        self.flat = np.frombuffer(b"".join(held), np.uint8)
+        self.length = np.fromiter(map(len, held), np.int64, len(held))
+        self.start = np.cumsum(self.length) - self.length
+
+    def texts(self, pieces: pa.ListArray) -> pa.Array:
+        return _texts(pieces, self.flat, self.start, self.length)
+
+
+def _encoded(s: Sampler, batch: pa.RecordBatch, seed: int) -> tuple[list[str], pa.ListArray]:
+    texts = [t or "" for t in batch.column("text").to_pylist()]
+    keys = np.array([k or 0 for k in batch.column("doc_id").to_pylist()], np.int64)
+    ids, count = s.encode(texts, keys, seed)
+    return texts, pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), pa.array(ids.astype(np.int32)))
+
+
+def _encoder(model: bytes, alpha: float, seed: int, names: list[str], result: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = _sampler(model, alpha)
         for batch in slices(batches, "text", _SLICE):
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            keys = np.array([k or 0 for k in batch.column("doc_id").to_pylist()], np.int64)
-            ids, count = s.encode(texts, keys, seed)
-            offsets = np.concatenate([[0], np.cumsum(count)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32)))], ["doc_id", "text", "pieces"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), _encoded(s, batch, seed)[1]], [*names, result])
 
     return run
 
 
-def _decoder(model: bytes):
+def _decoder(model: bytes, pieces: str, names: list[str], result: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = piece_bytes(model)
-        flat = np.frombuffer(b"".join(held), np.uint8)
-        length = np.fromiter(map(len, held), np.int64, len(held))
-        start = np.cumsum(length) - length
+        d = Decoder(model)
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 part = batch.slice(lo, 500)
-                yield pa.RecordBatch.from_arrays([*part.columns, _texts(part.column("pieces"), flat, start, length)], [*part.schema.names, "decoded"])
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), d.texts(part.column(pieces))], [*names, result])
 
     return run
 
@@ -164,39 +178,32 @@ def _texts(pieces: pa.ListArray, flat: np.ndarray, start: np.ndarray, length: np
     return pa.Array.from_buffers(pa.large_string(), len(count), [None, pa.py_buffer(ends.astype(np.int64).tobytes()), pa.py_buffer(data.tobytes())]).cast(pa.string())
 
 
-def encode(docs: DataFrame, model_path: str = MODEL, alpha: float = 0.5, seed: int = 17) -> DataFrame:
-    """doc_id, text, pieces: a sampled segmentation of each whole text."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_encoder(read_bytes(model_path), alpha, seed), "doc_id long, text string, pieces array<int>")
-
+def encode(docs: DataFrame, model_path: str = MODEL, alpha: float = 0.5, seed: int = 17, name: str = "pieces") -> DataFrame:
+    """Adds ``name``, a sampled segmentation of each whole text, to rows with doc_id and text; a column of that name (in any
+    case) is replaced."""
+    model = read_bytes(model_path)
+    return with_results(docs, lambda keep: _encoder(model, alpha, seed, keep, name), [(name, "array<int>")])
 
-def decode(rows: DataFrame, model_path: str = MODEL) -> DataFrame:
-    """Adds ``decoded`` to rows with ``pieces``."""
-    from pyspark.sql.types import StringType, StructField, StructType
 
-    return rows.mapInArrow(_decoder(read_bytes(model_path)), StructType([*rows.schema.fields, StructField("decoded", StringType())]))
+def decode(rows: DataFrame, model_path: str = MODEL, pieces: str = "pieces", name: str = "decoded") -> DataFrame:
+    """Adds ``name``, the text of the column ``pieces``; a column of that name (in any case) is replaced."""
+    model = read_bytes(model_path)
+    return with_results(rows, lambda keep: _decoder(model, pieces, keep, name), [(name, "string")])
 
 
 def _round_tripper(model: bytes, alpha: float, seed: int):
     """Encodes and decodes in one worker, so that neither texts nor decoded texts travel back."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = _sampler(model, alpha)
-        held = piece_bytes(model)
-        flat = np.frombuffer(b"".join(held), np.uint8)
-        length = np.fromiter(map(len, held), np.int64, len(held))
-        start = np.cumsum(length) - length
+        s, d = _sampler(model, alpha), Decoder(model)
         for batch in slices(batches, "text", _SLICE):
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            keys = np.array([k or 0 for k in batch.column("doc_id").to_pylist()], np.int64)
-            ids, count = s.encode(texts, keys, seed)
-            pieces = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), pa.array(ids.astype(np.int32)))
-            back = _texts(pieces, flat, start, length).to_pylist()
+            texts, pieces = _encoded(s, batch, seed)
+            back = d.texts(pieces).to_pylist()
             columns = {
                 "doc_id": batch.column("doc_id"),
                 "pieces": pieces,
                 "decoded_sha256": pa.array([hashlib.sha256(b.encode()).hexdigest() for b in back], pa.string()),
-                "lossless": pa.array([a == b for a, b in zip(texts, back, strict=True)]),
+                "lossless": pa.array([a == b for a, b in zip(texts, back, strict=True)], pa.bool_()),
             }
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 

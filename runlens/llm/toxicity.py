@@ -6,12 +6,14 @@ words, a word said n times weighing 1 + ln n, and a linear softmax over two clas
 are trained together by Adam with weight decay; n-grams of fewer than ``min_docs`` texts keep the zero vector.
 
 Training takes a bounded sample of labelled rows: up to ``sample`` of each class, by a hash of doc_id. Their words and
-counts are gathered and fitted in one task; a longer text comes in chunks of ``chunk`` words that share its weight.
-Scoring takes all rows and whole texts; only a bounded word cache is kept in a task.
+counts are gathered and fitted in one task; a longer text comes in chunks of ``chunk`` words that share its weight, of which
+``per_text``, evenly spaced, are taken, so that task never holds more than 2 * sample * per_text * chunk words (usual texts
+of 300 words make 3 million). Scoring takes all rows and whole texts; only a bounded word cache is kept in a task.
 
 Edge cases: a text that is null, empty or without words scores by the prior of class 1; with labels of one class only
-(or none) every score is that class's share (0.5 without labels); repeated rows train repeatedly; an empty table gives
-an empty result; other columns pass through, columns named like the results are replaced.
+(or none) every score is that class's share (0.5 without labels); repeated rows train repeatedly and score alike; an empty
+table gives an empty result; other columns pass through, and one that is named like a result (in any case) is replaced,
+unless ``names`` gives the results other names.
 """
 
 from __future__ import annotations
@@ -24,9 +26,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import mix64, slices
+from .common import mix64, slices, with_results
 
 _WORD = re.compile(r"[^\W\d_]+")
 _CACHE_WORDS = 150_000
@@ -97,33 +98,34 @@ def word_hashes(words: list[str]) -> np.ndarray:
         return mix64(np.add.reduceat(mix64(chars + np.uint64(0x51ED2701) + place * np.uint64(0x9E3779B97F4A7C15)), start) + size.astype(np.uint64)) if len(words) else np.empty(0, np.uint64)
 
 
-def _gather(batches: Iterator[pa.RecordBatch], chunk: int) -> Iterator[pa.RecordBatch]:
+def _gather(batches: Iterator[pa.RecordBatch], chunk: int, per_text: int) -> Iterator[pa.RecordBatch]:
     """label, weight, word hashes and counts of each chunk of a text; words new to the task come along once, with a null label."""
     known: set[str] = set()
     for batch in slices(batches, "text", 2 << 20):
         out: list[tuple] = []
         for label, text in zip(batch.column("label").to_pylist(), batch.column("text").to_pylist(), strict=True):
             words = words_of(text)
-            for i in range(0, len(words), chunk):
+            n = -(-len(words) // chunk)
+            for i in (np.unique(np.linspace(0, n - 1, min(n, per_text)).astype(int)) * chunk).tolist() if n else ():
                 part: dict[str, int] = {}
                 for w in words[i : i + chunk]:
                     part[w] = part.get(w, 0) + 1
                 new = [w for w in part if w not in known]
                 known.update(new)
-                out.append((label, min(1.0, chunk / len(words)), word_hashes([*part]).tobytes(), np.fromiter(part.values(), np.int32, len(part)).tobytes(), "\n".join(new)))
+                out.append((label, min(1.0, max(chunk / len(words), 1 / per_text)), word_hashes([*part]).tobytes(), np.fromiter(part.values(), np.int32, len(part)).tobytes(), "\n".join(new)))
         yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), _GATHERED, strict=True)] if out else [pa.array([], t) for t in _GATHERED], ["label", "weight", "hashes", "counts", "words"])
 
 
 _GATHERED = (pa.int32(), pa.float64(), pa.binary(), pa.binary(), pa.string())
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 5000, epochs: int = 8, shape: Shape = Shape(), seed: int = 7, chunk: int = 4096) -> Model:
+def train(docs: DataFrame, labels: DataFrame, sample: int = 5000, epochs: int = 8, shape: Shape = Shape(), seed: int = 7, chunk: int = 4096, per_text: int = 8) -> Model:
     """``docs``: doc_id, text. ``labels``: doc_id, label (0 or 1). Takes at most ``sample`` labels of each class, those of the
     smallest hashes of doc_id; these few rows are broadcast to the texts."""
     known = labels.select("doc_id", F.col("label").cast("int").alias("label")).where("label IN (0, 1) AND doc_id IS NOT NULL")
     drawn = [known.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for k in (0, 1)]
     picked = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(drawn[0].unionAll(drawn[1])), "doc_id")
-    gathered = picked.mapInArrow(lambda b: _gather(b, chunk), "label int, weight double, hashes binary, counts binary, words string")
+    gathered = picked.mapInArrow(lambda b: _gather(b, chunk, per_text), "label int, weight double, hashes binary, counts binary, words string")
     found = gathered.repartition(1).mapInArrow(_fitter(epochs, shape, seed), "scores binary, bias double").first()
     return Model(shape, np.frombuffer(found.scores, np.float32), found.bias)
 
@@ -143,7 +145,7 @@ def _fitter(epochs: int, shape: Shape, seed: int):
     return run
 
 
-def fit_table(rows: list[tuple], vocabulary: list[str], epochs: int = 8, shape: Shape = Shape(), seed: int = 7, min_docs: int = 10, rate: float = 0.02, decay: float = 1.5, eps: float = 1e-8, steps: int = 150, balance: float = 0.5) -> Model:
+def fit_table(rows: list[tuple], vocabulary: list[str], epochs: int = 8, shape: Shape = Shape(), seed: int = 7, min_docs: int = 10, rate: float = 0.02, decay: float = 1.5, eps: float = 1e-8, steps: int = 400, balance: float = 0.5) -> Model:
     """``rows``: label, weight, hashes of the distinct words, their counts. The order of rows has no effect. Few rows are
     gone through more often than ``epochs``, for ``steps`` updates in all."""
     rows = sorted(rows, key=lambda r: (int(r[0]), len(r[2]), r[2].tobytes()))
@@ -248,19 +250,16 @@ class Scorer:
         return 1.0 / (1.0 + np.exp(-np.clip(z, -500, 500)))
 
 
-def _predictor(model: Model):
+def _predictor(model: Model, keep: list[str], names: tuple[str, str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = Scorer(model)
         for batch in slices(batches, "text", 2 << 20):
             score = s.scores(batch.column("text").to_pylist())
-            keep = [n for n in batch.schema.names if n not in ("score", "predicted")]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in keep), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], [*keep, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in keep), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], [*keep, *names])
 
     return run
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """Adds ``score`` and ``predicted`` to rows with ``text``."""
-    fields = [f for f in docs.schema.fields if f.name not in ("score", "predicted")]
-    schema = T.StructType([*fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
-    return docs.mapInArrow(_predictor(model), schema)
+def predict(docs: DataFrame, model: Model, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """Adds the score and the predicted label, called ``names``, to rows with ``text``."""
+    return with_results(docs, lambda keep: _predictor(model, keep, names), [(names[0], "double"), (names[1], "int")])

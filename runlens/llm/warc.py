@@ -1,8 +1,8 @@
 """WARC archives: one gzip member a record, written in tasks and read back sequentially.
 
-``write_archives`` puts a record for each page into archive files in the shared folder. Of pages with equal payloads of
-at least ``MIN_REVISIT`` bytes, the one with the smallest page_id is a response; the others are revisit records that
-refer to it and hold only the HTTP headers. ``read_archives`` reads each archive as a stream: bytes are inflated
+``write_archives`` puts a record for each page into archive files in the shared folder. Of rows with equal payloads of
+at least ``MIN_REVISIT`` bytes exactly one is a response, the first by page_id and url; the others are revisit records that
+refer to its page_id and hold only the HTTP headers. ``read_archives`` reads each archive as a stream: bytes are inflated
 a chunk at a time, a record's header ends at the empty line, its block is framed by Content-Length, and block and
 payload digests are verified.
 
@@ -10,8 +10,9 @@ A task's file has a random name and only files that a finished task reports are
 are never seen. A task starts a new file after ``roll`` payload bytes, so each archive is bounded.
 
 Edge cases: null html is an empty payload; an empty table gives no archive and an empty result; null urls are written
-as ``about:blank``; rows with one page_id and equal payload are each written, the first in (page_id, url) order is the
-response; null page_ids sort last. Extra columns are ignored. Damaged members raise ``WarcError``, never pass silently.
+as ``about:blank``; of rows that repeat the first in page_id and url too, one is the response and the others are revisits of
+their own page_id; null page_ids sort last, and revisits of a response without page_id refer to nothing. Extra columns are
+ignored. Damaged members raise ``WarcError``, never pass silently.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ from pyspark.sql import functions as F
 from .common import file_system, new_path, slices, stored
 
 MIN_REVISIT = 100
+_COPIES = 10_000
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _DATE = "2024-01-01T00:00:00Z"
 
@@ -38,38 +40,48 @@ class WarcError(ValueError):
 
 
 def classify(pages: DataFrame) -> DataFrame:
-    """page_id, url, payload, payload_digest, refers_to. Digests are counted with map-side partial sums; only digests that
-    occur twice or more are joined back, in a join whose large partitions Spark can split."""
+    """page_id, url, payload (null in revisits), payload_bytes, payload_digest, revisit, refers_to.
+
+    Rows are counted by digest, page_id and url, then by digest, with map-side partial sums; only digests that occur twice or
+    more are joined back, in a join whose large partitions Spark can split."""
     rows = pages.select("page_id", F.coalesce("url", F.lit("about:blank")).alias("url"), F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("payload"))
-    rows = rows.withColumn("payload_digest", F.sha2("payload", 256))
-    eligible = F.octet_length("payload") >= MIN_REVISIT
-    firsts = (
-        rows.where(eligible)
-        .groupBy("payload_digest")
-        .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.col("page_id").isNull().alias("absent"), "page_id", "url")).alias("first"))
-        .where("n > 1")
-        .select(F.col("payload_digest").alias("_digest"), "first")
-    )
+    rows = rows.withColumns({"payload_digest": F.sha2("payload", 256), "payload_bytes": F.octet_length("payload").cast("long")})
+    counted = rows.where(F.col("payload_bytes") >= MIN_REVISIT).groupBy("payload_digest", "page_id", "url").agg(F.count(F.lit(1)).alias("copies"))
+    firsts = counted.groupBy("payload_digest").agg(F.sum("copies").alias("n"), F.min(F.struct(F.col("page_id").isNull().alias("absent"), "page_id", "url", "copies")).alias("first"))
+    firsts = stored(firsts.where("n > 1").select(F.col("payload_digest").alias("_digest"), "first"), "warc-firsts")
     joined = rows.join(firsts, rows.payload_digest == firsts._digest, "left")
-    same = (F.col("first.page_id").eqNullSafe(F.col("page_id"))) & (F.col("first.url") == F.col("url"))
-    return joined.select("page_id", "url", "payload", "payload_digest", F.when(F.col("first").isNotNull() & ~same, F.col("first.page_id")).alias("refers_to"))
-
-
-def record(page_id: int | None, url: str, payload: bytes, digest: str, refers_to: int | None) -> bytes:
+    leads = F.col("first.page_id").eqNullSafe(F.col("page_id")) & (F.col("first.url") == F.col("url"))
+    told = joined.withColumn("revisit", F.col("first").isNotNull() & ~F.coalesce(leads, F.lit(False))).withColumn("refers_to", F.when(F.col("revisit"), F.col("first.page_id")))
+    columns = ["page_id", "url", F.when(~F.col("revisit"), F.col("payload")).alias("payload"), "payload_bytes", "payload_digest", "revisit", "refers_to"]
+    if firsts.where("first.copies > 1").isEmpty():
+        return told.select(*columns)
+    # a first row that is repeated: its copies are alike, so one response and the right number of revisits stand for them
+    several = F.coalesce(~F.col("revisit") & (F.col("first.copies") > 1), F.lit(False))
+    once = told.where(several).groupBy("page_id", "url", "payload_bytes", "payload_digest").agg(F.any_value("payload").alias("payload"), F.count(F.lit(1)).alias("copies"))
+    response = once.select("page_id", "url", "payload", "payload_bytes", "payload_digest", F.lit(False), F.lit(None).cast("long"))
+    parts = once.select("page_id", "url", "payload_bytes", "payload_digest", "copies", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 2) / _COPIES))).alias("part")).repartition("payload_digest", "part")
+    size = F.least(F.lit(_COPIES).cast("long"), F.col("copies") - 1 - F.col("part") * _COPIES).cast("int")
+    again = parts.select("page_id", "url", "payload_bytes", "payload_digest", F.explode(F.array_repeat(F.lit(True), size)).alias("revisit"))
+    again = again.select("page_id", "url", F.lit(None).cast("binary"), "payload_bytes", "payload_digest", "revisit", F.col("page_id"))
+    return told.where(~several).select(*columns).unionAll(response).unionAll(again)
+
+
+def record(page_id: int | None, url: str, payload: bytes | None, payload_bytes: int, payload_digest: str, revisit: bool, refers_to: int | None) -> bytes:
     """One record, uncompressed."""
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    block = http if refers_to is not None else http + payload
+    name = lambda x: f"<urn:page:{'' if x is None else x}>"
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {payload_bytes}\r\n\r\n".encode()
+    block = http if revisit else http + payload
     head = [
         "WARC/1.1",
-        f"WARC-Type: {'revisit' if refers_to is not None else 'response'}",
-        f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>",
+        f"WARC-Type: {'revisit' if revisit else 'response'}",
+        f"WARC-Record-ID: {name(page_id)}",
         f"WARC-Date: {_DATE}",
         f"WARC-Target-URI: {quote(url, safe=':/?#[]@!$&()*+,;=%~')}",
-        f"WARC-Payload-Digest: sha256:{digest}",
+        f"WARC-Payload-Digest: sha256:{payload_digest}",
         f"WARC-Block-Digest: sha256:{hashlib.sha256(block).hexdigest()}",
     ]
-    if refers_to is not None:
-        head += [f"WARC-Refers-To: <urn:page:{refers_to}>", f"WARC-Profile: {_PROFILE}"]
+    if revisit:
+        head += [f"WARC-Refers-To: {name(refers_to)}", f"WARC-Profile: {_PROFILE}"]
     head += ["Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -90,8 +102,8 @@ def _writer(folder: str, roll: int):
                 if out is None:
                     name = f"{uuid.uuid4().hex}.warc.gz"
                     out, size, n = store.open_output_stream(f"{path}/{name}", compression=None), 0, 0
-                out.write(member(record(**{"digest" if k == "payload_digest" else k: v for k, v in row.items()})))
-                size, n = size + len(row["payload"]), n + 1
+                out.write(member(record(**row)))
+                size, n = size + (0 if row["revisit"] else row["payload_bytes"]), n + 1
                 if size >= roll:
                     out.close()
                     done.append((name, n, size))

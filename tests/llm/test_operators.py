@@ -108,15 +108,17 @@ def brute_hits(text, items, width=10):
             for i in range(len(w) - n + 1):
                 if tuple(w[i : i + n]) == p:
                     hit.update(range(i, i + n))
-                    found.add(item)
+                    found |= {item} - {None}
     return len(w), len(hit), sorted(found)
 
 
-@pytest.mark.parametrize("max_bytes", [1 << 20, 120])
+@pytest.mark.parametrize("max_bytes", [1 << 20, 400])
 def test_decontaminate_is_brute_force(spark, max_bytes):
     base = words(40)
     items = [(str(i), t) for i, t in enumerate([" ".join(base), "Été ÀB—c", "one", "", None, " ".join(base[5:20]), " ".join(base)])]
     texts = [" ".join(base[3:25]).upper(), "x" + " ".join(base[:9]), "ONE! two one-three", None, "", "...", "été àb—c", "Été ÀB—c!", " ".join(words(3000, 2) + base[:12] + ["y"] + base[20:31]), " ".join(base) * 2] + ["one"] * 2
+    items += [(None, " ".join(words(12, 77))), (None, None)]
+    texts += [" ".join(words(12, 77))]
     b = spark.createDataFrame(items, "item_id string, text string")
     got = decontaminate.decontaminate(docs(spark, texts).withColumn("items", F.lit(1)), b, max_bytes=max_bytes).collect()
     assert len(got) == len(texts)
@@ -124,10 +126,22 @@ def test_decontaminate_is_brute_force(spark, max_bytes):
         assert (r.n_words, r.n_hit, r["items"]) == brute_hits(texts[r.doc_id], items), texts[r.doc_id]
         cover = sum(len(decontaminate.words_of(texts[r.doc_id][s.start : s.end])) for s in r.spans)
         assert cover == r.n_hit
-    kept = {r.doc_id for r in decontaminate.clean(docs(spark, texts), b, max_bytes=max_bytes).collect()}
+    assert decontaminate.Shards(b, 10, max_bytes).n == (1 if max_bytes > 400 else pytest.approx(20, abs=15))
+    kept = {r.doc_id for r in decontaminate.clean(docs(spark, texts).withColumn("_hit", F.lit(1)), b, max_bytes=max_bytes).collect()}
     assert kept == {i for i, t in enumerate(texts) if not brute_hits(t, items)[1]}
 
 
+def test_decontaminate_repeated_rows_and_shards(spark):
+    """Rows that repeat an id, with and without its text, each get their own findings from several automata."""
+    base = words(30)
+    items = spark.createDataFrame([("a", " ".join(base)), ("a", " ".join(base[::-1]))], "item_id string, text string")
+    texts = [" ".join(base), " ".join(base), " ".join(base[::-1] + ["x"]), "clean", None]
+    df = docs(spark, texts, [1, 1, 1, None, None])
+    got = sorted((r.n_words, r.n_hit, tuple(r["items"])) for r in decontaminate.decontaminate(df, items, max_bytes=500).collect())
+    assert got == [(0, 0, ()), (1, 0, ()), (30, 30, ("a",)), (30, 30, ("a",)), (31, 30, ("a",))]
+    assert sorted((r.text or "") for r in decontaminate.clean(df, items, max_bytes=500).collect()) == ["", "clean"]
+
+
 def test_decontaminate_empty(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert [tuple(r)[:3] for r in decontaminate.decontaminate(docs(spark, ["a b"]), none).collect()] == [(0, 2, 0)]
@@ -151,8 +165,21 @@ def test_warc_round_trip(spark):
     assert warc.read_archives(warc.write_archives(df.limit(0))).count() == 0
 
 
+def test_warc_one_response_a_payload(spark, monkeypatch):
+    """Rows that repeat a page_id, its url or both, and payloads without any page_id."""
+    monkeypatch.setattr(warc, "_COPIES", 3)
+    a, b = "a" * 200, "b" * 200
+    rows = [(1, "u", a)] * 9 + [(1, "v", a), (2, "u", a), (None, "u", a)] + [(None, "x", b), (None, "w", b)] + [(5, "u", "c" * 200)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = sorted(((r.page_id or 0), r.record_type, (r.refers_to or 0), r.target, r.payload_bytes) for r in warc.read_archives(warc.write_archives(df)).collect())
+    assert got == sorted(
+        [(1, "response", 0, "u", 200)] + [(1, "revisit", 1, "u", 200)] * 8 + [(1, "revisit", 1, "v", 200), (2, "revisit", 1, "u", 200), (0, "revisit", 1, "u", 200)]
+        + [(0, "response", 0, "w", 200), (0, "revisit", 0, "x", 200), (5, "response", 0, "u", 200)]
+    )
+
+
 def test_warc_damage_is_an_error():
-    one = warc.record(1, "http://a", b"payload", hashlib.sha256(b"payload").hexdigest(), None)
+    one = warc.record(1, "http://a", b"payload", 7, hashlib.sha256(b"payload").hexdigest(), False, None)
     good = warc.member(one) + warc.member(one)
     assert len(list(warc.records(io.BytesIO(good)))) == 2
     for bad in (good[:-3], warc.member(one.replace(b"payload", b"payloax")), warc.member(one[:-5]), warc.member(b"x" + one), warc.member(one + b"y")):
@@ -183,6 +210,13 @@ def test_token_files(spark):
     assert tokencount.count_tokens(tokencount.write_token_files(docs(spark, []))).count() == 0
 
 
+def test_token_counts_of_clashing_columns(spark):
+    df = docs(spark, ["a b", "c"]).withColumn("path", F.lit("mine")).withColumn("ordinal", F.lit(7))
+    placed = tokencount.write_token_files(df)
+    assert sorted(r.ordinal for r in placed.collect()) == [0, 1] or len({r.path for r in placed.collect()}) == 2
+    assert placed.join(tokencount.count_tokens(placed.withColumn("start", F.lit(1))), ["path", "ordinal"]).count() == 2
+
+
 # --- near duplicates ----------------------------------------------------------------------------------------------------
 
 
@@ -426,6 +460,42 @@ def test_toxicity_edges(spark):
     assert toxicity.predict(docs(spark, []), toxicity.train(df, none)).count() == 0
 
 
+def test_toxicity_scores_are_means_of_rows(spark):
+    """Against a direct mean of n-gram rows for each text."""
+    shape = toxicity.Shape(buckets=1 << 10)
+    rng = np.random.default_rng(0)
+    model = toxicity.Model(shape, rng.normal(size=1 << 10), -0.3)
+    texts = ["One two two three", "", None, "...", "é" * 3 + " x", "two " * 5000 + "one"]
+    got = toxicity.Scorer(model).scores(texts)
+    for text, score in zip(texts, got, strict=True):
+        times: dict = {}
+        for w in re.findall(r"[^\W\d_]+", (text or "").lower()):
+            times[w] = times.get(w, 0) + 1
+        total, weight = 0.0, 8.0
+        for w, n in times.items():
+            rows = [toxicity.subwords([w], shape)[0]]
+            total += (1 + math.log(n)) * model.word_score[rows[0]].mean()
+            weight += 1 + math.log(n)
+        assert score == pytest.approx(1 / (1 + math.exp(-(model.bias + total / weight))), rel=1e-9)
+    for w in ("two", "ab"):
+        marked = f"<{w}>"
+        grams = sum(max(0, len(marked) - n + 1) for n in range(3, 6))
+        assert len(toxicity.subwords([w], shape)[0]) == grams + 1
+
+
+def test_toxicity_of_repeated_rows_and_long_texts(spark):
+    t = " ".join(words(30))
+    df = docs(spark, [t, t, "other " * 50_000 + t], [1, 1, 2]).withColumn("SCORE", F.lit("mine"))
+    labels = spark.createDataFrame([(1, 1), (2, 0), (1, 1)], "doc_id long, label int")
+    model = toxicity.train(df, labels, chunk=100, per_text=3)
+    rows = toxicity.predict(df, model).collect()
+    assert len(rows) == 3 and len({r.score for r in rows if r.doc_id == 1}) == 1
+    named = toxicity.predict(df, model, names=("toxic_score", "toxic_predicted"))
+    assert named.columns == [*df.columns, "toxic_score", "toxic_predicted"] and {r["SCORE"] for r in named.collect()} == {"mine"}
+    parts = list(toxicity._gather(iter([pa.RecordBatch.from_pydict({"label": [0], "text": ["w " * 1000]})]), 10, 3))
+    assert parts[0].num_rows == 3 and parts[0].column("weight").to_pylist() == [pytest.approx(1 / 3)] * 3
+
+
 # --- pieces -------------------------------------------------------------------------------------------------------------
 
 TEXTS = ["hello world", "", None, "  two  spaces ", "▁literal mark▁", "line\nbreak\r\n\ttab", "日本語のテキスト", "\U0001f600 emoji", "ſtrange\u0000nul", " " * 50, "x" * 3000, "hello world", "é́ combining"]
@@ -443,6 +513,18 @@ def test_sentencepiece_is_lossless_and_reproducible(spark):
     assert sptok.round_trip(docs(spark, [])).count() == 0
 
 
+def test_sentencepiece_encode_and_decode(spark):
+    """Apart from each other, with other columns kept, a null key, clashing names and a text without spaces."""
+    df = docs(spark, [*TEXTS, "x" * 100_000], [*range(len(TEXTS)), None]).withColumn("Decoded", F.lit("mine")).withColumn("pieces", F.lit(1))
+    there = sptok.encode(df)
+    assert there.columns == ["doc_id", "text", "lang", "source", "n_chars", "Decoded", "pieces"]
+    back = sptok.decode(there).collect()
+    assert len(back) == len(TEXTS) + 1 and all(r.decoded == (r.text or "") for r in back)
+    whole = {r.doc_id: r.pieces for r in sptok.round_trip(df).collect()}
+    assert {r.doc_id: r.pieces for r in back} == whole
+    assert all(r.text2 == (r.text or "") for r in sptok.decode(sptok.encode(df, name="ids"), pieces="ids", name="text2").collect())
+
+
 def brute_segmentations(v, unit):
     if not unit:
         return [()]
@@ -495,6 +577,10 @@ def test_language_id(spark):
     got = {r.doc_id: r for r in langid.predict(test.withColumn("score", F.lit("clash")), langs, log_p).collect()}
     assert all(got[i].lang_pred == ("en" if i % 2 else "de") and 0.5 < got[i].score <= 1 for i in [*range(40, 60), 93])
     assert [(got[i].lang_pred, got[i].score) for i in (90, 91, 92)] == [("und", 0.0)] * 3
+    few, _ = langid.train(df.unionByName(df.limit(1).withColumn("lang", F.lit("rare"))), languages=2)
+    assert few == ["de", "en"]
+    kept = langid.predict(test.withColumn("Score", F.lit("mine")), langs, log_p, names=("a", "b"))
+    assert kept.columns == [*test.columns, "Score", "a", "b"]
     none = langid.train(df.where("doc_id < 0"))
     assert {r.lang_pred for r in langid.predict(test, *none).collect()} == {"und"}
 
@@ -541,6 +627,13 @@ def test_neighbours_small(spark):
     assert got == [(0, 1, 1, 1.0), (0, 2, 2, -1.0)]
 
 
+def test_neighbours_of_ids_with_several_vectors(spark):
+    """The largest inner product of any two vectors of two ids."""
+    rows = [(0, [1.0, 0.0], 0), (0, [0.0, 1.0], 0), (1, [0.0, 3.0], 0), (1, [-5.0, 0.0], 0), (2, [2.0, 0.0], 0), (2, [2.0, 0.0], 0), (3, [-1.0, -1.0], 0)]
+    got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in ann.nearest(vectors(spark, rows), F.col("vec_id") % 20 == 0).orderBy("rank").collect()]
+    assert got == [(0, 1, 1, 3.0), (0, 2, 2, 2.0), (0, 3, 3, -1.0)]
+
+
 # --- licences -----------------------------------------------------------------------------------------------------------
 
 
@@ -575,6 +668,64 @@ def test_licenses_that_share_passages(spark):
     assert [got[i] for i in range(7)] == ["BSD-3-Clause", "BSD-2-Clause", "AGPL-3.0", "LGPL-3.0", "GPL-3.0", "BSD-3-Clause", "BSD-3-Clause"]
 
 
+def brute_cosines(m, units):
+    """Cosines to every template by dictionaries of words."""
+    bag = lambda t: _weighted(m, t)
+    rows = [bag(t) for _, t in licenses.templates()]
+    out = []
+    for u in units:
+        mine = bag(u)
+        norm = math.sqrt(sum(v * v for v in mine.values()))
+        cos = [sum(v * r.get(w, 0.0) for w, v in mine.items()) / (norm * math.sqrt(sum(v * v for v in r.values()))) if norm else 0.0 for r in rows]
+        out.append(cos)
+    return out
+
+
+def _weighted(m, text):
+    found: dict = {}
+    for w in re.findall(r"[0-9a-z\u0080-\U0010ffff]+", text.lower()):
+        (_, h) = shingles.words(pa.array([w]))
+        (_, s, _) = shingles.shingles(np.zeros(1, int), h, 1)
+        found[w] = found.get(w, 0.0) + float(m.idf[int(s[0] >> np.uint64(64 - m.o.bits))])
+    return found
+
+
+def test_license_cosines_and_ancestors_are_brute_force(spark):
+    cells = np.random.default_rng(0).integers(0, 50, 1 << 18)
+    m = licenses.Matcher(cells, 1000, 0.75)
+    rng = np.random.default_rng(2)
+    pool = [w for t in licenses.TEXTS.values() for w in t.split()] + words(20)
+    units = [" ".join(rng.choice(pool, rng.integers(1, 40))) for _ in range(60)] + [t for _, t in licenses.templates()[::9]]
+    names = [k for k, _ in licenses.templates()]
+    for (name, score), cos in zip(m.best(units), brute_cosines(m, units), strict=True):
+        assert score == pytest.approx(max(cos), abs=1e-6) and name in {n for n, c in zip(names, cos, strict=True) if c > max(cos) - 1e-9}
+    # a random tree: each file has its own licence or that of the nearest directory with one, ties to the better, then the first name
+    dirs = ["", *{"/".join(rng.choice(list("abc"), k)) for k in (1, 1, 2, 2, 3, 3, 4) for _ in range(3)}]
+    rows = []
+    for i in range(150):
+        d = dirs[int(rng.integers(len(dirs)))]
+        licence = bool(rng.random() < 0.2)
+        own = [None, "MIT", "ISC", "Zlib"][int(rng.integers(4))] if licence or rng.random() < 0.1 else None
+        rows.append((i, f"{d}/{'LICENSE' if licence else 'f'}{i}".lstrip("/"), licence, own, float(rng.integers(8, 10)) / 10 if own else 0.0))
+    df = spark.createDataFrame(rows, "file_id long, path string, is_licence boolean, own string, score double")
+    holders: dict = {}
+    for _, path, licence, own, score in rows:
+        if licence and own:
+            d = path.rpartition("/")[0]
+            holders[d] = min(holders.get(d, (0, "~")), (-score, own))
+    for r in licenses.inherit(df).collect():
+        d, found = r.path.rpartition("/")[0], None
+        while True:
+            if d in holders:
+                found = (holders[d][1], d)
+                break
+            if not d:
+                break
+            d = d.rpartition("/")[0]
+        want = (r.own, None) if r.own else (found or (None, None))
+        assert (r.license, r.inherited_from) == want, r
+
+
 def test_license_cues_lose_nothing():
     cells = np.random.default_rng(0).integers(0, 50, 1 << 18)
     m = licenses.Matcher(cells, 1000, 0.75)

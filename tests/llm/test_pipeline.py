@@ -6,8 +6,10 @@ import zlib
 import duckdb
 import pytest
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from runlens.llm import queries
+from runlens.llm import neardup, queries
 
 SF = "/root/testdata/sf0.001"
 TABLES = "documents embeddings pages benchmark labels conversations".split()
@@ -48,3 +50,55 @@ def test_pipeline(spark):
         ids.append(out.count())
     assert ids == sorted(ids, reverse=True) and ids[-1] == ids[-2] > 0
     assert all(r.lossless for r in corpus_pipeline.run(spark, SF).collect())
+
+
+EMPTY = [(1, None), (2, ""), (3, "..."), (None, "the river and the stone with some water over there")]
+
+
+@pytest.fixture
+def odd_tables(spark, tmp_path):
+    """Documents with clashing columns, null and repeated ids and empty texts, beside the smallest tables."""
+    small = spark.read.parquet(f"{SF}/documents.parquet")
+    schema = small.schema.simpleString()[7:-1].replace(":", " ").replace(",", ", ")
+    more = spark.createDataFrame([(i, t, None, None, None) for i, t in EMPTY], schema)
+    docs = small.unionAll(small.limit(3)).unionAll(more)
+    docs = docs.withColumns({"score": F.lit("s"), "Lang_Pred": F.lit("l"), "predicted": F.lit("p"), "toxic_predicted": F.lit("t"), "_kept": F.lit("k"), "_digest": F.lit("d"), "a.b": F.lit("dot")})
+    docs.write.parquet(f"file://{tmp_path}/documents.parquet")
+    for t in ("labels", "benchmark"):
+        spark.read.parquet(f"{SF}/{t}.parquet").write.parquet(f"file://{tmp_path}/{t}.parquet")
+    return f"file://{tmp_path}"
+
+
+def test_pipeline_keeps_columns_and_odd_rows(spark, odd_tables):
+    docs = spark.read.parquet(f"{odd_tables}/documents.parquet")
+    names = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before, docs = docs, corpus_pipeline.stored(stage(spark, docs, odd_tables), name)
+        assert docs.columns == names and 0 < docs.count() <= before.count()
+        fixed = docs.select("score", "Lang_Pred", "predicted", "toxic_predicted", "_kept", "_digest", "`a.b`").distinct().collect()
+        assert [tuple(r) for r in fixed] == [("s", "l", "p", "t", "k", "d", "dot")]
+        if name == "language_id":
+            assert before.count() - docs.count() >= 3 and docs.where("doc_id IS NULL").count() == 1
+    assert docs.groupBy("doc_id", "text").count().where("count > 1").isEmpty()
+
+
+def test_pipeline_of_no_documents(spark, odd_tables, tmp_path):
+    spark.read.parquet(f"{odd_tables}/documents.parquet").limit(0).write.parquet(f"file://{tmp_path}/none/documents.parquet")
+    for t in ("labels", "benchmark"):
+        spark.read.parquet(f"{SF}/{t}.parquet").write.parquet(f"file://{tmp_path}/none/{t}.parquet")
+    assert corpus_pipeline.run(spark, f"file://{tmp_path}/none").count() == 0
+
+
+def test_stages_take_what_they_should(spark):
+    """Each filtering stage against a plain statement of its rule on the smallest tables."""
+    import re
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = docs.collect()
+    stages = dict(corpus_pipeline.STAGES)
+    kept = lambda name: sorted(r.doc_id for r in stages[name](spark, docs, SF).collect())
+    assert kept("language_id") == sorted(r.doc_id for r in rows if re.search(r"[^\W\d_]", r.text or ""))
+    classes = {r.doc_id: r.class_id for r in neardup.near_duplicates(docs).collect()}
+    assert kept("near_duplicates") == sorted(i for i, c in classes.items() if i == c)
+    hits = {r.doc_id: r.n_hit for r in queries.QUERIES["op3_decontaminate"](spark, SF).collect()}
+    assert kept("decontamination") == sorted(i for i, n in hits.items() if not n)
