@@ -1,7 +1,8 @@
 """The corpus pipeline: documents in, tokenised clean documents out.
 
 Each stage works on all that the one before it kept. ``run`` writes every stage's rows as Parquet into the shared folder
-and reads them again as the next stage's documents.
+and reads them again as the next stage's documents. All columns of the documents pass through the filtering stages
+unchanged, whatever their names.
 """
 
 from __future__ import annotations
@@ -10,19 +11,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runlens.llm import decontaminate, langid, neardup, sptok, toxicity
-from runlens.llm.common import stored
+from runlens.llm.common import columns, discard, free_names, stored
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no language can be told (no text or no letter) go."""
     langs, log_p = langid.train(docs)
-    return langid.predict(docs, langs, log_p).where("lang_pred <> 'und'").select(*docs.columns)
+    names = tuple(free_names(docs, "lang_pred", "lang_score"))
+    return langid.predict(docs, langs, log_p, names=names).where(F.col(names[0]) != "und").select(*columns(docs))
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier takes for toxic go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("toxic").alias("label"))
-    return toxicity.predict(docs, toxicity.train(docs, labels)).where("predicted = 0").select(*docs.columns)
+    names = tuple(free_names(docs, "toxic_score", "toxic_predicted"))
+    return toxicity.predict(docs, toxicity.train(docs, labels), names=names).where(F.col(names[1]) == 0).select(*columns(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,5 +53,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before, docs = docs, stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        discard(before)
     return docs
