@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.scratch import checkpointed
+from ..plans.scratch import checkpointed, running_total
 from .registry import is_media_key
 
 KEY = ["run_id", "metric_name", "tag", "step"]
@@ -67,9 +67,8 @@ def gallery(items: DataFrame, layout: str) -> DataFrame:
     ``interleaved`` take every run's first, then every run's second, and so on; ``index`` begins a row with each."""
     flat = items.select("run_order", "run_id", *(["i", "item"] if "item" in items.columns else [F.posexplode("items").alias("i", "item")]))
     order = ["run_order", "i"] if layout == "run" else ["i", "run_order"]
-    # places come from counts for each leading key, so that no window holds all items
-    per = flat.groupBy(order[0]).agg(F.count(F.lit(1)).alias("n"))
-    start = per.select(order[0], F.coalesce(F.sum("n").over(Window.orderBy(order[0]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
+    # places come from counts for each leading key, which are summed by ranges, so that no window holds all items or keys
+    start = running_total(flat.groupBy(order[0]).agg(F.count(F.lit(1)).alias("n")), order[0], "n", "start").drop("n")
     inside = F.row_number().over(Window.partitionBy(order[0]).orderBy(order[1])) - 1
     out = flat.withColumn("_in", inside).join(start, order[0])
     return out.select("run_id", "i", "item", (F.col("start") + F.col("_in")).alias("place"), (F.col(order[0]) if layout == "index" else F.lit(0)).alias("row"))

@@ -38,3 +38,14 @@ def numbered(df: DataFrame, by: list[str], name: str) -> DataFrame:
     before = F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
     starts = counts.select("_range", F.coalesce(before, F.lit(0)).alias("_start"))
     return dealt.join(F.broadcast(starts), "_range").withColumn(name, F.col("_start") + F.col("_in")).drop("_range", "_in", "_at", "_start")
+
+
+def running_total(df: DataFrame, by: str, value: str, name: str) -> DataFrame:
+    """Adds ``name``, the sum of ``value`` over all rows before each in the order of ``by`` (unique): sums run within ranges, and
+    only a total of each range goes through a window over all."""
+    dealt = checkpointed(df.repartitionByRange(by).withColumn("_range", F.spark_partition_id()))
+    before = lambda w: F.coalesce(F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    totals = dealt.groupBy("_range").agg(F.sum(value).alias(value))
+    starts = totals.select("_range", before(Window.orderBy("_range")).alias("_start"))
+    inside = dealt.withColumn("_in", before(Window.partitionBy("_range").orderBy(by)))
+    return inside.join(F.broadcast(starts), "_range").withColumn(name, F.col("_start") + F.col("_in")).drop("_range", "_in", "_start")

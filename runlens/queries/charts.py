@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.expressions import presented
+from ..functions.expressions import is_finite, presented
+from ..operators.points import median_gap
 from ..plans import changes as D
 from ..plans import chart as C
 from ..plans.chart import Request, chart
 from ..plans.scratch import checkpointed
-from ..plans.smooth import Smoothing
+from ..plans.smooth import Smoothing, smooth
 from ..sources import adapters as A
 from .common import LATEST, POINTS, registry
 
@@ -171,6 +172,40 @@ def triangular(spark, sf_dir):
     return _smooth_out(_events(spark, sf_dir, metrics=("click",), target=40, smoothing=Smoothing("triangular", 1)))
 
 
+@query(
+    "WN_8_ema_at_samples",
+    f"""WITH {POINTS}, s AS (SELECT run_id, step, value::DOUBLE AS y FROM points WHERE metric_name = 'view' AND isfinite(value))
+  SELECT a.run_id, a.step, round(sum(exp(-(a.step - b.step) / 25.0) * b.y) / sum(exp(-(a.step - b.step) / 25.0)), 4) AS value FROM s a JOIN s b ON a.run_id = b.run_id AND b.step <= a.step GROUP BY ALL""",
+)
+def ema_at_samples(spark, sf_dir):
+    """The average with time constant 25 at every sample of a series."""
+    s = A.points(spark, sf_dir).where((F.col("metric_name") == "view") & is_finite(F.col("value"))).select("run_id", F.col("step").cast("double").alias("x"), F.col("value").cast("double").alias("y"))
+    at = s.select("run_id", F.col("x").cast("long").alias("slot"), "x")
+    return smooth(s, at, ["run_id"], Smoothing("ema", 0, tau=25), None).select("run_id", F.col("slot").alias("step"), F.round("value", 4).alias("value"))
+
+
+@query(
+    "CH_12_where_smoothed_slots_show",
+    _chart_sql(POINTS, "step", 40, "w >= 4") + " SELECT a.run_id, slot, marker_kind IS NULL AND first_x <= slots.x AS causal, marker_kind IS NULL AS centred FROM a JOIN slots USING (slot) WHERE n > 0 AND env",
+)
+def smoothed_slots(spark, sf_dir):
+    """Envelope slots with finite samples: a causal smoother shows where one is at or before the slot's x, a centred one everywhere,
+    and neither where the slot has a marker."""
+    shows = lambda kind: _events(spark, sf_dir, metrics=("click",), target=40, smoothing=Smoothing(kind, 0, tau=200)).where("y_min IS NOT NULL").select("run_id", "slot", F.col("value").isNotNull().alias(kind))
+    return shows("ema").join(shows("savgol"), ["run_id", "slot"]).select("run_id", "slot", F.col("ema").alias("causal"), F.col("savgol").alias("centred"))
+
+
+@query(
+    "CH_10_smoothing_units",
+    f"""WITH {POINTS}, g AS (SELECT run_id, timestamp_ms - lag(timestamp_ms) OVER (PARTITION BY run_id ORDER BY timestamp_ms) AS gap FROM points WHERE metric_name = 'click')
+  SELECT run_id, list_sort(list(gap))[count(*) // 2 + 1]::DOUBLE AS unit FROM g WHERE gap > 0 GROUP BY run_id""",
+)
+def smoothing_units(spark, sf_dir):
+    """What a smoother's width of 1 is on a time axis: the upper median of the gaps between a series' times."""
+    s = C.prepare(A.points(spark, sf_dir), Request(("click",), axis="time"))[0]
+    return median_gap(s, "x", C.SERIES).select("run_id", F.col("median").alias("unit"))
+
+
 _UNITS = """, gaps AS (SELECT run_id, gap, row_number() OVER (PARTITION BY run_id ORDER BY gap) - 1 AS i, count(*) OVER (PARTITION BY run_id) AS n FROM (SELECT run_id, x - lag(x) OVER (PARTITION BY run_id ORDER BY x) AS gap FROM s) WHERE gap > 0),
   un AS (SELECT run_id, greatest(5.5 * gap, 5.0 / 7 * (SELECT w FROM g)) AS h FROM gaps WHERE i = n // 2)"""
 

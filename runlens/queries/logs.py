@@ -41,6 +41,15 @@ def tail(spark, sf_dir):
     return T.tail(A.text_points(spark, sf_dir), 20).select("run_id", "line_index", "line")
 
 
+@query("TX_5_window_and_tail", f"""WITH {_WHOLE} SELECT 'window' AS part, run_id, line_index, line FROM lines WHERE line_index BETWEEN 5 AND 14 UNION ALL
+  SELECT 'tail', run_id, line_index, line FROM (SELECT * FROM lines QUALIFY line_index > max(line_index) OVER (PARTITION BY run_id) - 3)""")
+def window_and_tail(spark, sf_dir):
+    """Ten lines from the fifth on and the last three, of every stream."""
+    c = A.text_points(spark, sf_dir)
+    cols = ["run_id", "line_index", "line"]
+    return T.window(c, 5, 10).select(F.lit("window").alias("part"), *cols).unionAll(T.tail(c, 3).select(F.lit("tail"), *cols))
+
+
 @query("AG_14_WN_12_totals", f"WITH {_WHOLE}, f AS (SELECT run_id, min(step) AS first_step FROM texts WHERE length(text_data) > 0 GROUP BY run_id) SELECT run_id, count(*) AS total_lines, any_value(first_step) AS first_step FROM lines JOIN f USING (run_id) GROUP BY run_id")
 def totals(spark, sf_dir):
     return T.totals(T.chunk_index(A.text_points(spark, sf_dir))).select("run_id", F.col("total_lines").cast("long").alias("total_lines"), "first_step")
