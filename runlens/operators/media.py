@@ -106,12 +106,13 @@ def differing(leaves: DataFrame, n_runs: int) -> DataFrame:
 
 
 def tinted(leaves: DataFrame) -> DataFrame:
-    """Cells outside a path's one most frequent text; where several are as frequent, all are."""
-    n = F.count(F.lit(1)).over(Window.partitionBy("path", "leaf"))
-    c = leaves.withColumn("n", n)
-    counts = c.groupBy("path", "leaf").agg(F.max("n").alias("n")).groupBy("path").agg(F.max("n").alias("top"), F.collect_list("n").alias("all"))
-    counts = counts.select("path", "top", F.size(F.filter("all", lambda x: x == F.col("top"))).alias("ties"))
-    return c.join(counts, "path").where((F.col("n") < F.col("top")) | (F.col("ties") > 1)).select("run_id", "path", "leaf")
+    """Cells outside a path's one most frequent text; where several are as frequent, all are. Texts are counted before they
+    meet the cells, so a text that all runs share is no hot task."""
+    counts = checkpointed(leaves.groupBy("path", "leaf").agg(F.count(F.lit(1)).alias("n")))
+    top = counts.groupBy("path").agg(F.max("n").alias("top"))
+    ties = counts.join(top, "path").where("n = top").groupBy("path", "top").agg(F.count(F.lit(1)).alias("ties"))
+    outside = counts.join(ties, "path").where("n < top OR ties > 1").select("path", "leaf")
+    return leaves.join(outside, ["path", "leaf"], "left_semi").select("run_id", "path", "leaf")
 
 
 def with_timing(docs: DataFrame, runs: DataFrame, time_format: str = "yyyy-MM-dd HH:mm:ss") -> DataFrame:

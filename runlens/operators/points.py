@@ -73,13 +73,14 @@ def select_series(df: DataFrame, project: str, runs: list[str], metric: str, ste
 
 
 def tag_groups(df: DataFrame, tags: list[str] | None = None) -> DataFrame:
-    """Where a series has tagged rows, its scalar rows are hidden; ``tags`` narrows tagged rows only."""
-    w = Window.partitionBy("project_id", "run_id", "metric_name")
-    tagged = F.max(F.col("tag") != "").over(w)
-    out = df.withColumn("_tagged", tagged).where(~F.col("_tagged") | (F.col("tag") != ""))
+    """Where a run's metric has tagged rows, its scalar rows are hidden; ``tags`` narrows tagged rows only. Which metrics have any
+    is a pre-combined aggregate that joins back, so that no task takes a whole series."""
+    keys = ["project_id", "run_id", "metric_name"]
+    tagged = df.groupBy(*keys).agg(F.bool_or(F.col("tag") != "").alias("_tagged"))
+    out = df.join(tagged, keys).where(~F.col("_tagged") | (F.col("tag") != ""))
     if tags:
         out = out.where((F.col("tag") == "") | F.col("tag").isin(tags))
-    return out.drop("_tagged")
+    return out.select(*df.columns)
 
 
 def series_labels(series: DataFrame) -> DataFrame:
