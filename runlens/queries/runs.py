@@ -43,9 +43,9 @@ def projects(spark, sf_dir):
     return U.project_last_logged(_runs(spark, sf_dir)).select("project_id", "runs")
 
 
-@query("JN_6_known_runs", f"WITH {DENSE} SELECT DISTINCT run_id, metric_name FROM dense WHERE run_id IN (SELECT 's' || s_suppkey FROM supplier WHERE s_suppkey < 5)")
+@query("JN_6_known_runs", f"WITH {DENSE} SELECT DISTINCT run_id, metric_name FROM dense WHERE run_id IN (SELECT 's' || s_suppkey FROM supplier)")
 def known(spark, sf_dir):
-    s = A.table(spark, sf_dir, "supplier").where("s_suppkey < 5").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("run_id"))
+    s = A.table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("run_id"))
     reg = R.registry(A.dense_points(spark, sf_dir))
     return R.known_runs(reg, reg.select("project_id", "run_id").distinct().join(s, "run_id")).select("run_id", "metric_name")
 
@@ -56,7 +56,7 @@ def lookup(spark, sf_dir):
     return U.version_lookup(r.select("run_id"), r.where("ordinal % 3 = 2"), r.where("ordinal % 3 = 1").select("run_id", F.lit(7).cast("long").alias("version")), NOW)
 
 
-_ASKED = "asked AS (SELECT project_id, run_id, k AS position FROM runs WHERE k % 2 = 0 UNION ALL SELECT project_id, run_id, k + 1000000 FROM runs WHERE k % 10 = 0 UNION ALL SELECT project_id, 'x' || k, k + 2000000 FROM runs WHERE k % 100 = 0)"
+_ASKED = "asked AS (SELECT project_id, run_id, k AS position FROM runs UNION ALL SELECT project_id, run_id, k + 1000000 FROM runs WHERE k % 10 = 0 UNION ALL SELECT project_id, 'x' || k, k + 2000000 FROM runs WHERE k % 100 = 0)"
 _CLASSED = f"""{RUNS}, {_ASKED}, c AS (SELECT a.project_id, a.run_id, position, CASE WHEN r.run_id IS NULL THEN CASE WHEN position % 3 = 0 THEN 'purged' ELSE 'missing' END ELSE {_CLASS} END AS lifecycle
   FROM asked a LEFT JOIN runs r ON a.project_id = r.project_id AND a.run_id = r.run_id)"""
 
@@ -65,7 +65,7 @@ def _classified(spark, sf_dir):
     r = _runs(spark, sf_dir)
     k = F.col("ordinal")
     gone = r.where(k % 100 == 0).select("project_id", F.concat(F.lit("x"), k.cast("string")).alias("run_id"), (k + 2_000_000).alias("position"))
-    asked = r.where(k % 2 == 0).select("project_id", "run_id", k.alias("position")).unionAll(r.where(k % 10 == 0).select("project_id", "run_id", (k + 1_000_000).alias("position"))).unionAll(gone)
+    asked = r.select("project_id", "run_id", k.alias("position")).unionAll(r.where(k % 10 == 0).select("project_id", "run_id", (k + 1_000_000).alias("position"))).unionAll(gone)
     return U.classify(asked, r, gone.where("position % 3 = 0").select("project_id", "run_id"), NOW)
 
 
@@ -107,10 +107,10 @@ def bindings(spark, sf_dir):
     return U.resolve_bindings(b, sel, p, 25)
 
 
-@query("JN_13_roll_forward", f"WITH {RUNS}, p AS (SELECT project_id, max(least(ingested, terminated)) AS t FROM runs GROUP BY ALL) SELECT run_id, greatest(ingested, t) AS project_time_ms FROM runs LEFT JOIN p USING (project_id) WHERE k % 9 = 0")
+@query("JN_13_roll_forward", f"WITH {RUNS}, p AS (SELECT project_id, max(least(ingested, terminated)) AS t FROM runs GROUP BY ALL) SELECT run_id, greatest(ingested, t) AS project_time_ms FROM runs LEFT JOIN p USING (project_id)")
 def roll(spark, sf_dir):
     r = _runs(spark, sf_dir)
-    return U.roll_forward(r.where("ordinal % 9 = 0"), U.project_last_logged(r)).select("run_id", _ms("project_time").alias("project_time_ms"))
+    return U.roll_forward(r, U.project_last_logged(r)).select("run_id", _ms("project_time").alias("project_time_ms"))
 
 
 @query("WN_6_ordinals", f"WITH {RUNS} SELECT run_id, CASE WHEN project_id = 'nation1' THEN 100 ELSE 0 END + row_number() OVER (PARTITION BY project_id ORDER BY created, run_id) AS ordinal FROM runs")
@@ -155,10 +155,10 @@ def purge_candidates(spark, sf_dir):
     return U.purge_candidates(_runs(spark, sf_dir), NOW, 30).select("run_id", _ms("since").alias("since_ms"))
 
 
-@query("ST_2_union_of_runs", f"WITH {RUNS} SELECT project_id, run_id FROM runs WHERE k % 3 = 0 UNION SELECT project_id, run_id FROM runs WHERE k % 2 = 0")
+@query("ST_2_union_of_runs", f"WITH {RUNS}, {DENSE} SELECT project_id, run_id FROM runs UNION SELECT project_id, run_id FROM dense UNION SELECT 'events', 'run' || (user_id % 8) FROM events")
 def union(spark, sf_dir):
-    r = _runs(spark, sf_dir)
-    return R.union_runs(r.where("ordinal % 3 = 0"), r.where("ordinal % 2 = 0"))
+    """Runs that are registered, and those that only have points."""
+    return R.union_runs(_runs(spark, sf_dir), A.dense_points(spark, sf_dir), A.points(spark, sf_dir))
 
 
 _STATUS = "CASE WHEN exit_code = 0 THEN 'finished' WHEN exit_code IS NOT NULL THEN 'crashed' WHEN {n} - main_at < 10000 THEN 'running' WHEN {n} - ingested < 10000 THEN 'stuck' WHEN {n} - ingested < 600000 THEN 'unresponsive' ELSE 'presumed dead' END"
@@ -292,9 +292,12 @@ def _garbage(spark, sf_dir):
     return inventory, roots, parsed, referenced, acked
 
 
-@query("GC_1_roots", f"WITH {MEDIA} SELECT DISTINCT key FROM media WHERE page_id % 3 = 0")
+@query("GC_1_roots", f"WITH {MEDIA}, {DENSE} SELECT cdn_key AS key FROM dense WHERE regexp_matches(cdn_key, '^[0-9A-Fa-f]{{4,}}\\.png$') UNION SELECT key FROM media UNION SELECT 'ab12.json'")
 def roots(spark, sf_dir):
-    return _garbage(spark, sf_dir)[1]
+    """Keys of points and of pages; what is no key of a stored file doesn't count."""
+    m = A.media(spark, sf_dir).select(F.col("key").alias("cdn_key"))
+    odd = m.select(F.explode(F.array(*[F.lit(k) for k in ("ab12.json", "abc.json", "ab12.exe", "../ab12.json", "ab12.json\n")])).alias("cdn_key"))
+    return G.roots(A.dense_points(spark, sf_dir).select("cdn_key"), m, odd)
 
 
 @query("GC_2_JN_9_unparsed", f"WITH {_GC} SELECT key FROM refs WHERE key NOT IN (SELECT parent FROM parsed)")
