@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontaminate, langid, licenses, neardup, sptok, tokencount, toxicity, warc
+from . import ann, chat, decontaminate, langid, licenses, linededup, neardup, sptok, tokencount, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -140,6 +140,23 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "text"), langs, log_p).select("doc_id", (_remainder(3) == 1).alias("held_out"), "lang_pred", "score")
 
 
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the lines that stand in at least ten of them."""
+    kept = linededup.line_dedup(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP12_SQL = """
+WITH l AS (
+  SELECT r, doc_id, i, x, translate(trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+  FROM (SELECT r, doc_id, generate_subscripts(w, 1) AS i, unnest(w) AS x
+        FROM (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS w FROM documents))),
+f AS (SELECT k FROM (SELECT DISTINCT r, k FROM l WHERE k <> '') GROUP BY k HAVING count(*) >= 10)
+SELECT doc_id, count(*) AS n_lines, count(f.k) AS n_dropped, sha256(coalesce(string_agg(x, chr(10) ORDER BY i) FILTER (f.k IS NULL), '')) AS kept_sha256
+FROM l LEFT JOIN f ON l.k = f.k GROUP BY r, doc_id
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat": op1_chat,
     "op2_licenses": op2_licenses,
@@ -151,5 +168,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_neighbours": op9_neighbours,
     "op10_language": op10_language,
+    "op12_line_dedup": op12_line_dedup,
 }
-ORACLES: dict[str, str] = {"op1_chat": OP1_SQL, "op3_decontaminate": OP3_SQL, "op5_warc": OP5_SQL}
+ORACLES: dict[str, str] = {"op1_chat": OP1_SQL, "op3_decontaminate": OP3_SQL, "op5_warc": OP5_SQL, "op12_line_dedup": OP12_SQL}
