@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontaminate, langid, licenses, linededup, neardup, sptok, tokencount, toxicity, warc
+from . import ann, chat, decontaminate, langid, licenses, linededup, neardup, spelling, sptok, tokencount, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -140,6 +140,39 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "text"), langs, log_p).select("doc_id", (_remainder(3) == 1).alias("held_out"), "lang_pred", "score")
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spelling variants among the words of all documents, every 199th of which (by a checksum) has lost a letter."""
+    # a run that is shorter than a word can't become one
+    run = F.explode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("([A-Za-z\u00C0-\u00FF]{6,})"), F.lit(1))).alias("run")
+    runs = _read(spark, sf_dir, "documents").select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), run)
+    ascii_ = F.octet_length("run") == F.char_length("run")
+    runs = runs.select("id", F.when(ascii_, F.lower("run")).otherwise(F.translate("run", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).alias("run"))
+    h = F.crc32(F.concat("id", F.lit(":"), "run").cast("binary"))
+    at = F.pmod(F.col("h"), F.char_length("run")).cast("int")
+    shorter = F.concat(F.substring("run", F.lit(1), at), F.substring("run", at + 2, F.char_length("run")))
+    words = runs.withColumn("h", h).select(F.when(F.col("h") % 199 == 0, shorter).otherwise(F.col("run")).alias("word"))
+    return spelling.variants(words)
+
+
+OP11_SQL = r"""
+WITH RECURSIVE r AS (
+  SELECT coalesce(doc_id::VARCHAR, '') AS id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{00C0}-\x{00FF}]{6,}')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+u AS (SELECT id, run, count(*) AS k FROM r GROUP BY 1, 2),
+crc AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) x(i)),
+b AS (SELECT id, run, k, hex(encode(id || ':' || run)) AS x FROM u),
+s AS (SELECT run, k, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, len(x), 2), lambda i: ('0x' || x[i : i + 1])::BIGINT)), lambda c, y: xor(c >> 8, t[(xor(c, y) & 255) + 1])), 4294967295) AS h FROM b, crc),
+o AS (SELECT CASE WHEN h % 199 = 0 THEN run[1 : h % length(run)] || run[h % length(run) + 2 :] ELSE run END AS word, k FROM s),
+v AS (SELECT word, sum(k)::BIGINT AS n FROM o WHERE length(word) >= 6 GROUP BY word HAVING sum(k) >= 5),
+d AS (SELECT DISTINCT word, n, i, CASE WHEN i = 1 THEN '' ELSE word[1 : i - 1] END || word[i + 1 :] AS cut FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)),
+one AS (SELECT DISTINCT d.word AS a, d.n AS na, v.word AS b, v.n AS nb FROM d JOIN v ON d.cut = v.word),
+p AS (SELECT * FROM one UNION ALL SELECT b, nb, a, na FROM one UNION ALL SELECT x.word, x.n, y.word, y.n FROM d x JOIN d y ON x.i = y.i AND x.cut = y.cut AND x.word <> y.word),
+best AS (SELECT a AS word, count(*) AS n_near, arg_min(b, (-nb, b)) AS b, max(nb) AS nb FROM p GROUP BY a),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN nb >= 5 * v.n THEN b END AS form, CASE WHEN nb >= 5 * v.n THEN nb END AS form_n FROM v LEFT JOIN best USING (word)),
+chain AS (SELECT word, word AS root, form AS up FROM f UNION ALL SELECT c.word, c.up, f.form FROM chain c JOIN f ON c.up = f.word)
+SELECT f.word, form, root, n, n_near, form_n FROM f JOIN chain USING (word) WHERE up IS NULL
+"""
+
+
 def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the lines that stand in at least ten of them."""
     kept = linededup.line_dedup(_read(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -168,6 +201,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_neighbours": op9_neighbours,
     "op10_language": op10_language,
+    "op11_spelling": op11_spelling,
     "op12_line_dedup": op12_line_dedup,
 }
-ORACLES: dict[str, str] = {"op1_chat": OP1_SQL, "op3_decontaminate": OP3_SQL, "op5_warc": OP5_SQL, "op12_line_dedup": OP12_SQL}
+ORACLES: dict[str, str] = {"op1_chat": OP1_SQL, "op3_decontaminate": OP3_SQL, "op5_warc": OP5_SQL, "op11_spelling": OP11_SQL, "op12_line_dedup": OP12_SQL}
