@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontaminate, langid, licenses, linededup, neardup, spelling, sptok, tokencount, toxicity, warc
+from . import ann, chat, collocations, decontaminate, langid, licenses, linededup, neardup, spelling, sptok, tokencount, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -190,6 +190,31 @@ FROM l LEFT JOIN f ON l.k = f.k GROUP BY r, doc_id
 """
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The collocations of each language in all documents."""
+    return collocations.collocations(_read(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+WITH p AS (
+  SELECT lang, regexp_extract_all(s, '[^\x20\x09]+') AS w FROM (
+    SELECT coalesce(lang, 'und') AS lang,
+      unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS s FROM documents)),
+g AS (SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase
+      FROM (SELECT lang, w, k, unnest(generate_series(1, len(w) - k + 1)) AS i FROM p, (VALUES (1), (2), (3)) v(k) WHERE len(w) >= k)),
+f AS (SELECT lang, k AS words, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 10),
+t AS (SELECT lang, sum(len(w))::BIGINT AS n FROM p GROUP BY lang),
+c AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE words >= 2),
+cut AS (SELECT lang, phrase, f, unnest(range(1, words)) AS k, words, w FROM c),
+s AS (SELECT x.lang, x.phrase, x.f AS a, k, l.f AS l, r.f AS r, ((1000000::HUGEINT * x.f * x.f) // (l.f::HUGEINT * r.f))::BIGINT AS score FROM cut x
+      JOIN f l ON l.lang = x.lang AND l.phrase = array_to_string(x.w[1 : k], ' ') JOIN f r ON r.lang = x.lang AND r.phrase = array_to_string(x.w[k + 1 :], ' ')),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+o AS (SELECT lang, part, max(f) AS longer FROM (SELECT lang, f, unnest([array_to_string(w[1 : 2], ' '), array_to_string(w[2 : 3], ' ')]) AS part FROM c WHERE words = 3) GROUP BY ALL),
+z AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, phrase) AS rank FROM b LEFT JOIN o ON o.lang = b.lang AND o.part = b.phrase WHERE longer IS NULL OR 100 * longer < 50 * a)
+SELECT lang, rank, phrase, a, l, r, n, score FROM z JOIN t USING (lang) WHERE rank <= 2000
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat": op1_chat,
     "op2_licenses": op2_licenses,
@@ -203,5 +228,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language": op10_language,
     "op11_spelling": op11_spelling,
     "op12_line_dedup": op12_line_dedup,
+    "op13_collocations": op13_collocations,
 }
-ORACLES: dict[str, str] = {"op1_chat": OP1_SQL, "op3_decontaminate": OP3_SQL, "op5_warc": OP5_SQL, "op11_spelling": OP11_SQL, "op12_line_dedup": OP12_SQL}
+ORACLES: dict[str, str] = {"op1_chat": OP1_SQL, "op3_decontaminate": OP3_SQL, "op5_warc": OP5_SQL, "op11_spelling": OP11_SQL, "op12_line_dedup": OP12_SQL, "op13_collocations": OP13_SQL}
