@@ -36,9 +36,10 @@ def section(metric: Column) -> Column:
 
 
 def tsv_cell(text: Column) -> Column:
-    """Tabs and line breaks become spaces; a cell that a spreadsheet would run as a formula gets an apostrophe."""
-    flat = F.regexp_replace(text, r"[\t\r\n]+", " ")
-    return F.when(flat.rlike(r"^[=+\-@]"), F.concat(F.lit("'"), flat)).otherwise(flat)
+    """Tabs and line breaks become spaces; a cell that a spreadsheet would run as a formula, blanks before it or not, gets an
+    apostrophe."""
+    flat = F.regexp_replace(text, r"[\t\r\n\u2028\u2029]+", " ")
+    return F.when(flat.rlike(r"^[\s\x0B\u00A0\u1680\u2000-\u200A\u202F\u205F\u3000\uFEFF]*[=+\-@]"), F.concat(F.lit("'"), flat)).otherwise(flat)
 
 
 def tsv_number(v: Column) -> Column:

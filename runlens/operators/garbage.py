@@ -52,11 +52,13 @@ def dangling(inventory: DataFrame, ref: DataFrame, sample: int) -> DataFrame:
     return ref.select("key").distinct().join(inventory.select("key"), "key", "left_anti").orderBy("key").limit(sample)
 
 
-def gate(rep: DataFrame, open_roots: DataFrame, log_covers_grace: bool, share: float = 0.1, base: int = BASE_ALLOWANCE) -> DataFrame:
-    """Why nothing may be deleted, or ``open``."""
+def gate(rep: DataFrame, open_roots: DataFrame, log_covers_grace: bool, share: float = 0.1, base: int = BASE_ALLOWANCE, question: int | None = None, approval: int | None = None) -> DataFrame:
+    """Why nothing may be deleted, or ``open``. A standing ``question`` (its id) holds every pass back until it is answered; an
+    ``approval`` of just that question opens the next pass, for the question's files (``approved``), whatever their number."""
     n = open_roots.agg(F.count(F.lit(1)).alias("unparsed"))
     many = F.col("candidates") > base + share * F.col("referenced")
-    reason = F.when(~F.lit(log_covers_grace), "the ack log doesn't cover the grace period").when(F.col("unparsed") > 0, "unparsed roots").when(many, "too many candidates").otherwise("open")
+    last = F.when(many, "too many candidates").otherwise("open") if question is None else F.lit("open" if question == approval else "a question is open")
+    reason = F.when(~F.lit(log_covers_grace), "the ack log doesn't cover the grace period").when(F.col("unparsed") > 0, "unparsed roots").otherwise(last)
     return rep.crossJoin(n).select(reason.alias("gate"))
 
 

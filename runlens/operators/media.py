@@ -38,6 +38,7 @@ def navigate(steps: DataFrame, at: DataFrame) -> DataFrame:
     return out.where("asked = 1").select("run_id", "metric_name", F.col("s").alias("step"), "position", "previous", "following").distinct()
 
 
+_SERVER_TIME = "/meta/server_time"
 _MANIFEST = "v int, class string, items array<struct<resource:string,filename:string,caption:string>>, data string"
 
 
@@ -100,8 +101,10 @@ def flatten(docs: DataFrame) -> DataFrame:
 
 
 def differing(leaves: DataFrame, n_runs: int) -> DataFrame:
-    """Paths whose text differs over the runs; a run without the path counts as different."""
-    g = leaves.groupBy("path").agg(F.countDistinct("leaf").alias("texts"), F.count(F.lit(1)).alias("held"))
+    """Paths whose text differs over the runs; a run without the path counts as different. The server's own times (what
+    ``with_timing`` adds below ``/meta/server_time``) don't count."""
+    own = (F.col("path") == _SERVER_TIME) | F.col("path").startswith(_SERVER_TIME + "/")
+    g = leaves.where(~own).groupBy("path").agg(F.countDistinct("leaf").alias("texts"), F.count(F.lit(1)).alias("held"))
     return g.where((F.col("texts") > 1) | (F.col("held") < n_runs)).select("path", "texts", "held")
 
 

@@ -15,15 +15,18 @@ RESERVED = "trash"
 TS_MIN, TS_MAX = -200_000_000_000_000, 9_000_000_000_000_000
 
 
+def bad_text(column: str, most: int) -> Column:
+    """Whether a name can't be stored: over ``most`` bytes or with a NUL. Empty names can."""
+    return (F.octet_length(column) > most) | F.contains(F.col(column), F.lit("\x00"))
+
+
 def validate_points(df: DataFrame) -> DataFrame:
     """Adds ``reason``: null for a good point; a bad id refuses its batch, other reasons skip the point."""
-    bytes_over = lambda c, n: F.octet_length(c) > n
-    zero = lambda c: F.contains(F.col(c), F.lit("\x00"))
     reason = (
         F.when(F.col("project_id") == RESERVED, "reserved project")
-        .when((F.col("project_id") == "") | bytes_over("project_id", 256) | zero("project_id"), "bad project id")
-        .when((F.col("run_id") == "") | bytes_over("run_id", 256) | zero("run_id"), "bad run id")
-        .when((F.col("metric_name") == "") | bytes_over("metric_name", 2048) | zero("metric_name"), "bad metric name")
+        .when(bad_text("project_id", 256), "bad project id")
+        .when(bad_text("run_id", 256), "bad run id")
+        .when(bad_text("metric_name", 2048), "bad metric name")
         .when((F.col("timestamp_ms") < TS_MIN) | (F.col("timestamp_ms") > TS_MAX), "timestamp out of range")
         .when(F.col("value").isNull() & F.col("cdn_key").isNull() & F.col("text_data").isNull(), "no payload")
     )
@@ -186,14 +189,15 @@ def monotone_steps(df: DataFrame, by: list[str], order: list[str], want: str) ->
 
 
 def fan_out(records: DataFrame, value: str = "record") -> DataFrame:
-    """A step record (JSON text of metric -> scalar, list or media) -> points; list element i gets tag i."""
+    """A step record (JSON text of metric -> scalar, list or media) -> points; list element i gets tag i. A finite number past
+    the float range is refused: it gives no point."""
     keys = ["project_id", "run_id", "step", "timestamp_ms"]
     pairs = records.select(*keys, F.explode(F.from_json(F.col(value), "map<string,string>")).alias("metric_name", "raw"))
     listed = F.from_json("raw", "array<string>")
     items = pairs.select(*keys, "metric_name", F.posexplode_outer(F.when(F.col("raw").startswith("["), listed)).alias("i", "item"), "raw")
     cell = F.coalesce("item", F.when(~F.col("raw").startswith("["), F.col("raw")))
     d = F.expr("try_cast(cell AS double)")
-    out = items.withColumn("cell", cell).where("cell IS NOT NULL")
+    out = items.withColumn("cell", cell).where(F.col("cell").isNotNull() & ~F.coalesce(is_finite(d) & (F.abs(d) > FLOAT_MAX), F.lit(False)))
     media = F.get_json_object("cell", "$.media")
     return out.select(*keys, "metric_name", F.coalesce(F.col("i").cast("string"), F.lit("")).alias("tag"), d.cast("float").alias("value"), media.alias("cdn_key"), F.when(d.isNull() & media.isNull(), F.col("cell")).alias("text_data"))
 

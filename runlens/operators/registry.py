@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .points import bad_text
+
 CDN, NUMERIC, TEXT = 1, 2, 3
 
 
@@ -17,7 +21,7 @@ def registry(points: DataFrame) -> DataFrame:
 def reconcile(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Registry rows to store, and those that can't be stored; an unknown type code is an error."""
     checked = found.withColumn("type_code", F.when(F.col("type_code").isin(CDN, NUMERIC, TEXT), F.col("type_code")).otherwise(F.raise_error(F.concat(F.lit("unknown type code "), F.col("type_code").cast("string"))).cast("int")))
-    bad = (F.col("project_id") == "") | (F.col("run_id") == "") | (F.col("metric_name") == "") | (F.octet_length("metric_name") > 2048)
+    bad = bad_text("project_id", 256) | bad_text("run_id", 256) | bad_text("metric_name", 2048)
     return checked.where(~bad), checked.where(bad)
 
 
@@ -48,11 +52,10 @@ def union_runs(*tables: DataFrame) -> DataFrame:
 
 
 def filter_runs(runs: DataFrame, text: str) -> DataFrame:
-    """Case-insensitive substring of a run's name or id, or its ordinal with an optional '#'."""
+    """Case-insensitive substring of a run's name or id, or of its ordinal with an optional '#'; '#' alone narrows nothing."""
     t = text.strip().lower()
-    holds = F.contains(F.lower("run_name"), F.lit(t)) | F.contains(F.lower("run_id"), F.lit(t))
-    digits = t.removeprefix("#")
-    return runs.where(holds | F.contains(F.col("ordinal").cast("string"), F.lit(digits)) if digits.isdigit() else holds)
+    held = [F.contains(F.lower("run_name"), F.lit(t)), F.contains(F.lower("run_id"), F.lit(t)), F.contains(F.col("ordinal").cast("string"), F.lit(t.removeprefix("#")))]
+    return runs.where(reduce(lambda a, b: a | b, [F.coalesce(h, F.lit(False)) for h in held]))
 
 
 def filter_panels(panels: DataFrame, text: str) -> DataFrame:
@@ -60,8 +63,13 @@ def filter_panels(panels: DataFrame, text: str) -> DataFrame:
     return panels.where(F.contains(F.lower("label"), t) | F.contains(F.lower("metric_name"), t))
 
 
-def is_media_key(key: Column, extensions: tuple[str, ...] = ("png", "html", "json", "jpg", "txt", "webp", "mp4")) -> Column:
-    return F.coalesce(key.rlike(rf"^[0-9A-Fa-f]{{4,}}\.({'|'.join(extensions)})\z"), F.lit(False))
+#: Extensions under which files are stored.
+EXTENSIONS = ("png", "jpg", "jpeg", "gif", "webp", "bmp", "svg", "ico", "tiff", "json", "txt", "csv", "wav", "mp3", "mp4", "webm", "ogg", "pdf", "gz", "bin")
+
+
+def is_media_key(key: Column, extensions: tuple[str, ...] = EXTENSIONS) -> Column:
+    """Four hexadecimal digits or more and an extension, in any case."""
+    return F.coalesce(key.rlike(rf"^[0-9A-Fa-f]{{4,}}\.(?i:{'|'.join(extensions)})\z"), F.lit(False))
 
 
 def readable_key(key: Column) -> Column:
@@ -70,9 +78,16 @@ def readable_key(key: Column) -> Column:
 
 
 def firing_alerts(docs: DataFrame, body: str) -> DataFrame:
-    schema = "alerts array<struct<id:string,state:string,audience:string,severity:string>>"
-    rows = docs.select(F.explode(F.from_json(body, schema)["alerts"]).alias("a")).select("a.*")
-    return rows.where("state = 'firing' AND audience = 'user'").select("id", "severity").orderBy("severity", "id")
+    """Firing alerts for users of monitoring replies: name, summary, class and since when, by name and class (none first).
+
+    Fields that are no text read as empty, a class that is none as null; a reply without a list of alerts is an error."""
+    v = F.try_parse_json(body)
+    alerts = F.try_variant_get(v, "$.data.alerts", "array<variant>")
+    told = docs.select(F.explode(F.coalesce(alerts, F.raise_error(F.lit("a reply has no data.alerts list")).cast("array<variant>"))).alias("a"))
+    text = lambda path: F.when(F.schema_of_variant(F.try_variant_get("a", path, "variant")) == "STRING", F.try_variant_get("a", path, "string"))
+    rows = told.where((text("$.state") == "firing") & (text("$.labels.audience") == "user"))
+    empty = lambda path: F.coalesce(text(path), F.lit(""))
+    return rows.select(empty("$.labels.alertname").alias("name"), empty("$.annotations.summary").alias("summary"), text("$.labels.class").alias("class"), empty("$.activeAt").alias("active_at")).orderBy("name", F.asc_nulls_first("class"))
 
 
 def previous_gap(df: DataFrame, by: list[str], x: str) -> DataFrame:

@@ -7,10 +7,18 @@ from pyspark.sql import functions as F
 
 ALIVE_MS, DEAD_MS, CANDIDATE_MS = 10_000, 600_000, 660_000
 RETENTION_MS = 7 * 86_400_000
+MAX_VERSION = 2**63 - 1
 
 
-def status(now_ms: int, exit_code: Column, main_ms: Column, alive_ms: Column) -> Column:
-    now = F.lit(now_ms)
+def main_or_created(main: Column, created: Column) -> Column:
+    """A run's last main metric; before any its creation stands in for one."""
+    return F.coalesce(main, created)
+
+
+def status(now: Column, exit_code: Column, created_ms: Column, last_main_ms: Column, last_system_ms: Column) -> Column:
+    """A run is alive as of its last system or main metric, whichever is later."""
+    main_ms = main_or_created(last_main_ms, created_ms)
+    alive_ms = F.greatest(main_ms, last_system_ms)
     return (
         F.when(exit_code == 0, "finished")
         .when(exit_code.isNotNull(), "crashed")
@@ -22,8 +30,9 @@ def status(now_ms: int, exit_code: Column, main_ms: Column, alive_ms: Column) ->
 
 
 def status_candidates(runs: DataFrame, now_ms: int) -> DataFrame:
-    """Runs whose status may still move: not ended, and alive within eleven minutes."""
-    return runs.where(F.col("exit_code").isNull() & F.col("terminated_at").isNull() & (F.lit(now_ms) - F.unix_millis("last_ingested_at") < CANDIDATE_MS))
+    """Runs whose status may still move: no exit code, not deleted, and alive within eleven minutes."""
+    alive = F.greatest(F.col("last_system_metric_at"), main_or_created(F.col("last_main_metric_at"), F.col("created_at")))
+    return runs.where(F.col("exit_code").isNull() & F.col("deleted_at").isNull() & (F.unix_millis(alive) > now_ms - CANDIDATE_MS))
 
 
 def lifecycle(now_ms: int, run: str = "run_id", deleted: str = "deleted_at", purging: str = "purging_at", purged: str = "purged") -> Column:
@@ -73,16 +82,22 @@ def purge_points(points: DataFrame, due: DataFrame) -> tuple[DataFrame, DataFram
     return points.join(keys, ["project_id", "run_id"], "left_anti"), keys
 
 
-def purge_candidates(runs: DataFrame, now_ms: int, limit: int) -> DataFrame:
-    """Runs to purge next: those already claimed and those past retention, each a bounded top list, merged."""
-    a = runs.where(F.col("purging_at").isNotNull()).select("project_id", "run_id", F.col("purging_at").alias("since")).orderBy("since", "project_id", "run_id").limit(limit)
-    b = runs.where(F.col("purging_at").isNull() & (F.lit(now_ms) - F.unix_millis("deleted_at") >= RETENTION_MS)).select("project_id", "run_id", F.col("deleted_at").alias("since")).orderBy("since", "project_id", "run_id").limit(limit)
-    return a.unionByName(b).orderBy("since", "project_id", "run_id").limit(limit)
+def purge_candidates(runs: DataFrame, pass_ms: int, limit: int) -> DataFrame:
+    """Deleted runs that a purge pass takes next, by when they came due (``since``): those last tried before the pass began, by
+    that try, and those never tried whose retention has run out by then, by its end. Each is a bounded top list."""
+    top = lambda df: df.orderBy("since", "project_id", "run_id").limit(limit)
+    gone = runs.where("deleted_at IS NOT NULL").select("project_id", "run_id", "purge_attempt_at", (F.col("deleted_at") + F.expr(f"INTERVAL {RETENTION_MS // 1000} SECONDS")).alias("due"))
+    begun = F.timestamp_millis(F.lit(pass_ms))
+    again = gone.where(F.col("purge_attempt_at") < begun).select("project_id", "run_id", F.col("purge_attempt_at").alias("since"))
+    new = gone.where(F.col("purge_attempt_at").isNull() & (F.col("due") <= begun)).select("project_id", "run_id", F.col("due").alias("since"))
+    return top(top(again).unionByName(top(new)))
 
 
 def purge_backlog(runs: DataFrame, now_ms: int) -> DataFrame:
-    due = purge_due(runs, now_ms)
-    return due.agg(F.count(F.lit(1)).alias("due"), F.max(F.lit(now_ms) - RETENTION_MS - F.unix_millis("deleted_at")).alias("oldest_overdue_ms"))
+    """How many deleted runs may be purged, and how long the oldest of them has been due (0 at least, also without any)."""
+    due = purge_due(runs, now_ms).where("deleted_at IS NOT NULL")
+    overdue = F.lit(now_ms) - RETENTION_MS - F.unix_millis(F.min("deleted_at"))
+    return due.agg(F.count(F.lit(1)).alias("due"), F.greatest(F.coalesce(overdue, F.lit(0)), F.lit(0)).alias("oldest_overdue_ms"))
 
 
 def project_last_logged(runs: DataFrame) -> DataFrame:
@@ -100,11 +115,11 @@ def assign_ordinals(new: DataFrame, marks: DataFrame) -> DataFrame:
     return new.join(marks, "project_id", "left").withColumn("ordinal", F.coalesce("high_water", F.lit(0)) + n).drop("high_water")
 
 
-def trash_page(runs: DataFrame, now_ms: int, page: int, cursor: tuple | None = None) -> DataFrame:
-    """Keyset page of trashed runs: deleted_at descending, project, ordinal descending, run, behind the ``cursor`` (deleted in
+def trash_page(runs: DataFrame, page: int, cursor: tuple | None = None) -> DataFrame:
+    """Keyset page of all deleted runs, expired ones and those being purged too: deleted_at descending, project, ordinal descending, run, behind the ``cursor`` (deleted in
     ms, project, ordinal, run). One row past the page tells
     whether there is a next one; Spark keeps a bounded heap for it, no full sort."""
-    live = runs.where(F.col("deleted_at").isNotNull() & F.col("purging_at").isNull() & (F.lit(now_ms) - F.unix_millis("deleted_at") < RETENTION_MS))
+    live = runs.where("deleted_at IS NOT NULL")
     if cursor is not None:
         d, p, o, r = F.timestamp_millis(F.lit(cursor[0])), *(F.lit(c) for c in cursor[1:])
         after = (F.col("deleted_at") < d) | ((F.col("deleted_at") == d) & ((F.col("project_id") > p) | ((F.col("project_id") == p) & ((F.col("ordinal") < o) | ((F.col("ordinal") == o) & (F.col("run_id") > r))))))
@@ -116,17 +131,27 @@ def key_page(keys: DataFrame, after: str, limit: int, column: str = "key") -> Da
     return keys.where(F.col(column) > after).orderBy(column).limit(limit)
 
 
-def versions(commits: DataFrame) -> DataFrame:
-    """Version of each run: how many commits (batch ids) touched it."""
-    return commits.groupBy("project_id", "run_id").agg(F.countDistinct("batch_id").alias("version"))
+def versions(commits: DataFrame, *by: str) -> DataFrame:
+    """Version of each run: how many commits (batch ids) touched it; by ``project_id`` that of each project."""
+    return commits.groupBy(*(by or ("project_id", "run_id"))).agg(F.countDistinct("batch_id").alias("version"))
+
+
+def all_versions(commits: DataFrame) -> DataFrame:
+    """Versions of every run, of every project (run_id null) and of the whole (both null): one shuffle of (project, run, batch)
+    by grouping sets, counted once partial counts have dropped repeats."""
+    once = commits.select("project_id", "run_id", "batch_id").distinct()
+    sets = once.groupingSets([["project_id", "run_id"], ["project_id"], []], "project_id", "run_id")
+    return sets.agg(F.countDistinct("batch_id").alias("version"), F.grouping_id().alias("level"))
 
 
 def version_lookup(wanted: DataFrame, runs: DataFrame, tombstones: DataFrame, now_ms: int) -> DataFrame:
-    """Version of each wanted run: its own, one more once it has expired, a tombstone's, or 0."""
-    expired = F.coalesce(F.lit(now_ms) - F.unix_millis("deleted_at") >= RETENTION_MS, F.lit(False))
-    r = runs.select("run_id", (F.col("version") + expired.cast("long")).alias("_live"))
-    t = tombstones.select("run_id", F.col("version").alias("_dead"))
-    return wanted.join(r, "run_id", "left").join(t, "run_id", "left").select("run_id", F.coalesce("_live", "_dead", F.lit(0).cast("long")).alias("version"))
+    """Version of each wanted run (project_id, run_id): its own, one more once it is being purged or has expired (which the
+    greatest version leaves room for), a tombstone's, or 0."""
+    key = ["project_id", "run_id"]
+    ended = F.col("purging_at").isNotNull() | F.coalesce(F.lit(now_ms) - F.unix_millis("deleted_at") >= RETENTION_MS, F.lit(False))
+    r = runs.select(*key, F.when(ended, F.least("version", F.lit(MAX_VERSION - 1)) + 1).otherwise(F.col("version")).alias("_live"))
+    t = tombstones.select(*key, F.col("version").alias("_dead"))
+    return wanted.join(r, key, "left").join(t, key, "left").select(*key, F.coalesce("_live", "_dead", F.lit(0).cast("long")).alias("version"))
 
 
 def changed_since(before: DataFrame, after: DataFrame, registry_before: DataFrame, registry_after: DataFrame) -> DataFrame:
@@ -163,13 +188,25 @@ def fold_imports(imports: DataFrame) -> DataFrame:
 
 
 def fold_events(events: DataFrame) -> DataFrame:
-    """Rename and lifecycle events of runs, by seq: the last name, the exit code after the last open or close (an open
-    clears it), the given end time, else the first stamped one."""
-    names = F.when(F.col("kind") == "rename", F.struct("seq", "name"))
-    ends = F.when(F.col("kind").isin("open", "close"), F.struct("seq", "kind", "exit_code"))
-    agg = events.groupBy("run_id").agg(F.max(names).alias("n"), F.max(ends).alias("e"), F.max(F.when(F.col("kind") == "close", F.col("given_end"))).alias("given"), F.min(F.when(F.col("kind") == "close", F.col("at"))).alias("stamped"))
-    closed = F.col("e.kind") == "close"
-    return agg.select("run_id", F.col("n.name").alias("run_name"), F.when(closed, F.col("e.exit_code")).alias("exit_code"), F.when(closed, F.coalesce("given", "stamped")).alias("ended_at"))
+    """Rename and lifecycle events of runs, by seq: the last name; of the execution that the last open began, the last
+    exit code and its end: the last end given by a close, or the first close's stamp where none is given before one.
+
+    An open clears exit code and end. A close with a given end sets it, one without keeps the end there is and else stamps its
+    own time. A run that is deleted (kind ``delete``) takes no events until it is restored (``restore``)."""
+    key = [c for c in ("project_id", "run_id") if c in events.columns]
+    # which events are taken and which execution they belong to follow from the last delete or restore, and open, before them
+    w = Window.partitionBy(*key).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    gone = F.last(F.when(F.col("kind").isin("delete", "restore"), F.col("kind") == "delete"), True).over(w)
+    taken = events.withColumn("_gone", F.coalesce(gone, F.lit(False))).where(~F.col("_gone") | (F.col("kind") == "delete"))
+    open_ = F.coalesce(F.max(F.when(F.col("kind") == "open", F.col("seq"))).over(Window.partitionBy(*key)), F.lit(-(2**63)))
+    told = taken.withColumn("_live", (F.col("kind") == "close") & (F.col("seq") > open_))
+    agg = told.groupBy(*key).agg(
+        F.max(F.when(F.col("kind") == "rename", F.struct("seq", "name"))).alias("n"),
+        F.max(F.when(F.col("_live"), F.struct("seq", "exit_code"))).alias("e"),
+        F.max(F.when(F.col("_live") & F.col("given_end").isNotNull(), F.struct("seq", "given_end"))).alias("given"),
+        F.min(F.when(F.col("_live"), F.struct("seq", "at"))).alias("stamped"),
+    )
+    return agg.select(*key, F.col("n.name").alias("run_name"), F.col("e.exit_code").alias("exit_code"), F.coalesce("given.given_end", "stamped.at").alias("ended_at"))
 
 
 def labels(runs: DataFrame) -> DataFrame:
@@ -185,12 +222,17 @@ def transitions(scans: DataFrame) -> DataFrame:
 
 
 def roll_forward(bumped: DataFrame, projects: DataFrame) -> DataFrame:
-    """Bumped runs with their project's rolled-forward time; a run of an unknown project keeps its own."""
-    return bumped.join(projects.select("project_id", "last_logged"), "project_id", "left").select("project_id", "run_id", F.greatest("last_ingested_at", "last_logged").alias("project_time"))
+    """Bumped runs with ``project_time``, what their project's activity (project_id, last_logged) moves to: the latest of its
+    bumped runs' ingests (not past their end), where that lies in a later minute than the activity or there was none;
+    else, and for unknown projects, null."""
+    logged = bumped.groupBy("project_id").agg(F.max(F.least("last_ingested_at", "terminated_at")).alias("_at"))
+    moved = (F.col("last_logged").isNull() & F.col("_at").isNotNull()) | (F.col("_at") >= F.date_trunc("minute", "last_logged") + F.expr("INTERVAL 1 MINUTE"))
+    rolled = projects.join(logged, "project_id").where(moved).select("project_id", F.col("_at").alias("project_time"))
+    return bumped.join(rolled, "project_id", "left").select("project_id", "run_id", "project_time")
 
 
 def resolve_bindings(bindings: DataFrame, selected: DataFrame, runs: DataFrame, max_runs: int) -> DataFrame:
-    """Panel bindings (position, metric_name, mode, ids) to the first ``max_runs`` distinct runs in order of first sight.
+    """Panel bindings (position, metric_name, mode, ids) to the first ``max_runs`` distinct runs in order of first sight (0: all).
 
     Modes: selected (the selected runs in their order), all (every run by ordinal), specific (the listed ids)."""
     s = bindings.where("mode = 'selected'").crossJoin(selected.select("run_id", F.col("position").alias("k")))
@@ -199,5 +241,7 @@ def resolve_bindings(bindings: DataFrame, selected: DataFrame, runs: DataFrame,
     cols = ["position", "metric_name", "k", "run_id"]
     every = s.select(*cols).unionAll(a.select(*cols)).unionAll(x.select(*cols))
     once = every.groupBy("metric_name", "run_id").agg(F.min(F.struct("position", "k")).alias("at"))
+    if not max_runs:
+        return once.select("metric_name", "run_id", F.col("at.position").alias("position"))
     first = once.groupBy("run_id").agg(F.min("at").alias("first")).orderBy("first", "run_id").limit(max_runs)
     return once.join(first, "run_id").select("metric_name", "run_id", F.col("at.position").alias("position"))

@@ -344,10 +344,11 @@ def subset(rows: DataFrame, runs: list[str]) -> DataFrame:
 
 
 def hover(rows: DataFrame, slot: int) -> DataFrame:
-    """Every series' value at a column; where it is empty, the series' nearest by x, ties to the earlier."""
+    """Every series' point at a column, a value or the marker of one that can't be drawn; where it has none there, its nearest
+    by x, ties to the earlier."""
     at = rows.where(F.col("slot") == slot).select(F.col("x").alias("xq")).limit(1)
-    near = rows.where("value IS NOT NULL").crossJoin(F.broadcast(at)).groupBy(*SERIES).agg(F.min(F.struct(F.abs(F.col("x") - F.col("xq")).alias("far"), "x", "slot", "value")).alias("n"))
-    return near.select(*SERIES, F.col("n.slot").alias("slot"), F.col("n.x").alias("x"), F.col("n.value").alias("value"))
+    near = rows.where("value IS NOT NULL OR marker_kind IS NOT NULL").crossJoin(F.broadcast(at)).groupBy(*SERIES).agg(F.min(F.struct(F.abs(F.col("x") - F.col("xq")).alias("far"), "x", "slot", "value", "marker_kind")).alias("n"))
+    return near.select(*SERIES, *[F.col(f"n.{c}").alias(c) for c in ("slot", "x", "value", "marker_kind")])
 
 
 def custom_smoothed(points: DataFrame, req: Request) -> tuple[DataFrame, Grid | None]:

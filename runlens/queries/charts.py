@@ -275,9 +275,9 @@ def subset(spark, sf_dir):
     return C.subset(chart(A.points(spark, sf_dir), Request(("click",), target=40)), ["run1", "run2"]).select("run_id", "slot", "x", F.round("value", 6).alias("value"))
 
 
-@query("JN_5_CH_16_hover", _BASE + ", q AS (SELECT x AS xq FROM r WHERE slot = 10 LIMIT 1) SELECT run_id, arg_min(slot, (abs(x - xq), x)) AS slot, arg_min(value, (abs(x - xq), x)) AS value FROM r, q WHERE value IS NOT NULL GROUP BY run_id")
+@query("JN_5_CH_16_hover", _BASE + ", q AS (SELECT x AS xq FROM r WHERE slot = 10 LIMIT 1) SELECT run_id, arg_min(slot, (abs(x - xq), x)) AS slot, min(value) FILTER (nth = 1) AS value, min(marker_kind) FILTER (nth = 1) AS marker_kind FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY abs(x - xq), x) AS nth FROM r, q WHERE value IS NOT NULL OR marker_kind IS NOT NULL) GROUP BY run_id")
 def hover(spark, sf_dir):
-    return C.hover(envelope(spark, sf_dir), 10).select("run_id", "slot", "value")
+    return C.hover(envelope(spark, sf_dir), 10).select("run_id", "slot", "value", "marker_kind")
 
 
 @query("ST_3_distinct_x", f"WITH {POINTS} SELECT x, row_number() OVER (ORDER BY x) - 1 AS slot FROM (SELECT DISTINCT step::DOUBLE AS x FROM points WHERE metric_name IN ('click', 'view'))")

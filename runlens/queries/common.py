@@ -21,15 +21,17 @@ LATEST = (
 RUNS = """runs AS (SELECT 'nation' || c_nationkey AS project_id, 'r' || o_orderkey AS run_id, 'Run ' || (o_orderkey % 700) AS run_name, o_orderkey AS k, o_orderstatus AS s,
   epoch_ms(o_orderdate) + o_orderkey % 1000 AS created,
   CASE WHEN o_orderstatus <> 'P' THEN epoch_ms(o_orderdate) + o_orderkey % 1000 + (o_orderkey % 90) * 1000 END AS main_at,
+  CASE WHEN o_orderkey % 3 <> 0 THEN epoch_ms(o_orderdate) + o_orderkey % 1000 + (o_orderkey % 650) * 1000 END AS system_at,
   epoch_ms(o_orderdate) + o_orderkey % 1000 + (o_orderkey % 700) * 1000 AS ingested,
   CASE WHEN o_orderstatus = 'F' THEN CASE WHEN o_orderkey % 5 = 0 THEN 1 ELSE 0 END END AS exit_code,
   CASE WHEN o_orderstatus = 'F' THEN epoch_ms(o_orderdate) + o_orderkey % 1000 + (o_orderkey % 600) * 1000 END AS terminated,
   CASE WHEN o_orderkey % 11 = 0 THEN epoch_ms(o_orderdate) + o_orderkey % 1000 + (o_orderkey % 20) * 86400000::BIGINT END AS deleted,
-  CASE WHEN o_orderkey % 121 = 0 THEN epoch_ms(o_orderdate) + o_orderkey % 1000 + 40 * 86400000::BIGINT END AS purging
+  CASE WHEN o_orderkey % 121 = 0 THEN epoch_ms(o_orderdate) + o_orderkey % 1000 + 40 * 86400000::BIGINT END AS purging,
+  CASE WHEN o_orderkey % 363 = 0 THEN epoch_ms(o_orderdate) + o_orderkey % 1000 + 41 * 86400000::BIGINT END AS attempt
   FROM orders JOIN customer ON o_custkey = c_custkey)"""
 TEXTS = r"""texts AS (SELECT 'docs' AS project_id, source AS run_id, 'logs/' || lang AS metric_name, '' AS tag, doc_id AS step, doc_id * 1000 AS timestamp_ms,
   text || CASE doc_id % 3 WHEN 0 THEN chr(13) || chr(10) WHEN 1 THEN chr(10) ELSE '' END AS text_data FROM documents)"""
-MEDIA = "media AS (SELECT sha256(coalesce(html, '')) || '.html' AS key, strlen(coalesce(html, '')) AS size, page_id * 3600000 AS created_ms, page_id, url FROM pages)"
+MEDIA = "media AS (SELECT sha256(coalesce(html, '')) || '.bin' AS key, strlen(coalesce(html, '')) AS size, page_id * 3600000 AS created_ms, page_id, url FROM pages)"
 
 
 def registry() -> tuple[dict, Callable]:

@@ -162,7 +162,7 @@ _LEAVES = """l AS (SELECT * FROM (
   SELECT c_custkey AS run_id, '/opt/lr' AS path, (c_custkey % 3)::VARCHAR AS leaf FROM customer UNION ALL SELECT c_custkey, '/opt/a~1b', '"' || c_mktsegment || '"' FROM customer
   UNION ALL SELECT c_custkey, '/seed', '7' FROM customer UNION ALL SELECT c_custkey, '/tags', '[1,2]' FROM customer UNION ALL SELECT c_custkey, '/odd', '1' FROM customer WHERE c_custkey % 2 = 0
   UNION ALL SELECT c_custkey, '/part', CASE WHEN c_custkey % 5 = 0 THEN '3' ELSE '{"x":1}' END FROM customer UNION ALL SELECT c_custkey, '/deep/' || repeat('d/', 9) || 'end', '0' FROM customer WHERE c_custkey % 4 = 0
-  UNION ALL SELECT c_custkey, '/void', '{}' FROM customer))"""
+  UNION ALL SELECT c_custkey, '/void', '{}' FROM customer UNION ALL SELECT c_custkey, '/meta/server_time/end', '"' || c_custkey || '"' FROM customer))"""
 
 
 def _leaves(spark, sf_dir):
@@ -170,7 +170,7 @@ def _leaves(spark, sf_dir):
     k = F.col("c_custkey")
     opt = F.struct((k % 3).alias("lr"), F.col("c_mktsegment").alias("a/b"))
     whole = F.to_json(F.struct(opt.alias("opt"), F.lit(7).alias("seed"), F.array(F.lit(1), F.lit(2)).alias("tags"), F.when(k % 2 == 0, 1).alias("odd")))
-    more = F.concat(F.lit(',"void":{},"part":'), F.when(k % 5 == 0, "3").otherwise('{"x":1}'), F.when(k % 4 == 0, ',"deep":' + '{"d":' * 9 + '{"end":0}' + "}" * 9).otherwise(""), F.lit("}"))
+    more = F.concat(F.lit(',"void":{},"meta":{"server_time":{"end":"'), k.cast("string"), F.lit('"}},"part":'), F.when(k % 5 == 0, "3").otherwise('{"x":1}'), F.when(k % 4 == 0, ',"deep":' + '{"d":' * 9 + '{"end":0}' + "}" * 9).otherwise(""), F.lit("}"))
     doc = F.concat(F.regexp_replace(whole, r"\}$", ""), more)
     return M.flatten(A.table(spark, sf_dir, "customer").select(k.alias("run_id"), doc.alias("doc")))
 
@@ -180,7 +180,7 @@ def flatten(spark, sf_dir):
     return _leaves(spark, sf_dir)
 
 
-@query("MD_6_diff", f"WITH {_LEAVES}, n AS (SELECT count(*) AS runs FROM customer) SELECT path, count(DISTINCT leaf) AS texts, count(*) AS held FROM l, n GROUP BY path, runs HAVING count(DISTINCT leaf) > 1 OR count(*) < runs")
+@query("MD_6_diff", f"WITH {_LEAVES}, n AS (SELECT count(*) AS runs FROM customer) SELECT path, count(DISTINCT leaf) AS texts, count(*) AS held FROM l, n WHERE path NOT LIKE '/meta/server_time%' GROUP BY path, runs HAVING count(DISTINCT leaf) > 1 OR count(*) < runs")
 def diff(spark, sf_dir):
     return M.differing(_leaves(spark, sf_dir), A.table(spark, sf_dir, "customer").count())
 
@@ -239,9 +239,9 @@ def run_info(spark, sf_dir):
     return M.with_timing(c.select(k.alias("run_id"), doc.alias("doc")), runs)
 
 
-@query("MD_9_content_ids", "SELECT page_id, sha256(coalesce(html, '')) || '.html' AS id FROM pages")
+@query("MD_9_content_ids", "SELECT page_id, sha256(coalesce(html, '')) || '.bin' AS id FROM pages")
 def content_ids(spark, sf_dir):
-    return A.table(spark, sf_dir, "pages").select("page_id", M.content_id(F.coalesce("html", F.lit("")).cast("binary"), F.lit("html")).alias("id"))
+    return A.table(spark, sf_dir, "pages").select("page_id", M.content_id(F.coalesce("html", F.lit("")).cast("binary"), F.lit("bin")).alias("id"))
 
 
 @query("MD_11_config_merge", "SELECT run_id, key, arg_max(value, version) AS value FROM (SELECT o_custkey AS run_id, o_orderkey AS version, 'lr' AS key, (o_orderkey % 9)::VARCHAR AS value FROM orders UNION ALL SELECT o_custkey, o_orderkey, 'k' || (o_orderkey % 4), o_orderstatus FROM orders) GROUP BY ALL")
@@ -251,10 +251,11 @@ def config(spark, sf_dir):
     return M.merge_config(A.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("run_id"), k.alias("version"), doc.alias("doc")))
 
 
-@query("SNK_2_tsv_cells", "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN '''=' || p_name WHEN p_partkey % 3 = 1 THEN 'a ' || p_name ELSE p_name END AS cell, CASE p_partkey % 4 WHEN 0 THEN 'NaN' WHEN 1 THEN 'Infinity' WHEN 2 THEN '' ELSE '1.5' END AS number FROM part")
+@query("SNK_2_tsv_cells", "SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN '''=' || p_name WHEN 1 THEN 'a ' || p_name WHEN 2 THEN ''' ' || chr(160) || '@' || p_name WHEN 3 THEN 'b  ' || p_name WHEN 4 THEN ''' +' || p_name ELSE p_name END AS cell, CASE p_partkey % 4 WHEN 0 THEN 'NaN' WHEN 1 THEN 'Infinity' WHEN 2 THEN '' ELSE '1.5' END AS number FROM part")
 def tsv(spark, sf_dir):
     k, n = F.col("p_partkey"), F.col("p_name")
-    text = F.when(k % 3 == 0, F.concat(F.lit("="), n)).when(k % 3 == 1, F.concat(F.lit("a\t"), n)).otherwise(n)
+    heads = ["=", "a\t\r\n", " \u00a0@", "b \u2028\u2029", "\t+", ""]
+    text = F.concat(F.element_at(F.array(*[F.lit(h) for h in heads]), (k % 6 + 1).cast("int")), n)
     value = F.when(k % 4 == 0, float("nan")).when(k % 4 == 1, float("inf")).when(k % 4 == 3, 1.5)
     return A.table(spark, sf_dir, "part").select("p_partkey", X.tsv_cell(text).alias("cell"), X.tsv_number(value).alias("number"))
 

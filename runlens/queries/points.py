@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import expressions as X
@@ -13,21 +16,22 @@ from .common import DENSE, LATEST, POINTS, registry
 
 ALL, query = registry()
 
-_TEST_POINTS = """v AS (SELECT CASE WHEN step % 41 = 0 THEN 'trash' WHEN step % 43 = 0 THEN '' ELSE project_id END AS project_id, run_id,
+_TEST_POINTS = """v AS (SELECT CASE WHEN step % 41 = 0 THEN 'trash' WHEN step % 43 = 0 THEN 'a' || chr(0) WHEN step % 37 = 0 THEN '' ELSE project_id END AS project_id, run_id,
   CASE WHEN step % 47 = 0 THEN repeat('m', 3000) ELSE metric_name END AS metric_name, tag, step, CASE WHEN step % 53 = 0 THEN 9100000000000000 ELSE timestamp_ms END AS timestamp_ms,
   CASE WHEN step % 59 = 0 THEN NULL ELSE value END AS value FROM points)"""
 
 
 @query(
     "SRC_1_validate_points",
-    f"""WITH {POINTS}, {_TEST_POINTS} SELECT reason, count(*) AS n FROM (SELECT CASE WHEN project_id = 'trash' THEN 'reserved project' WHEN project_id = '' THEN 'bad project id'
+    f"""WITH {POINTS}, {_TEST_POINTS} SELECT reason, count(*) AS n FROM (SELECT CASE WHEN project_id = 'trash' THEN 'reserved project' WHEN contains(project_id, chr(0)) THEN 'bad project id'
   WHEN length(metric_name) > 2048 THEN 'bad metric name' WHEN timestamp_ms > 9000000000000000 THEN 'timestamp out of range' WHEN value IS NULL THEN 'no payload' END AS reason FROM v) GROUP BY reason""",
 )
 def validate(spark, sf_dir):
+    """Names with a NUL are refused; empty ones are stored."""
     s = F.col("step")
     p = A.points(spark, sf_dir).withColumns(
         {
-            "project_id": F.when(s % 41 == 0, "trash").when(s % 43 == 0, "").otherwise(F.col("project_id")),
+            "project_id": F.when(s % 41 == 0, "trash").when(s % 43 == 0, "a\x00").when(s % 37 == 0, "").otherwise(F.col("project_id")),
             "metric_name": F.when(s % 47 == 0, F.repeat(F.lit("m"), 3000)).otherwise(F.col("metric_name")),
             "timestamp_ms": F.when(s % 53 == 0, 9_100_000_000_000_000).otherwise(F.col("timestamp_ms")),
             "value": F.when(s % 59 != 0, F.col("value")),
@@ -57,11 +61,12 @@ def numeric(spark, sf_dir):
     """SELECT o_orderkey AS step, metric_name, tag, value, text_data FROM (
   SELECT o_orderkey, 'loss' AS metric_name, '' AS tag, o_totalprice::FLOAT::DOUBLE AS value, NULL::VARCHAR AS text_data FROM orders
   UNION ALL SELECT o_orderkey, 'pair', '0', (o_orderkey % 7)::DOUBLE, NULL FROM orders UNION ALL SELECT o_orderkey, 'pair', '1', (o_orderkey % 3)::DOUBLE, NULL FROM orders
-  UNION ALL SELECT o_orderkey, 'note', '', NULL, 'status ' || o_orderstatus FROM orders)""",
+  UNION ALL SELECT o_orderkey, 'note', '', NULL, 'status ' || o_orderstatus FROM orders UNION ALL SELECT o_orderkey, 'wide', '', 1e38::FLOAT::DOUBLE, NULL FROM orders WHERE o_orderkey % 4 <> 0)""",
 )
 def fan_out(spark, sf_dir):
+    """A finite number past the float range gives no point."""
     k = F.col("o_orderkey")
-    rec = F.to_json(F.struct(F.col("o_totalprice").alias("loss"), F.array(k % 7, k % 3).alias("pair"), F.concat(F.lit("status "), "o_orderstatus").alias("note")))
+    rec = F.to_json(F.struct(F.col("o_totalprice").alias("loss"), F.array(k % 7, k % 3).alias("pair"), F.concat(F.lit("status "), "o_orderstatus").alias("note"), F.when(k % 4 == 0, 3.5e38).otherwise(1e38).alias("wide")))
     o = A.table(spark, sf_dir, "orders").select(F.lit("p").alias("project_id"), F.lit("r").alias("run_id"), k.alias("step"), F.lit(0).cast("long").alias("timestamp_ms"), rec.alias("record"))
     return P.fan_out(o).select("step", "metric_name", "tag", F.col("value").cast("double").alias("value"), "text_data")
 
@@ -234,23 +239,32 @@ def run_identity(spark, sf_dir):
 @query(
     "SRC_20_settledness",
     """SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'no_export' WHEN o_orderkey % 7 = 1 THEN 'export_incomplete' WHEN o_orderkey % 7 = 2 THEN 'export_errors' WHEN o_orderkey % 7 = 3 THEN 'export_skipped'
-  WHEN o_orderstatus = 'O' THEN 'run_not_finished' END AS unsettled FROM orders""",
+  WHEN o_orderstatus = 'O' OR o_orderkey % 5 < 2 THEN 'run_not_finished' END AS unsettled FROM orders""",
 )
 def settledness(spark, sf_dir):
+    """The state of the export and that of the run both count, and an unknown one isn't final."""
     k = F.col("o_orderkey") % 7
-    o = A.table(spark, sf_dir, "orders").select("o_orderkey", (k != 0).alias("exported"), (k != 1).alias("complete"), F.when(k == 2, 3).otherwise(0).alias("errors"), F.when(k == 3, 1).otherwise(0).alias("skipped"), F.when(F.col("o_orderstatus") == "O", "running").otherwise("finished").alias("state"))
+    o = A.table(spark, sf_dir, "orders").select("o_orderkey", (k != 0).alias("exported"), (k != 1).alias("complete"), F.when(k == 2, 3).otherwise(0).alias("errors"), F.when(k == 3, 1).otherwise(0).alias("skipped"), F.when(F.col("o_orderstatus") == "O", "running").otherwise("finished").alias("state"), F.when(F.col("o_orderkey") % 5 == 1, "running").when(F.col("o_orderkey") % 5 > 1, "killed").alias("run_state"))
     return I.unsettled(o).select("o_orderkey", "unsettled")
 
 
 @query(
     "SRC_21_reexport_needed",
-    """SELECT c_custkey AS run, c_custkey % 3 <> 0 AND c_custkey % 5 <> 0 AND c_custkey % 7 <> 0 AND c_custkey % 2 = 0 AS same, NOT (c_custkey % 3 <> 0 AND c_custkey % 5 <> 0 AND c_custkey % 7 <> 0 AND c_custkey % 2 = 0) AS needed FROM customer""",
+    """WITH k AS (SELECT c_custkey AS k FROM customer)
+  SELECT k AS run, k % 8 = 7 OR k % 11 = 0 OR k % 3 = 0 OR k % 13 = 0 OR k % 5 = 0 OR k % 7 = 0 OR k % 17 = 0 AS needed,
+    k % 8 = 7 OR k % 11 = 0 OR k % 19 = 0 OR k % 3 = 0 OR k % 13 = 0 OR k % 5 = 0 OR k % 7 = 0 OR k % 17 = 0 OR k % 23 = 0 AS needed_whole FROM k""",
 )
 def reexport(spark, sf_dir):
+    """Runs not exported (8), not whole (11), not over then (3) or now (13), with another heartbeat (5) or length (7), or
+    without their media (17); then also with errors tried again (19) and without files that the first time weren't asked for (23)."""
     k = F.col("c_custkey")
-    cur = A.table(spark, sf_dir, "customer").select(k.alias("run"), F.lit("running").alias("state"), F.lit(10).alias("heartbeat"), F.lit(5).alias("lines"))
-    prev = cur.where(F.col("run") % 2 == 0).select("run", F.when(F.col("run") % 3 == 0, "finished").otherwise("running").alias("state"), F.when(F.col("run") % 5 == 0, 9).otherwise(10).alias("heartbeat"), F.when(F.col("run") % 7 == 0, 4).otherwise(5).alias("lines"))
-    return I.reexport_needed(prev, cur).select("run", (~F.col("needed")).alias("same"), "needed")
+    cur = A.table(spark, sf_dir, "customer").select(k.alias("run"), F.when(k % 13 == 0, "running").otherwise("finished").alias("state"), F.lit(10).alias("heartbeat"), F.lit(5).alias("lines"))
+    r = F.col("run")
+    skipped = F.array_compact(F.array(F.when(r % 17 == 0, "media"), F.when(r % 23 == 0, "files")))
+    state = F.when(r % 3 == 0, F.lit(None)).otherwise("crashed")
+    prev = cur.where(r % 8 != 7).select("run", (r % 11 != 0).alias("complete"), F.when(r % 19 == 0, 2).otherwise(0).alias("errors"), skipped.alias("skipped"), state.alias("state"), F.when(r % 5 == 0, 9).otherwise(10).alias("heartbeat"), F.when(r % 7 == 0, 4).otherwise(5).alias("lines"))
+    whole = I.reexport_needed(prev, cur, retry_errors=True).select("run", F.col("needed").alias("needed_whole"))
+    return I.reexport_needed(prev, cur, skip=("files",)).select("run", "needed").join(whole, "run")
 
 
 @query(
@@ -293,11 +307,17 @@ def replay(spark, sf_dir):
 
 @query(
     "SRC_25_registry_reconcile",
-    f"WITH {DENSE} SELECT run_id, metric_name, max(CASE WHEN value IS NOT NULL THEN 2 WHEN cdn_key IS NOT NULL THEN 1 ELSE 3 END)::INTEGER AS type_code FROM dense GROUP BY ALL",
+    f"""WITH {DENSE}, r AS (SELECT run_id, metric_name, max(CASE WHEN value IS NOT NULL THEN 2 WHEN cdn_key IS NOT NULL THEN 1 ELSE 3 END)::INTEGER AS type_code FROM dense GROUP BY project_id, run_id, metric_name)
+  SELECT run_id, metric_name, type_code, true AS stored FROM r UNION ALL SELECT '', metric_name, type_code, true FROM r
+  UNION ALL SELECT 'a' || chr(0), metric_name, type_code, false FROM r UNION ALL SELECT repeat('é', 129), metric_name, type_code, false FROM r""",
 )
 def reconcile(spark, sf_dir):
-    good, _ = R.reconcile(R.registry(A.dense_points(spark, sf_dir)))
-    return good.select("run_id", "metric_name", "type_code")
+    """Runs without a name are stored; a NUL and 258 bytes can't be."""
+    found = R.registry(A.dense_points(spark, sf_dir))
+    odd = found.select("project_id", F.explode(F.array(F.col("run_id"), F.lit(""), F.lit("a\x00"), F.lit("é" * 129))).alias("run_id"), "metric_name", "type_code")
+    good, bad = R.reconcile(odd)
+    cols = ["run_id", "metric_name", "type_code"]
+    return good.select(*cols, F.lit(True).alias("stored")).unionAll(bad.select(*cols, F.lit(False)))
 
 
 @query("PF_1_2_selection", f"WITH {POINTS} SELECT run_id, metric_name, step, timestamp_ms FROM points WHERE run_id IN ('run1', 'run2') AND metric_name = 'click' AND step BETWEEN 100 AND 5000")
@@ -341,10 +361,16 @@ def labels(spark, sf_dir):
     return parts[0].unionAll(parts[1]).unionAll(parts[2]).unionAll(parts[3])
 
 
-@query("PF_8_run_filter", "SELECT o_orderkey AS ordinal, 'Run ' || (o_orderkey % 700) AS run_name FROM orders WHERE lower('Run ' || (o_orderkey % 700)) LIKE '%n 12%' OR 'r' || o_orderkey LIKE '%n 12%'")
+@query(
+    "PF_8_run_filter",
+    """WITH r AS (SELECT o_orderkey AS ordinal, 'Run ' || (o_orderkey % 700) AS run_name, 'r' || o_orderkey AS run_id FROM orders)
+  SELECT f AS filter, ordinal, run_name FROM r, (VALUES ('N 12'), ('#17'), (' 17'), ('#n'), ('#')) v(f)
+  WHERE contains(lower(run_name), trim(lower(f))) OR contains(run_id, trim(lower(f))) OR contains(ordinal::VARCHAR, ltrim(trim(lower(f)), '#'))""",
+)
 def run_filter(spark, sf_dir):
     o = A.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("ordinal"), F.concat(F.lit("Run "), (F.col("o_orderkey") % 700).cast("string")).alias("run_name"), F.concat(F.lit("r"), F.col("o_orderkey").cast("string")).alias("run_id"))
-    return R.filter_runs(o, "N 12").select("ordinal", "run_name")
+    parts = [R.filter_runs(o, f).select(F.lit(f).alias("filter"), "ordinal", "run_name") for f in ("N 12", "#17", " 17", "#n", "#")]
+    return reduce(DataFrame.unionAll, parts)
 
 
 @query("PF_9_panel_filter", f"WITH {POINTS} SELECT DISTINCT metric_name FROM points WHERE contains(lower(metric_name), 'i')")
@@ -353,17 +379,26 @@ def panel_filter(spark, sf_dir):
     return R.filter_panels(m, "I").select("metric_name")
 
 
-@query("PF_10_media_keys", f"WITH {DENSE} SELECT cdn_key FROM dense WHERE regexp_matches(cdn_key, '^[0-9A-Fa-f]{{4,}}\\.(png|html|json)$') GROUP BY cdn_key")
+@query(
+    "PF_10_media_keys",
+    f"""WITH {DENSE}, k AS (SELECT DISTINCT cdn_key FROM dense WHERE cdn_key IS NOT NULL)
+  SELECT replace(cdn_key, '.png', e) AS cdn_key FROM k, (VALUES ('.png'), ('.JPG'), ('.jpeg'), ('.Gif'), ('.pdf'), ('.gz'), ('.bin'), ('.webm')) v(e)""",
+)
 def media_keys(spark, sf_dir):
-    return A.dense_points(spark, sf_dir).where(R.is_media_key(F.col("cdn_key"))).select("cdn_key").distinct()
+    """Keys with stored extensions in any case; pages, programs, short and padded keys are none."""
+    of = [".png", ".JPG", ".jpeg", ".Gif", ".pdf", ".gz", ".bin", ".webm", ".html", ".exe", ".png ", ".png\n", ""]
+    k = A.dense_points(spark, sf_dir).where("cdn_key IS NOT NULL").select("cdn_key").distinct()
+    keys = k.select(F.explode(F.concat(F.array(*[F.replace("cdn_key", F.lit(".png"), F.lit(e)) for e in of]), F.array(F.concat(F.lit("x"), "cdn_key"), F.lit("abc.png")))).alias("cdn_key"))
+    return keys.where(R.is_media_key(F.col("cdn_key")))
 
 
-@query("PF_11_alerts", "SELECT c_custkey AS id, 'High' AS severity FROM customer WHERE c_custkey % 3 = 0 AND c_custkey % 2 = 0")
+@query("PF_11_alerts", "SELECT 'Full ' || c_custkey AS name, CASE WHEN c_custkey % 4 = 0 THEN c_name ELSE '' END AS summary, CASE WHEN c_custkey % 5 <> 0 THEN 'disk' END AS class, '2024-01-01T00:00:00Z' AS active_at FROM customer WHERE c_custkey % 3 = 0 AND c_custkey % 2 = 0")
 def alerts(spark, sf_dir):
     k = F.col("c_custkey")
-    alert = F.struct(k.cast("string").alias("id"), F.when(k % 3 == 0, "firing").otherwise("pending").alias("state"), F.when(k % 2 == 0, "user").otherwise("staff").alias("audience"), F.lit("High").alias("severity"))
-    docs = A.table(spark, sf_dir, "customer").select(F.to_json(F.struct(F.array(alert).alias("alerts"))).alias("body"))
-    return R.firing_alerts(docs, "body").select(F.col("id").cast("long").alias("id"), "severity")
+    labels = F.struct(F.concat(F.lit("Full "), k.cast("string")).alias("alertname"), F.when(k % 2 == 0, "user").otherwise("staff").alias("audience"), F.when(k % 5 != 0, "disk").alias("class"))
+    alert = F.struct(labels.alias("labels"), F.struct(F.when(k % 4 == 0, F.col("c_name")).alias("summary")).alias("annotations"), F.when(k % 3 == 0, "firing").otherwise("pending").alias("state"), F.lit("2024-01-01T00:00:00Z").alias("activeAt"))
+    docs = A.table(spark, sf_dir, "customer").select(F.to_json(F.struct(F.struct(F.array(alert).alias("alerts")).alias("data"))).alias("body"))
+    return R.firing_alerts(docs, "body")
 
 
 @query("PF_12_sections", f"WITH {DENSE} SELECT DISTINCT metric_name, CASE WHEN contains(metric_name, '/') THEN regexp_extract(metric_name, '^(.*)/[^/]*$', 1) ELSE '' END AS section FROM dense")

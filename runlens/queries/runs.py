@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import expressions as X
@@ -33,7 +36,7 @@ def last_logged(spark, sf_dir):
     return U.project_last_logged(_runs(spark, sf_dir)).select("project_id", _ms("last_logged").alias("last_logged_ms"))
 
 
-@query("AG_17_purge_backlog", f"WITH {RUNS} SELECT count(*) AS due, max({NOW} - 604800000 - deleted) AS oldest_overdue_ms FROM runs WHERE purging IS NOT NULL OR {NOW} - deleted >= 604800000")
+@query("AG_17_purge_backlog", f"WITH {RUNS} SELECT count(*) AS due, greatest(coalesce(max({NOW} - 604800000 - deleted), 0), 0) AS oldest_overdue_ms FROM runs WHERE deleted IS NOT NULL AND (purging IS NOT NULL OR {NOW} - deleted >= 604800000)")
 def backlog(spark, sf_dir):
     return U.purge_backlog(_runs(spark, sf_dir), NOW)
 
@@ -50,10 +53,17 @@ def known(spark, sf_dir):
     return R.known_runs(reg, reg.select("project_id", "run_id").distinct().join(s, "run_id")).select("run_id", "metric_name")
 
 
-@query("JN_7_version_lookup", f"WITH {RUNS} SELECT run_id, CASE WHEN k % 3 = 0 THEN 0 WHEN k % 3 = 1 THEN 7 ELSE k % 5 + (coalesce({NOW} - deleted >= 604800000, false))::BIGINT END AS version FROM runs")
+@query(
+    "JN_7_version_lookup",
+    f"""WITH {RUNS} SELECT project_id, run_id, CASE WHEN k % 3 = 0 THEN 0 WHEN k % 3 = 1 THEN 7 WHEN k % 22 = 0 THEN 9223372036854775807
+  ELSE k % 5 + (purging IS NOT NULL OR coalesce({NOW} - deleted >= 604800000, false))::BIGINT END AS version FROM runs UNION ALL SELECT 'elsewhere', run_id, 0 FROM runs""",
+)
 def lookup(spark, sf_dir):
-    r = _runs(spark, sf_dir).withColumn("version", F.col("ordinal") % 5)
-    return U.version_lookup(r.select("run_id"), r.where("ordinal % 3 = 2"), r.where("ordinal % 3 = 1").select("run_id", F.lit(7).cast("long").alias("version")), NOW)
+    """Also runs whose version is the greatest there is, and ids asked for in another project."""
+    k = F.col("ordinal")
+    r = _runs(spark, sf_dir).withColumn("version", F.when(k % 22 == 0, U.MAX_VERSION).otherwise(k % 5))
+    wanted = r.select("project_id", "run_id").unionAll(r.select(F.lit("elsewhere"), "run_id"))
+    return U.version_lookup(wanted, r.where("ordinal % 3 = 2"), r.where("ordinal % 3 = 1").select("project_id", "run_id", F.lit(7).cast("long").alias("version")), NOW)
 
 
 _ASKED = "asked AS (SELECT project_id, run_id, k AS position FROM runs UNION ALL SELECT project_id, run_id, k + 1000000 FROM runs WHERE k % 10 = 0 UNION ALL SELECT project_id, 'x' || k, k + 2000000 FROM runs WHERE k % 100 = 0)"
@@ -98,19 +108,29 @@ def restore(spark, sf_dir):
     f"""WITH {RUNS}, p AS (SELECT run_id, k FROM runs WHERE project_id = 'nation3'), sel AS (SELECT run_id, k % 13 * 100000 + k AS k FROM p WHERE k % 4 = 0),
   e AS (SELECT 0 AS position, 'loss' AS metric_name, k, run_id FROM sel UNION ALL SELECT 1, 'acc', k, run_id FROM p UNION ALL SELECT 2, 'loss', k - 1, run_id FROM (VALUES (1, 'r1'), (2, 'r2')) v(k, run_id)),
   o AS (SELECT metric_name, run_id, min((position, k)) AS seen FROM e GROUP BY ALL), f AS (SELECT run_id FROM (SELECT run_id, min(seen) AS initial FROM o GROUP BY run_id) ORDER BY initial, run_id LIMIT 25)
-  SELECT metric_name, run_id, seen[1]::INTEGER AS position FROM o JOIN f USING (run_id)""",
+  SELECT 25 AS most, metric_name, run_id, seen[1]::INTEGER AS position FROM o JOIN f USING (run_id) UNION ALL SELECT 0, metric_name, run_id, seen[1]::INTEGER FROM o""",
 )
 def bindings(spark, sf_dir):
     p = _runs(spark, sf_dir).where("project_id = 'nation3'")
     sel = p.where("ordinal % 4 = 0").select("run_id", (F.col("ordinal") % 13 * 100_000 + F.col("ordinal")).alias("position"))
     b = spark.createDataFrame([(0, "loss", "selected", None), (1, "acc", "all", None), (2, "loss", "specific", ["r1", "r2"])], "position int, metric_name string, mode string, ids array<string>")
-    return U.resolve_bindings(b, sel, p, 25)
+    return U.resolve_bindings(b, sel, p, 25).withColumn("most", F.lit(25)).unionByName(U.resolve_bindings(b, sel, p, 0).withColumn("most", F.lit(0)))
 
 
-@query("JN_13_roll_forward", f"WITH {RUNS}, p AS (SELECT project_id, max(least(ingested, terminated)) AS t FROM runs GROUP BY ALL) SELECT run_id, greatest(ingested, t) AS project_time_ms FROM runs LEFT JOIN p USING (project_id)")
+@query(
+    "JN_13_roll_forward",
+    f"""WITH {RUNS}, b AS (SELECT * FROM runs WHERE deleted IS NULL), l AS (SELECT project_id, max(least(ingested, terminated)) AS t, substr(project_id, 7)::INTEGER AS i FROM b GROUP BY project_id),
+  a AS (SELECT *, CASE i % 5 WHEN 1 THEN t // 60000 * 60000 - 1 WHEN 2 THEN t // 60000 * 60000 WHEN 3 THEN t + 600000 WHEN 4 THEN t - 90000000 END AS held FROM l)
+  SELECT run_id, CASE WHEN i % 7 <> 6 AND (held IS NULL OR t >= held // 60000 * 60000 + 60000) THEN t END AS project_time_ms FROM b JOIN a USING (project_id)""",
+)
 def roll(spark, sf_dir):
-    r = _runs(spark, sf_dir)
-    return U.roll_forward(r, U.project_last_logged(r)).select("run_id", _ms("project_time").alias("project_time_ms"))
+    """Activities that are unset, of the minute before, of the same minute, later, a day old; some projects have none."""
+    r = _runs(spark, sf_dir).where("deleted_at IS NULL")
+    t, i = _ms("last_logged"), F.substring("project_id", 7, 9).cast("int")
+    minute = F.expr("unix_millis(last_logged) div 60000 * 60000")
+    held = F.when(i % 5 == 1, minute - 1).when(i % 5 == 2, minute).when(i % 5 == 3, t + 600_000).when(i % 5 == 4, t - 90_000_000)
+    activity = U.project_last_logged(r).where(i % 7 != 6).select("project_id", F.timestamp_millis(held).alias("last_logged"))
+    return U.roll_forward(r, activity).select("run_id", _ms("project_time").alias("project_time_ms"))
 
 
 @query("WN_6_ordinals", f"WITH {RUNS} SELECT run_id, CASE WHEN project_id = 'nation1' THEN 100 ELSE 0 END + row_number() OVER (PARTITION BY project_id ORDER BY created, run_id) AS ordinal FROM runs")
@@ -134,11 +154,11 @@ def listing(spark, sf_dir):
 _PAGE = "SELECT run_id, project_id, deleted AS deleted_ms FROM t ORDER BY deleted DESC, project_id, k DESC, run_id LIMIT 11"
 
 
-@query("SL_2_trash_page", f"WITH {RUNS}, t AS (SELECT * FROM runs WHERE deleted IS NOT NULL AND purging IS NULL AND 915148800000 - deleted < 604800000 AND (deleted < 928195200000 OR (deleted = 928195200000 AND project_id > 'nation2'))) {_PAGE}")
+@query("SL_2_trash_page", f"WITH {RUNS}, t AS (SELECT * FROM runs WHERE deleted IS NOT NULL AND (deleted < 928195200000 OR (deleted = 928195200000 AND project_id > 'nation2'))) {_PAGE}")
 def page(spark, sf_dir):
-    """Now is the start of 1999; the page stands behind a cursor in June 1999."""
+    """The page behind a cursor in June 1999; expired runs and those being purged stand in it."""
     r = _runs(spark, sf_dir)
-    return U.trash_page(r, 915_148_800_000, 10, (928_195_200_000, "nation2", -1, "")).select("run_id", "project_id", _ms("deleted_at").alias("deleted_ms"))
+    return U.trash_page(r, 10, (928_195_200_000, "nation2", -1, "")).select("run_id", "project_id", _ms("deleted_at").alias("deleted_ms"))
 
 
 @query("SL_3_key_page", f"WITH {MEDIA} SELECT key FROM media WHERE key > '8' ORDER BY key LIMIT 20")
@@ -148,7 +168,8 @@ def keys(spark, sf_dir):
 
 @query(
     "SL_7_purge_candidates",
-    f"""WITH {RUNS} SELECT run_id, since_ms FROM (SELECT project_id, run_id, purging AS since_ms FROM runs WHERE purging IS NOT NULL UNION ALL SELECT project_id, run_id, deleted FROM runs WHERE purging IS NULL AND {NOW} - deleted >= 604800000)
+    f"""WITH {RUNS}, g AS (SELECT * FROM runs WHERE deleted IS NOT NULL)
+  SELECT run_id, since_ms FROM (SELECT project_id, run_id, attempt AS since_ms FROM g WHERE attempt < {NOW} UNION ALL SELECT project_id, run_id, deleted + 604800000 FROM g WHERE attempt IS NULL AND deleted + 604800000 <= {NOW})
   ORDER BY since_ms, project_id, run_id LIMIT 30""",
 )
 def purge_candidates(spark, sf_dir):
@@ -161,18 +182,18 @@ def union(spark, sf_dir):
     return R.union_runs(_runs(spark, sf_dir), A.dense_points(spark, sf_dir), A.points(spark, sf_dir))
 
 
-_STATUS = "CASE WHEN exit_code = 0 THEN 'finished' WHEN exit_code IS NOT NULL THEN 'crashed' WHEN {n} - main_at < 10000 THEN 'running' WHEN {n} - ingested < 10000 THEN 'stuck' WHEN {n} - ingested < 600000 THEN 'unresponsive' ELSE 'presumed dead' END"
-
-
-@query("RN_1_status", f"WITH {RUNS} SELECT run_id, {_STATUS.format(n='(created + 400000)')} AS status FROM runs")
+@query(
+    "RN_1_status",
+    f"""WITH {RUNS}, m AS (SELECT *, created + (k % 8) * 100000 AS now, coalesce(main_at, created) AS main FROM runs), a AS (SELECT *, greatest(coalesce(system_at, main), main) AS alive FROM m)
+  SELECT run_id, CASE WHEN exit_code = 0 THEN 'finished' WHEN exit_code IS NOT NULL THEN 'crashed' WHEN now - main < 10000 THEN 'running' WHEN now - alive < 10000 THEN 'stuck' WHEN now - alive < 600000 THEN 'unresponsive' ELSE 'presumed dead' END AS status FROM a""",
+)
 def status(spark, sf_dir):
-    """Each run's times are taken against a moment 400 s behind its creation."""
-    r = _runs(spark, sf_dir)
-    base = _ms("created_at") + 400_000
-    return r.select("run_id", U.status(0, F.col("exit_code"), _ms("last_main_metric_at") - base, _ms("last_ingested_at") - base).alias("status"))
+    """Each run at a moment of its own up to 700 s behind its creation, which stands in for a main metric where there is none."""
+    now = _ms("created_at") + F.col("ordinal") % 8 * 100_000
+    return _runs(spark, sf_dir).select("run_id", U.status(now, F.col("exit_code"), _ms("created_at"), _ms("last_main_metric_at"), _ms("last_system_metric_at")).alias("status"))
 
 
-@query("RN_2_status_candidates", f"WITH {RUNS} SELECT run_id FROM runs WHERE exit_code IS NULL AND terminated IS NULL AND 902016000000 - ingested < 660000")
+@query("RN_2_status_candidates", f"WITH {RUNS} SELECT run_id FROM runs WHERE exit_code IS NULL AND deleted IS NULL AND greatest(coalesce(system_at, 0), coalesce(main_at, created)) > 902016000000 - 660000")
 def candidates(spark, sf_dir):
     return U.status_candidates(_runs(spark, sf_dir), 902_016_000_000).select("run_id")
 
@@ -192,10 +213,15 @@ def purge(spark, sf_dir):
     return left.groupBy("project_id", "run_id").agg(F.count(F.lit(1)).alias("n"), F.lit(False).alias("tombstone")).unionByName(gone.select("project_id", "run_id", F.lit(0).cast("long").alias("n"), F.lit(True).alias("tombstone")))
 
 
-@query("RN_7_versions", f"WITH {DENSE} SELECT run_id, count(DISTINCT step // 10) AS version FROM dense GROUP BY ALL")
+@query(
+    "RN_7_versions",
+    f"""WITH {DENSE}, d AS (SELECT project_id, run_id, step // 10 AS b FROM dense)
+  SELECT project_id, run_id, count(DISTINCT b) AS version FROM d GROUP BY ALL UNION ALL SELECT project_id, NULL, count(DISTINCT b) FROM d GROUP BY ALL UNION ALL SELECT NULL, NULL, count(DISTINCT b) FROM d""",
+)
 def versions(spark, sf_dir):
+    """Of every run, every project and the whole."""
     d = A.dense_points(spark, sf_dir).withColumn("batch_id", F.expr("step div 10"))
-    return U.versions(d).select("run_id", "version")
+    return U.all_versions(d).select("project_id", "run_id", "version")
 
 
 @query(
@@ -236,15 +262,18 @@ def import_fold(spark, sf_dir):
 
 @query(
     "RN_11_13_event_fold",
-    """WITH e AS (SELECT 'u' || user_id AS run_id, event_id AS seq, CASE event_id % 4 WHEN 0 THEN 'rename' WHEN 1 THEN 'open' ELSE 'close' END AS kind, 'n' || (event_id % 50) AS name, (event_id % 3)::INTEGER AS exit_code, event_id * 10 AS t, CASE WHEN event_id % 40 = 2 THEN event_id END AS given FROM events),
-  l AS (SELECT run_id, arg_max(name, seq) FILTER (kind = 'rename') AS run_name, arg_max(kind, seq) FILTER (kind <> 'rename') AS k, arg_max(exit_code, seq) FILTER (kind <> 'rename') AS x, max(given) FILTER (kind = 'close') AS g, min(t) FILTER (kind = 'close') AS s FROM e GROUP BY ALL)
-  SELECT run_id, run_name, CASE WHEN k = 'close' THEN x END AS exit_code, CASE WHEN k = 'close' THEN coalesce(g, s) END AS ended_at FROM l""",
+    """WITH e AS (SELECT 'u' || user_id AS run_id, event_id AS seq, CASE WHEN event_id % 19 = 0 THEN 'delete' WHEN event_id % 23 = 0 THEN 'restore' WHEN event_id % 4 = 0 THEN 'rename' WHEN event_id % 29 = 0 THEN 'open' ELSE 'close' END AS kind,
+    'n' || (event_id % 50) AS name, (event_id % 3)::INTEGER AS exit_code, event_id * 10 AS t, CASE WHEN event_id % 5 = 2 THEN event_id * 7 % 1000 END AS given FROM events),
+  d AS (SELECT *, coalesce(last_value(CASE WHEN kind IN ('delete', 'restore') THEN kind END IGNORE NULLS) OVER (PARTITION BY run_id ORDER BY seq), 'restore') AS life FROM e),
+  o AS (SELECT *, coalesce(max(CASE WHEN kind = 'open' THEN seq END) OVER (PARTITION BY run_id), -1) AS opened FROM d WHERE life = 'restore' OR kind = 'delete')
+  SELECT run_id, arg_max(name, seq) FILTER (kind = 'rename') AS run_name, arg_max(exit_code, seq) FILTER (kind = 'close' AND seq > opened) AS exit_code,
+    coalesce(arg_max(given, seq) FILTER (kind = 'close' AND seq > opened AND given IS NOT NULL), arg_min(t, seq) FILTER (kind = 'close' AND seq > opened)) AS ended_at FROM o GROUP BY run_id""",
 )
 def event_fold(spark, sf_dir):
     k = F.col("event_id")
     e = A.table(spark, sf_dir, "events").select(
-        F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("run_id"), k.alias("seq"), F.when(k % 4 == 0, "rename").when(k % 4 == 1, "open").otherwise("close").alias("kind"),
-        F.concat(F.lit("n"), (k % 50).cast("string")).alias("name"), (k % 3).cast("int").alias("exit_code"), (k * 10).alias("at"), F.when(k % 40 == 2, k).alias("given_end"),
+        F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("run_id"), k.alias("seq"), F.when(k % 19 == 0, "delete").when(k % 23 == 0, "restore").when(k % 4 == 0, "rename").when(k % 29 == 0, "open").otherwise("close").alias("kind"),
+        F.concat(F.lit("n"), (k % 50).cast("string")).alias("name"), (k % 3).cast("int").alias("exit_code"), (k * 10).alias("at"), F.when(k % 5 == 2, k * 7 % 1000).alias("given_end"),
     )
     return U.fold_events(e)
 
@@ -277,7 +306,7 @@ def dashboard(spark, sf_dir):
 
 
 _GC = f"""{MEDIA}, inv AS (SELECT key, min(created_ms) AS created_ms, max(size) AS size FROM media GROUP BY key), refs AS (SELECT DISTINCT key FROM media WHERE page_id % 3 = 0),
-  parsed AS (SELECT key AS parent FROM refs WHERE substr(key, 1, 1) < '8'), kids AS (SELECT DISTINCT 'ffff' || substr(parent, 1, 8) || '.html' AS key FROM parsed UNION SELECT min(key) FROM media WHERE page_id % 3 = 1),
+  parsed AS (SELECT key AS parent FROM refs WHERE substr(key, 1, 1) < '8'), kids AS (SELECT DISTINCT 'ffff' || substr(parent, 1, 8) || '.bin' AS key FROM parsed UNION SELECT min(key) FROM media WHERE page_id % 3 = 1),
   referenced AS (SELECT key FROM refs UNION SELECT key FROM kids), acked AS (SELECT DISTINCT key FROM media WHERE page_id % 7 = 1)"""
 
 
@@ -285,7 +314,7 @@ def _garbage(spark, sf_dir):
     m = A.media(spark, sf_dir)
     inventory = m.groupBy("key").agg(F.min("created_ms").alias("created_ms"), F.max("size").alias("size"))
     roots = G.roots(m.where("page_id % 3 = 0").select(F.col("key").alias("cdn_key")))
-    parsed = roots.where(F.substring("key", 1, 1) < "8").select(F.col("key").alias("parent"), F.array(F.concat(F.lit("ffff"), F.substring("key", 1, 8), F.lit(".html"))).alias("children"))
+    parsed = roots.where(F.substring("key", 1, 1) < "8").select(F.col("key").alias("parent"), F.array(F.concat(F.lit("ffff"), F.substring("key", 1, 8), F.lit(".bin"))).alias("children"))
     extra = m.where("page_id % 3 = 1").agg(F.min("key").alias("key")).select(F.lit(None).cast("string").alias("parent"), F.array("key").alias("children"))
     referenced = G.referenced(roots, parsed.unionAll(extra))
     acked = m.where("page_id % 7 = 1").select("key", F.lit(10**12).alias("acked_ms"))
@@ -334,16 +363,19 @@ def dangling(spark, sf_dir):
     f"""WITH {_GC}, c AS (SELECT count(*) AS n, (SELECT count(*) FROM inv WHERE key IN (SELECT key FROM referenced)) AS held FROM inv WHERE created_ms < 300000000 AND key NOT IN (SELECT key FROM referenced) AND key NOT IN (SELECT key FROM acked)),
   o AS (SELECT count(*) AS n FROM refs WHERE key NOT IN (SELECT parent FROM parsed))
   SELECT 'short log' AS setting, 'the ack log doesn''t cover the grace period' AS gate UNION ALL SELECT 'open roots', CASE WHEN o.n > 0 THEN 'unparsed roots' WHEN c.n > 10000 + 0.1 * held THEN 'too many candidates' ELSE 'open' END FROM c, o
-  UNION ALL SELECT 'parsed', CASE WHEN c.n > 10000 + 0.1 * held THEN 'too many candidates' ELSE 'open' END FROM c UNION ALL SELECT 'no allowance', CASE WHEN c.n > 0 THEN 'too many candidates' ELSE 'open' END FROM c""",
+  UNION ALL SELECT 'parsed', CASE WHEN c.n > 10000 + 0.1 * held THEN 'too many candidates' ELSE 'open' END FROM c UNION ALL SELECT 'no allowance', CASE WHEN c.n > 0 THEN 'too many candidates' ELSE 'open' END FROM c
+  UNION ALL SELECT 'asked', 'a question is open' UNION ALL SELECT 'another answered', 'a question is open' UNION ALL SELECT 'answered', 'open' UNION ALL SELECT 'answered, open roots', CASE WHEN o.n > 0 THEN 'unparsed roots' ELSE 'open' END FROM o""",
 )
 def gate(spark, sf_dir):
-    """The answer where the log is too short, where roots are unparsed, where all is well, and where no candidate is allowed."""
+    """The answer where the log is too short, where roots are unparsed, where all is well, where no candidate is allowed, and
+    where a question stands without an answer, with another's, and with its own (which lifts the allowance, nothing else)."""
     inv, r, parsed, ref, acked = _garbage(spark, sf_dir)
     rep, roots_left = G.report(inv, ref, acked, 300_000_000), G.unparsed(r, parsed)
     none = roots_left.limit(0)
     asked = {"short log": G.gate(rep, none, False), "open roots": G.gate(rep, roots_left, True), "parsed": G.gate(rep, none, True), "no allowance": G.gate(rep, none, True, share=0.0, base=0)}
-    parts = [g.select(F.lit(k).alias("setting"), "gate") for k, g in asked.items()]
-    return parts[0].unionAll(parts[1]).unionAll(parts[2]).unionAll(parts[3])
+    few = {"share": 0.0, "base": 0, "question": 7}
+    asked |= {"asked": G.gate(rep, none, True, **few), "another answered": G.gate(rep, none, True, **few, approval=6), "answered": G.gate(rep, none, True, **few, approval=7), "answered, open roots": G.gate(rep, roots_left, True, **few, approval=7)}
+    return reduce(DataFrame.unionAll, [g.select(F.lit(k).alias("setting"), "gate") for k, g in asked.items()])
 
 
 @query("GC_6_approved_subset", f"WITH {_GC}, c AS (SELECT key FROM inv WHERE created_ms < 300000000 AND key NOT IN (SELECT key FROM referenced) AND key NOT IN (SELECT key FROM acked)) SELECT key FROM c WHERE substr(key, 1, 1) < '4'")

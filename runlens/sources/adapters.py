@@ -79,15 +79,17 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("Run "), (k % 700).cast("string")).alias("run_name"),
         ms(created).alias("created_at"),
         F.when(status != "P", ms(created + (k % 90) * 1000)).alias("last_main_metric_at"),
+        F.when(k % 3 != 0, ms(created + (k % 650) * 1000)).alias("last_system_metric_at"),
         ms(created + (k % 700) * 1000).alias("last_ingested_at"),
         F.when(status == "F", F.when(k % 5 == 0, 1).otherwise(0)).cast("int").alias("exit_code"),
         F.when(status == "F", ms(created + (k % 600) * 1000)).alias("terminated_at"),
         F.when(k % 11 == 0, ms(created + (k % 20) * 86_400_000)).alias("deleted_at"),
         F.when(k % 121 == 0, ms(created + 40 * 86_400_000)).alias("purging_at"),
+        F.when(k % 363 == 0, ms(created + 41 * 86_400_000)).alias("purge_attempt_at"),
     )
 
 
 def media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Media inventory of pages: key, size, created."""
     p = table(spark, sf_dir, "pages")
-    return p.select(F.concat(F.sha2(F.coalesce("html", F.lit("")), 256), F.lit(".html")).alias("key"), F.octet_length(F.coalesce("html", F.lit(""))).cast("long").alias("size"), (F.col("page_id") * 3_600_000).alias("created_ms"), "page_id", "url")
+    return p.select(F.concat(F.sha2(F.coalesce("html", F.lit("")), 256), F.lit(".bin")).alias("key"), F.octet_length(F.coalesce("html", F.lit(""))).cast("long").alias("size"), (F.col("page_id") * 3_600_000).alias("created_ms"), "page_id", "url")
