@@ -95,7 +95,7 @@ class _Grams:
         self.piece = np.cumsum(kind == _BREAK)[self.start] + self.text
         size, at = self.end - self.start, np.flatnonzero(inside)
         head = np.cumsum(size) - size
-        place = np.arange(len(at)) - np.repeat(head, size)
+        place = np.arange(len(at), dtype=np.int32) - np.repeat(head.astype(np.int32), size)
         longest = int(size.max(initial=0)) + 1
         n = len(self.start)
         with np.errstate(over="ignore"):
@@ -148,6 +148,7 @@ def _counter(sizes: tuple[int, ...], known, bits: int, limit: int):
             fp, count, second, row = (np.concatenate(x) for x in zip(*parts, strict=True))
             if not len(fp):
                 continue
+            del grams, parts, data
             order = np.argsort(fp)
             fp = fp[order]
             head = np.flatnonzero(np.concatenate([[True], fp[1:] != fp[:-1]]))
@@ -207,7 +208,7 @@ def _recounter(longest: int, known, bits: int, limit: int):
     return run
 
 
-def phrases(docs: DataFrame, longest: int = 3, least: int = 10, bits: int = 64, filter_mb: int = 64, block_bytes: int = 2 << 20) -> DataFrame:
+def phrases(docs: DataFrame, longest: int = 3, least: int = 10, bits: int = 64, filter_mb: int = 64, block_bytes: int = 1 << 20) -> DataFrame:
     """lang, words (how many), phrase, f of every phrase of at most ``longest`` words that stands at least ``least`` times in
     texts (``text``) of a language (``lang``); the empty phrase stands for each word of the language. ``bits``: of the
     fingerprint, fewer for tests of collisions."""
