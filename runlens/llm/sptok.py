@@ -28,6 +28,11 @@ MODEL = f"{TOKENIZERS}/piece_bpe_32k.model"
 _CACHE_UNITS, _CACHE_NODES, _SLICE, _LEARN = 100_000, 1_200_000, 1 << 20, 8_000
 
 
+def _uniform(h: np.ndarray) -> np.ndarray:
+    """Numbers in [0, 1) of 53 bits."""
+    return (mix64(h) >> np.uint64(11)).astype(np.float64) * 2.0**-53
+
+
 class Sampler:
     """Lattices of units, kept between batches up to a bound and then begun anew."""
 
@@ -82,9 +87,9 @@ class Sampler:
         step = 0
         while len(unit):
             with np.errstate(over="ignore"):
-                u = (mix64(base[unit] + np.uint64(step + 1) * np.uint64(0xD1B54A32D192ED03)) >> np.uint64(11)).astype(np.float64) * 2.0**-53
-            edge = np.searchsorted(self.cdf, node + u, "right")
-            edge = np.minimum(edge, len(self.cdf) - 1)
+                u = _uniform(base[unit] + np.uint64(step + 1) * np.uint64(0xD1B54A32D192ED03))
+            # a sum that rounds up to the next node's number would take an edge of that node
+            edge = np.searchsorted(self.cdf, np.minimum(node + u, np.nextafter(node + 1.0, 0.0)), "right")
             ids.append(self.piece[edge])
             occurrence.append(unit)
             steps[unit] += 1
