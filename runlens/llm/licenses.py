@@ -84,6 +84,12 @@ def templates() -> list[tuple[str, str]]:
     return sorted({*out, *TEXTS.items(), *((k, t) for k, texts in MORE.items() for t in texts)})
 
 
+#: Runs of lines that begin as comments of common languages do, enclosed comments, and lines of comments without text.
+_COMMENTS = re.compile(r"(?:^[ \t]*(?:#|//|\*|;|--|%|!|dnl\b|rem\b)[^\n]*(?:\n|\Z))+", re.M)
+_ENCLOSED = re.compile(r"/\*.*?\*/|<!--.*?-->|\"\"\".*?\"\"\"", re.S)
+_COMMENT_GAP = re.compile(r"^[ \t]*(?:#+|//+|\*+|;+|--+|%+|!+|dnl|rem)?[ \t]*\n", re.M)
+
+
 class Matcher:
     """Template vectors over the hashed words of a corpus."""
 
@@ -119,6 +125,11 @@ class Matcher:
             return []
         out = [p for p in low.split("\n") if self.cue.search(p)]
         out += [p for p in re.split(r"\n\s*\n", low) if "\n" in p.strip() and self.cue.search(p)]
+        # comments that code follows without an empty line: whole, and their paragraphs
+        for block in (*(m[0] for m in _COMMENTS.finditer(low)), *(m[0] for m in _ENCLOSED.finditer(low))):
+            if "\n" in block.strip() and self.cue.search(block):
+                out.append(block)
+                out += [p for p in _COMMENT_GAP.split(block) if "\n" in p.strip() and p != block and self.cue.search(p)]
         return [*out, low] if whole else out
 
     def best(self, texts: list[str]) -> list[tuple[str, float]]:
