@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 TOKENIZERS = "/opt/tokenizers"
+#: Runs of letters. ``[^\\W\\d_]`` alone would also take numerals that are no decimal digits, such as superscripts and fractions.
+LETTERS = re.compile("[^\\W\\d_" + "".join(c for c in map(chr, range(0x20000)) if c.isnumeric() and not c.isdecimal() and not c.isalpha()) + "]+")
 
 
 def shared_dir(spark: SparkSession) -> str:

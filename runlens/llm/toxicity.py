@@ -18,7 +18,6 @@ unless ``names`` gives the results other names.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,9 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, slices, with_results
+from .common import LETTERS, mix64, slices, with_results
 
-_WORD = re.compile(r"[^\W\d_]+")
 _CACHE_WORDS = 150_000
 _SCALE = 32.0
 #: Weight of the zero words that each text is averaged with, so that a few words alone can't decide.
@@ -45,7 +43,7 @@ class Shape:
 
 
 def words_of(text: str | None) -> list[str]:
-    return _WORD.findall(text.lower()) if text else []
+    return LETTERS.findall(text.lower()) if text else []
 
 
 def subwords(words: list[str], s: Shape) -> tuple[np.ndarray, np.ndarray]:

@@ -465,11 +465,11 @@ def test_toxicity_scores_are_means_of_rows(spark):
     shape = toxicity.Shape(buckets=1 << 10)
     rng = np.random.default_rng(0)
     model = toxicity.Model(shape, rng.normal(size=1 << 10), -0.3)
-    texts = ["One two two three", "", None, "...", "é" * 3 + " x", "two " * 5000 + "one"]
+    texts = ["One two two three", "", None, "...", "é" * 3 + " x", "two " * 5000 + "one", "two² ½ 3"]
     got = toxicity.Scorer(model).scores(texts)
     for text, score in zip(texts, got, strict=True):
         times: dict = {}
-        for w in re.findall(r"[^\W\d_]+", (text or "").lower()):
+        for w in re.findall(r"[^\W\d_²½]+", (text or "").lower()):
             times[w] = times.get(w, 0) + 1
         total, weight = 0.0, 8.0
         for w, n in times.items():
@@ -513,6 +513,21 @@ def test_sentencepiece_is_lossless_and_reproducible(spark):
     assert sptok.round_trip(docs(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("u", [0.0, 0.5, 1 - 2.0**-53, 1 - 2.0**-35])
+def test_sentencepiece_draws_stay_inside_their_node(monkeypatch, u):
+    """The greatest draws round up to the next node at small nodes, lesser ones at nodes beyond 2^20."""
+    monkeypatch.setattr(sptok, "_uniform", lambda h: np.full(len(h), u))
+    for before in (0, 2**20 + 3):
+        s = sptok.Sampler(sptok.read_bytes(sptok.MODEL), 0.5)
+        s.nodes = before
+        # edges of nodes that aren't there keep the numbers of the others in order
+        s.cdf, s.source, s.piece = np.array([float(before)]), np.array([-1], np.int32), np.array([0], np.int32)
+        texts = ["the river and the stone over there", "é\U0001f600x", "a"]
+        ids, n = s.encode(texts, np.arange(3), 0)
+        pieces = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), pa.array(ids.astype(np.int32)))
+        assert sptok.Decoder(sptok.read_bytes(sptok.MODEL)).texts(pieces).to_pylist() == texts
+
+
 def test_sentencepiece_encode_and_decode(spark):
     """Apart from each other, with other columns kept, a null key, clashing names and a text without spaces."""
     df = docs(spark, [*TEXTS, "x" * 100_000], [*range(len(TEXTS)), None]).withColumn("Decoded", F.lit("mine")).withColumn("pieces", F.lit(1))
@@ -573,7 +588,7 @@ def test_language_id(spark):
     rows = [(i, " ".join(np.random.default_rng(i).permutation((en if i % 2 else de).split())), "en" if i % 2 else "de", "s", 0) for i in range(60)]
     df = spark.createDataFrame(rows, DOCS)
     langs, log_p = langid.train(df.where("doc_id < 40"))
-    test = df.where("doc_id >= 40").select("doc_id", "text", "lang").unionAll(spark.createDataFrame([(90, None, None), (91, "", None), (92, "12 !!", None), (93, "the " * 100_000, "en")], "doc_id long, text string, lang string"))
+    test = df.where("doc_id >= 40").select("doc_id", "text", "lang").unionAll(spark.createDataFrame([(90, None, None), (91, "", None), (92, "12 !! ² ½ Ⅷ ①", None), (93, "the " * 100_000, "en")], "doc_id long, text string, lang string"))
     got = {r.doc_id: r for r in langid.predict(test.withColumn("score", F.lit("clash")), langs, log_p).collect()}
     assert all(got[i].lang_pred == ("en" if i % 2 else "de") and 0.5 < got[i].score <= 1 for i in [*range(40, 60), 93])
     assert [(got[i].lang_pred, got[i].score) for i in (90, 91, 92)] == [("und", 0.0)] * 3
@@ -668,6 +683,16 @@ def test_licenses_that_share_passages(spark):
     assert [got[i] for i in range(7)] == ["BSD-3-Clause", "BSD-2-Clause", "AGPL-3.0", "LGPL-3.0", "GPL-3.0", "BSD-3-Clause", "BSD-3-Clause"]
 
 
+def test_licenses_of_headers_right_above_code(spark):
+    """A header needs no empty line behind it, whatever its comments look like and whatever else they say."""
+    lines = licenses.TEXTS["MIT"].replace(", ", ",\n").split("\n")
+    code = "\n".join(f"x{i} = f(y{i}, {i}) + {w}" for i, w in enumerate(words(90)))
+    shapes = ["".join(f"# {x}\n" for x in lines), "".join(f"// {x}\n" for x in lines), "/*\n" + "\n".join(lines) + "\n*/\n", '"""' + "\n".join(lines) + '"""\n', "".join(f"    ;; {x}\n" for x in [*words(40, 3), "", *lines, "", *words(40, 4)])]
+    files = [(i, f"d{i}/x", s + code) for i, s in enumerate(shapes)] + [(50, "e/x", "# x\n# y\n" + code)] + [(100 + i, f"n/{i}.txt", " ".join(words(60, i))) for i in range(30)]
+    got = {r.file_id: r.license for r in licenses.inherit(licenses.scan(spark.createDataFrame(files, "file_id long, path string, text string"))).collect()}
+    assert [got[i] for i in range(len(shapes))] == ["MIT"] * len(shapes) and got[50] is None
+
+
 def brute_cosines(m, units):
     """Cosines to every template by dictionaries of words."""
     bag = lambda t: _weighted(m, t)

@@ -91,13 +91,12 @@ def test_pipeline_of_no_documents(spark, odd_tables, tmp_path):
 
 def test_stages_take_what_they_should(spark):
     """Each filtering stage against a plain statement of its rule on the smallest tables."""
-    import re
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = docs.collect()
     stages = dict(corpus_pipeline.STAGES)
     kept = lambda name: sorted(r.doc_id for r in stages[name](spark, docs, SF).collect())
-    assert kept("language_id") == sorted(r.doc_id for r in rows if re.search(r"[^\W\d_]", r.text or ""))
+    assert kept("language_id") == sorted(r.doc_id for r in rows if any(map(str.isalpha, r.text or "")))
     classes = {r.doc_id: r.class_id for r in neardup.near_duplicates(docs).collect()}
     assert kept("near_duplicates") == sorted(i for i, c in classes.items() if i == c)
     hits = {r.doc_id: r.n_hit for r in queries.QUERIES["op3_decontaminate"](spark, SF).collect()}
