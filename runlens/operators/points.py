@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import FLOAT_MAX, is_finite
+from ..plans.scan import dealt, last_before, previous, running, undealt
 
 KEY = ["project_id", "run_id", "metric_name", "tag", "step"]
 SERIES = ["project_id", "run_id", "metric_name", "tag"]
@@ -130,18 +131,12 @@ def relative_time(df: DataFrame) -> DataFrame:
     return df.join(first, SERIES).withColumn("x", F.col("timestamp_ms") - F.col("_first")).drop("_first")
 
 
-def positive_gaps(df: DataFrame, x: str, by: list[str], block_rows: int = 1_000_000) -> DataFrame:
+def positive_gaps(df: DataFrame, x: str, by: list[str]) -> DataFrame:
     """by.., gap: positive differences of consecutive x of each series.
 
-    A series is cut into blocks of x, so that no task sorts it whole; a block's first x meets the last one before it in a
-    window over a row for each block."""
-    lo, hi, n = df.agg(F.min(x).cast("double"), F.max(x).cast("double"), F.count(F.lit(1))).first()
-    width = (hi - lo) / math.ceil(n / block_rows) if n and hi > lo else 1.0
-    keyed = df.select(*by, F.col(x).alias("_x"), F.floor(F.col(x) / width).alias("_block"))
-    inside = keyed.withColumn("gap", F.col("_x") - F.lag("_x").over(Window.partitionBy(*by, "_block").orderBy("_x")))
-    edges = keyed.groupBy(*by, "_block").agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
-    between = edges.withColumn("gap", F.col("_lo") - F.lag("_hi").over(Window.partitionBy(*by).orderBy("_block")))
-    return inside.select(*by, "gap").unionAll(between.select(*by, "gap")).where("gap > 0")
+    A series is scanned in blocks of equal counts, whatever its density. Equal x give no gap, so each counts once."""
+    once = df.select(*by, F.col(x).alias("_x")).where("_x IS NOT NULL").distinct()
+    return previous(once, by, ["_x"], {"_was": F.col("_x")}).select(*by, (F.col("_x") - F.col("_was")).alias("gap")).where("gap > 0")
 
 
 def median_gap(df: DataFrame, x: str, by: list[str]) -> DataFrame:
@@ -157,10 +152,10 @@ def median_gap(df: DataFrame, x: str, by: list[str]) -> DataFrame:
 
 def counter_rates(df: DataFrame) -> DataFrame:
     """(value - previous) / seconds / 1e6 of counters; a reset or a standing clock gives no point."""
-    w = Window.partitionBy(*SERIES).orderBy("timestamp_ms", "step")
-    dt = (F.col("timestamp_ms") - F.lag("timestamp_ms").over(w)) / 1000.0
-    dv = F.col("value").cast("double") - F.lag(F.col("value").cast("double")).over(w)
-    return df.withColumn("_dt", dt).withColumn("_dv", dv).where("_dt > 0 AND _dv >= 0").select(*SERIES, "step", "timestamp_ms", (F.col("_dv") / F.col("_dt") / 1e6).alias("rate"))
+    told = previous(df, SERIES, ["timestamp_ms", "step"], {"_t": F.col("timestamp_ms"), "_v": F.col("value")})
+    dt = (F.col("timestamp_ms") - F.col("_t")) / 1000.0
+    dv = F.col("value").cast("double") - F.col("_v").cast("double")
+    return told.withColumn("_dt", dt).withColumn("_dv", dv).where("_dt > 0 AND _dv >= 0").select(*SERIES, "step", "timestamp_ms", (F.col("_dv") / F.col("_dt") / 1e6).alias("rate"))
 
 
 def history(df: DataFrame, metric: str) -> DataFrame:
@@ -182,10 +177,9 @@ def fingerprint(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
 
 def monotone_steps(df: DataFrame, by: list[str], order: list[str], want: str) -> DataFrame:
     """step_i = max(want_i, step_(i-1) + 1) in closed form: row number plus the running maximum of want - row number."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    n = F.row_number().over(w)
-    ahead = df.withColumn("_n", n).withColumn("_d", F.col(want) - F.col("_n"))
-    return ahead.withColumn("step", F.col("_n") + F.max("_d").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_n", "_d")
+    placed = running(dealt(df, by, order), by, {"_n": ("sum", F.lit(1).cast("long"))})
+    ahead = running(placed, by, {"_d": ("max", F.col(want) - F.col("_n"))})
+    return undealt(ahead.withColumn("step", F.col("_n") + F.col("_d"))).drop("_n", "_d")
 
 
 def fan_out(records: DataFrame, value: str = "record") -> DataFrame:
@@ -216,13 +210,13 @@ def replay(batches: DataFrame) -> DataFrame:
 
 
 def asof(left: DataFrame, right: DataFrame, by: list[str], on: str, values: list[str]) -> DataFrame:
-    """Each left row with the values of the last right row at or before it (null without one): a union and one window for each
-    key, no range join. Right rows with equal ``on`` are taken by their values."""
+    """Each left row with the values of the last right row at or before it (null without one): a union and a scan in blocks, so
+    that a key may be of any size. Right rows with equal ``on`` are taken by their values. Keys mustn't be null."""
     a = left.select(*by, F.col(on).alias("_on"), F.struct(*left.columns).alias("_l"), F.lit(None).cast(right.select(F.struct(*values)).schema[0].dataType).alias("_r"))
     b = right.select(*by, F.col(on).alias("_on"), F.lit(None).cast(a.schema["_l"].dataType).alias("_l"), F.struct(*values).alias("_r"))
     # at equal places right rows come first, in order of their values
-    w = Window.partitionBy(*by).orderBy("_on", F.col("_l").isNotNull(), "_r").rowsBetween(Window.unboundedPreceding, 0)
-    found = a.unionAll(b).withColumn("_v", F.last("_r", True).over(w)).where("_l IS NOT NULL")
+    both = a.unionAll(b).withColumn("_late", F.col("_l").isNotNull())
+    found = last_before(dealt(both, by, ["_on", "_late", "_r"]), by, {"_v": F.col("_r")}).where("_late")
     return found.select("_l.*", *[F.col(f"_v.{v}").alias(v) for v in values])
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import is_finite, marker_kind
 from ..operators.points import latest, median_gap, smoothing_margin, tag_groups
+from .scan import dealt, last_before
 from .scratch import checkpointed, numbered
 from .smooth import EMA_FLOOR, SAVGOL_FLOOR, Floor, Smoothing, smooth
 
@@ -170,11 +171,11 @@ def prepare(points: DataFrame, req: Request) -> tuple[DataFrame, DataFrame]:
     y = y.select(*SERIES, "step", "x", "y", marker_kind(F.col("y")).alias("kind"), "shown", bad.alias("bad"))
     good = y.where("NOT bad")
     if req.axis == "metric":
-        # bad points look back for the last x drawn before them: one series' steps in order
-        w = Window.partitionBy(*SERIES).orderBy("step")
+        # bad points look back for the last x drawn before them, in their series' order of steps
         plotted = F.when(~F.col("bad") & F.col("shown"), F.col("x"))
-        at = y.withColumn("_prev", F.last(plotted, True).over(w)).withColumn("_first", F.first(plotted, True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-        anchors = at.where("bad AND shown").select(*SERIES, F.coalesce("_prev", "_first").alias("anchor"))
+        at = last_before(dealt(y.where("shown").select(*SERIES, "step", "x", "bad", "shown"), SERIES, ["step"]), SERIES, {"_prev": plotted}, include=True)
+        first = y.where("shown AND NOT bad").groupBy(*SERIES).agg(F.min_by("x", "step").alias("_first"))
+        anchors = at.where("bad").join(first, SERIES, "left").select(*SERIES, F.coalesce("_prev", "_first").alias("anchor"))
     else:
         first = good.where("shown").groupBy(*SERIES).agg(F.min("x").alias("anchor"))
         anchors = y.where("bad AND shown").select(*SERIES).join(first, SERIES, "left")
@@ -205,12 +206,13 @@ def chart_and_grid(points: DataFrame, req: Request) -> tuple[DataFrame, Grid | N
 def plan_axis(samples: DataFrame, req: Request) -> tuple[Grid | None, DataFrame, DataFrame | None] | None:
     """Grid (None: every distinct x has a slot), slots and cells of a chart; None if nothing can be drawn. A grid on which no
     cell is an envelope is none. More than ``MAX_TAGS`` tag groups of a run's metric are an error."""
-    tags = samples.where("tag <> ''").select(*SERIES).distinct().groupBy("run_id", "metric_name").agg(F.count(F.lit(1)).alias("n"))
-    wide = tags.where(F.col("n") > MAX_TAGS).orderBy("run_id", "metric_name").first()
-    if wide:
-        raise ValueError(f"{wide.run_id}/{wide.metric_name} has {wide.n} tags, {MAX_TAGS} at most make a chart")
     shown = samples.where("shown")
     lo, hi, distinct = shown.agg(F.min("x"), F.max("x"), F.countDistinct("x")).first()
+    tagged = samples.where("tag <> ''")
+    if not tagged.isEmpty():
+        tags = tagged.select(*SERIES).distinct().groupBy("run_id", "metric_name").agg(F.count(F.lit(1)).alias("n"))
+        if wide := tags.where(F.col("n") > MAX_TAGS).orderBy("run_id", "metric_name").first():
+            raise ValueError(f"{wide.run_id}/{wide.metric_name} has {wide.n} tags, {MAX_TAGS} at most make a chart")
     if lo is None:
         return None
     grid = plan_grid(lo, hi, distinct, req)
@@ -376,13 +378,15 @@ def custom_smoothed(points: DataFrame, req: Request) -> tuple[DataFrame, Grid |
 
 def _interpolated(points: DataFrame, slots: DataFrame) -> DataFrame:
     """Piecewise linear through a series' points at slots; beyond the ends the nearest segment goes on."""
-    one = points.groupBy(*SERIES, "x").agg(F.max("y").alias("y"))
-    w = Window.partitionBy(*SERIES).orderBy("x")
-    seg = one.withColumns({"n": F.struct(F.lead("x").over(w).alias("x"), F.lead("y").over(w).alias("y")), "b": F.struct(F.lag("x").over(w).alias("x"), F.lag("y").over(w).alias("y"))})
-    left = seg.select(*SERIES, F.lit(None).cast("long").alias("slot"), "x", F.struct(F.col("x").alias("x0"), F.col("y").alias("y0"), F.coalesce("n.x", "b.x").alias("x1"), F.when(F.col("n.x").isNotNull(), F.col("n.y")).otherwise(F.col("b.y")).alias("y1")).alias("s"))
-    events = left.unionAll(slots.select(*SERIES, "slot", F.col("xq").alias("x"), F.lit(None)))
-    order = Window.partitionBy(*SERIES).orderBy("x", F.col("slot").isNotNull())
-    got = F.coalesce(F.last("s", True).over(order), F.first("s", True).over(order.rowsBetween(0, Window.unboundedFollowing)))
-    at = events.withColumn("g", got).where("slot IS NOT NULL AND g IS NOT NULL")
+    one = points.groupBy(*SERIES, "x").agg(F.max("y").alias("y")).select(*SERIES, F.lit(None).cast("long").alias("slot"), "x", F.struct("x", "y").alias("p"))
+    events = one.unionAll(slots.select(*SERIES, "slot", F.col("xq").alias("x"), F.lit(None))).withColumn("late", F.col("slot").isNotNull())
+    # each point knows its neighbours, then each slot the points around it
+    d = last_before(dealt(events, SERIES, ["x", "late", "slot"]), SERIES, {"b": F.col("p")})
+    d = last_before(d, SERIES, {"n": F.col("p")}, backwards=True)
+    far = lambda c: F.coalesce(F.col(f"n.{c}"), F.col(f"b.{c}")) if c == "x" else F.when(F.col("n").isNotNull(), F.col("n.y")).otherwise(F.col("b.y"))
+    seg = F.when(F.col("p").isNotNull(), F.struct(F.col("p.x").alias("x0"), F.col("p.y").alias("y0"), far("x").alias("x1"), far("y").alias("y1")))
+    d = checkpointed(d.withColumn("s", seg).drop("p", "b", "n"))
+    d = last_before(last_before(d, SERIES, {"s_b": F.col("s")}, include=True), SERIES, {"s_n": F.col("s")}, backwards=True)
+    at = d.withColumn("g", F.coalesce("s_b", "s_n")).where("late AND g IS NOT NULL")
     slope = (F.col("g.y1") - F.col("g.y0")) / (F.col("g.x1") - F.col("g.x0"))
     return at.select(*SERIES, "slot", F.when(F.col("g.x1").isNull(), F.col("g.y0")).otherwise(F.col("g.y0") + slope * (F.col("x") - F.col("g.x0"))).alias("line"))

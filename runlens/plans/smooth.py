@@ -1,7 +1,6 @@
 """Smoothers read at chart slots: exponential, triangular and Savitzky-Golay local polynomial fits, without a fold.
 
-Sums run within blocks of a series, block totals are summed over a row for each block, and both meet in a join on
-(series, block). Samples are (series.., x, y) with finite y; slots are (series.., slot, x).
+Running sums are taken in blocks of equal counts (``scan``), whatever a series' size and density. Samples are (series.., x, y) with finite y; slots are (series.., slot, x).
 """
 
 from __future__ import annotations
@@ -13,10 +12,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.fit import fit, moments, translated
+from .scan import dealt, running
 
 SAVGOL_FLOOR = (5 / 7, 5 / 7, 805 / 572)
 EMA_FLOOR = (0.5, 1.25, 33 / 16)
-_BLOCK_ROWS = 200_000
 _FOLDS = 20.0  # a block of an EMA, in e-folds; two blocks back the weights are below e^-20 of the newest
 
 
@@ -60,37 +59,37 @@ def _events(samples: DataFrame, slots: DataFrame, series: list[str]) -> DataFram
     return a.unionAll(b)
 
 
-def _sums(cols: list[Column], w) -> list[Column]:
-    return [F.coalesce(F.sum(c).over(w), F.lit(0.0)) for c in cols]
+def _sums(e: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
+    """The slots of ``e`` with the sums of ``names`` over the samples of their key at or before their x."""
+    # at equal x samples come before the slot
+    ordered = dealt(e.withColumn("_late", F.col("slot").isNotNull()), keys, ["x", "_late", "slot"])
+    summed = running(ordered, keys, {f"s_{n}": ("sum", F.col(n)) for n in names}).where("slot IS NOT NULL")
+    return summed.select(*[c for c in e.columns if c not in names], *[F.coalesce(f"s_{n}", F.lit(0.0)).alias(n) for n in names])
 
 
 def _triangular(samples, slots, series, s: Smoothing, units) -> DataFrame:
-    """Weight 1 + (x - first x) / unit: it never decays, so moments are prefix sums, taken in two levels."""
+    """Weight 1 + (x - first x) / unit: it never decays, so moments are running sums."""
     d = s.degree
-    span = samples.groupBy(*series).agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.ceil(F.count(F.lit(1)) / _BLOCK_ROWS).alias("blocks"))
+    span = samples.groupBy(*series).agg(F.min("x").alias("x0"), F.max("x").alias("x1"))
     e = _events(samples, slots, series).join(span.join(units, series), series).where("slot IS NULL OR x >= x0")
     scale = F.greatest(F.col("x1") - F.col("x0"), F.lit(1.0))
     u = (F.col("x") - F.col("x0")) / scale
     w = F.when(F.col("y").isNotNull(), 1 + (F.col("x") - F.col("x0")) / F.col("unit"))
     mw, sw = moments(w, u, F.col("y"), d)
     names = [f"m{i}" for i in range(len(mw) + len(sw))]
-    e = e.withColumns({"u": u, "block": F.least(F.floor(u * F.col("blocks")), F.col("blocks"))} | dict(zip(names, mw + sw, strict=True)))
-    # at equal x samples come before the slot, which reads all at or before it
-    inside = Window.partitionBy(*series, "block").orderBy("x", F.col("slot").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
-    at = e.select(*series, "block", "slot", "u", *[x.alias(n) for n, x in zip(names, _sums([F.col(n) for n in names], inside), strict=True)]).where("slot IS NOT NULL")
-    per = e.groupBy(*series, "block").agg(*[F.coalesce(F.sum(n), F.lit(0.0)).alias(n) for n in names])
-    before = Window.partitionBy(*series).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    carried = per.select(*series, "block", *[x.alias(f"c{n}") for n, x in zip(names, _sums([F.col(n) for n in names], before), strict=True)])
-    both = [F.col(n) + F.col(f"c{n}") for n in names]
-    value = fit(both[: 2 * d + 1], both[2 * d + 1 :], d, F.col("u"))
-    return at.join(carried, [*series, "block"]).select(*series, "slot", value.alias("value")).where("value IS NOT NULL")
+    e = e.select(*series, "slot", "x", u.alias("u"), *[c.alias(n) for n, c in zip(names, mw + sw, strict=True)])
+    at = _sums(e, series, names)
+    sums = [F.col(n) for n in names]
+    value = fit(sums[: 2 * d + 1], sums[2 * d + 1 :], d, F.col("u"))
+    return at.select(*series, "slot", value.alias("value")).where("value IS NOT NULL")
 
 
 def _ema(samples, slots, series, s: Smoothing, units, floor: Floor) -> DataFrame:
     """Weight exp(-folds between sample and slot), folds being the integral of dx / (unit tau(x)).
 
     A block is ``_FOLDS`` folds; moments are centred on a block's last sample. A slot has its block's prefix and the
-    totals of the two blocks with samples before it, re-centred."""
+    totals of the two blocks with samples before it: three rows, each re-centred, that are summed for each slot. Prefixes are
+    scanned in parts of equal counts, however many samples a block has."""
     d, n = s.degree, 2 * s.degree + 1
     r = EMA_FLOOR[d]
     base = F.greatest(F.lit(s.tau), F.lit(r * floor.width) / F.col("unit")) * F.col("unit")  # in x
@@ -106,40 +105,38 @@ def _ema(samples, slots, series, s: Smoothing, units, floor: Floor) -> DataFrame
         return F.least(x, knee) / base + F.when(x > knee, F.log((x + floor.shift) / (knee + floor.shift)) / growth).otherwise(0.0)
 
     e = _events(samples, slots, series).join(units, series).withColumn("e", folds(F.col("x"))).withColumn("block", F.floor(F.col("e") / _FOLDS))
-    block = Window.partitionBy(*series, "block")
-    e = e.withColumn("ref", F.max(F.when(F.col("y").isNotNull(), F.col("x"))).over(block))
-    e = e.withColumns({"ref_e": folds(F.col("ref")), "ref_tau": tau(F.col("ref"))})
+    keys = [*series, "block"]
+    # a row for each block: its last sample, if it has any
+    refs = e.groupBy(*keys, "unit").agg(F.max(F.when(F.col("y").isNotNull(), F.col("x"))).alias("ref"))
+    refs = refs.select(*keys, "ref", folds(F.col("ref")).alias("ref_e"), tau(F.col("ref")).alias("ref_tau"))
+    e = e.join(refs, keys)
     u = (F.col("x") - F.col("ref")) / F.col("ref_tau")
     w = F.when(F.col("y").isNotNull(), F.exp(F.col("e") - F.col("ref_e")))
     mw, sw = moments(w, u, F.col("y"), d)
     names = [f"m{i}" for i in range(len(mw) + len(sw))]
-    e = e.withColumns(dict(zip(names, mw + sw, strict=True)))
-    inside = block.orderBy("x", F.col("slot").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
-    at = e.select(*series, "block", "slot", "x", "ref", "ref_e", "ref_tau", *[x.alias(k) for k, x in zip(names, _sums([F.col(k) for k in names], inside), strict=True)]).where("slot IS NOT NULL")
-    # a row for each block; p1 and p2 are the last two blocks before it that hold samples
+    e = e.select(*keys, "slot", "x", "ref", "ref_e", "ref_tau", *[c.alias(k) for k, c in zip(names, mw + sw, strict=True)])
+    at = _sums(e, keys, names)
+    # p1 and p2 are the last two blocks before a block that hold samples
     own = F.when(F.col("ref").isNotNull(), F.struct("block", "ref", "ref_e", "ref_tau", *names))
-    totals = e.groupBy(*series, "block").agg(F.max("ref").alias("ref"), F.max("ref_e").alias("ref_e"), F.max("ref_tau").alias("ref_tau"), *[F.sum(k).alias(k) for k in names])
+    totals = e.groupBy(*keys).agg(F.max("ref").alias("ref"), F.max("ref_e").alias("ref_e"), F.max("ref_tau").alias("ref_tau"), *[F.sum(k).alias(k) for k in names])
     back = Window.partitionBy(*series).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     chained = totals.select(*series, "block", own.alias("own")).withColumn("p1", F.last("own", True).over(back))
     chained = chained.withColumn("p2", F.last(F.when(F.col("own").isNotNull(), F.struct("p1")), True).over(back).getField("p1"))
-    j = at.join(chained.select(*series, "block", F.struct("p1", "p2").alias("p")), [*series, "block"])
+    chained = chained.select(*keys, F.struct("p1.ref", "p1.ref_e", "p1.ref_tau", *[f"p1.{k}" for k in names]).alias("p1"), F.struct("p2.ref", "p2.ref_e", "p2.ref_tau", *[f"p2.{k}" for k in names]).alias("p2"))
+    j = at.join(chained, keys).withColumn("p0", F.struct("ref", "ref_e", "ref_tau", *names))
     here = F.col("m0") > 0
-    ref, ref_e, ref_tau = (F.when(here, F.col(c)).otherwise(F.col(f"p.p1.{c}")) for c in ("ref", "ref_e", "ref_tau"))
-    j = j.withColumns({"_r": ref, "_e": ref_e, "_t": ref_tau}).where("_r IS NOT NULL")
-
-    def moved(p: str) -> list[Column]:
-        # only ratios of weights count, so exponents may be cut where they would leave the range
-        scale = F.exp(F.greatest(F.col(f"{p}.ref_e") - F.col("_e"), F.lit(-600.0)))
-        rr, dd = F.col(f"{p}.ref_tau") / F.col("_t"), (F.col(f"{p}.ref") - F.col("_r")) / F.col("_t")
-        raw = [F.col(f"{p}.{k}") for k in names]
-        return [F.coalesce(c, F.lit(0.0)) for c in translated(raw[:n], scale, rr, dd) + translated(raw[n:], scale, rr, dd)]
-
-    own_m = [F.when(here, F.col(k)).otherwise(0.0) for k in names]
-    total = {f"t{i}": a + b + c for i, (a, b, c) in enumerate(zip(own_m, moved("p.p1"), moved("p.p2"), strict=True))}
-    j = j.withColumns(total)
-    t = [F.col(k) for k in total]
+    ref, ref_e, ref_tau = (F.when(here, F.col(c)).otherwise(F.col(f"p1.{c}")) for c in ("ref", "ref_e", "ref_tau"))
+    j = j.select(*series, "slot", "x", ref.alias("_r"), ref_e.alias("_e"), ref_tau.alias("_t"), F.inline(F.array(F.when(here, F.col("p0")), "p1", "p2"))).where("_r IS NOT NULL AND ref IS NOT NULL")
+    # only ratios of weights count, so exponents may be cut where they would leave the range
+    scale = F.exp(F.greatest(F.col("ref_e") - F.col("_e"), F.lit(-600.0)))
+    rr, dd = F.col("ref_tau") / F.col("_t"), (F.col("ref") - F.col("_r")) / F.col("_t")
+    raw = [F.col(k) for k in names]
+    moved = translated(raw[:n], scale, rr, dd) + translated(raw[n:], scale, rr, dd)
+    # a row's weights in plain columns first: the sums are then small enough to be compiled
+    summed = j.groupBy(*series, "slot", "x", "_r", "_t").agg(*[F.sum(c).alias(k) for k, c in zip(names, moved, strict=True)])
+    t = [F.col(k) for k in names]
     value = fit(t[:n], t[n:], d, (F.col("x") - F.col("_r")) / F.col("_t"))
-    return j.select(*series, "slot", value.alias("value")).where("value IS NOT NULL")
+    return summed.select(*series, "slot", value.alias("value")).where("value IS NOT NULL")
 
 
 def _savgol(samples, slots, series, s: Smoothing, units, floor: Floor) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from ..functions.expressions import FLOAT_MAX, is_finite, truncate_bytes
 from ..operators.points import monotone_steps
 from ..operators.registry import EXTENSIONS
+from ..plans.scan import place
 from ..plans.scratch import checkpointed
 
 #: Characters of a text chunk, its terminator included.
@@ -66,8 +67,7 @@ def unpivot_history(df: DataFrame, created_ms: int, order: list[str]) -> DataFra
 
 def row_axes(df: DataFrame, run: list[str], order: list[str], created_ms: int) -> DataFrame:
     """step: ``_step``, else the row's place in its run; timestamp_ms: ``_timestamp`` in seconds, else the run's creation."""
-    place = F.row_number().over(Window.partitionBy(*run).orderBy(*order)) - 1
-    return df.withColumn("step", F.coalesce(F.col("_step").cast("long"), place.cast("long"))).withColumn("timestamp_ms", F.coalesce((F.col("_timestamp") * 1000).cast("long"), F.lit(created_ms).cast("long")))
+    return place(df, run, order, "_place").withColumn("step", F.coalesce(F.col("_step").cast("long"), F.col("_place"))).drop("_place").withColumn("timestamp_ms", F.coalesce((F.col("_timestamp") * 1000).cast("long"), F.lit(created_ms).cast("long")))
 
 
 def jsonl_points(lines: DataFrame, column: str = "line") -> DataFrame:

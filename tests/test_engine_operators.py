@@ -42,13 +42,13 @@ def test_natural_order(spark):
     assert got.index("v1") < got.index("v01") < got.index("x-2") < got.index("x-10") and got.index("a10") < got.index("a007")
 
 
-@pytest.mark.parametrize("block_rows", [3, 1_000_000])
-def test_median_gap(spark, block_rows, monkeypatch):
+@pytest.mark.parametrize("bits", [1, 14])
+def test_median_gap(spark, bits, monkeypatch):
     rng = np.random.default_rng(1)
     series = {"a": np.sort(rng.integers(0, 5000, 400)), "b": np.array([7]), "c": np.array([1, 1, 1]), "d": np.array([0, 5, 10, 11])}
     df = spark.createDataFrame([(s, int(x)) for s, xs in series.items() for x in xs], "s string, x long")
-    plain = P.positive_gaps
-    monkeypatch.setattr(P, "positive_gaps", lambda d, x, by: plain(d, x, by, block_rows))
+    plain = P.previous
+    monkeypatch.setattr(P, "previous", lambda *a: plain(*a, bits=bits))
     got = {r.s: r for r in P.median_gap(df, "x", ["s"]).collect()}
     for s, xs in series.items():
         gaps = np.sort(np.diff(xs)[np.diff(xs) > 0])
