@@ -10,6 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.scan import dealt, last_before, running, undealt
+from ..plans.scratch import checkpointed
+
 STREAM = ["project_id", "run_id"]
 ORDER = ["step", "metric_name", "tag"]
 MAX_LINES = 2000
@@ -96,17 +99,44 @@ def search(chunks: DataFrame, text: str) -> DataFrame:
 
 
 def pack_lines(rows: DataFrame, by: list[str], order: list[str], cap: int = 64_000) -> DataFrame:
-    """Console lines -> chunks: a new chunk where the stream changes or ``cap`` characters are full (by the running length in
-    the stretch, so a chunk may pass the cap by a line); a line without a time takes its chunk's first."""
-    w = Window.partitionBy(*by).orderBy(*order)
+    """Console lines -> chunks, greedily: a chunk takes lines while its stream stays the same and its characters, terminators
+    included, stay within ``cap``; a longer line is a chunk of its own. A chunk's time is its first line's, else that of the
+    chunk before it, else 0.
+
+    Where a stretch of one stream fits the cap it is a chunk. In longer ones every line's successor, the first line of the next
+    chunk if a chunk began with it, is found in prefix sums, and the lines that the first one leads to are marked by doubling:
+    a round follows twice as many chunks as the one before it. No step holds a stretch in a task."""
+    key, part = [*by, "island"], [*by, "island", "_n"]
     line = F.regexp_replace("line", r"(\r\n|\n)\z", "")
-    r = rows.withColumn("_line", line).withColumn("_new", F.when(F.lag("stream").over(w).eqNullSafe(F.col("stream")), 0).otherwise(1))
-    r = r.withColumn("_island", F.sum("_new").over(w))
-    inside = Window.partitionBy(*by, "_island").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    r = r.withColumn("_part", F.floor(F.coalesce(F.sum(F.length("_line") + 1).over(inside), F.lit(0)) / cap))
-    packed = r.groupBy(*by, "_island", "_part").agg(F.min("stream").alias("stream"), F.min("timestamp_ms").alias("timestamp_ms"), F.count(F.lit(1)).alias("n_lines"), F.sort_array(F.collect_list(F.struct(*order, "_line"))).alias("l"))
-    text = F.concat(F.array_join(F.transform("l", lambda x: x["_line"]), "\n"), F.lit("\n"))
-    return packed.select(*by, F.col("_island").alias("island"), F.col("_part").alias("part"), "stream", "timestamp_ms", "n_lines", text.alias("text_data"))
+    d = dealt(rows.select(*by, *order, "stream", "timestamp_ms", line.alias("_line")), by, order)
+    d = last_before(d, by, {"_was": F.struct(F.col("stream").alias("s"))})
+    fresh = F.when(F.col("_was").isNull() | ~F.col("_was.s").eqNullSafe(F.col("stream")), 1).otherwise(0)
+    d = running(d, by, {"island": ("sum", fresh), "_s": ("sum", F.length("_line") + 1), "_n": ("sum", F.lit(1))})
+    told = checkpointed(undealt(d).drop("_was").withColumn("_before", F.col("_s") - F.length("_line") - 1))
+    stretches = told.groupBy(*key).agg(F.min("_n").alias("_first"), F.max("_n").alias("_last"), (F.max("_s") - F.min("_before")).alias("_chars"))
+    long = told.select(*part, "_s", "_before").join(stretches.where(F.col("_chars") > cap).select(*key, "_last"), key)
+    starts = stretches.select(*key, F.col("_first").alias("_n"))
+    if not long.isEmpty():
+        # the first line whose sum passes that of a full chunk; at equal sums lines come first, so they don't count
+        sums = long.select(*part, F.col("_s").alias("_v"), F.lit(0).alias("_asks"), F.col("_n").alias("_to"), "_last")
+        asks = long.select(*part, (F.col("_before") + cap).alias("_v"), F.lit(1), F.lit(None).cast("long"), "_last")
+        found = last_before(dealt(sums.unionAll(asks), key, ["_v", "_asks", "_n"]), key, {"_next": F.col("_to")}, backwards=True).where("_asks = 1")
+        leads = checkpointed(found.select(*part, F.greatest("_next", F.col("_n") + 1).alias("_to"), "_last").where("_next IS NOT NULL AND _to <= _last").drop("_last"))
+        marked = checkpointed(stretches.where(F.col("_chars") > cap).select(*key, F.col("_first").alias("_n")))
+        while not leads.isEmpty():
+            marked = checkpointed(marked.unionAll(marked.join(leads, part).select(*key, F.col("_to").alias("_n"))).distinct())
+            leads = checkpointed(leads.join(leads.select(*key, F.col("_n").alias("_to"), F.col("_to").alias("_far")), [*key, "_to"]).select(*key, "_n", F.col("_far").alias("_to")))
+        starts = starts.unionAll(marked).distinct()
+    heads = told.join(starts.withColumn("_head", F.lit(True)), part, "left")
+    cut = last_before(dealt(heads, by, ["_n"]), by, {"_start": F.when(F.col("_head"), F.col("_n"))}, include=True)
+    # a chunk's lines are at most the cap's characters, or one line
+    packed = cut.groupBy(*key, "_start").agg(
+        F.min("stream").alias("stream"), F.min_by("timestamp_ms", "_n").alias("_own"), F.count(F.lit(1)).alias("n_lines"), F.sort_array(F.collect_list(F.struct("_n", "_line"))).alias("_l")
+    )
+    timed = running(last_before(dealt(packed, by, ["_start"]), by, {"_time": F.col("_own")}, include=True), by, {"_c": ("sum", F.lit(1))})
+    firsts = timed.groupBy(*key).agg(F.min("_c").alias("_c0"))
+    text = F.concat(F.array_join(F.transform("_l", lambda x: x["_line"]), "\n"), F.lit("\n"))
+    return timed.join(firsts, key).select(*key, (F.col("_c") - F.col("_c0")).alias("part"), "stream", F.coalesce("_time", F.lit(0)).alias("timestamp_ms"), "n_lines", text.alias("text_data"))
 
 
 def cap_lines(rows: DataFrame, by: list[str], order: list[str], limit: int, note: str = "[first {} console lines omitted]") -> DataFrame:
@@ -123,6 +153,14 @@ def cap_lines(rows: DataFrame, by: list[str], order: list[str], limit: int, note
     return first.withColumn("stream", F.lit("info")).select(*rows.columns, F.lit(0).alias("part")).unionAll(kept)
 
 
+def cap_file(raw: Column, most_bytes: int, note: str = "[first {} bytes of output.log omitted]") -> Column:
+    """Text of a log file's last ``most_bytes`` bytes, bad UTF-8 replaced; a line in front tells how many were left out."""
+    gone = F.octet_length(raw) - most_bytes
+    kept = F.make_valid_utf8(F.substring(raw, F.greatest(gone, F.lit(0)) + 1, F.octet_length(raw)).cast("string"))
+    before, after = (F.lit(x) for x in note.split("{}"))
+    return F.when(gone > 0, F.concat(before, gone.cast("string"), after, F.lit("\n"), kept)).otherwise(kept)
+
+
 def cut_file(files: DataFrame, cap: int = 64_000) -> DataFrame:
     """Whole log texts (path, text) -> chunks of at most ``cap`` characters (path, part, text_data), each cut behind its last
     newline that isn't its first character, else at the cap; what is left within the cap is the last chunk, uncut."""

@@ -62,16 +62,18 @@ def offsets(spark, sf_dir):
 
 @query(
     "SRC_16_console_chunks",
-    """WITH r AS (SELECT conv_id, turn, role AS stream, rtrim(replace(coalesce(text, ''), chr(10), ' '), chr(13)) AS line, CASE WHEN turn % 2 = 1 THEN turn END AS ts FROM conversations),
-  n AS (SELECT *, CASE WHEN lag(stream) OVER w IS NOT DISTINCT FROM stream AND row_number() OVER w > 1 THEN 0 ELSE 1 END AS fresh FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
-  i AS (SELECT *, sum(fresh) OVER (PARTITION BY conv_id ORDER BY turn) AS island FROM n),
-  p AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY conv_id, island ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 200 AS part FROM i)
-  SELECT conv_id, island::BIGINT AS island, part::BIGINT AS part, min(stream) AS stream, min(ts) AS timestamp_ms, count(*) AS n_lines, string_agg(line, chr(10) ORDER BY turn) || chr(10) AS text_data FROM p GROUP BY ALL""",
+    """WITH RECURSIVE r AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, role AS stream, replace(coalesce(text, ''), chr(10), ' ') AS line, CASE WHEN turn % 3 = 1 THEN turn * 7 % 5 END AS ts FROM conversations),
+  g AS (SELECT conv_id, n, stream, line, 1 AS island, 0 AS part, length(line) + 1 AS held, coalesce(ts, 0) AS ts FROM r WHERE n = 1
+    UNION ALL SELECT r.conv_id, r.n, r.stream, r.line, island + (r.stream IS DISTINCT FROM g.stream)::INT, CASE WHEN r.stream IS DISTINCT FROM g.stream THEN 0 WHEN held + length(r.line) + 1 > 200 THEN part + 1 ELSE part END,
+      CASE WHEN r.stream IS DISTINCT FROM g.stream OR held + length(r.line) + 1 > 200 THEN 0 ELSE held END + length(r.line) + 1,
+      CASE WHEN r.stream IS DISTINCT FROM g.stream OR held + length(r.line) + 1 > 200 THEN coalesce(r.ts, g.ts) ELSE g.ts END FROM g JOIN r ON r.conv_id = g.conv_id AND r.n = g.n + 1)
+  SELECT conv_id, island::BIGINT AS island, part::BIGINT AS part, min(stream) AS stream, min(ts) AS timestamp_ms, count(*) AS n_lines, string_agg(line, chr(10) ORDER BY n) || chr(10) AS text_data FROM g GROUP BY ALL""",
 )
 def console(spark, sf_dir):
+    """The turns of conversations as console lines: the SQL takes them one by one."""
     c = A.table(spark, sf_dir, "conversations")
-    rows = c.select("conv_id", "turn", F.col("role").alias("stream"), F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(" ")).alias("line"), F.when(F.col("turn") % 2 == 1, F.col("turn")).alias("timestamp_ms"))
-    return T.pack_lines(rows, ["conv_id"], ["turn"], 200).select("conv_id", F.col("island").cast("long").alias("island"), F.col("part").cast("long").alias("part"), "stream", "timestamp_ms", "n_lines", "text_data")
+    rows = c.select("conv_id", "turn", F.col("role").alias("stream"), F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(" ")).alias("line"), F.when(F.col("turn") % 3 == 1, F.col("turn") * 7 % 5).alias("timestamp_ms"))
+    return T.pack_lines(rows, ["conv_id"], ["turn"], 200).select("conv_id", F.col("island").cast("long").alias("island"), F.col("part").cast("long").alias("part"), "stream", F.col("timestamp_ms").cast("long").alias("timestamp_ms"), "n_lines", "text_data")
 
 
 @query(

@@ -136,11 +136,29 @@ def row_axes(spark, sf_dir):
     return I.row_axes(rows, ["run_id"], ["l_orderkey", "l_linenumber", "l_partkey"], 1000).select("run_id", "l_orderkey", "step", "timestamp_ms")
 
 
-@query("SRC_12_jsonl_history", "SELECT o_orderkey * (o_orderkey % 2) AS step, 'loss' AS metric_name, o_totalprice::FLOAT::DOUBLE AS value FROM orders WHERE o_orderkey % 17 <> 0")
+@query(
+    "SRC_12_jsonl_history",
+    """WITH o AS (SELECT 'r' || (o_custkey % 5) AS run_id, o_orderkey AS k, o_totalprice AS p, o_orderstatus AS s, CASE WHEN o_orderkey % 2 = 1 THEN o_orderkey ELSE 0 END AS step, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey // 10 * 1000 ELSE 5000 END AS t FROM orders WHERE o_orderkey % 17 <> 0),
+  w AS (SELECT *, n0 + max(t - n0) OVER (PARTITION BY run_id ORDER BY k) AS landed FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY k) AS n0 FROM o WHERE s <> 'P')),
+  n AS (SELECT run_id, step, t, 'loss' AS metric_name, p AS d FROM o UNION ALL SELECT run_id, step, t, 'wide', CASE WHEN k % 5 = 0 THEN 'nan'::DOUBLE ELSE 1e38 END FROM o UNION ALL SELECT run_id, step, t, 'odd', CASE WHEN k % 7 = 0 THEN '-inf'::DOUBLE ELSE 'nan'::DOUBLE END FROM o
+    UNION ALL SELECT run_id, step, t, 'flag', (k % 4 = 0)::INT FROM o UNION ALL SELECT run_id, step, t, 'mixed', k % 9 FROM o WHERE k % 4 <> 1 UNION ALL SELECT run_id, step, t, 'sum/max', p FROM o UNION ALL SELECT run_id, step, t, 'sum/neg_inf', 'inf'::DOUBLE FROM o)
+  SELECT run_id, step, t AS timestamp_ms, metric_name, d::FLOAT::DOUBLE AS value, NULL AS text_data FROM n UNION ALL SELECT run_id, landed, t, 'note', NULL, 'NaN, "' || s || chr(10) FROM w""",
+)
 def jsonl(spark, sf_dir):
+    """Lines with all kinds of cells: numbers past the float range, bare NaN and infinities (also inside a text, where they
+    stay), booleans, unions with numbers, texts and no number, statistics, media, histograms, lists, empty texts."""
     k = F.col("o_orderkey")
-    line = F.when(k % 17 == 0, F.lit("{broken")).when(k % 2 == 1, F.to_json(F.struct(k.alias("_step"), F.col("o_totalprice").alias("loss")))).otherwise(F.to_json(F.struct(F.col("o_totalprice").alias("loss"))))
-    return I.jsonl_points(A.table(spark, sf_dir, "orders").select(line.alias("line"))).select("step", "metric_name", F.col("value").cast("double").alias("value"))
+    text = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    cells = {
+        "loss": F.col("o_totalprice").cast("string"), "wide": F.when(k % 5 == 0, "3.5e38").otherwise("1e38"), "odd": F.when(k % 7 == 0, "-Infinity").otherwise("NaN"), "flag": F.when(k % 4 == 0, "true").otherwise("false"),
+        "mixed": F.when(k % 4 == 0, F.concat(F.lit('{"_type_a":null,"_type_b":'), text((k % 9).cast("string")), F.lit("}"))).when(k % 4 == 1, '{"_type_a":"word"}').otherwise(F.concat(F.lit('{"_type_a":'), (k % 9).cast("string"), F.lit("}"))),
+        "sum": F.concat(F.lit('{"Max":'), F.col("o_totalprice").cast("string"), F.lit(',"-Inf":Infinity,"Min":"x"}')), "media": F.lit('{"_type":"image-file","path":"a.png"}'), "hist": F.lit('{"_type":"histogram","bins":[1]}'), "list": F.lit("[1,2]"), "nothing": F.lit("null"), "empty": F.lit('""'),
+        "note": F.when(F.col("o_orderstatus") != "P", F.concat(F.lit('"NaN, \\"'), F.col("o_orderstatus"), F.lit('"'))),
+    }
+    pairs = [F.when(k % 2 == 1, F.concat(F.lit('"_step":'), k.cast("string"))), F.when(k % 3 == 0, F.concat(F.lit('"_timestamp":'), F.expr("CAST(o_orderkey div 10 AS string)"))), *[F.concat(F.lit(f'"{n}":'), c) for n, c in cells.items()]]
+    line = F.when(k % 17 == 0, F.when(k % 2 == 0, "{broken").otherwise("[NaN]")).otherwise(F.concat(F.lit("{"), F.array_join(F.array_compact(F.array(*pairs)), ","), F.lit("}")))
+    o = A.table(spark, sf_dir, "orders").select(F.concat(F.lit("r"), (F.col("o_custkey") % 5).cast("string")).alias("run_id"), k.alias("n"), line.alias("line"))
+    return I.jsonl_points(o, ["run_id"], ["n"], 5000).select("run_id", "step", "timestamp_ms", "metric_name", F.col("value").cast("double").alias("value"), "text_data")
 
 
 @query(

@@ -70,15 +70,50 @@ def row_axes(df: DataFrame, run: list[str], order: list[str], created_ms: int) -
     return place(df, run, order, "_place").withColumn("step", F.coalesce(F.col("_step").cast("long"), F.col("_place"))).drop("_place").withColumn("timestamp_ms", F.coalesce((F.col("_timestamp") * 1000).cast("long"), F.lit(created_ms).cast("long")))
 
 
-def jsonl_points(lines: DataFrame, column: str = "line") -> DataFrame:
-    """JSON lines -> points; a row without ``_step`` lands on 0, a line that is no object is skipped, cells go by their JSON type."""
-    pairs = lines.select(F.try_parse_json(column).alias("v")).where("v IS NOT NULL AND schema_of_variant(v) LIKE 'OBJECT%'")
-    step = F.coalesce(F.try_variant_get("v", "$._step", "long"), F.lit(0).cast("long"))
-    cells = pairs.select(step.alias("step"), "v").lateralJoin(_exploded())
-    kind = F.schema_of_variant("value")
-    number = kind.rlike("^(BIGINT|DOUBLE|DECIMAL|BOOLEAN)")
-    out = cells.where("NOT startswith(key, '_')").select("step", F.col("key").alias("metric_name"), F.when(number, F.expr("try_variant_get(value, '$', 'double')")).cast("float").alias("value"), F.when(kind == "STRING", F.expr("try_variant_get(value, '$', 'string')")).alias("text_data"))
-    return out.where("value IS NOT NULL OR text_data IS NOT NULL")
+def jsonl_points(lines: DataFrame, by: list[str], order: list[str], created_ms: int, column: str = "line") -> DataFrame:
+    """JSON lines of runs (``by``), in order, -> points (by.., step, timestamp_ms, metric_name, value or text_data).
+
+    A line that is no object is skipped. ``_step`` and ``_timestamp`` (seconds) default to 0 and the run's creation. Numbers and
+    booleans stand at their line's step, NaN past the float range; NaN and Infinity are read as numbers. A text that isn't
+    empty becomes a terminated line at its time, later where the metric has one there. Objects are scalars whose type varied
+    (all fields start with ``_type_``: the first number or text of them, if it reads as a number) or summary statistics, each
+    number of which is a metric of its own; media, histograms and lists give no points."""
+    v = F.try_parse_json(_finite_json(F.col(column)))
+    rows = lines.select(*by, *order, v.alias("v")).where("v IS NOT NULL AND schema_of_variant(v) LIKE 'OBJECT%'")
+    stamp = F.try_variant_get("v", "$._timestamp", "double")
+    rows = rows.select(*by, *order, F.coalesce(F.try_variant_get("v", "$._step", "long"), F.lit(0).cast("long")).alias("step"), F.coalesce((stamp * 1000).cast("long"), F.lit(created_ms).cast("long")).alias("timestamp_ms"), "v")
+    cells = rows.lateralJoin(_exploded()).where("NOT startswith(key, '_')").drop("v").withColumn("kind", F.schema_of_variant("value"))
+    fields = F.when(F.col("kind").startswith("OBJECT<"), F.try_variant_get("value", "$", "map<string,variant>"))
+    union = (F.size(F.map_keys(fields)) > 0) & F.forall(F.map_keys(fields), lambda k: k.startswith("_type_"))
+    stats = (F.size(F.map_keys(fields)) > 0) & F.forall(F.map_keys(fields), lambda k: k.isin(*STATS))
+    renamed = F.create_map(*[F.lit(x) for pair in STATS.items() for x in pair])
+    single = F.array(F.struct(F.col("key").alias("metric_name"), F.when(fields.isNull(), _json_number(F.col("value"))).otherwise(_union_number(fields)).alias("d")))
+    many = F.transform(F.map_entries(fields), lambda e: F.struct(F.concat(F.col("key"), F.lit("/"), F.element_at(renamed, e.key)).alias("metric_name"), F.coalesce(_json_number(e.value), _union_number(F.try_variant_get(e.value, "$", "map<string,variant>"))).alias("d")))
+    found = F.when(fields.isNull() | union, single).when(stats, many)
+    ids = [*by, "step", "timestamp_ms"]
+    numbers = cells.where("kind <> 'STRING'").select(*ids, F.explode(found).alias("p")).select(*ids, "p.metric_name", _imported(F.col("p.d")).alias("value"), F.lit(None).cast("string").alias("text_data")).where("value IS NOT NULL")
+    told = cells.where("kind = 'STRING'").select(*by, *order, "timestamp_ms", F.col("key").alias("metric_name"), F.expr("try_variant_get(value, '$', 'string')").alias("text")).where("text <> ''")
+    texts = monotone_steps(told, [*by, "metric_name"], order, "timestamp_ms").select(*ids, "metric_name", F.lit(None).cast("float").alias("value"), text_line(F.col("text")).alias("text_data"))
+    return numbers.unionAll(texts)
+
+
+def _finite_json(line: Column) -> Column:
+    """JSON in which NaN and infinities, outside texts, are objects of one text field that ``_union_number`` reads."""
+    tokens = F.regexp_extract_all(line, F.lit(r'(?s)("(?:[^"\\]|\\.)*"|[^"]+|")'), F.lit(1))
+    changed = F.transform(tokens, lambda t: F.when(t.startswith('"'), t).otherwise(F.regexp_replace(t, r"(-?Infinity|NaN)", '{"_type_text":"$1"}')))
+    return F.when(line.rlike("Infinity|NaN"), F.array_join(changed, "")).otherwise(line)
+
+
+def _json_number(v: Column) -> Column:
+    """A number or boolean of JSON as a double, else null."""
+    return F.when(F.schema_of_variant(v).rlike("^(BIGINT|DOUBLE|DECIMAL|BOOLEAN)"), F.coalesce(F.try_variant_get(v, "$", "double"), F.try_variant_get(v, "$", "boolean").cast("double")))
+
+
+def _union_number(fields: Column) -> Column:
+    """The first number or text among fields, if it reads as a number."""
+    scalar = F.filter(F.map_values(fields), lambda v: F.schema_of_variant(v).rlike("^(BIGINT|DOUBLE|DECIMAL|BOOLEAN|STRING)"))
+    first = F.get(scalar, F.lit(0))
+    return F.coalesce(_json_number(first), F.when(F.schema_of_variant(first) == "STRING", F.try_variant_get(first, "$", "string").try_cast("double")))
 
 
 def _exploded() -> DataFrame:

@@ -173,3 +173,37 @@ def test_retried_rows_are_dropped(spark, tmp_path):
     row = lambda s: ("p", "r", "m", "", s, 1.0, t0 + datetime.timedelta(seconds=s))
     got = run_out(spark, N.without_retries(stream(spark, tmp_path, [[row(1), row(1), row(2)], [row(2), row(3)]], schema)), tmp_path)
     assert sorted(r.step for r in got.collect()) == [1, 2, 3]
+
+
+@pytest.mark.parametrize("cap", [6, 15, 1000])
+def test_console_lines_are_packed_as_one_by_one(spark, cap):
+    """Against the sequential rule: stream changes, lines over the cap, lines that just fit, inherited times."""
+    rng = np.random.default_rng(cap)
+    runs = {"hot": 400, "few": 7, "one": 1}
+    rows = [(r, i, rng.choice(["out", "err"], p=[0.9, 0.1]) if r != "hot" or i > 300 else "out", "x" * int(rng.choice([0, 1, 2, 3, 5, 6, 14, 15, 30])) + str(rng.choice(["", "\n", "\r\n"])), None if rng.random() < 0.7 else int(rng.integers(100))) for r, n in runs.items() for i in range(n)]
+    want = []
+    for run in runs:
+        chunk, stream, ts, held, island, part = [], None, None, 0, 0, 0
+        for r, i, s, line, t in rows:
+            if r != run:
+                continue
+            line = line.removesuffix("\n").removesuffix("\r") if line.endswith("\n") else line
+            t = (ts or 0) if t is None else t
+            if s != stream or held + len(line) + 1 > cap:
+                if chunk:
+                    want.append((run, island, part, stream, ts, len(chunk), "\n".join(chunk) + "\n"))
+                island, part = (island + 1, 0) if s != stream else (island, part + (1 if chunk else 0))
+                chunk, stream, ts, held = [], s, t, 0
+            chunk.append(line)
+            held += len(line) + 1
+        want.append((run, island, part, stream, ts, len(chunk), "\n".join(chunk) + "\n"))
+    got = T.pack_lines(spark.createDataFrame(rows, "run string, i int, stream string, line string, timestamp_ms long").repartition(3), ["run"], ["i"], cap)
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_log_files_are_capped_in_bytes(spark):
+    raw = [("é" * 10).encode(), b"abc", b"", b"\xff" * 12]
+    df = spark.createDataFrame([(i, bytearray(r)) for i, r in enumerate(raw)], "i int, raw binary")
+    got = [r.t for r in df.select("i", T.cap_file(F.col("raw"), 7).alias("t")).orderBy("i").collect()]
+    note = "[first {} bytes of output.log omitted]\n"
+    assert got == [note.format(13) + raw[0][13:].decode(errors="replace"), "abc", "", note.format(5) + raw[3][5:].decode(errors="replace")]
