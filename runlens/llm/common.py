@@ -16,8 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 TOKENIZERS = "/opt/tokenizers"
-#: Runs of letters. ``[^\\W\\d_]`` alone would also take numerals that are no decimal digits, such as superscripts and fractions.
-LETTERS = re.compile("[^\\W\\d_" + "".join(c for c in map(chr, range(0x20000)) if c.isnumeric() and not c.isdecimal() and not c.isalpha()) + "]+")
+_WORDS = re.compile(r"[^\W\d_]+")
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -103,6 +102,15 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20)
             start = end
 
 
+def letter_runs(text: str) -> list[str]:
+    """Maximal runs of letters. The pattern also takes numerals that are no decimal digits, such as superscripts and
+    fractions; the few words with any are cut at them."""
+    found = _WORDS.findall(text)
+    if all(map(str.isalpha, found)):
+        return found
+    return [x for w in found for x in ([w] if w.isalpha() else "".join(c if c.isalpha() else " " for c in w).split())]
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Bijective 64-bit finaliser (xor-shift-multiply), in place where it can be."""
     x = x ^ (x >> np.uint64(30))

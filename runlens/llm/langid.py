@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LETTERS, TOKENIZERS, read_bytes, slices, with_results
+from .common import TOKENIZERS, letter_runs, read_bytes, slices, with_results
 from .pieces import Edges, vocabulary
 
 MODEL = f"{TOKENIZERS}/piece_bpe_32k.model"
@@ -39,7 +39,7 @@ def _counter(model: bytes):
         sums: dict[str, np.ndarray] = {}
         for batch in slices(batches, "text", 1 << 20):
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                ids = sp.encode(" ".join(LETTERS.findall(text.lower())))
+                ids = sp.encode(" ".join(letter_runs(text.lower())))
                 if lang not in sums:
                     sums[lang] = np.zeros(sp.vocab_size(), np.int64)
                 sums[lang] += np.bincount(np.array(ids, np.int64), minlength=sp.vocab_size())
@@ -79,7 +79,7 @@ class Scorer:
 
     def totals(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Log likelihood of each text in each language, and its number of words."""
-        cut = [LETTERS.findall(t.lower()) for t in texts]
+        cut = [letter_runs(t.lower()) for t in texts]
         count = np.fromiter(map(len, cut), np.int64, len(cut))
         flat = [w for words in cut for w in words]
         new = set(flat) - self.known.keys()

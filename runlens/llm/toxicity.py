@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LETTERS, mix64, slices, with_results
+from .common import letter_runs, mix64, slices, with_results
 
 _CACHE_WORDS = 150_000
 _SCALE = 32.0
@@ -43,7 +43,7 @@ class Shape:
 
 
 def words_of(text: str | None) -> list[str]:
-    return LETTERS.findall(text.lower()) if text else []
+    return letter_runs(text.lower()) if text else []
 
 
 def subwords(words: list[str], s: Shape) -> tuple[np.ndarray, np.ndarray]:
