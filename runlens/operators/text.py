@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.scan import dealt, last_before, running, undealt
+from ..plans.scan import dealt, last_before, place, running, undealt
 from ..plans.scratch import checkpointed
 
 STREAM = ["project_id", "run_id"]
@@ -31,9 +31,9 @@ def chunk_index(chunks: DataFrame) -> DataFrame:
 
 
 def placed(index: DataFrame) -> DataFrame:
-    """Adds ``lines_before``: newlines of earlier chunks of the stream."""
-    w = Window.partitionBy(*STREAM).orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1)
-    return index.withColumn("lines_before", F.coalesce(F.sum("newlines").over(w), F.lit(0)))
+    """Adds ``lines_before``: newlines of earlier chunks of the stream, scanned in blocks of chunks."""
+    out = running(dealt(index, STREAM, ORDER), STREAM, {"lines_before": ("sum", F.col("newlines"))}, before=True)
+    return undealt(out).withColumn("lines_before", F.coalesce("lines_before", F.lit(0).cast("long")))
 
 
 def totals(index: DataFrame) -> DataFrame:
@@ -53,17 +53,22 @@ def _pieces(chunks: DataFrame, where: DataFrame) -> DataFrame:
     return parts.where("i < newlines OR part <> ''").select(*STREAM, *ORDER, *extra, (F.col("lines_before") + F.col("i")).alias("line_index"), "part")
 
 
-def _fragments(chunks: DataFrame) -> DataFrame:
-    return _pieces(chunks, placed(chunk_index(chunks)).select(*STREAM, *ORDER, "lines_before", "newlines"))
-
-
 def lines(chunks: DataFrame) -> DataFrame:
-    """line_index, line and the (step, metric, tag) of the chunk that completes it."""
-    return _joined(_fragments(chunks))
+    """line_index, line and the (step, metric, tag) of the chunk that completes it.
+
+    Lines inside a chunk stay where its text is; only what stands before its first and behind its last newline meets other
+    chunks' pieces."""
+    where = placed(chunk_index(chunks)).select(*STREAM, *ORDER, "lines_before", "newlines")
+    cut = chunks.select(*STREAM, *ORDER, F.split(normalized(F.col("text_data")), "\n", -1).alias("p")).join(where, [*STREAM, *ORDER])
+    inner = cut.where("newlines > 1").select(*STREAM, *ORDER, "lines_before", F.posexplode(F.slice("p", F.lit(2), (F.col("newlines") - 1).cast("int"))).alias("i", "line"))
+    inner = inner.select(*STREAM, (F.col("lines_before") + 1 + F.col("i")).alias("line_index"), "line", *ORDER)
+    ends = F.array(F.struct(F.lit(0).cast("long").alias("i"), F.get("p", F.lit(0)).alias("part")), F.struct(F.col("newlines").alias("i"), F.when(F.col("newlines") > 0, F.element_at("p", -1)).alias("part")))
+    fragments = cut.select(*STREAM, *ORDER, "lines_before", "newlines", F.inline(ends)).where("part IS NOT NULL AND (i < newlines OR part <> '')")
+    return inner.unionByName(_joined(fragments.select(*STREAM, *ORDER, (F.col("lines_before") + F.col("i")).alias("line_index"), "part")))
 
 
 def _joined(fragments: DataFrame) -> DataFrame:
-    """A line's fragments in order; most lines are one fragment and pass by a join-free aggregate."""
+    """Lines of fragments, put together in order."""
     g = fragments.groupBy(*STREAM, "line_index").agg(F.sort_array(F.collect_list(F.struct(*ORDER, "part"))).alias("f"))
     owner = F.element_at("f", -1)
     text = F.array_join(F.transform("f", lambda x: x.part), "")
@@ -71,8 +76,10 @@ def _joined(fragments: DataFrame) -> DataFrame:
 
 
 def window(chunks: DataFrame, offset: int, limit: int) -> DataFrame:
-    """Lines offset .. offset + limit of each stream, 2000 at most: the index finds the chunks, and only their text is split."""
-    limit = min(max(limit, 1), MAX_LINES)
+    """Lines offset .. offset + limit of each stream: the index finds the chunks, and only their text is split. A limit outside
+    1 to 2000, a stream of more than 256 metrics and a window whose chunks pass 8 MiB are errors."""
+    if not 1 <= limit <= MAX_LINES:
+        raise ValueError(f"a window has 1 to {MAX_LINES} lines")
     where = placed(chunk_index(chunks)).where((F.col("lines_before") < offset + limit) & (F.col("lines_before") + F.col("newlines") >= offset)).select(*STREAM, *ORDER, "lines_before", "newlines")
     return _joined(_pieces(chunks, where).where(F.col("line_index").between(offset, offset + limit - 1))).orderBy(*STREAM, "line_index")
 
@@ -85,17 +92,45 @@ def tail(chunks: DataFrame, n: int) -> DataFrame:
     return _joined(_pieces(chunks, where.select(*STREAM, *ORDER, "lines_before", "newlines", "_from")).where(F.col("line_index") >= F.col("_from"))).orderBy(*STREAM, "line_index")
 
 
+#: Candidates, boundary lines that may match, up to which their places are broadcast; more are joined by a shuffle.
+_BROADCAST_ROWS = 100_000
+
+
 def search(chunks: DataFrame, text: str) -> DataFrame:
-    """Matching whole lines, case-insensitively (a text of at most 512 bytes); ``match_index`` counts matches in stream order. Ranks come from counts of
-    matches for each hundredth of a stream's lines, then within, not from one window over all lines."""
+    """Matching whole lines, case-insensitively (a text of at most 512 bytes); ``match_index`` counts matches in stream order.
+
+    Each chunk is searched where it lies and leaves a small row: how many lines it has, its matching inner lines, and of its
+    pieces before the first and behind the last newline whether they match and the few characters at their ends by which a
+    match may span pieces. Only boundary lines that may match have their text fetched, and are tested whole."""
     if len(text.encode()) > MAX_SEARCH_BYTES:
         raise ValueError(f"a search is limited to {MAX_SEARCH_BYTES} bytes")
-    hits = lines(chunks).where(F.contains(F.lower("line"), F.lit(text.lower()))).withColumn("_b", F.expr("line_index div 1000"))
-    per = hits.groupBy(*STREAM, "_b").agg(F.count(F.lit(1)).alias("n"))
-    before = F.sum("n").over(Window.partitionBy(*STREAM).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
-    starts = per.select(*STREAM, "_b", F.coalesce(before, F.lit(0)).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy(*STREAM, "_b").orderBy("line_index")) - 1
-    return hits.join(starts, [*STREAM, "_b"]).withColumn("match_index", F.col("_before") + inside).drop("_b", "_before")
+    low = text.lower()
+    # a lower-case sigma depends on what follows, which a piece may lack: candidates take both forms for one
+    folded = lambda c: F.replace(F.lower(c), F.lit("ς"), F.lit("σ"))
+    may = lambda c: F.contains(folded(c), F.lit(low.replace("ς", "σ")))
+    matches = lambda c: F.contains(F.lower(c), F.lit(low))
+    reach = len(low)  # lower-casing may shorten a text by a part of its characters only, so this covers len - 1 of them
+    edge = lambda c: F.when(F.length(c) <= 4 * reach, c).otherwise(F.concat(F.left(c, F.lit(2 * reach)), F.lit("\n"), F.right(c, F.lit(2 * reach))))
+    t = chunks.select(*STREAM, *ORDER, normalized(F.col("text_data")).alias("t"))
+    t = t.select("*", F.regexp_count("t", F.lit("\n")).cast("long").alias("newlines"))
+    inner = F.transform(F.slice(F.split("t", "\n", -1), F.lit(2), F.greatest(F.col("newlines") - 1, F.lit(0)).cast("int")), lambda x, i: F.struct((i + 1).cast("long").alias("i"), x.alias("line")))
+    hits = F.when(may(F.col("t")) & (F.col("newlines") > 1), F.filter(inner, lambda s: matches(s["line"])))
+    piece = lambda c: F.struct(edge(c).alias("edge"), may(c).alias("hit"), (c == "").alias("empty"))
+    first, last = F.substring_index("t", "\n", 1), F.substring_index("t", "\n", -1)
+    small = t.select(*STREAM, *ORDER, "newlines", hits.alias("hits"), piece(first).alias("first"), F.when(F.col("newlines") > 0, piece(last)).alias("last"))
+    small = checkpointed(placed(small))
+    cols = [*STREAM, "line_index", "line", *ORDER]
+    inside = small.where("size(hits) > 0").select(*STREAM, *ORDER, "lines_before", F.inline("hits")).withColumn("line_index", F.col("lines_before") + F.col("i")).select(*cols)
+    ends = F.array(F.struct(F.lit(0).cast("long").alias("i"), F.col("first").alias("p")), F.struct(F.col("newlines").alias("i"), F.col("last").alias("p")))
+    pieces = small.select(*STREAM, *ORDER, "lines_before", "newlines", F.inline(ends)).where("p IS NOT NULL AND (i < newlines OR NOT p.empty)")
+    pieces = pieces.select(*STREAM, *ORDER, (F.col("lines_before") + F.col("i")).alias("line_index"), F.col("i"), "p")
+    g = pieces.groupBy(*STREAM, "line_index").agg(F.bool_or("p.hit").alias("hit"), F.sort_array(F.collect_list(F.struct(*ORDER, "i", "p.edge"))).alias("f"))
+    wanted = checkpointed(g.where(F.col("hit") | may(F.array_join(F.transform("f", lambda x: x.edge), ""))).select(*STREAM, "line_index", F.inline(F.transform("f", lambda x: F.struct(*[x[c].alias(c) for c in ORDER], x["i"].alias("i"))))))
+    of = F.broadcast(wanted) if wanted.count() <= _BROADCAST_ROWS else wanted
+    part = F.when(F.col("i") == 0, F.substring_index("t", "\n", 1)).otherwise(F.substring_index("t", "\n", -1))
+    fetched = chunks.select(*STREAM, *ORDER, normalized(F.col("text_data")).alias("t")).join(of, [*STREAM, *ORDER]).select(*STREAM, *ORDER, "line_index", part.alias("part"))
+    across = _joined(fetched).where(matches(F.col("line"))).select(*cols)
+    return place(inside.unionAll(across), STREAM, ["line_index"], "match_index")
 
 
 def pack_lines(rows: DataFrame, by: list[str], order: list[str], cap: int = 64_000) -> DataFrame:

@@ -207,3 +207,41 @@ def test_log_files_are_capped_in_bytes(spark):
     got = [r.t for r in df.select("i", T.cap_file(F.col("raw"), 7).alias("t")).orderBy("i").collect()]
     note = "[first {} bytes of output.log omitted]\n"
     assert got == [note.format(13) + raw[0][13:].decode(errors="replace"), "abc", "", note.format(5) + raw[3][5:].decode(errors="replace")]
+
+
+def _chunks(seed, n=60):
+    """Chunks of two streams: whole lines, pieces of lines, none, Greek capitals at ends, carriage returns."""
+    rng = np.random.default_rng(seed)
+    pool = ["ERROR", "error", "ΑΣ", "ας", "σ", "İx", "x", "ab", " ", "\n", "\r\n", "\n\n", "ß", ""]
+    return [("p", f"r{i % 2}", i // 3, f"m{i % 3}", "", "".join(rng.choice(pool, int(rng.integers(0, 9))))) for i in range(n)]
+
+
+@pytest.mark.parametrize("text", ["error", "ας", "ασ", "x", "rro", "", "bx", "i", "a\nb"])
+def test_search_and_lines_across_chunks(spark, text):
+    """Against the whole text of each stream: matches inside chunks, across pieces of many chunks, with a final sigma."""
+    rows = _chunks(len(text))
+    df = spark.createDataFrame(rows, "project_id string, run_id string, step long, metric_name string, tag string, text_data string").repartition(3)
+    want, whole = [], []
+    for run in ("r0", "r1"):
+        mine = sorted(r[2:] for r in rows if r[1] == run)
+        t = "".join(x[3].replace("\r\n", "\n").replace("\r", "\n") for x in mine)
+        lines = t.split("\n")
+        lines = lines if lines[-1] else lines[:-1]
+        whole += [(run, i, x) for i, x in enumerate(lines)]
+    lower = {r.t: r.l for r in spark.createDataFrame([(x,) for x in {x for *_, x in whole} | {"-"}], "t string").select("t", F.lower("t").alias("l")).collect()}
+    for run in ("r0", "r1"):
+        hits = [(r, i, x) for r, i, x in whole if r == run and text.lower() in lower[x]]
+        want += [(r, i, x, k) for k, (r, i, x) in enumerate(hits)]
+    got = T.search(df, text)
+    assert sorted((r.run_id, r.line_index, r.line, r.match_index) for r in got.collect()) == sorted(want)
+    assert sorted((r.run_id, r.line_index, r.line) for r in T.lines(df).collect()) == sorted(whole)
+
+
+def test_search_leaves_text_where_it_is(spark, tmp_path):
+    """Of a stream of large chunks with few matches, what is stored and dealt is a few percent of the text."""
+    body = "\n".join(f"line {i} of some log with words in it" for i in range(2000))
+    df = spark.range(60).select(F.lit("p").alias("project_id"), F.lit("r").alias("run_id"), F.col("id").alias("step"), F.lit("m").alias("metric_name"), F.lit("").alias("tag"), F.concat(F.lit(body), F.when(F.col("id") == 33, "\nout of MEMORY\n").otherwise("\n")).alias("text_data"))
+    got = T.search(df, "memory")
+    assert [(r.line_index, r.line, r.match_index) for r in got.collect()] == [(34 * 2000, "out of MEMORY", 0)]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") >= 2  # the small rows and the candidates are stored; the text is read again for these only
