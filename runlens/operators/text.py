@@ -15,7 +15,7 @@ from ..plans.scratch import checkpointed
 
 STREAM = ["project_id", "run_id"]
 ORDER = ["step", "metric_name", "tag"]
-MAX_LINES = 2000
+MAX_LINES, MAX_METRICS, MAX_BYTES = 2000, 256, 8 << 20
 MAX_SEARCH_BYTES = 512
 
 
@@ -77,11 +77,16 @@ def _joined(fragments: DataFrame) -> DataFrame:
 
 def window(chunks: DataFrame, offset: int, limit: int) -> DataFrame:
     """Lines offset .. offset + limit of each stream: the index finds the chunks, and only their text is split. A limit outside
-    1 to 2000, a stream of more than 256 metrics and a window whose chunks pass 8 MiB are errors."""
-    if not 1 <= limit <= MAX_LINES:
-        raise ValueError(f"a window has 1 to {MAX_LINES} lines")
+    1 to 2000 is taken as the nearest of these; a stream of more than 256 metrics and a window of more than 8 MiB are errors."""
+    limit = min(max(limit, 1), MAX_LINES)
+    wide = chunks.select(*STREAM, "metric_name").distinct().groupBy(*STREAM).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MAX_METRICS).first()
+    if wide:
+        raise ValueError(f"{wide.run_id} has {wide.n} metrics, {MAX_METRICS} at most make a window")
     where = placed(chunk_index(chunks)).where((F.col("lines_before") < offset + limit) & (F.col("lines_before") + F.col("newlines") >= offset)).select(*STREAM, *ORDER, "lines_before", "newlines")
-    return _joined(_pieces(chunks, where).where(F.col("line_index").between(offset, offset + limit - 1))).orderBy(*STREAM, "line_index")
+    found = _joined(_pieces(chunks, where).where(F.col("line_index").between(offset, offset + limit - 1)))
+    held = F.sum(F.octet_length("line")).over(Window.partitionBy(*STREAM))  # of at most 2000 lines
+    checked = F.when(held > MAX_BYTES, F.raise_error(F.concat(F.lit("a window passes 8 MiB: "), "run_id")).cast("string")).otherwise(F.col("line"))
+    return found.withColumn("line", checked).orderBy(*STREAM, "line_index")
 
 
 def tail(chunks: DataFrame, n: int) -> DataFrame:

@@ -12,7 +12,8 @@ from ..plans.scratch import shared_root
 from ..sources import adapters as A
 from ..streaming import ingest as N
 from ..streaming import state as S
-from .common import DENSE, POINTS, registry
+from ..streaming import store as T
+from .common import DENSE, LATEST, POINTS, registry
 
 ALL, query = registry()
 
@@ -46,6 +47,31 @@ def ingest(spark, sf_dir):
     return N.read(spark, _ingested(spark, sf_dir), "points").groupBy("run_id", "metric_name").agg(F.count(F.lit(1)).alias("n"), F.max("step").alias("last_step"))
 
 
+@query("SRC_6_SM_1_AG_1_point_store", f"WITH {LATEST} SELECT project_id, run_id, metric_name, count(*) AS n, count(value) AS numbers, round(sum(value::DOUBLE), 2) AS total FROM latest GROUP BY ALL")
+def point_store(spark, sf_dir):
+    """Points come in three batches, the second twice; a project is compacted between and both behind them."""
+    d = A.dense_points(spark, sf_dir)
+    s = T.PointStore(spark, _root(spark))
+    for k in (0, 1, 1, 2):
+        s.append(d.where(F.pmod("timestamp_ms", F.lit(3)) == k), k)
+        if k == 1:
+            s.compact("p0")
+    for p in ("p0", "p1"):
+        s.compact(p)
+    return s.snapshot().newest().groupBy("project_id", "run_id", "metric_name").agg(F.count(F.lit(1)).alias("n"), F.count("value").alias("numbers"), F.round(F.sum(F.col("value").cast("double")), 2).alias("total"))
+
+
+@query("RN_6_lasting_purge", f"WITH {LATEST} SELECT project_id, run_id, count(*) AS n FROM latest WHERE run_id NOT IN ('s3', 's4') GROUP BY ALL")
+def lasting_purge(spark, sf_dir):
+    """Two runs are purged between two batches; the second holds late rows of them, which stay away."""
+    d = A.dense_points(spark, sf_dir)
+    s = T.PointStore(spark, _root(spark))
+    s.append(d.where("step % 2 = 0"), 0)
+    s.purge(d.where("run_id IN ('s3', 's4')").select("project_id", "run_id").distinct())
+    s.append(d.where("step % 2 = 1"), 1)
+    return s.snapshot().newest().groupBy("project_id", "run_id").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("SM_4_rollup", f"""WITH {POINTS} SELECT run_id, metric_name, step // 64 AS cell, count(*) FILTER (isfinite(value)) AS n, round(sum(value::DOUBLE) FILTER (isfinite(value)), 4) AS total, min(value::DOUBLE) FILTER (isfinite(value)) AS y_min,
   max(value::DOUBLE) FILTER (isfinite(value)) AS y_max FROM points GROUP BY ALL""")
 def rollup(spark, sf_dir):

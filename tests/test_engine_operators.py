@@ -245,3 +245,14 @@ def test_search_leaves_text_where_it_is(spark, tmp_path):
     assert [(r.line_index, r.line, r.match_index) for r in got.collect()] == [(34 * 2000, "out of MEMORY", 0)]
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("LogicalRDD") >= 2  # the small rows and the candidates are stored; the text is read again for these only
+
+
+def test_bounds_of_line_windows(spark):
+    schema = "project_id string, run_id string, step long, metric_name string, tag string, text_data string"
+    many = spark.createDataFrame([("p", "r", i, "m", "", f"{i}\n") for i in range(2100)], schema)
+    assert [T.window(many, 50, n).count() for n in (0, 1, 2000, 5000)] == [1, 1, 2000, 2000]
+    with pytest.raises(ValueError, match="257 metrics"):
+        T.window(many.limit(257).withColumn("metric_name", F.concat("metric_name", F.col("step").cast("string"))), 0, 10)
+    wide = many.limit(9).withColumn("text_data", F.repeat(F.lit("x"), 1 << 20))
+    with pytest.raises(Exception, match="8 MiB"):
+        T.window(wide, 0, 10).collect()
