@@ -36,9 +36,8 @@ def _imported(v: Column) -> Column:
 
 
 def text_line(text: Column) -> Column:
-    """A text cell as a terminated line of at most ``TEXT_CHARS`` characters."""
-    cut = F.substring(text, 1, TEXT_CHARS - 1)
-    return F.when(cut.endswith("\n"), cut).otherwise(F.concat(cut, F.lit("\n")))
+    """A text cell as a line: at most ``TEXT_CHARS`` characters with its one terminator."""
+    return F.concat(F.regexp_replace(F.left(text, F.lit(TEXT_CHARS - 1)), r"\n\z", ""), F.lit("\n"))
 
 
 def unpivot_history(df: DataFrame, created_ms: int, order: list[str]) -> DataFrame:
@@ -225,8 +224,9 @@ def form_of(filename: Column) -> Column:
     return F.when(ext.isin(*EXTENSIONS), ext).otherwise("bin")
 
 
-def snake(name: Column) -> Column:
-    return F.lower(F.regexp_replace(name, r"(?<=[a-z0-9])([A-Z])", "_$1"))
+def words(name: Column) -> Column:
+    """A name's words in small letters with ``_`` between: a word begins at a capital behind a small letter or a digit."""
+    return F.lower(F.array_join(F.split(name, "(?<=[a-z0-9])(?=[A-Z])"), "_"))
 
 
 #: Metrics of exported accelerator columns.
@@ -236,33 +236,41 @@ ACCELERATOR = {
 }
 #: Metrics of exported columns that stand alone.
 ALONE = {
-    "cpu": "proc_cpu_pct", "memory": "sys_mem_pct", "proc.memory.rssMB": "proc_mem_used_mb", "proc.memory.percent": "proc_mem_pct", "proc.memory.availableMB": "sys_mem_avail_mb", "proc.cpu.threads": "proc_threads",
-    "network.sent": "net_sent_bytes", "network.recv": "net_recv_bytes",
+    "cpu": "system/proc_cpu_pct", "memory": "system/sys_mem_pct", "proc.memory.rssMB": "system/proc_mem_used_mb", "proc.memory.percent": "system/proc_mem_pct", "proc.memory.availableMB": "system/sys_mem_avail_mb",
+    "proc.cpu.threads": "system/proc_threads", "network.sent": "system/net_sent_bytes", "network.recv": "system/net_recv_bytes",
 }
+#: Metrics of a disk by the last segment of a column's name.
+DISK = {"in": "system/disk_in_mb", "out": "system/disk_out_mb", "usagePercent": "system/disk_used_pct", "usageGB": "system/disk_used_gb"}
+#: Families of numbered devices: the segments in front of the number, what their metrics begin with, and the names of some.
+DEVICES = (
+    (("gpu",), "system/gpu_", {k: v.removeprefix("gpu_") for k, v in ACCELERATOR.items()}),
+    (("gpu", "process"), "system/gpu_proc_", {k: v.removeprefix("gpu_") for k, v in ACCELERATOR.items()}),
+    (("cpu",), "system/cpu_core_", {"cpu_percent": "pct"}),
+)
 
 
 def system_columns(names: DataFrame, column: str = "name") -> DataFrame:
-    """Adds metric_name and tag to exported system column names: device columns by device, the rest in snake case; null for
-    columns that are no system columns."""
-    rest = F.regexp_extract(column, r"(?s)^system\.(.*)$", 1)
+    """Adds metric_name and tag to exported system column names: numbered devices and disks are tags, the rest are words; null
+    for columns that are no system columns. A name is cut into segments once; its first ones, and for disks its last, tell
+    the family."""
     table = lambda d: F.create_map(*[F.lit(x) for pair in d.items() for x in pair])
-    part = lambda pattern, group: F.regexp_extract(rest, pattern, group)
-    process, card, core, disk, usage = r"^gpu\.process\.(\d+)\.(.+)$", r"^gpu\.(\d+)\.(.+)$", r"^cpu\.(\d+)\.(.+)$", r"^disk\.(.+)\.(in|out)$", r"^disk\.(.+)\.(usagePercent|usageGB)$"
-    device = lambda pattern: F.coalesce(F.try_element_at(table(ACCELERATOR), part(pattern, 2)), F.concat(F.lit("gpu_"), snake(part(pattern, 2))))
-    alone = F.try_element_at(table(ALONE), rest)
-    rules = [
-        (rest.rlike(process), F.regexp_replace(device(process), "^gpu_", "gpu_proc_"), part(process, 1)),
-        (rest.rlike(card), device(card), part(card, 1)),
-        (rest.rlike(core), F.when(part(core, 2) == "cpu_percent", "cpu_core_pct").otherwise(F.concat(F.lit("cpu_core_"), snake(part(core, 2)))), part(core, 1)),
-        (alone.isNotNull(), alone, F.lit("")),
-        (rest.rlike(disk), F.concat(F.lit("disk_"), part(disk, 2), F.lit("_mb")), part(disk, 1)),
-        (rest.rlike(usage), F.when(part(usage, 2) == "usagePercent", "disk_used_pct").otherwise("disk_used_gb"), part(usage, 1)),
-    ]
-    metric, tag = F.replace(snake(rest), F.lit("."), F.lit("_")), F.lit("")
-    for hit, name, tagged in reversed(rules):
-        metric, tag = F.when(hit, name).otherwise(metric), F.when(hit, tagged).otherwise(tag)
-    system = F.col(column).startswith("system.")
-    return names.withColumn("metric_name", F.when(system, F.concat(F.lit("system/"), metric))).withColumn("tag", F.when(system, tag))
+    seg = F.slice(F.split(column, r"\.", -1), F.lit(2), F.greatest(F.size(F.split(column, r"\.", -1)) - 1, F.lit(0)))
+    cut = names.withColumn("_seg", F.when(F.col(column).startswith("system."), seg))
+    n = F.size("_seg")
+    rest = lambda start, length: F.array_join(F.slice("_seg", F.lit(start), length), ".")
+    answers = []
+    for front, begins, known in DEVICES:
+        at = len(front) + 1
+        key = rest(at + 1, F.greatest(n - at, F.lit(0)))
+        fits = (n > at) & (F.slice("_seg", 1, len(front)) == F.array(*[F.lit(f) for f in front])) & F.get("_seg", F.lit(at - 1)).rlike("^[0-9]+$") & (key != "")
+        answers.append(F.when(fits, F.struct(F.concat(F.lit(begins), F.coalesce(F.try_element_at(table(known), key), words(key))).alias("metric_name"), F.get("_seg", F.lit(at - 1)).alias("tag"))))
+    alone = F.try_element_at(table(ALONE), rest(1, n))
+    answers.append(F.when(alone.isNotNull(), F.struct(alone.alias("metric_name"), F.lit("").alias("tag"))))
+    device, disk = rest(2, F.greatest(n - 2, F.lit(0))), F.try_element_at(table(DISK), F.element_at("_seg", -1))
+    answers.append(F.when((n > 2) & (F.get("_seg", F.lit(0)) == "disk") & (device != "") & disk.isNotNull(), F.struct(disk.alias("metric_name"), device.alias("tag"))))
+    plain = F.struct(F.concat(F.lit("system/"), F.replace(words(rest(1, n)), F.lit("."), F.lit("_"))).alias("metric_name"), F.lit("").alias("tag"))
+    found = F.when(F.col("_seg").isNotNull(), F.coalesce(*answers, plain))
+    return cut.withColumn("_found", found).select("*", "_found.metric_name", "_found.tag").drop("_seg", "_found")
 
 
 def iso_ms(text: Column) -> Column:
@@ -322,6 +330,14 @@ MACHINE = {
 }
 
 
+#: What is told of an export, and the document and property it is read from.
+SOURCE = {
+    "url": "run.url", "entity": "run.entity", "project": "run.project", "run_id": "run.id", "state": "run.state", "tags": "run.tags", "notes": "run.notes", "group": "run.group", "job_type": "run.job_type",
+    "sweep": "run.sweep", "user": "run.user", "email": "machine.email", "created_at": "run.created_at", "heartbeat_at": "run.heartbeat_at", "history_line_count": "run.history_line_count",
+    "imported_at": "", "summary": "run.summary", "artifacts": "artifacts",
+}
+
+
 def run_info(df: DataFrame, imported_at: str) -> DataFrame:
     """Adds ``info``, the JSON document of an imported run: when it began, its machine and command line, commit and remote
     without credentials, the batch job without its token, where it comes from, and its configuration.
@@ -345,11 +361,8 @@ def run_info(df: DataFrame, imported_at: str) -> DataFrame:
     commit = F.coalesce(F.nullif(get("machine", "git.commit", "string"), F.lit("")), F.nullif(get("run", "commit", "string"), F.lit("")))
     git = F.struct(F.nullif(remote, F.lit("")).alias("remote"), commit.alias("commit"))
     slurm = F.map_filter(get("machine", "slurm", "map<string,variant>"), lambda k, _: k != "jwt")
-    own = {"url": "url", "entity": "entity", "project": "project", "run_id": "id", "state": "state", "tags": "tags", "notes": "notes", "group": "group", "job_type": "job_type", "sweep": "sweep", "user": "user"}
-    late = {"created_at": "created_at", "heartbeat_at": "heartbeat_at", "history_line_count": "history_line_count"}
-    source = [(F.coalesce(get("run", p), F.parse_json(F.lit("[]"))) if k == "tags" else get("run", p)).alias(k) for k, p in own.items()]
-    source += [get("machine", "email").alias("email"), *[get("run", p).alias(k) for k, p in late.items()], F.lit(imported_at).alias("imported_at")]
-    source += [F.coalesce(get("run", "summary"), F.col("_summary")).alias("summary"), F.col("_artifacts").alias("artifacts")]
+    told = {"imported_at": F.lit(imported_at), "summary": F.coalesce(get("run", "summary"), F.col("_summary")), "artifacts": F.col("_artifacts"), "tags": F.coalesce(get("run", "tags"), F.parse_json(F.lit("[]")))}
+    source = [(told[k] if k in told else get(*at.split("."))).alias(k) for k, at in SOURCE.items()]
     part = lambda name, cond, c: F.when(cond, F.concat(F.lit(f',"{name}":'), c)).otherwise("")
     meta = F.concat(
         F.lit('{"meta":{"time":'), F.to_json(time), F.lit(',"system":'), F.to_json(system),
