@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.expressions import is_finite, presented
@@ -9,9 +11,11 @@ from ..operators.points import median_gap
 from ..plans import changes as D
 from ..plans import chart as C
 from ..plans.chart import Request, chart
-from ..plans.scratch import checkpointed
+from ..plans.scratch import checkpointed, shared_root
 from ..plans.smooth import Smoothing, smooth
 from ..sources import adapters as A
+from ..streaming.store import PointStore
+from ..streaming.tiers import Tiers
 from .common import LATEST, POINTS, registry
 
 ALL, query = registry()
@@ -51,6 +55,17 @@ def envelope(spark, sf_dir):
     return _rounded(_events(spark, sf_dir, metrics=("click",), target=40))
 
 
+@query("SM_4_CH_2_6_tier_chart", _chart_sql(POINTS, "step", 40, "w >= 4") + _SELECT)
+def tier_chart(spark, sf_dir):
+    """The same chart from tiers: points come in two batches, the second full of rows behind and between the first's."""
+    p = A.points(spark, sf_dir)
+    tiers = Tiers(PointStore(spark, f"{shared_root(spark)}/tiers-{uuid.uuid4().hex}"))
+    tiers.apply(p.where("step % 3 = 0"), 0)
+    tiers.build()
+    tiers.apply(p.where("step % 3 <> 0"), 1)
+    return _rounded(tiers.chart("events", Request(("click",), target=40)))
+
+
 @query("CH_1_time_axis", _chart_sql(POINTS, "timestamp_ms", 50, "n >= 4") + _SELECT)
 def time_axis(spark, sf_dir):
     return _rounded(_events(spark, sf_dir, metrics=("click",), axis="time", target=50))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import expressions as X
@@ -152,12 +155,19 @@ def manifests(spark, sf_dir):
     return m.select("page_id", M.children(M.parse_manifest(doc.cast("binary"))).alias("children"))
 
 
-@query("MD_4_galleries", f"WITH {MEDIA}, g AS (SELECT page_id % 5 AS run_order, page_id // 5 AS i, key FROM media) SELECT key || '/' || i AS item, row_number() OVER (ORDER BY i, run_order) - 1 AS place FROM g")
+@query(
+    "MD_4_galleries",
+    f"""WITH {MEDIA}, g AS (SELECT page_id % 5 AS run_order, page_id // 5 AS i, key FROM media)
+  SELECT 'run' AS layout, key || '/' || i AS item, row_number() OVER (ORDER BY run_order, i) - 1 AS place, 0 AS line FROM g UNION ALL SELECT 'index', key || '/' || i, row_number() OVER (ORDER BY i, run_order) - 1, i FROM g
+  UNION ALL SELECT 'interleaved', key || '/' || i, row_number() OVER (ORDER BY i, run_order) - 1, 0 FROM g""",
+)
 def galleries(spark, sf_dir):
+    """Each run's items together; a row for each place; or every run's first, then every run's second, without rows."""
     m = A.media(spark, sf_dir)
     k = F.col("page_id")
     rows = m.select((k % 5).alias("run_order"), (k % 5).cast("string").alias("run_id"), F.expr("page_id div 5").alias("i"), F.col("key").alias("item"))
-    return M.gallery(rows, "interleaved").select(F.concat("item", F.lit("/"), F.col("i").cast("string")).alias("item"), F.col("place").cast("long").alias("place"))
+    parts = [M.gallery(rows, x).select(F.lit(x).alias("layout"), F.concat("item", F.lit("/"), F.col("i").cast("string")).alias("item"), F.col("place").cast("long").alias("place"), F.col("row").cast("long").alias("line")) for x in ("run", "index", "interleaved")]
+    return reduce(DataFrame.unionAll, parts)
 
 
 _LEAVES = """l AS (SELECT * FROM (

@@ -42,9 +42,16 @@ def _ingested(spark, sf_dir) -> str:
     return root
 
 
-@query("SRC_5_SM_1_ingest", f"WITH {POINTS} SELECT run_id, metric_name, count(*) AS n, max(step) AS last_step FROM points GROUP BY ALL")
+@query("SRC_5_SM_1_ingest", f"WITH {POINTS} SELECT run_id, metric_name, count(*) AS n, max(step) AS last_step, 4 AS cuts FROM points GROUP BY ALL")
 def ingest(spark, sf_dir):
-    return N.read(spark, _ingested(spark, sf_dir), "points").groupBy("run_id", "metric_name").agg(F.count(F.lit(1)).alias("n"), F.max("step").alias("last_step"))
+    """The table as four files, each of which passes the bytes of a cut: four micro-batches, each a folder of its own."""
+    root = _root(spark)
+    e = A.table(spark, sf_dir, "events")
+    e.repartition(4).write.parquet(f"{root}/in")
+    N.start(_points(N.source(spark, e.schema, f"{root}/in", cut_bytes=1)), root, None).awaitTermination()
+    got = N.read(spark, root, "points")
+    cuts = got.select("batch").distinct().agg(F.count(F.lit(1)).cast("int").alias("cuts"))
+    return got.groupBy("run_id", "metric_name").agg(F.count(F.lit(1)).alias("n"), F.max("step").alias("last_step")).crossJoin(F.broadcast(cuts))
 
 
 @query("SRC_6_SM_1_AG_1_point_store", f"WITH {LATEST} SELECT project_id, run_id, metric_name, count(*) AS n, count(value) AS numbers, round(sum(value::DOUBLE), 2) AS total FROM latest GROUP BY ALL")
@@ -125,9 +132,9 @@ def recompute(spark, sf_dir):
   SELECT a.run_id, a.metric_name, a.step, round(sum(exp(-(a.step - b.step) / 50.0) * b.y) / sum(exp(-(a.step - b.step) / 50.0)), 6) AS smoothed FROM s a JOIN s b ON a.run_id = b.run_id AND a.metric_name = b.metric_name AND b.step <= a.step GROUP BY ALL""")
 def smoother(spark, sf_dir):
     root = _root(spark)
-    p = _points(_events(spark, sf_dir)).select("run_id", "metric_name", "step", F.col("value").cast("double").alias("value"))
+    p = _points(_events(spark, sf_dir)).select("project_id", "run_id", "metric_name", "tag", "step", F.col("value").cast("double").alias("value"))
     S.ema(p, 50.0).writeStream.format("parquet").option("path", f"{root}/ema").option("checkpointLocation", f"{root}/c").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{root}/ema").withColumn("smoothed", F.round("smoothed", 6))
+    return spark.read.parquet(f"{root}/ema").select("run_id", "metric_name", "step", F.round("smoothed", 6).alias("smoothed"))
 
 
 @query("SM_2_6_liveness", f"""WITH {POINTS}, t AS (SELECT run_id, timestamp_ms AS moment, lag(timestamp_ms) OVER (PARTITION BY run_id ORDER BY timestamp_ms) AS was FROM points),

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.points import SERIES
+
 SILENT_MS, DEAD_MS = 10_000, 600_000
 _FOLDS = 500.0
 
@@ -54,9 +56,9 @@ def liveness(points: DataFrame, watermark: str = "5 seconds") -> DataFrame:
 
 
 def ema(points: DataFrame, tau: float) -> DataFrame:
-    """An order-0 EMA of each series (run_id, metric_name) that goes on from the state of the batches before: moments decay
-    by exp(-dx / tau). ``points``: run_id, metric_name, step, value; a batch's rows are taken in step order, rows at or
-    before the last step are left to recomputation."""
+    """An order-0 EMA of each series (project_id, run_id, metric_name, tag) that goes on from the state of the batches before:
+    moments decay by exp(-dx / tau). ``points``: the series' columns, step, value; a batch's rows are taken in step order, rows
+    at or before the last step are left to recomputation."""
 
     def step(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last, w, s = state.get if state.exists else (-math.inf, 0.0, 0.0)
@@ -74,8 +76,8 @@ def ema(points: DataFrame, tau: float) -> DataFrame:
             last, w, s = float(x[n - 1]), float(ws[-1] / grow[-1]), float(ss[-1] / grow[-1])
             x, y = x[n:], y[n:]
         state.update((float(last), w, s))
-        yield pd.DataFrame({"run_id": key[0], "metric_name": key[1], "step": pdf["step"].to_numpy(), "smoothed": np.concatenate(values) if values else np.empty(0)})
+        yield pd.DataFrame(dict(zip(SERIES, key, strict=True)) | {"step": pdf["step"].to_numpy(), "smoothed": np.concatenate(values) if values else np.empty(0)})
 
-    return points.groupBy("run_id", "metric_name").applyInPandasWithState(
-        step, "run_id string, metric_name string, step long, smoothed double", "last double, w double, s double", "append", GroupStateTimeout.NoTimeout
+    return points.groupBy(*SERIES).applyInPandasWithState(
+        step, "project_id string, run_id string, metric_name string, tag string, step long, smoothed double", "last double, w double, s double", "append", GroupStateTimeout.NoTimeout
     )
