@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import points as P
 from ..plans.scratch import shared_root
 from ..sources import adapters as A
+from ..streaming import feed as W
 from ..streaming import ingest as N
 from ..streaming import state as S
 from ..streaming import store as T
@@ -96,17 +97,30 @@ def stream_heartbeats(spark, sf_dir):
     return N.read_heartbeats(spark, _ingested(spark, sf_dir)).select("run_id", "last_main_ms")
 
 
-@query("SM_8_change_feed", """WITH t AS (SELECT 'run' || (user_id % 8) AS run_id, event_id % 4 AS batch, max(epoch_us(ts) // 1000) AS at_ms FROM events GROUP BY ALL),
-  v AS (SELECT run_id, count(*) OVER (PARTITION BY run_id ORDER BY batch) AS version, at_ms FROM t) SELECT run_id, at_ms // 1000 AS frame, max(version) AS version FROM v GROUP BY ALL""")
+@query(
+    "SM_8_change_feed",
+    """WITH RECURSIVE e AS (SELECT 'run' || (user_id % 8) AS run_id, epoch_us(ts) // 1000 AS moment, row_number() OVER (PARTITION BY user_id % 8 ORDER BY ts, event_id) AS v FROM events),
+  c AS (SELECT run_id, moment, max(v) AS v, row_number() OVER (PARTITION BY run_id ORDER BY moment) AS n FROM e GROUP BY run_id, moment),
+  f AS (SELECT run_id, n, moment, v AS sent, moment AS sent_at, v AS waiting, NULL::BIGINT AS timed, NULL::BIGINT AS timed_at, true AS now FROM c WHERE n = 1 UNION ALL
+    SELECT run_id, n, moment, CASE WHEN moment >= at2 + 3600000 THEN v ELSE sent2 END, CASE WHEN moment >= at2 + 3600000 THEN moment ELSE at2 END, v, CASE WHEN due THEN sent2 END, CASE WHEN due THEN at2 END, moment >= at2 + 3600000
+    FROM (SELECT c.run_id, c.n, c.moment, c.v, f.waiting > f.sent AND c.moment > f.sent_at + 3600000 AS due, CASE WHEN f.waiting > f.sent AND c.moment > f.sent_at + 3600000 THEN f.waiting ELSE f.sent END AS sent2,
+      CASE WHEN f.waiting > f.sent AND c.moment > f.sent_at + 3600000 THEN f.sent_at + 3600000 ELSE f.sent_at END AS at2 FROM f JOIN c ON c.run_id = f.run_id AND c.n = f.n + 1))
+  SELECT run_id, sent::BIGINT AS version, sent_at AS at_ms FROM f WHERE now UNION ALL SELECT run_id, timed::BIGINT, timed_at FROM f WHERE timed IS NOT NULL
+  UNION ALL SELECT run_id, waiting::BIGINT, sent_at + 3600000 FROM f QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY n DESC) = 1 AND waiting > sent AND sent_at + 3600000 < max(moment) OVER ()""",
+)
 def feed(spark, sf_dir):
-    """The events come in four micro-batches; each is a version of the runs it touches, and a listener gets a frame a second at most."""
+    """Every event is a version of its run; a listener gets a frame an hour at most, by the events' own time, from a stream of
+    many micro-batches. The SQL takes the changes one by one."""
     root = _root(spark)
-    A.table(spark, sf_dir, "events").withColumn("part", F.col("event_id") % 4).repartition("part").write.partitionBy("part").parquet(f"{root}/in")
-    for k in range(4):
-        N.write_batch(root)(_points(spark.read.parquet(f"{root}/in/part={k}")), k)
-    touched = N.read(spark, root, "feed")
-    nth = F.row_number().over(Window.partitionBy("run_id").orderBy("batch"))
-    return N.frames(touched.select("run_id", nth.alias("version"), F.col("last_ms").alias("at_ms"))).select("run_id", "frame", F.col("version").cast("long").alias("version"))
+    e = _points(A.table(spark, sf_dir, "events"))
+    nth = F.row_number().over(Window.partitionBy("run_id").orderBy("inserted_at", "step"))
+    changes = e.select("run_id", nth.cast("long").alias("version"), F.col("inserted_at").alias("event_time"))
+    for week in range(5):  # files in order of time, as they would come
+        changes.where(F.expr("(dayofyear(event_time) - 1) div 7") == week if week < 4 else F.expr("(dayofyear(event_time) - 1) div 7 >= 4")).coalesce(1).write.parquet(f"{root}/in/{week}")
+    s = spark.readStream.schema(changes.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in/*")
+    feeds = W.frames(s, every_ms=3_600_000, forget_ms=10**12, watermark="0 seconds")
+    feeds.writeStream.format("parquet").option("path", f"{root}/feed").option("checkpointLocation", f"{root}/c").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{root}/feed")
 
 
 @query(

@@ -151,11 +151,15 @@ def run_out(spark, df, tmp_path):
 def test_smoother_goes_on_from_its_state(spark, tmp_path):
     rng = np.random.default_rng(0)
     steps = np.cumsum(rng.choice([1, 2, 3, 40_000], 60, p=[0.4, 0.3, 0.28, 0.02])).tolist()
-    rows = [("r", "m", s, float(v)) for s, v in zip(steps, rng.normal(size=60), strict=True)]
-    got = {r.step: r.smoothed for r in run_out(spark, S.ema(stream(spark, tmp_path, [rows[:20], rows[20:21], rows[21:]], "run_id string, metric_name string, step long, value double"), 5.0), tmp_path).collect()}
+    rows = [("p", "r", "m", "", s, float(v)) for s, v in zip(steps, rng.normal(size=60), strict=True)]
+    other = [("q", "r", "m", "", s, 100.0) for s in steps] + [("p", "r", "m", "1", s, -100.0) for s in steps]  # series that share names
+    schema = "project_id string, run_id string, metric_name string, tag string, step long, value double"
+    out = run_out(spark, S.ema(stream(spark, tmp_path, [rows[:20] + other, rows[20:21], rows[21:]], schema), 5.0), tmp_path)
+    got = {(r.project_id, r.tag, r.step): r.smoothed for r in out.collect()}
     for i, s in enumerate(steps):
         w = np.exp((np.array(steps[: i + 1]) - s) / 5.0)
-        assert got[s] == pytest.approx(float((w * [r[3] for r in rows[: i + 1]]).sum() / w.sum()))
+        assert got["p", "", s] == pytest.approx(float((w * [r[5] for r in rows[: i + 1]]).sum() / w.sum()))
+        assert got["q", "", s] == pytest.approx(100.0) and got["p", "1", s] == pytest.approx(-100.0)
 
 
 def test_liveness_over_batches(spark, tmp_path):
