@@ -220,12 +220,20 @@ def asof(left: DataFrame, right: DataFrame, by: list[str], on: str, values: list
     return found.select("_l.*", *[F.col(f"_v.{v}").alias(v) for v in values])
 
 
-def range_join(left: DataFrame, right: DataFrame, by: list[str], on: str, reach: float) -> DataFrame:
-    """Pairs with abs(left.on - right.on) <= reach, by cells of that width: a left row meets its own cell and the two next to it."""
+def range_join(left: DataFrame, right: DataFrame, by: list[str], on: str, reach: float, most: int = 100_000) -> DataFrame:
+    """Pairs with abs(left.on - right.on) <= reach, by cells of that width: a left row meets its own cell and the two next to it.
+
+    Cells of more than ``most`` right rows are dealt into parts of about that many by a hash of the row, and left rows meet each
+    part, so a stretch that holds half of all samples is many groups."""
     cell = F.floor(F.col(on) / reach)
-    a = left.withColumn("_cell", F.explode(F.array(cell - 1, cell, cell + 1)))
+    keys = [*by, "_cell"]
     b = right.select(*by, cell.alias("_cell"), *[F.col(c).alias(f"r_{c}") for c in right.columns if c not in by])
-    return a.join(b, [*by, "_cell"]).where(F.abs(F.col(on) - F.col(f"r_{on}")) <= reach).drop("_cell")
+    dense = b.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most).select(*keys, F.ceil(F.col("_n") / most).cast("int").alias("_parts"))
+    parts = F.coalesce("_parts", F.lit(1))
+    salt = F.xxhash64(*[F.col(c) for c in b.columns if c not in keys])
+    b = b.join(dense, keys, "left").withColumn("_part", F.pmod(salt, parts).cast("int")).drop("_parts")
+    a = left.withColumn("_cell", F.explode(F.array(cell - 1, cell, cell + 1))).join(dense, keys, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    return a.join(b, [*keys, "_part"]).where(F.abs(F.col(on) - F.col(f"r_{on}")) <= reach).drop("_cell", "_part")
 
 
 def read_points(spark, path: str, project: str) -> DataFrame:

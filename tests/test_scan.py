@@ -61,3 +61,13 @@ def test_asof_of_a_hot_key(spark):
     right = spark.range(900).select(F.lit("k").alias("k"), (F.col("id") * 10 + 5).alias("t"), F.col("id").alias("r"))
     got = {r.l: r.r for r in P.asof(left, right, ["k"], "t", ["r"]).collect()}
     assert got == {i: max(j for j in range(900) if j * 10 + 5 <= i * 3) if i * 3 >= 5 else None for i in range(3000)}
+
+
+@pytest.mark.parametrize("most", [3, 100_000])
+def test_range_join_of_a_dense_stretch(spark, most):
+    """Half of the samples in a hundredth of the span: the same pairs with cells cut into parts, none of which is large."""
+    rows = [("k", float(i)) for i in range(0, 1000, 10)] + [("k", 500 + i / 50) for i in range(100)] + [("j", 5.0)]
+    right = spark.createDataFrame(rows, "k string, t double").withColumn("v", F.monotonically_increasing_id())
+    left = spark.createDataFrame([("k", float(x)) for x in (0, 499, 501, 999)] + [("j", 7.0), ("none", 1.0)], "k string, t double")
+    got = sorted((r.k, r.t, r.r_t) for r in P.range_join(left, right, ["k"], "t", 3.0, most).collect())
+    assert got == sorted((a.k, a.t, b[1]) for a in left.collect() for b in rows if a.k == b[0] and abs(a.t - b[1]) <= 3.0)
