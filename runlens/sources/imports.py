@@ -77,30 +77,32 @@ def jsonl_points(lines: DataFrame, by: list[str], order: list[str], created_ms:
     empty becomes a terminated line at its time, later where the metric has one there. Objects are scalars whose type varied
     (all fields start with ``_type_``: the first number or text of them, if it reads as a number) or summary statistics, each
     number of which is a metric of its own; media, histograms and lists give no points."""
-    v = F.try_parse_json(_finite_json(F.col(column)))
-    rows = lines.select(*by, *order, v.alias("v")).where("v IS NOT NULL AND schema_of_variant(v) LIKE 'OBJECT%'")
+    # whatever isn't an object has no keys; a filter above the parsed lines would be pushed below and parse them again
+    rows = lines.select(*by, *order, F.try_parse_json(_finite_json(F.col(column))).alias("v"))
     stamp = F.try_variant_get("v", "$._timestamp", "double")
     rows = rows.select(*by, *order, F.coalesce(F.try_variant_get("v", "$._step", "long"), F.lit(0).cast("long")).alias("step"), F.coalesce((stamp * 1000).cast("long"), F.lit(created_ms).cast("long")).alias("timestamp_ms"), "v")
     cells = rows.lateralJoin(_exploded()).where("NOT startswith(key, '_')").drop("v").withColumn("kind", F.schema_of_variant("value"))
-    fields = F.when(F.col("kind").startswith("OBJECT<"), F.try_variant_get("value", "$", "map<string,variant>"))
-    union = (F.size(F.map_keys(fields)) > 0) & F.forall(F.map_keys(fields), lambda k: k.startswith("_type_"))
-    stats = (F.size(F.map_keys(fields)) > 0) & F.forall(F.map_keys(fields), lambda k: k.isin(*STATS))
-    renamed = F.create_map(*[F.lit(x) for pair in STATS.items() for x in pair])
-    single = F.array(F.struct(F.col("key").alias("metric_name"), F.when(fields.isNull(), _json_number(F.col("value"))).otherwise(_union_number(fields)).alias("d")))
-    many = F.transform(F.map_entries(fields), lambda e: F.struct(F.concat(F.col("key"), F.lit("/"), F.element_at(renamed, e.key)).alias("metric_name"), F.coalesce(_json_number(e.value), _union_number(F.try_variant_get(e.value, "$", "map<string,variant>"))).alias("d")))
-    found = F.when(fields.isNull() | union, single).when(stats, many)
+    # columns of their own, as they are read many times; an object whose first field is no one's gives nothing
+    able = F.col("kind").rlike("^OBJECT<`?(_type_|" + "|".join(STATS) + ")")
+    held = cells.where("kind <> 'STRING'").withColumns({"fields": F.when(able, F.try_variant_get("value", "$", "map<string,variant>")), "plain": _json_number(F.col("value"))})
+    fields, keys = F.col("fields"), F.map_keys("fields")
+    number = lambda name, d: F.struct(name.alias("metric_name"), d.alias("d"))
+    many = F.transform(F.map_entries(fields), lambda e: number(F.concat(F.col("key"), F.lit("/"), F.element_at(F.create_map(*[F.lit(x) for pair in STATS.items() for x in pair]), e.key)), F.coalesce(_json_number(e.value), _union_number(F.try_variant_get(e.value, "$", "map<string,variant>")))))
+    found = F.when(F.col("plain").isNotNull(), F.array(number(F.col("key"), F.col("plain")))).when(fields.isNull(), None)
+    found = found.when(F.forall(keys, lambda k: k.startswith("_type_")), F.array(number(F.col("key"), _union_number(fields)))).when(F.forall(keys, lambda k: k.isin(*STATS)), many)
     ids = [*by, "step", "timestamp_ms"]
-    numbers = cells.where("kind <> 'STRING'").select(*ids, F.explode(found).alias("p")).select(*ids, "p.metric_name", _imported(F.col("p.d")).alias("value"), F.lit(None).cast("string").alias("text_data")).where("value IS NOT NULL")
+    numbers = held.select(*ids, F.explode(found).alias("p")).select(*ids, "p.metric_name", _imported(F.col("p.d")).alias("value"), F.lit(None).cast("string").alias("text_data")).where("value IS NOT NULL")
     told = cells.where("kind = 'STRING'").select(*by, *order, "timestamp_ms", F.col("key").alias("metric_name"), F.expr("try_variant_get(value, '$', 'string')").alias("text")).where("text <> ''")
-    texts = monotone_steps(told, [*by, "metric_name"], order, "timestamp_ms").select(*ids, "metric_name", F.lit(None).cast("float").alias("value"), text_line(F.col("text")).alias("text_data"))
+    # stored, so that dealing and its sample don't parse the lines again
+    texts = monotone_steps(checkpointed(told), [*by, "metric_name"], order, "timestamp_ms").select(*ids, "metric_name", F.lit(None).cast("float").alias("value"), text_line(F.col("text")).alias("text_data"))
     return numbers.unionAll(texts)
 
 
 def _finite_json(line: Column) -> Column:
     """JSON in which NaN and infinities, outside texts, are objects of one text field that ``_union_number`` reads."""
-    tokens = F.regexp_extract_all(line, F.lit(r'(?s)("(?:[^"\\]|\\.)*"|[^"]+|")'), F.lit(1))
-    changed = F.transform(tokens, lambda t: F.when(t.startswith('"'), t).otherwise(F.regexp_replace(t, r"(-?Infinity|NaN)", '{"_type_text":"$1"}')))
-    return F.when(line.rlike("Infinity|NaN"), F.array_join(changed, "")).otherwise(line)
+    outside = r'(?>[^"IN\-]+|"(?>[^"\\]+|\\.)*+"|(?!-?Infinity|NaN).)*+'
+    changed = F.regexp_replace(line, rf"(?s)\G({outside})(-?Infinity|NaN)", '$1{"_type_text":"$2"}')
+    return F.when(line.rlike("Infinity|NaN"), changed).otherwise(line)
 
 
 def _json_number(v: Column) -> Column:
