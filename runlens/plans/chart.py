@@ -38,6 +38,7 @@ class Request:
     steps: tuple[int, int] | None = None
     tags: tuple[str, ...] = ()
     versioned: bool = True  # False: the points are one version already
+    log_shift: bool | None = None  # whether a log axis runs in x + 1; None: where it begins at 0
 
     def __post_init__(self) -> None:
         if self.axis not in ("step", "time", "relative", "metric"):
@@ -116,7 +117,7 @@ def plan_grid(lo: float, hi: float, distinct: int, req: Request) -> Grid | None:
 
 def _ladder(lo: float, hi: float, req: Request) -> Grid:
     """The finest ladder with at most ``target`` cells from lo to hi, the coarsest if all have more."""
-    grid = Grid(shift=req.axis != "metric" and lo == 0.0)
+    grid = Grid(shift=req.axis != "metric" and lo == 0.0 if req.log_shift is None else req.log_shift)
     while grid.m < 40:
         finer = Grid(m=grid.m + 1, shift=grid.shift)
         if finer.cell_of(hi) - finer.cell_of(lo) + 1 > req.target:

@@ -36,3 +36,9 @@ def test_jsonl_lines_of_long_texts(spark):
     lines = spark.createDataFrame([("r", 0, '{"a":NaN,"t":"' + long + '","b":-Infinity,"n":"NaN","s":{"Max":2,"Inf":NaN},"u":{"_type_a":null,"_type_b":"7"}}'), ("r", 1, "[NaN]"), ("r", 2, "{broken")], "run_id string, n int, line string")
     got = {r.metric_name: r.text_data or repr(r.value) for r in I.jsonl_points(lines, ["run_id"], ["n"], 5).collect()}
     assert got == {"a": "nan", "b": "-inf", "s/max": "2.0", "s/inf": "nan", "u": "7.0", "n": "NaN\n", "t": "x\\" * 31_999 + "x\n"}
+
+
+@pytest.mark.parametrize("name", ["CH_3_log_ladder", "CH_9_11_ladder_smoothed"])
+def test_ladder_whose_first_step_is_not_zero(spark, tmp_path, name):
+    got, want = compared(spark, tmp_path, name, events=f"SELECT * REPLACE (event_id + 37 AS event_id) FROM '{SF}/events.parquet'")
+    assert want and got == want
