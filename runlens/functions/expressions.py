@@ -54,6 +54,8 @@ def ema_width(alpha: Column) -> Column:
 
 def truncate_bytes(text: Column, limit: int) -> Column:
     """The longest prefix of whole characters within ``limit`` bytes."""
-    cut = F.substring(text, 1, limit)
-    over = F.aggregate(F.split(cut, ""), F.struct(F.lit(0).alias("n"), F.lit("").alias("t")), lambda s, c: F.when(s.n + F.octet_length(c) <= limit, F.struct((s.n + F.octet_length(c)).alias("n"), F.concat(s.t, c).alias("t"))).otherwise(F.struct(F.lit(limit + 1).alias("n"), s.t.alias("t"))), lambda s: s.t)
-    return F.when(F.octet_length(text) <= limit, text).otherwise(over)
+    raw = text.cast("binary")
+    inside = lambda at: F.coalesce(F.substring(raw, at + 1, 1).between(F.lit(bytearray([0x80])), F.lit(bytearray([0xBF]))), F.lit(False))
+    # a character has at most three bytes behind its first
+    whole = F.when(~inside(limit), limit).when(~inside(limit - 1), limit - 1).when(~inside(limit - 2), limit - 2).otherwise(limit - 3)
+    return F.when(F.octet_length(text) <= limit, text).otherwise(F.substring(raw, F.lit(1), F.greatest(whole, F.lit(0))).cast("string"))

@@ -296,7 +296,8 @@ def run_identity(df: DataFrame, now_ms: int) -> DataFrame:
     given = F.when(F.coalesce("name", F.lit("")) != "", F.col("name")).otherwise(F.col("id"))
     name = F.when(strip(given) != "", strip(given)).otherwise(F.col("id"))
     exit_code = F.try_element_at(F.create_map(*[F.lit(x) for pair in EXIT_CODES.items() for x in pair]), F.col("state"))
-    out = df.withColumn("run_id", F.concat(F.lit("wandb_"), slug, F.lit("_"), "id")).withColumn("run_name", truncate_bytes(name, 2048))
+    out = df.withColumn("run_id", F.concat(F.lit("wandb_"), slug, F.lit("_"), "id")).withColumn("run_name", name)
+    out = out.withColumn("run_name", truncate_bytes(F.col("run_name"), 2048))  # of the column, so that names are stripped once
     out = out.withColumn("created_ms", F.coalesce(iso_ms(F.col("created")), F.lit(now_ms).cast("long")))
     return out.withColumn("ended_ms", F.coalesce(iso_ms(F.col("heartbeat")), F.col("created_ms"))).withColumn("exit_code", exit_code)
 

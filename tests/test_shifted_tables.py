@@ -30,14 +30,6 @@ def compared(spark, folder, name, **tables):
     return rows(df.columns, df.collect()), rows(columns, cur.fetchall())
 
 
-def test_jsonl_lines_of_long_texts(spark):
-    """A bare NaN beside a long text is read, however long the text."""
-    long = "x\\\\" * 100_000
-    lines = spark.createDataFrame([("r", 0, '{"a":NaN,"t":"' + long + '","b":-Infinity,"n":"NaN","s":{"Max":2,"Inf":NaN},"u":{"_type_a":null,"_type_b":"7"}}'), ("r", 1, "[NaN]"), ("r", 2, "{broken")], "run_id string, n int, line string")
-    got = {r.metric_name: r.text_data or repr(r.value) for r in I.jsonl_points(lines, ["run_id"], ["n"], 5).collect()}
-    assert got == {"a": "nan", "b": "-inf", "s/max": "2.0", "s/inf": "nan", "u": "7.0", "n": "NaN\n", "t": "x\\" * 31_999 + "x\n"}
-
-
 @pytest.mark.parametrize("name", ["CH_3_log_ladder", "CH_9_11_ladder_smoothed"])
 def test_ladder_whose_first_step_is_not_zero(spark, tmp_path, name):
     got, want = compared(spark, tmp_path, name, events=f"SELECT * REPLACE (event_id + 37 AS event_id) FROM '{SF}/events.parquet'")
@@ -48,3 +40,19 @@ def test_zoom_with_a_step_that_only_has_markers(spark, tmp_path):
     # 303 is a multiple of 101: its only value is infinite
     got, want = compared(spark, tmp_path, "PF_3_5_in_range", events=f"SELECT * REPLACE (CASE WHEN event_id = 303 THEN 'click' ELSE event_type END AS event_type) FROM '{SF}/events.parquet'")
     assert want and got == want
+
+
+def test_jsonl_lines_of_long_texts(spark):
+    """A bare NaN beside a long text is read, however long the text."""
+    long = "x\\\\" * 100_000
+    lines = spark.createDataFrame([("r", 0, '{"a":NaN,"t":"' + long + '","b":-Infinity,"n":"NaN","s":{"Max":2,"Inf":NaN},"u":{"_type_a":null,"_type_b":"7"}}'), ("r", 1, "[NaN]"), ("r", 2, "{broken")], "run_id string, n int, line string")
+    got = {r.metric_name: r.text_data or repr(r.value) for r in I.jsonl_points(lines, ["run_id"], ["n"], 5).collect()}
+    assert got == {"a": "nan", "b": "-inf", "s/max": "2.0", "s/inf": "nan", "u": "7.0", "n": "NaN\n", "t": "x\\" * 31_999 + "x\n"}
+
+
+def test_long_names_are_cut_without_a_fold(spark):
+    """Names are cut by a look at the bytes around the limit, not character by character."""
+    texts = ["é" * 1100, "a" + "é" * 1100, "日" * 700, "a" + "日" * 700, "\U0001f600" * 600, "ab\U0001f600" * 600, "x" * 3000]
+    cut = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, s string").select("i", truncate_bytes(F.col("s"), 2048).alias("t"))
+    assert [r.t for r in cut.orderBy("i").collect()] == [t.encode()[:2048].decode("utf-8", "ignore") for t in texts]
+    assert "aggregate" not in cut._jdf.queryExecution().optimizedPlan().toString()
