@@ -48,7 +48,7 @@ def ingest(spark, sf_dir):
     """The table as four files, each of which passes the bytes of a cut: four micro-batches, each a folder of its own."""
     root = _root(spark)
     e = A.table(spark, sf_dir, "events")
-    e.repartition(4).write.parquet(f"{root}/in")
+    e.repartition(4).write.option("parquet.block.size", 1 << 20).parquet(f"{root}/in")  # row groups that tasks can share
     N.start(_points(N.source(spark, e.schema, f"{root}/in", cut_bytes=1)), root, None).awaitTermination()
     got = N.read(spark, root, "points")
     cuts = got.select("batch").distinct().agg(F.count(F.lit(1)).cast("int").alias("cuts"))

@@ -60,7 +60,8 @@ def write_batch(root: str, cut_rows: int = CUT_ROWS):
         dealt.write.mode("overwrite").option("maxRecordsPerFile", cut_rows).partitionBy("project_id").parquet(f"{root}/points/batch={batch}")
 
     def run(df: DataFrame, batch: int) -> None:
-        checked = validate_points(df).persist()
+        # a batch is often one file that one task reads: dealt, so that the tables are not made of one partition
+        checked = validate_points(df.repartition(*KEY)).persist()
         try:
             good = checked.where("reason IS NULL").drop("reason")
             put_points(good, batch)
