@@ -9,7 +9,7 @@ cells of one tier are whole cells of the next, and merges are exact but for the
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import is_finite, marker_kind
@@ -20,7 +20,7 @@ from .ingest import WIDTH, classify
 from .store import PointStore
 
 CELL = [*SERIES, "cell"]
-_SUMS = {"n": F.sum, "total": F.sum, "y_min": F.min, "y_max": F.max, "lo": F.min, "hi": F.max, "rows": F.sum, "odd": F.min}
+_SUMS = {"n": F.sum, "total": F.sum, "y_min": F.min, "y_max": F.max, "lo": F.min, "hi": F.max, "rows": F.sum}
 _SCHEMA = "project_id string, run_id string, metric_name string, tag string, cell long, n long, total double, y_min double, y_max double, lo long, hi long, rows long, odd struct<step:long,kind:int>"
 
 
@@ -32,12 +32,23 @@ def cells_of(points: DataFrame, width: int = WIDTH) -> DataFrame:
     v = F.when(ok, y)
     return points.where("value IS NOT NULL").groupBy(*SERIES, F.floor(F.col("step") / width).alias("cell")).agg(
         F.count_if(ok).alias("n"), F.sum(v).alias("total"), F.min(v).alias("y_min"), F.max(v).alias("y_max"), F.min("step").alias("lo"), F.max("step").alias("hi"), F.count(F.lit(1)).alias("rows"),
-        F.min(F.when(~ok, F.struct("step", marker_kind(y).alias("kind")))).alias("odd"),
-    )
+        *_first_odd(F.when(~ok, F.col("step")), marker_kind(y)),
+    ).transform(_with_odd)
 
 
 def widened(cells: DataFrame, factor: int) -> DataFrame:
-    return cells.groupBy(*SERIES, F.floor(F.col("cell") / factor).alias("cell")).agg(*[f(c).alias(c) for c, f in _SUMS.items()])
+    sums = [f(c).alias(c) for c, f in _SUMS.items()]
+    return cells.groupBy(*SERIES, F.floor(F.col("cell") / factor).alias("cell")).agg(*sums, *_first_odd(F.col("odd.step"), F.col("odd.kind"))).transform(_with_odd)
+
+
+def _first_odd(step: Column, kind: Column) -> list[Column]:
+    """The least step that isn't null and its kind: plain columns, as an aggregate of structs would sort all rows."""
+    return [F.min(step).alias("_odd_step"), F.min_by(kind.cast("int"), step).alias("_odd_kind")]
+
+
+def _with_odd(cells: DataFrame) -> DataFrame:
+    odd = F.when(F.col("_odd_step").isNotNull(), F.struct(F.col("_odd_step").alias("step"), F.col("_odd_kind").alias("kind")))
+    return cells.withColumn("odd", odd).drop("_odd_step", "_odd_kind")
 
 
 class Tiers:
