@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -87,19 +88,32 @@ def read_bytes(path: str) -> bytes:
         return f.read()
 
 
+def release() -> None:
+    """Gives memory that a task's arrays left free back to the system: Python workers are reused, and what each keeps of its
+    largest task would stand beside the next ones' needs."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc's
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Cuts batches so that ``column`` holds about ``limit`` bytes in each; one larger text makes a batch by itself."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        texts = batch.column(column)
-        sizes = np.cumsum(np.nan_to_num(pa.compute.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.float64)))
-        start = 0
-        while start < batch.num_rows:
-            base = sizes[start - 1] if start else 0
-            end = max(start + 1, int(np.searchsorted(sizes, base + limit, "right")))
-            yield batch.slice(start, end - start)
-            start = end
+    """Cuts batches so that ``column`` holds about ``limit`` bytes in each; one larger text makes a batch by itself. Before the
+    first and behind the last one free memory is given back."""
+    release()
+    try:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            texts = batch.column(column)
+            sizes = np.cumsum(np.nan_to_num(pa.compute.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.float64)))
+            start = 0
+            while start < batch.num_rows:
+                base = sizes[start - 1] if start else 0
+                end = max(start + 1, int(np.searchsorted(sizes, base + limit, "right")))
+                yield batch.slice(start, end - start)
+                start = end
+    finally:
+        release()
 
 
 def letter_runs(text: str) -> list[str]:
