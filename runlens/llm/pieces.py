@@ -9,9 +9,10 @@ piece and falls back to bytes, as any other character without a piece, so decodi
 from __future__ import annotations
 
 import hashlib
-import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 MARK = "▁"
 NONE = -2
@@ -49,8 +50,9 @@ class Vocabulary:
         if crossing:
             raise ValueError(f"pieces cross word starts: {crossing[:3]}")
         self.longest = max(map(len, self.table))
-        alone = "".join(c for c in "\n\t\r" if not any(c in p for p in self.table))
-        self.units = re.compile(rf" *[^ {alone}]+| +" + (f"|[{alone}]" if alone else ""))
+        #: Bytes of characters that stand in no piece and are units by themselves.
+        self.alone = np.zeros(256, bool)
+        self.alone[[ord(c) for c in "\n\t\r" if not any(c in p for p in self.table)]] = True
         for p in [*self.table]:
             for n in range(1, len(p)):
                 self.table.setdefault(p[:n], -1)
@@ -95,9 +97,23 @@ class Vocabulary:
         row[miss] = np.where(self.keys[other] == h[miss], other, 0)
         return self.ids[row]
 
-    def cut(self, text: str) -> list[str]:
-        """Units of a text behind one leading space (the dummy prefix); none for an empty text."""
-        return self.units.findall(" " + text) if text else []
+    def cut(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """Units of texts (large strings, none null), each behind one leading space (the dummy prefix), one after the other, and
+        how many each text has; none for an empty text."""
+        count = np.zeros(len(texts), np.int64)
+        some = np.flatnonzero(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+        if not len(some):
+            return texts.slice(0, 0), count
+        nothing, space = pa.scalar("", pa.large_string()), pa.scalar(" ", pa.large_string())
+        full = pc.binary_join_element_wise(nothing, texts.take(pa.array(some)), space)
+        ends = np.frombuffer(full.buffers()[1], np.int64, len(some) + 1, full.offset * 8)
+        data = np.frombuffer(full.buffers()[2], np.uint8, int(ends[-1]))  # places are bytes: all characters looked for are ASCII
+        blank, starts = data == 32, self.alone[data]
+        starts[1:] |= starts[:-1] | (blank[1:] & ~blank[:-1])
+        starts[ends[:-1]] = True
+        at = np.append(np.flatnonzero(starts), len(data))
+        count[some] = np.diff(np.searchsorted(at, ends))
+        return pa.Array.from_buffers(pa.large_string(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int64)), full.buffers()[2]]), count
 
 
 _VOCABULARIES: dict[bytes, Vocabulary] = {}

@@ -15,9 +15,11 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +27,7 @@ from .common import TOKENIZERS, mix64, read_bytes, slices, with_results
 from .pieces import Edges, piece_bytes, vocabulary
 
 MODEL = f"{TOKENIZERS}/piece_bpe_32k.model"
-_CACHE_UNITS, _CACHE_NODES, _SLICE, _LEARN = 100_000, 1_200_000, 1 << 20, 8_000
+_CACHE_UNITS, _CACHE_EDGES, _SLICE, _LEARN = 60_000, 1_500_000, 1 << 20, 8_000
 
 
 def _uniform(h: np.ndarray) -> np.ndarray:
@@ -34,76 +36,101 @@ def _uniform(h: np.ndarray) -> np.ndarray:
 
 
 class Sampler:
-    """Lattices of units, kept between batches up to a bound and then begun anew."""
+    """Lattices of units, kept between batches up to a bound; beyond it the units met most often stay.
+
+    A node goes by its first edge's place in ``cdf``, ``source`` and ``piece``. ``cdf`` sums the shares of a node's edges, so
+    nothing of an edge depends on the units learnt with it.
+    """
 
     def __init__(self, model: bytes, alpha: float):
         self.v, self.alpha = vocabulary(model), alpha
         self.log_p = (self.v.log_p * alpha)[:, None]
         self.log_byte = self.log_p[self.v.byte_ids[0]]
-        self.reset()
-
-    def reset(self) -> None:
-        self.known: dict[str, int] = {}  # unit -> its last node
+        self.known: dict[str, int] = {}  # unit -> its row in ``begin``, ``last`` and ``uses``
+        self.begin, self.last, self.uses = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
         self.cdf, self.source, self.piece = np.empty(0), np.empty(0, np.int32), np.empty(0, np.int32)
-        self.nodes = 0
 
-    def learn(self, units: list[str]) -> None:
+    def _lattices(self, units: list[str]) -> tuple[np.ndarray, ...]:
+        """``cdf``, ``source`` and ``piece`` of the edges of some units, and each unit's first edge and last node."""
         e = Edges(self.v, units)
         w = e.log_weights(self.log_p, self.log_byte)
         a = e.forward(w)
         p = np.exp(a[e.source] + w - a[e.target])[:, 0]
         order = np.argsort(e.target, kind="stable")
-        target, p = e.target[order], p[order]
-        heads = np.flatnonzero(np.diff(target, prepend=-1))
-        run = np.cumsum(p)
-        before = np.repeat(run[heads] - p[heads], np.diff(np.append(heads, len(p))))
-        cdf = np.minimum(run - before, 1.0)
-        cdf[np.append(heads[1:], len(p)) - 1] = 1.0  # the last edge of a node takes what rounding leaves
-        self.cdf = np.concatenate([self.cdf, self.nodes + target + cdf])
-        self.source = np.concatenate([self.source, np.where(e.source[order] < 0, -1, e.source[order] + self.nodes).astype(np.int32)])
-        self.piece = np.concatenate([self.piece, e.piece[order].astype(np.int32)])
-        self.known.update(zip(units, (e.last + self.nodes).tolist(), strict=True))
-        self.nodes += e.nodes
-
-    def encode(self, texts: list[str], keys: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
+        cdf, source = p[order], e.source[order]
+        size = np.bincount(e.target)  # every node has an edge, that of its single character
+        heads = np.cumsum(size) - size
+        for k in range(1, size.max()):
+            at = heads[size > k] + k
+            cdf[at] += cdf[at - 1]
+        cdf = np.minimum(cdf, 1.0)
+        cdf[heads + size - 1] = 1.0  # the last edge of a node takes what rounding leaves
+        return cdf, np.where(source < 0, -1, heads[source]), e.piece[order], heads[e.first], heads[e.last]
+
+    def learn(self, units: list[str]) -> None:
+        found, base = [], len(self.cdf)
+        for i in range(0, len(units), _LEARN):  # bounds the lattices in memory
+            cdf, source, piece, begin, last = self._lattices(units[i : i + _LEARN])
+            found.append((cdf, np.where(source < 0, -1, source + base).astype(np.int32), piece.astype(np.int32), begin + base, last + base))
+            base += len(cdf)
+        if found:
+            held = self.cdf, self.source, self.piece, self.begin, self.last
+            self.cdf, self.source, self.piece, self.begin, self.last = (np.concatenate([h, *f]) for h, f in zip(held, zip(*found, strict=True), strict=True))
+            self.uses = np.concatenate([self.uses, np.zeros(len(units), np.int64)])
+            self.known.update(zip(units, range(len(self.known), len(self.known) + len(units)), strict=True))
+
+    def forget(self) -> None:
+        """Keeps the units met most often, up to half the bounds; their uses count half from then on."""
+        size = np.diff(np.append(self.begin, len(self.cdf)))
+        order = np.argsort(-self.uses, kind="stable")[: _CACHE_UNITS // 2]
+        keep = np.zeros(len(size), bool)
+        keep[order[np.cumsum(size[order]) <= _CACHE_EDGES // 2]] = True
+        edges = np.flatnonzero(np.repeat(keep, size)) + self.begin[0]
+        size = size[keep]
+        moved = self.begin[keep] - (np.cumsum(size) - size)
+        source = self.source[edges]
+        self.cdf, self.piece = self.cdf[edges], self.piece[edges]
+        self.source = np.where(source < 0, -1, source - np.repeat(moved, size)).astype(np.int32)
+        self.begin, self.last, self.uses = self.begin[keep] - moved, self.last[keep] - moved, self.uses[keep] // 2
+        self.known = {u: k for k, u in enumerate(compress(self.known, keep))}
+
+    def encode(self, texts: pa.Array | list[str], keys: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
         """Piece ids of all texts one after the other, and how many each has."""
-        cut = [self.v.cut(t) for t in texts]
-        flat = [u for units in cut for u in units]
-        new = set(flat) - self.known.keys()
-        if new and len(self.known) + len(new) > _CACHE_UNITS:
-            self.reset()
-            new = set(flat)
-        order = sorted(new)
-        for i in range(0, len(order), _LEARN):  # bounds the lattices in memory
-            self.learn(order[i : i + _LEARN])
-        count = np.fromiter(map(len, cut), np.int64, len(cut))
-        owner = np.repeat(np.arange(len(cut)), count)
+        flat, count = self.v.cut(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string()))
+        coded = flat.dictionary_encode()
+        units, index = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
+        self.learn([u for u in units if u not in self.known])
+        row = np.fromiter(map(self.known.__getitem__, units), np.int64, len(units))
+        self.uses[row] += np.bincount(index, minlength=len(row))
+        owner = np.repeat(np.arange(len(count)), count)
         place = np.arange(len(flat)) - np.repeat(np.cumsum(count) - count, count)
-        node = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
         with np.errstate(over="ignore"):
             base = mix64(mix64(keys.astype(np.uint64) + np.uint64(seed))[owner] + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        unit, ids, steps = np.arange(len(flat)), [], np.zeros(len(flat), np.int64)
+        unit, edge, ids, steps = np.arange(len(flat)), self.last[row][index], [], np.zeros(len(flat), np.int64)
         occurrence = []
         step = 0
         while len(unit):
             with np.errstate(over="ignore"):
-                u = _uniform(base[unit] + np.uint64(step + 1) * np.uint64(0xD1B54A32D192ED03))
-            # a sum that rounds up to the next node's number would take an edge of that node
-            edge = np.searchsorted(self.cdf, np.minimum(node + u, np.nextafter(node + 1.0, 0.0)), "right")
+                u = _uniform(base + np.uint64(step + 1) * np.uint64(0xD1B54A32D192ED03))
+            later = np.flatnonzero(u >= self.cdf[edge])
+            while len(later):  # at most as often as a node has edges
+                edge[later] += 1
+                later = later[u[later] >= self.cdf[edge[later]]]
             ids.append(self.piece[edge])
             occurrence.append(unit)
             steps[unit] += 1
-            node = self.source[edge]
-            unit, node = unit[node >= 0], node[node >= 0]
+            edge = self.source[edge].astype(np.int64)
+            go = np.flatnonzero(edge >= 0)
+            unit, edge, base = unit[go], edge[go], base[go]
             step += 1
         out = np.empty(int(steps.sum()), np.int64)
         end = np.cumsum(steps)
         for k, (u, i) in enumerate(zip(occurrence, ids, strict=True)):
             out[end[u] - 1 - k] = i
         per_unit = np.repeat(owner, steps)
-        if len(self.known) > _CACHE_UNITS or self.nodes > _CACHE_NODES:
-            self.reset()
-        return self._bytes(out, per_unit, len(texts))
+        if len(self.known) > _CACHE_UNITS or len(self.cdf) > _CACHE_EDGES:
+            self.forget()
+        return self._bytes(out, per_unit, len(count))
 
     def _bytes(self, ids: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Puts byte pieces for characters without a piece."""
@@ -143,9 +170,9 @@ class Decoder:
         return _texts(pieces, self.flat, self.start, self.length)
 
 
-def _encoded(s: Sampler, batch: pa.RecordBatch, seed: int) -> tuple[list[str], pa.ListArray]:
-    texts = [t or "" for t in batch.column("text").to_pylist()]
-    keys = np.array([k or 0 for k in batch.column("doc_id").to_pylist()], np.int64)
+def _encoded(s: Sampler, batch: pa.RecordBatch, seed: int) -> tuple[pa.Array, pa.ListArray]:
+    texts = pc.fill_null(batch.column("text").cast(pa.large_string()), "")
+    keys = pc.fill_null(batch.column("doc_id").cast(pa.int64(), safe=False), 0).to_numpy()
     ids, count = s.encode(texts, keys, seed)
     return texts, pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), pa.array(ids.astype(np.int32)))
 
@@ -203,12 +230,12 @@ def _round_tripper(model: bytes, alpha: float, seed: int):
         s, d = _sampler(model, alpha), Decoder(model)
         for batch in slices(batches, "text", _SLICE):
             texts, pieces = _encoded(s, batch, seed)
-            back = d.texts(pieces).to_pylist()
+            back = d.texts(pieces)
             columns = {
                 "doc_id": batch.column("doc_id"),
                 "pieces": pieces,
-                "decoded_sha256": pa.array([hashlib.sha256(b.encode()).hexdigest() for b in back], pa.string()),
-                "lossless": pa.array([a == b for a, b in zip(texts, back, strict=True)], pa.bool_()),
+                "decoded_sha256": pa.array([hashlib.sha256(b.as_buffer()).hexdigest() for b in back], pa.string()),
+                "lossless": pc.equal(texts, back.cast(pa.large_string())),
             }
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 

@@ -528,6 +528,46 @@ def test_sentencepiece_draws_stay_inside_their_node(monkeypatch, u):
         assert sptok.Decoder(sptok.read_bytes(sptok.MODEL)).texts(pieces).to_pylist() == texts
 
 
+def test_sentencepiece_learns_frequent_units_once(monkeypatch):
+    """Rare units that pass must not make the sampler learn the frequent ones again, and what it forgets changes no draw."""
+    learnt = []
+    monkeypatch.setattr(sptok, "Edges", lambda v, units, edges=sptok.Edges: learnt.extend(units) or edges(v, units))
+    model = sptok.read_bytes(sptok.MODEL)
+    texts = [" ".join(words(50) + [f"rare{i}x{k}" for k in range(80)]) for i in range(20)]
+    fresh = [sptok.Sampler(model, 0.5).encode([t], np.array([i]), 17)[0].tolist() for i, t in enumerate(texts)]
+    monkeypatch.setattr(sptok, "_CACHE_UNITS", 250)
+    learnt.clear()
+    s = sptok.Sampler(model, 0.5)
+    assert [s.encode([t], np.array([i]), 17)[0].tolist() for i, t in enumerate(texts)] == fresh
+    assert len(s.known) <= 250
+    assert len(learnt) == len({u for t in texts for u in (" " + t).replace(" ", "\0 ").split("\0") if u})
+
+
+def test_sentencepiece_draws_do_not_depend_on_what_was_learnt(monkeypatch):
+    """A draw just below the end of an edge's share stays with that edge, however many nodes the sampler holds."""
+    model = sptok.read_bytes(sptok.MODEL)
+    alone = sptok.Sampler(model, 0.5)
+    alone.encode(["then"], np.arange(1), 3)
+    ends = alone.cdf % 1.0  # 0 at the last edge of each node
+    first = int(np.flatnonzero(ends[:-1] == 0.0)[-1]) + 1  # of the unit's last node
+    assert 0 < ends[first] < 1
+    u = np.nextafter(ends[first], 0.0)
+    monkeypatch.setattr(sptok, "_uniform", lambda h: np.full(len(h), u))
+    crowded = sptok.Sampler(model, 0.5)
+    crowded.encode([" ".join(f"word{i}" for i in range(30_000))], np.arange(1), 3)
+    assert [s.encode(["then"], np.arange(1), 3)[0][-1] for s in (alone, crowded)] == [alone.piece[first]] * 2
+
+
+def test_sentencepiece_units_of_all_texts():
+    """Cut together as one by one: before a space behind another character, and around line breaks and tabs."""
+    v = sptok.vocabulary(sptok.read_bytes(sptok.MODEL))
+    texts = [t or "" for t in TEXTS] + ["a\n b", "a \n", "\t\t", " \n \n", "a  ", "\ra\r", "é \U0001f600\né", ""]
+    units, count = v.cut(pa.array(["z", *texts], pa.large_string()).slice(1))
+    one_by_one = [re.findall(r" *[^ \n\t]+| +|[\n\t]", " " + t) if t else [] for t in texts]
+    assert units.to_pylist() == [u for found in one_by_one for u in found] and count.tolist() == [*map(len, one_by_one)]
+    assert v.cut(pa.array(["", ""], pa.large_string()))[1].tolist() == [0, 0]
+
+
 def test_sentencepiece_encode_and_decode(spark):
     """Apart from each other, with other columns kept, a null key, clashing names and a text without spaces."""
     df = docs(spark, [*TEXTS, "x" * 100_000], [*range(len(TEXTS)), None]).withColumn("Decoded", F.lit("mine")).withColumn("pieces", F.lit(1))
