@@ -156,7 +156,7 @@ def jsonl(spark, sf_dir):
         "note": F.when(F.col("o_orderstatus") != "P", F.concat(F.lit('"NaN, \\"'), F.col("o_orderstatus"), F.lit('"'))),
     }
     pairs = [F.when(k % 2 == 1, F.concat(F.lit('"_step":'), k.cast("string"))), F.when(k % 3 == 0, F.concat(F.lit('"_timestamp":'), F.expr("CAST(o_orderkey div 10 AS string)"))), *[F.concat(F.lit(f'"{n}":'), c) for n, c in cells.items()]]
-    line = F.when(k % 17 == 0, F.when(k % 2 == 0, "{broken").otherwise("[NaN]")).otherwise(F.concat(F.lit("{"), F.concat_ws(",", *pairs), F.lit("}")))
+    line = F.when(k % 17 == 0, F.when(k % 2 == 0, "{broken").otherwise("[NaN]")).when(k.isNotNull(), F.concat(F.lit("{"), F.concat_ws(",", *pairs), F.lit("}")))
     # lines cost far more to make and parse than to read, so the few splits of the table are dealt anew
     orders = A.table(spark, sf_dir, "orders").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), k)
     o = orders.select(F.concat(F.lit("r"), (F.col("o_custkey") % 5).cast("string")).alias("run_id"), k.alias("n"), line.alias("line"))

@@ -79,8 +79,10 @@ def jsonl_points(lines: DataFrame, by: list[str], order: list[str], created_ms:
     number of which is a metric of its own; media, histograms and lists give no points."""
     # whatever isn't an object has no keys; a filter above the parsed lines would be pushed below and parse them again
     rows = lines.select(*by, *order, F.try_parse_json(_finite_json(F.col(column))).alias("v"))
-    stamp = F.try_variant_get("v", "$._timestamp", "double")
-    rows = rows.select(*by, *order, F.coalesce(F.try_variant_get("v", "$._step", "long"), F.lit(0).cast("long")).alias("step"), F.coalesce((stamp * 1000).cast("long"), F.lit(created_ms).cast("long")).alias("timestamp_ms"), "v")
+    stamp, seconds = F.try_variant_get("v", "$._timestamp", "double"), F.try_variant_get("v", "$._timestamp", "long")
+    # whole seconds stay integers, as a double rounds milliseconds past 2^53
+    ms = F.when(seconds.cast("double") == stamp, seconds * 1000).otherwise((stamp * 1000).cast("long"))
+    rows = rows.select(*by, *order, F.coalesce(F.try_variant_get("v", "$._step", "long"), F.lit(0).cast("long")).alias("step"), F.coalesce(ms, F.lit(created_ms).cast("long")).alias("timestamp_ms"), "v")
     cells = rows.lateralJoin(_exploded()).where("NOT startswith(key, '_')").drop("v").withColumn("kind", F.schema_of_variant("value"))
     # columns of their own, as they are read many times; an object whose first field is no one's gives nothing
     able = F.col("kind").rlike("^OBJECT<`?(_type_|" + "|".join(STATS) + ")")
@@ -92,9 +94,11 @@ def jsonl_points(lines: DataFrame, by: list[str], order: list[str], created_ms:
     found = found.when(F.forall(keys, lambda k: k.startswith("_type_")), F.array(number(F.col("key"), _union_number(fields)))).when(F.forall(keys, lambda k: k.isin(*STATS)), many)
     ids = [*by, "step", "timestamp_ms"]
     numbers = held.select(*ids, F.explode(found).alias("p")).select(*ids, "p.metric_name", _imported(F.col("p.d")).alias("value"), F.lit(None).cast("string").alias("text_data")).where("value IS NOT NULL")
-    told = cells.where("kind = 'STRING'").select(*by, *order, "timestamp_ms", F.col("key").alias("metric_name"), F.expr("try_variant_get(value, '$', 'string')").alias("text")).where("text <> ''")
+    # keys in a struct, as nulls in it are equal: lines of no run keep their texts too
+    told = cells.where("kind = 'STRING'").select(F.struct(*by, F.col("key").alias("metric_name")).alias("_key"), *order, "timestamp_ms", F.expr("try_variant_get(value, '$', 'string')").alias("text")).where("text <> ''")
     # stored, so that dealing and its sample don't parse the lines again
-    texts = monotone_steps(checkpointed(told), [*by, "metric_name"], order, "timestamp_ms").select(*ids, "metric_name", F.lit(None).cast("float").alias("value"), text_line(F.col("text")).alias("text_data"))
+    stepped = monotone_steps(checkpointed(told), ["_key"], order, "timestamp_ms").select("_key.*", "step", "timestamp_ms", "text")
+    texts = stepped.select(*ids, "metric_name", F.lit(None).cast("float").alias("value"), text_line(F.col("text")).alias("text_data"))
     return numbers.unionAll(texts)
 
 

@@ -30,6 +30,13 @@ def compared(spark, folder, name, **tables):
     return rows(df.columns, df.collect()), rows(columns, cur.fetchall())
 
 
+@pytest.mark.parametrize("key, customer", [("o_orderkey + 1000000000000000", "o_custkey"), ("nullif(o_orderkey, o_orderkey // 50 * 50)", "nullif(o_custkey, o_custkey // 3 * 3)")])
+def test_jsonl_lines_of_large_and_missing_keys(spark, tmp_path, key, customer):
+    """Whole seconds past 2^53 milliseconds are exact; an order without a key gives nothing, one without a run keeps its text."""
+    got, want = compared(spark, tmp_path, "SRC_12_jsonl_history", orders=f"SELECT * REPLACE ({key} AS o_orderkey, {customer} AS o_custkey) FROM '{SF}/orders.parquet'")
+    assert want and got == want
+
+
 @pytest.mark.parametrize("name", ["CH_3_log_ladder", "CH_9_11_ladder_smoothed"])
 def test_ladder_whose_first_step_is_not_zero(spark, tmp_path, name):
     got, want = compared(spark, tmp_path, name, events=f"SELECT * REPLACE (event_id + 37 AS event_id) FROM '{SF}/events.parquet'")
