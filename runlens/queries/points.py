@@ -149,11 +149,12 @@ def jsonl(spark, sf_dir):
     stay), booleans, unions with numbers, texts and no number, statistics, media, histograms, lists, empty texts."""
     k = F.col("o_orderkey")
     text = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    note = F.to_json(F.array(F.concat(F.lit('NaN, "'), F.col("o_orderstatus"))))
     cells = {
         "loss": F.col("o_totalprice").cast("string"), "wide": F.when(k % 5 == 0, "3.5e38").otherwise("1e38"), "odd": F.when(k % 7 == 0, "-Infinity").otherwise("NaN"), "flag": F.when(k % 4 == 0, "true").otherwise("false"),
         "mixed": F.when(k % 4 == 0, F.concat(F.lit('{"_type_a":null,"_type_b":'), text((k % 9).cast("string")), F.lit("}"))).when(k % 4 == 1, '{"_type_a":"word"}').otherwise(F.concat(F.lit('{"_type_a":'), (k % 9).cast("string"), F.lit("}"))),
         "sum": F.concat(F.lit('{"Max":'), F.col("o_totalprice").cast("string"), F.lit(',"-Inf":Infinity,"Min":"x"}')), "media": F.lit('{"_type":"image-file","path":"a.png"}'), "hist": F.lit('{"_type":"histogram","bins":[1]}'), "list": F.lit("[1,2]"), "nothing": F.lit("null"), "empty": F.lit('""'),
-        "note": F.when(F.col("o_orderstatus") != "P", F.concat(F.lit('"NaN, \\"'), F.col("o_orderstatus"), F.lit('"'))),
+        "note": F.when(F.col("o_orderstatus") != "P", F.substr(note, F.lit(2), F.length(note) - 2)),
     }
     pairs = [F.when(k % 2 == 1, F.concat(F.lit('"_step":'), k.cast("string"))), F.when(k % 3 == 0, F.concat(F.lit('"_timestamp":'), F.expr("CAST(o_orderkey div 10 AS string)"))), *[F.concat(F.lit(f'"{n}":'), c) for n, c in cells.items()]]
     line = F.when(k % 17 == 0, F.when(k % 2 == 0, "{broken").otherwise("[NaN]")).when(k.isNotNull(), F.concat(F.lit("{"), F.concat_ws(",", *pairs), F.lit("}")))

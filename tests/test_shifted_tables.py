@@ -37,6 +37,12 @@ def test_jsonl_lines_of_large_and_missing_keys(spark, tmp_path, key, customer):
     assert want and got == want
 
 
+def test_jsonl_lines_of_odd_statuses(spark, tmp_path):
+    status = """CASE o_orderkey % 4 WHEN 0 THEN 'a"b' WHEN 1 THEN '\\' WHEN 2 THEN chr(10) || 'NaN' || chr(9) || 'é' ELSE '' END"""
+    got, want = compared(spark, tmp_path, "SRC_12_jsonl_history", orders=f"SELECT * REPLACE ({status} AS o_orderstatus) FROM '{SF}/orders.parquet'")
+    assert want and got == want
+
+
 @pytest.mark.parametrize("name", ["CH_3_log_ladder", "CH_9_11_ladder_smoothed"])
 def test_ladder_whose_first_step_is_not_zero(spark, tmp_path, name):
     got, want = compared(spark, tmp_path, name, events=f"SELECT * REPLACE (event_id + 37 AS event_id) FROM '{SF}/events.parquet'")
